@@ -234,9 +234,9 @@ def find_personal_data(documents: DataFrame, threshold: float = 0.9) -> DataFram
     """documents(doc_id, text, ...) -> doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans. One row for each document, no shuffle of texts."""
     found = save(candidates(documents), "candidates")
     model = fit(found)
-    # Candidates are judged as rows of their own, then gathered again where there are any.
     added = F.filter("more", lambda x: accepted(x, model, threshold))
     whole = found.withColumn("added", F.when(F.size("more") > 0, added).otherwise(F.col("more")))
     whole = whole.withColumn("all", F.when(F.size("added") > 0, F.array_sort(F.concat("base", "added"), _by_start)).otherwise(F.col("base")))
-    counts = [F.size(F.filter("base", lambda x, i=i: x["kind"] == i)).cast("bigint").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    kinds = F.transform("base", lambda x: x["kind"])
+    counts = [(F.size("base") - F.size(F.array_remove(kinds, i))).cast("bigint").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return whole.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("all")).alias("spans"))

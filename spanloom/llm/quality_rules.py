@@ -8,8 +8,8 @@ the number of measures and strata (Bonferroni); along one ladder the order is fi
 risk of a measure is the total divided by the number of measures, so a good text of a stratum is falsely rejected by any of them at
 most at the total risk, with the given confidence in all strata at once. A ladder without a certified cutoff rejects nothing.
 
-The labelled texts are parted by a hash of the id: one half says which ladders are of use (they must reject bad texts more often than
-good ones), the other half is the holdout on which the bounds are computed.
+The labelled texts are parted by a hash of the id: a quarter says which ladders are of use (they must reject bad texts more often than
+good ones), the rest is the holdout on which the bounds are computed.
 
 Null and empty texts have no words, so they fail the base rules. Null languages are a stratum.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.common import SPACES, fold, save
 
-RISK, CONFIDENCE = 0.02, 0.95
+RISK, CONFIDENCE = 0.06, 0.95
 MIN_WORDS, MOST_REPEATED = 50, 50
 SPACE_CHARS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -99,7 +99,7 @@ def certified_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK
     One row for each stratum. Labelled texts are counted for each stratum, ladder and cutoff in one pass.
     """
     own = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", "quality").dropDuplicates(["doc_id"])
-    joined = measured.where("not base_failed").join(own, "doc_id").withColumn("holdout", fold("doc_id", 2) == 1)
+    joined = measured.where("not base_failed").join(own, "doc_id").withColumn("holdout", fold("doc_id", 4) != 0)
     cuts = F.array(*[F.struct(F.lit(m).alias("ladder"), F.lit(i).alias("rung"), F.lit(c).alias("cutoff"), (F.col(m) > c).alias("hit")) for m, ladder in LADDERS.items() for i, c in enumerate(ladder)])
     good, bad, held = F.col("quality") == 1, F.col("quality") == 0, F.col("holdout")
     counted = joined.select("stratum", "quality", "holdout", F.inline(cuts)).groupBy("stratum", "ladder", "rung", "cutoff").agg(
