@@ -6,9 +6,10 @@
    about a text's shingles over the number of counters, 1 % of the documents, a tenth of COMMON.
 2. Each text gets SAMPLES consistent weighted samples: the chance that two texts agree in one is their weighted Jaccard similarity.
    Four samples make a band; texts that share a band are candidates.
-3. Equal texts are one node, so that copies are never paired. In each band's bucket all members are compared with a leader, then, if
-   still in another class, with a second leader drawn for that bucket, then each member outside the bucket's largest class with all
-   members of other classes. That finds every link between classes without pairing the members of a class. Comparing computes the
+3. Equal texts are one node, so that copies are never paired. In each band's bucket all members are compared with a leader, the
+   member with the least weight of shingles that no other text has, so most likely the text that the others are copies of; those
+   still in other classes with a second leader; then each member outside the bucket's largest class with the members of
+   other classes. Pairs are left out only where the weight of shingles of one text alone rules out that they are similar. That finds every link between classes without pairing the members of a class. Comparing computes the
    weighted Jaccard similarity of the two whole texts.
 4. Linked nodes form classes (smallest label over neighbours, with pointer jumping), each named by its smallest doc_id.
 
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import arrow_rows, mix, save, shingles, small_batches
@@ -32,6 +33,10 @@ BANDS = SAMPLES // ROWS
 #: Random triplets are drawn from so many rows; a shingle's hash picks its row.
 POOL = 1 << 14
 COUNTERS = 1 << 16
+#: Leaders of a bucket with which its members are compared before members are compared with each other.
+LEADERS = 2
+#: Counters that tell shingles of one text only from others.
+WIDE = 1 << 22
 COMMON = 0.1
 
 
@@ -120,6 +125,45 @@ def _verified(pairs: DataFrame, texts: DataFrame, sampler: Sampler) -> DataFrame
     return pairs.join(own, "b").join(other, "a").select("a", "b", "x", "y").mapInArrow(rows, "a binary, b binary")
 
 
+def _may_link(total: Column, common: Column, other_total: Column, other_common: Column) -> Column:
+    """False where two texts can't be similar: what they have in common weighs no more than either's shingles that other texts have."""
+    most = F.least(common, other_common)
+    return most >= SIMILARITY * (total + other_total - most) - 1e-6
+
+
+def _masses(texts: DataFrame, sampler: Sampler) -> DataFrame:
+    """texts(h, text) -> h, total weight, and the weight of shingles that may also be in another of these texts; those whose counter is 1 can't."""
+    shared = texts.sparkSession.sparkContext.broadcast(sampler)
+    wide = np.uint64(WIDE)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(WIDE, np.uint8)
+        for _, rows in arrow_rows(batches):
+            for text in rows:
+                at = np.unique(shared.value.weights(text)[0] % wide)
+                counts[at] = np.minimum(counts[at] + 1, 2)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(at & 63), pa.array(counts[at].astype(np.int64))], ["word", "bit", "n"])
+
+    # A counter's bit is set where it is reached twice: words of 64 bits, WIDE / 64 of them at most, come to the driver.
+    each = texts.select("text").mapInArrow(counted, "word bigint, bit bigint, n bigint")
+    bits = each.groupBy("word", "bit").agg(F.sum("n").alias("n")).where("n > 1").groupBy("word").agg(F.collect_list("bit").alias("bits"))
+    twice = np.zeros(WIDE, bool)
+    for r in bits.toLocalIterator():
+        twice[[r.word * 64 + b for b in r.bits]] = True
+    table = texts.sparkSession.sparkContext.broadcast(np.packbits(twice))
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        again = np.unpackbits(table.value).view(bool)
+        for batch, rows in arrow_rows(batches):
+            pairs = [shared.value.weights(text) for text in rows]
+            total = [float(w.sum()) for _, w in pairs]
+            common = [float(w[again[x % wide]].sum()) for x, w in pairs]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(total, pa.float64()), pa.array(common, pa.float64())], ["h", "total", "common"])
+
+    return texts.select("h", "text").mapInArrow(weighed, "h binary, total double, common double")
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """edges(a, b) -> h, root: the smallest node that a node is linked with. Each round takes the smallest root among neighbours, then that root's own."""
     both = save(edges.select("a", "b").union(edges.select("b", "a")).toDF("h", "other").distinct(), "edges")
@@ -152,36 +196,45 @@ def _nodes_and_classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     drawn = save(hashed.mapInArrow(sampled, f"doc_id {kind}, h binary, bands array<bigint>"), "bands")
     nodes = save(drawn.where("h is not null").groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "nodes")
     members = nodes.where("bands is not null").select("h", F.explode("bands").alias("key"))
-    leaders = members.groupBy("key").agg(F.min("h").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-    buckets = save(members.join(leaders, "key").select("key", "a", F.col("h").alias("b")), "buckets")
+    several = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    members = save(members.join(several, "key"), "members")
 
-    wanted = buckets.select(F.col("b").alias("h")).distinct().join(nodes.select("h", "doc_id"), "h")
+    wanted = members.select("h").distinct().join(nodes.select("h", "doc_id"), "h")
     same = (hashed["h"] == wanted["h"]) & hashed["doc_id"].eqNullSafe(wanted["doc_id"])
     texts = save(hashed.join(wanted, same).select(hashed["h"], "text").dropDuplicates(["h"]), "texts")
-
-    edges = save(_verified(buckets.where("a != b").select("a", "b").distinct(), texts, sampler), "links")
-    roots = components(edges)
+    buckets = save(members.join(_masses(texts, sampler), "h"), "buckets")  # key, h, total, common
+    edges, roots = None, None
 
     def rooted() -> DataFrame:
-        return buckets.select("key", "b").join(roots.select(F.col("h").alias("b"), "root"), "b", "left").withColumn("root", F.coalesce("root", "b"))
+        return (buckets if roots is None else buckets.join(roots, "h", "left")).withColumn("root", F.col("h") if roots is None else F.coalesce("root", "h"))
 
     def settle(pairs: DataFrame) -> None:
         nonlocal edges, roots
-        new = save(_verified(pairs, texts, sampler), "links")
-        if not new.isEmpty():
-            edges = edges.union(new)
+        new = save(_verified(save(pairs.select("a", "b").distinct(), "pairs"), texts, sampler), "links")
+        if edges is None or not new.isEmpty():
+            edges = new if edges is None else edges.union(new)
             roots = components(edges)
 
-    open_keys = rooted().groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct(F.col("b").alias("a"), F.col("root").alias("a_root")), F.xxhash64("b", "key")).alias("second")).where("low != high")
-    second = rooted().join(open_keys, "key").where("root != second.a_root").select("second.a", "b")
-    settle(save(second.distinct(), "pairs"))
+    own = F.struct((F.col("total") - F.col("common")).alias("own"), "h", "root", "total", "common")
+    last = None
+    for _ in range(LEADERS):
+        rows = rooted()
+        if last is not None:  # only buckets that hold several classes, and leaders not taken yet
+            mixed = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
+            rows = save(rows.join(mixed, "key"), "rows")
+            leaders = rows.join(last, "key").where(F.struct((F.col("total") - F.col("common")).alias("own"), "h") > F.struct("last.own", "last.h")).groupBy("key").agg(F.min(own).alias("l"))
+        else:
+            leaders = rows.groupBy("key").agg(F.min(own).alias("l"))
+        leaders = save(leaders, "leaders")
+        last = leaders.select("key", F.col("l").alias("last"))
+        settle(rows.join(leaders, "key").where((F.col("root") != F.col("l.root")) & _may_link(F.col("total"), F.col("common"), F.col("l.total"), F.col("l.common"))).select(F.col("l.h").alias("a"), F.col("h").alias("b")))
 
     held = save(rooted(), "open")
     by_class = held.groupBy("key", "root").agg(F.count("*").alias("n"))
     largest = by_class.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("classes")).where("classes > 1").select("key", "largest")
-    outside = held.join(largest, "key").where("root != largest").select("key", F.col("b").alias("p"), F.col("root").alias("p_root"))
-    third = outside.join(held, "key").where("root != p_root").select(F.least("p", "b").alias("a"), F.greatest("p", "b").alias("b")).distinct()
-    settle(save(third, "pairs"))
+    outside = held.join(largest, "key").where("root != largest").select("key", *[F.col(c).alias(f"p_{c}") for c in ("h", "root", "total", "common")])
+    may = (outside["key"] == held["key"]) & (F.col("root") != F.col("p_root")) & _may_link(F.col("total"), F.col("common"), F.col("p_total"), F.col("p_common"))
+    settle(outside.join(held, may).select(F.least("p_h", "h").alias("a"), F.greatest("p_h", "h").alias("b")))
 
     named = nodes.select("h", "doc_id").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
     return drawn.select("doc_id", "h"), save(named.select("h", "doc_id", "root"), "classes")
