@@ -1,10 +1,296 @@
-"""Queries of the dialogue operators, and their SQL."""
+"""Queries of the dialogue operators over views derived from the driver's tables, and their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spanloom.functions import json_tree, text
+from spanloom.operators import dialogue, flows, metrics, spans
+from spanloom.plans import completion
+from spanloom.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+CLASSES = "['clean', 'answer_mismatch', 'overgeneration', 'missing_tool', 'undergeneration']"
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+# Derived views: gold and predicted classes by arithmetic on ids, spans by arithmetic on ids and lengths.
+LABELLED_SQL = f"""labelled as (select l.doc_id, d.text, d.n_chars, ({CLASSES})[cast((l.doc_id * 3 + 1) % 5 + 1 as int)] as gold,
+  ({CLASSES})[cast((l.doc_id * 7 + l.doc_id // 4) % 5 + 1 as int)] as pred, (l.doc_id * 5 + l.doc_id // 3) % 4 <> 0 as flagged from labels l join documents d using (doc_id))"""
+SPANS_SQL = """pairs as (select doc_id, n_chars,
+  list_transform(range(0, cast(doc_id % 4 as bigint)), lambda i: {'start': (doc_id * 7 + i * 13) % greatest(n_chars - 20, 1), 'end': (doc_id * 7 + i * 13) % greatest(n_chars - 20, 1) + 5 + (doc_id + i) % 11}) as gold,
+  list_transform(range(0, cast((doc_id + 1) % 4 as bigint)), lambda i: {'start': (doc_id * 7 + i * 13 + doc_id % 3) % greatest(n_chars - 20, 1), 'end': (doc_id * 7 + i * 13 + doc_id % 3) % greatest(n_chars - 20, 1) + 5 + (doc_id + i) % 11}) as pred from documents)"""
+DIALOGUES_SQL = "dialogues as (select conv_id, list({'role': lower(trim(role)), 'content': coalesce(text, '')} order by turn) as messages from conversations group by conv_id)"
+SHARES_SQL = """coalesce(tp / nullif(tp + fp, 0), 0.0) as "precision", coalesce(tp / nullif(tp + fn, 0), 0.0) as recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0) as f1"""
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda e: F.element_at(F.array(*[F.lit(c) for c in metrics.CLASSES]), (e % 5 + 1).cast("int"))
+    d, i = _table(spark, sf_dir, "labels").select("doc_id").join(_table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"), "doc_id"), F.col("doc_id")
+    return d.withColumns({"gold": pick(i * 3 + 1), "pred": pick(i * 7 + F.floor(i / 4)), "flagged": (i * 5 + F.floor(i / 3)) % 4 != 0})
+
+
+def span_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, i = _table(spark, sf_dir, "documents").select("doc_id", "n_chars"), F.col("doc_id")
+
+    def made(n: Column, shift: Column | int) -> Column:
+        start = lambda k: (i * 7 + k * 13 + shift) % F.greatest(F.col("n_chars") - 20, F.lit(1))
+        one = lambda k: F.struct(start(k).alias("start"), (start(k) + 5 + (i + k) % 11).alias("end"))
+        return F.transform(F.slice(F.array(*[F.lit(k).cast("bigint") for k in range(3)]), F.lit(1), n.cast("int")), one)
+
+    return d.withColumns({"gold": made(i % 4, 0), "pred": made((i + 1) % 4, i % 3)})
+
+
+def dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.gather(_table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+
+
+def orders_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their items as JSON text."""
+    items = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", F.col("l_quantity").cast("bigint").alias("l_quantity")))).alias("items"))
+    body = F.to_json(F.struct("o_orderkey", "o_orderstatus", "items"))
+    return _table(spark, sf_dir, "orders").join(items, "o_orderkey").select("o_orderkey", "o_orderstatus", body.alias("json"))
+
+
+@query(f"""with {LABELLED_SQL}, c as (select gold, count(*) filter (where flagged) as yes, count(*) filter (where not flagged) as no from labelled group by gold),
+v as (select (select yes from c where gold = 'clean') cy, (select no from c where gold = 'clean') cn, (select sum(no) from c where gold in ('answer_mismatch', 'overgeneration', 'missing_tool')) missed),
+r as (select gold as class, case when gold = 'clean' then no else yes end as tp, case when gold = 'clean' then missed else cy end as fp, case when gold = 'clean' then yes else no end as fn, yes + no as support from c, v where gold <> 'undergeneration')
+select *, {SHARES_SQL} from r""")
+def class_detection_report(spark, sf_dir):
+    return metrics.detection_report(labelled(spark, sf_dir))
+
+
+@query(f"with {LABELLED_SQL}, b as (select gold <> 'clean' as g, pred <> 'clean' as p from labelled), r as (select count(*) filter (where g and p) tp, count(*) filter (where p and not g) fp, count(*) filter (where g and not p) fn, count(*) filter (where not g and not p) tn, count(*) n from b) select *, (tp + tn) / n as accuracy, {SHARES_SQL} from r")
+def binary_report(spark, sf_dir):
+    return metrics.binary_report(labelled(spark, sf_dir).select((F.col("gold") != "clean").alias("g"), (F.col("pred") != "clean").alias("p")), "g", "p")
+
+
+REPORT_SQL = f"""{LABELLED_SQL}, r as (select label, count(*) filter (where gold = label and pred = label) tp, count(*) filter (where gold <> label and pred = label) fp, count(*) filter (where gold = label and pred <> label) fn, count(*) filter (where gold = label) support from labelled, (select unnest({CLASSES}) as label) group by label), rep as (select *, {SHARES_SQL} from r where tp + fp + fn > 0)"""
+
+
+@query(f"with {REPORT_SQL} select * from rep")
+def classification_report(spark, sf_dir):
+    return metrics.classification_report(labelled(spark, sf_dir), "gold", "pred")
+
+
+@query(f"with {REPORT_SQL} select avg(\"precision\") macro_precision, avg(recall) macro_recall, avg(f1) macro_f1, sum(f1 * support) / sum(support) weighted_f1, sum(tp) / sum(support) accuracy from rep where support > 0")
+def macro_averages(spark, sf_dir):
+    return metrics.macro(metrics.classification_report(labelled(spark, sf_dir), "gold", "pred"))
+
+
+@query(f"with {LABELLED_SQL}, k as (select unnest({CLASSES} || ['other']) as c) select a.c as gold, b.c as pred, count(l.doc_id) as n from k a, k b left join labelled l on l.gold = a.c and l.pred = b.c group by all")
+def confusion_matrix(spark, sf_dir):
+    return metrics.confusion(labelled(spark, sf_dir), "gold", "pred")
+
+
+@query(f"""with {LABELLED_SQL}, c as (select count(*) filter (where gold = 'clean') c0, count(*) filter (where gold = 'answer_mismatch') c1, count(*) filter (where gold = 'overgeneration') c2, count(*) filter (where gold = 'missing_tool') c3 from labelled),
+g as (select k / 1000 as q, (coalesce(2 * (1 - q) * c0 / nullif((1 - q) * c0 + (1 - q) * (c0 + c1 + c2 + c3) + q * c0, 0), 0) + coalesce(2 * q * c1 / nullif(2 * q * c1 + q * c0 + (1 - q) * c1, 0), 0) + coalesce(2 * q * c2 / nullif(2 * q * c2 + q * c0 + (1 - q) * c2, 0), 0) + coalesce(2 * q * c3 / nullif(2 * q * c3 + q * c0 + (1 - q) * c3, 0), 0)) / 4 as m from c, range(1001) t(k)) select max(m) as mean_f1, arg_max(q, m) as flag_rate from g""")
+def chance_level(spark, sf_dir):
+    return metrics.chance_level(labelled(spark, sf_dir))
+
+
+@query("with r as (select n_chars v, row_number() over (order by n_chars) - 1 as i, count(*) over () n from documents where n_chars is not null) select any_value(n) as n, max(v) as greatest, avg(v) as mean, min(case when i = floor(n * 0.95) then v end) as p95 from r")
+def length_statistics(spark, sf_dir):
+    return metrics.length_statistics(_table(spark, sf_dir, "documents"), "n_chars")
+
+
+PAIR_SCORES = f"{SPANS_SQL}, x as (select doc_id, unnest(pred) p, gold from pairs), z as (select doc_id, p, unnest(gold) g from x)"
+
+
+@query(f"with {PAIR_SCORES} select p.doc_id, len(p.pred) as n_pred, len(p.gold) as n_gold, coalesce(bool_or(least(z.p.\"end\", z.g.\"end\") > greatest(z.p.start, z.g.start)), false) as any_overlap, coalesce(max(greatest(least(z.p.\"end\", z.g.\"end\") - greatest(z.p.start, z.g.start), 0) / ((z.p.\"end\" - z.p.start) + (z.g.\"end\" - z.g.start) - greatest(least(z.p.\"end\", z.g.\"end\") - greatest(z.p.start, z.g.start), 0))), 0.0) as best_iou from pairs p left join z using (doc_id) group by all")
+def span_overlaps(spark, sf_dir):
+    d = span_pairs(spark, sf_dir)
+    best = F.array_max(F.flatten(F.transform("pred", lambda p: F.transform("gold", lambda g: spans.iou(p, g)))))
+    return d.select("doc_id", F.size("pred").alias("n_pred"), F.size("gold").alias("n_gold"), spans.any_overlap(F.col("pred"), F.col("gold")).alias("any_overlap"), F.coalesce(best, F.lit(0.0)).alias("best_iou"))
+
+
+@query(f"""with {SPANS_SQL}, p as (select doc_id, list_distinct(flatten(list_transform(pred, lambda s: range(s.start, s."end")))) c, list_distinct(flatten(list_transform(gold, lambda s: range(s.start, s."end")))) g from pairs)
+select doc_id, len(c) as pred_chars, len(g) as gold_chars, len(list_intersect(c, g)) as common_chars, case when len(c) + len(g) = 0 then 1.0 else 2 * len(list_intersect(c, g)) / (len(c) + len(g)) end as char_f1 from p""")
+def span_char_f1(spark, sf_dir):
+    d = span_pairs(spark, sf_dir).select("doc_id", "pred", "gold", spans.merge(F.col("pred")).alias("p"), spans.merge(F.col("gold")).alias("g"))
+    p, g = F.col("p"), F.col("g")
+    return d.select("doc_id", spans.covered_length(p).alias("pred_chars"), spans.covered_length(g).alias("gold_chars"), spans.common_length(p, g).alias("common_chars"), spans.char_f1(F.col("pred"), F.col("gold")).alias("char_f1"))
+
+
+@query()
+def span_matches(spark, sf_dir):
+    p, g = F.col("pred"), F.col("gold")
+    return span_pairs(spark, sf_dir).select("doc_id", spans.match_iou(p, g).alias("by_iou"), spans.match_overlap(p, g).alias("by_overlap"), spans.match_hull(p, g).alias("by_hull"), spans.exact(p, g).alias("exact"))
+
+
+@query()
+def span_metrics_by_class(spark, sf_dir):
+    p, g = F.col("pred"), F.col("gold")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    per = span_pairs(spark, sf_dir).join(docs, "doc_id").select("doc_id", F.size(p).alias("n_pred"), F.size(g).alias("n_gold"), spans.match_iou(p, g).alias("matched"), F.lit(0).alias("unlocatable"), spans.char_f1(p, g).alias("char_f1"), spans.token_f1(F.col("text"), p, g).alias("token_f1"), spans.exact(p, g).alias("exact"))
+    return metrics.span_report(per.join(labelled(spark, sf_dir).select("doc_id", "gold"), "doc_id"))
+
+
+@query("with c as (select item_id, text, substr(text, 1, 12) part from benchmark) select item_id, cast(instr(text, part) - 1 as int) as at, cast((length(text) - length(replace(text, part, ''))) / length(part) as int) as times from c")
+def span_anchoring(spark, sf_dir):
+    d = _table(spark, sf_dir, "benchmark").select("item_id", "text", F.substring("text", F.lit(1), F.lit(12)).alias("part"))
+    return d.select("item_id", spans.nearest_occurrence(F.col("text"), F.col("part"), F.lit(0)).alias("at"), F.size(spans.occurrences(F.col("text"), F.col("part"))).alias("times"))
+
+
+@query("""with t as (select id, unnest(embedding) v, generate_subscripts(embedding, 1) - 1 as pos from (select vec_id as id, embedding from embeddings)), f as (select id, pos, v from t where v > 0.1),
+g as (select *, case when pos - lag(pos) over (partition by id order by pos) <= 1 then 0 else 1 end as new from f), r as (select *, sum(new) over (partition by id order by pos) run from g)
+select id, min(pos) as start, max(pos) + 1 as "end", count(*) as n from r group by id, run having count(*) >= 2""")
+def token_runs(spark, sf_dir):
+    e = _table(spark, sf_dir, "embeddings")
+    tokens = e.select(F.col(e.columns[0]).alias("id"), F.posexplode("embedding").alias("pos", "v")).withColumn("hit", F.col("v") > 0.1)
+    return spans.token_runs(tokens, "id", "pos", "hit", "v", gap=1, least=2).drop("mean_score")
+
+
+@query()
+def window_votes(spark, sf_dir):
+    e = _table(spark, sf_dir, "embeddings")
+    tokens = e.select(F.col(e.columns[0]).alias("id"), F.posexplode("embedding").alias("pos", "v"))
+    return spans.window_votes(tokens, "id", "pos", "v", 8, 0.0).drop("v")
+
+
+@query(f"with {DIALOGUES_SQL}, l as (select conv_id, messages, list_max(list_filter(list_transform(range(0, len(messages)), lambda i: case when messages[i + 1].role = 'assistant' then i end), lambda i: i is not null)) a from dialogues), u as (select *, list_max(list_filter(list_transform(range(0, a), lambda i: case when messages[i + 1].role = 'user' then i end), lambda i: i is not null)) q from l where a is not null) select conv_id, messages[q + 1].content as query, messages[a + 1].content as output, a - q as distance from u where q is not null")
+def target_turns(spark, sf_dir):
+    m = F.col("messages")
+    a = dialogue.last_index(m, lambda x: x["role"] == "assistant")
+    u = dialogue.last_index(F.slice(m, F.lit(1), a), lambda x: x["role"] == "user")
+    d = dialogues(spark, sf_dir).select("conv_id", dialogue.target_turn(m).alias("t"), (a - u).alias("distance")).where("t is not null")
+    return d.select("conv_id", "t.query", "t.output", "distance")
+
+
+@query(f"with {DIALOGUES_SQL}, u as (select conv_id, messages, list_filter(list_transform(range(0, len(messages)), lambda i: case when messages[i + 1].role = 'user' then i end), lambda i: i is not null) us from dialogues), t as (select conv_id, case when len(us) > 1 then list_slice(messages, us[-1] + 1, len(messages)) else messages end m from u) select conv_id, len(m) as n, list_aggregate(list_transform(m, lambda x: x.role || ': ' || substr(x.content, 1, 1200)), 'string_agg', chr(10)) as transcript from t")
+def trimmed_histories(spark, sf_dir):
+    t = dialogue.trim_history(F.col("messages"), 1)
+    return dialogues(spark, sf_dir).select("conv_id", F.size(t).alias("n"), dialogue.render(t).alias("transcript"))
+
+
+@query(f"with {DIALOGUES_SQL}, m as (select len(messages) n, list_sum(list_transform(messages, lambda x: length(x.content))) c, len(list_filter(messages, lambda x: x.role = 'user')) u from dialogues) select count(*) dialogues, sum(n) messages, sum(c) chars, avg(n) mean_messages, count(*) filter (where u > 1) several_turns from m")
+def processing_report(spark, sf_dir):
+    return dialogue.processing_report(dialogues(spark, sf_dir))
+
+
+@query()
+def completed_tool_turns(spark, sf_dir):
+    c = _table(spark, sf_dir, "conversations")
+    role = F.when((F.col("role") == "assistant") & (F.col("turn") % 4 == 1), "tool_call").when((F.col("role") == "user") & (F.col("turn") % 4 == 2), "tool").otherwise(F.col("role"))
+    return dialogue.completed_turns(c.withColumn("role", role), "conv_id", "turn", "role", "text")
+
+
+VERDICT = "case doc_id % 4 when 0 then 'pass' when 1 then 'fail' when 2 then 'uncertain' end"
+
+
+@query(f"select l.doc_id, coalesce(v, 'missing') as outcome, coalesce(v, 'missing') in ('pass', 'uncertain') as keep from labels l left join (select doc_id, {VERDICT} v from labels where doc_id % 4 <> 3) using (doc_id)")
+def verdict_filter(spark, sf_dir):
+    rows, i = _table(spark, sf_dir, "labels").select("doc_id"), F.col("doc_id")
+    lines = rows.where("doc_id % 4 <> 3").select("doc_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("line"))
+    real = F.when(i % 4 == 0, "pass").when(i % 4 == 1, "fail").otherwise("uncertain")
+    verdicts = lines.withColumn("verdict", F.when(F.col("line") == 1, real).otherwise("fail"))  # the last line counts
+    return flows.filter_by_verdict(rows, verdicts, ["doc_id"], "line", keep_uncertain=True)
+
+
+@query("select doc_id from documents where doc_id not in (select doc_id from labels where doc_id is not null)")
+def not_done(spark, sf_dir):
+    return flows.not_done(_table(spark, sf_dir, "documents").select("doc_id"), _table(spark, sf_dir, "labels"), ["doc_id"])
+
+
+@query("with k as (select distinct source from documents), r as (select source, row_number() over (order by source) r, count(*) over () n from k) select doc_id, case when r <= greatest(1, cast(floor(n * 0.1) as int)) then 'test' when r <= 2 * greatest(1, cast(floor(n * 0.1) as int)) then 'dev' else 'train' end as split from documents join r using (source)")
+def group_split(spark, sf_dir):
+    return flows.group_split(_table(spark, sf_dir, "documents").select("doc_id", "source"), "source", F.col("source")).select("doc_id", "split")
+
+
+@query("select doc_id, lang from (select doc_id, lang, row_number() over (partition by lang order by doc_id * 7919 % 1009, doc_id) r from documents) where r <= 5")
+def sample_per_class(spark, sf_dir):
+    return flows.sample_per_class(_table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", 5, F.struct((F.col("doc_id") * 7919 % 1009).alias("a"), "doc_id"))
+
+
+@query("select code, count(*) as n from (select unnest([case when trim(text) = '' then 'EMPTY' end, case when length(text) > 5000 then 'LONG' end, case when source is null then 'NO_SOURCE' end, 'SEEN']) code from documents) where code is not null group by code")
+def issue_counts(spark, sf_dir):
+    codes = F.array_compact(F.array(F.when(F.trim("text") == "", "EMPTY"), F.when(F.length("text") > 5000, "LONG"), F.when(F.col("source").isNull(), "NO_SOURCE"), F.lit("SEEN")))
+    return flows.issue_counts(_table(spark, sf_dir, "documents").select(codes.alias("codes")), "codes")
+
+
+@query("with o as (select o_orderkey from orders join (select distinct l_orderkey from lineitem) on o_orderkey = l_orderkey), i as (select l_orderkey k, l_linenumber, l_partkey, cast(l_quantity as bigint) q, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_quantity) - 1 as p from lineitem) select o_orderkey, path, value from (select o_orderkey, 'o_orderkey' as path, cast(o_orderkey as varchar) as value from o union all select o.o_orderkey, 'o_orderstatus', s.o_orderstatus from o join orders s using (o_orderkey) union all select k, 'items.' || p || '.l_linenumber', cast(l_linenumber as varchar) from i join o on k = o_orderkey union all select k, 'items.' || p || '.l_partkey', cast(l_partkey as varchar) from i join o on k = o_orderkey union all select k, 'items.' || p || '.l_quantity', cast(q as varchar) from i join o on k = o_orderkey)")
+def json_leaves(spark, sf_dir):
+    return json_tree.leaves(orders_json(spark, sf_dir), "o_orderkey", "json").drop("pos")
+
+
+@query("select o_orderkey, 'o_orderstatus' as path, o_orderstatus as before, case when o_orderkey % 2 = 0 then null else 'X' end as after, case when o_orderkey % 2 = 0 then 'deleted' else 'changed' end as change from orders where o_orderkey in (select l_orderkey from lineitem)")
+def json_edits(spark, sf_dir):
+    d = orders_json(spark, sf_dir)
+    edited = F.when(F.col("o_orderkey") % 2 == 0, json_tree.delete_path("json", F.lit("o_orderstatus"))).otherwise(json_tree.replace_value("json", "o_orderstatus", F.lit("X")))
+    return json_tree.diff(json_tree.leaves(d, "o_orderkey", "json"), json_tree.leaves(d.withColumn("json", edited), "o_orderkey", "json"), "o_orderkey")
+
+
+@query()
+def json_text_forms(spark, sf_dir):
+    d = orders_json(spark, sf_dir)
+    return d.select("o_orderkey", json_tree.flatten_json("json").alias("lines"), json_tree.lock("json").alias("schema"), json_tree.recover_json(F.expr("substring(json, 1, length(json) - 1)")).alias("recovered"), json_tree.first_json(F.concat(F.lit("Answer: "), "json", F.lit(" done"))).alias("first"))
+
+
+@query(r"select doc_id, len(list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s) <> '')) as n_sentences from documents")
+def sentences(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", F.size(text.sentences(F.col("text"))).alias("n_sentences"))
+
+
+@query("with n as (select l_orderkey k, l_linenumber i, cast(cast(floor(l_extendedprice) as bigint) as varchar) as v from lineitem) select k, i, v as canonical from n")
+def canonical_values(spark, sf_dir):
+    price = F.col("l_extendedprice").cast("bigint")
+    return _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("i"), text.canonical(F.concat(F.lit("'"), F.format_number(price, 0), F.lit("'"))).alias("canonical"))
+
+
+@query("select doc_id, text, 0 as start, cast(least(5, length(text)) as int) as \"end\" from (select doc_id, substr(text, 1, 40) as text from documents) where length(text) >= 5")
+def tag_round_trip(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 40).alias("t")).where(F.length("t") >= 5)
+    tagged = F.concat(F.lit("<OVER>"), F.substring("t", 1, 5), F.lit("</OVER>"), F.substring("t", 6, 40))
+    return d.select("doc_id", text.tag_spans(tagged, "OVER").alias("r")).select("doc_id", "r.text", F.col("r.spans")[0]["start"].alias("start"), F.col("r.spans")[0]["end"].alias("end"))
+
+
+@query("select case d when 0 then 'all' when 1 then 'some' else 'none' end as kind, count(*) as n from (select doc_id % 3 as d from labels) group by d")
+def union_and_count(spark, sf_dir):
+    rows = _table(spark, sf_dir, "labels").select("doc_id")
+    parts = [rows.where(F.col("doc_id") % 3 == k).withColumn("kind", F.lit(name)) for k, name in enumerate(("all", "some", "none"))]
+    return flows.union_all(*parts).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("select avg(s) mean_score, min(s) least, max(s) greatest, count(*) filter (where s = 1) all_supported, count(*) filter (where s < 0.5) below_half, sum(a) supported, sum(b) unsupported, sum(c) contradicted from (select doc_id % 5 as a, doc_id % 3 as b, doc_id % 2 as c, (doc_id % 5) / nullif(doc_id % 5 + doc_id % 3 + doc_id % 2, 0) as s from documents)")
+def faithfulness(spark, sf_dir):
+    i = F.col("doc_id")
+    many = lambda label, n: F.array_repeat(F.lit(label), n.cast("int"))
+    labels = F.concat(many("supported", i % 5), many("unsupported", i % 3), many("contradicted", i % 2))
+    return metrics.faithfulness(_table(spark, sf_dir, "documents").select(labels.alias("labels")))
+
+
+@query("select date_trunc('hour', ts) as start, event_type, count(*) as n, sum(value) as total from events group by all")
+def windowed_counts(spark, sf_dir):
+    return live.windowed_counts(_table(spark, sf_dir, "events"))
+
+
+@query()
+def judged_answers(spark, sf_dir):
+    turns = target_turns(spark, sf_dir).withColumn("prompt", completion.judge_prompt(F.col("query"), F.col("output")))
+    done = completion.complete(turns.select("conv_id", "prompt"), "prompt", completion.Echo())
+    return done.select("conv_id", "status", completion.parse_verdict("raw_response")["type"].alias("type"))
+
+
+@query()
+def gold_look_up(spark, sf_dir):
+    d = labelled(spark, sf_dir).select(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("u"), "doc_id")).alias("uid"), F.col("doc_id").alias("row_index"), F.concat(F.lit("d"), (F.col("doc_id") % 500).cast("string")).alias("dialogue_id"), F.col("gold").alias("type"))
+    pred = d.withColumn("row_index", F.when(F.col("row_index") % 2 == 0, F.col("row_index")).otherwise(-1))
+    return flows.look_up_gold(pred, d).select("dialogue_id", "type", "row_index", "how", "gold_row")

@@ -1,0 +1,231 @@
+"""JSON trees kept as text: key order and number texts must survive, so these run in Python, one call for each batch of rows."""
+
+from __future__ import annotations
+
+import ast
+import json
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+class Number(str):
+    """A JSON number's own text."""
+
+
+def decode(text: str | None) -> Any:
+    """JSON, or else a Python literal; None if it is neither."""
+    if text is None or not text.strip():
+        return None
+    try:
+        return json.loads(text, parse_float=Number, parse_int=Number)
+    except (ValueError, RecursionError):
+        pass
+    try:
+        return json.loads(json.dumps(ast.literal_eval(text)), parse_float=Number, parse_int=Number)
+    except (ValueError, SyntaxError, TypeError, RecursionError, MemoryError):
+        return None
+
+
+def encode(tree: Any) -> str:
+    """JSON text with the numbers as they were."""
+    if isinstance(tree, Number):
+        return str(tree)
+    if isinstance(tree, dict):
+        return "{" + ", ".join(f"{json.dumps(k, ensure_ascii=False)}: {encode(v)}" for k, v in tree.items()) + "}"
+    if isinstance(tree, list):
+        return "[" + ", ".join(map(encode, tree)) + "]"
+    return json.dumps(tree, ensure_ascii=False)
+
+
+def scalar_text(value: Any) -> str:
+    return {True: "True", False: "False", None: "None"}[value] if value is None or isinstance(value, bool) else str(value)
+
+
+def walk(tree: Any) -> Iterator[tuple[str, Any]]:
+    """(dot path, scalar) of each leaf, in order; list places count as path parts."""
+    stack = [("", tree)]
+    while stack:
+        path, node = stack.pop()
+        items = list(node.items()) if isinstance(node, dict) else [(str(i), v) for i, v in enumerate(node)] if isinstance(node, list) else None
+        if items is None:
+            yield path, node
+        else:
+            stack.extend((f"{path}.{k}" if path else k, v) for k, v in reversed(items))
+
+
+def flat_text(tree: Any, depth: int = 0) -> list[str]:
+    """Indented lines of key: value; list items at their list's depth."""
+    pad = "  " * depth
+    if isinstance(tree, dict):
+        lines = []
+        for k, v in tree.items():
+            lines += [f"{pad}{k}:", *flat_text(v, depth + 1)] if isinstance(v, (dict, list)) else [f"{pad}{k}: {scalar_text(v)}"]
+        return lines
+    if isinstance(tree, list):
+        return [line for v in tree for line in flat_text(v, depth)]
+    return [pad + scalar_text(tree)]
+
+
+def _step(node: Any, key: str) -> Any:
+    if isinstance(node, dict):
+        return node[key]
+    if isinstance(node, list):
+        return node[int(key)]
+    raise KeyError(key)
+
+
+def removed(tree: Any, path: str) -> Any:
+    """The tree without what stands at the path; unchanged if nothing does. Changes the tree given."""
+    *parents, last = path.split(".")
+    try:
+        node = tree
+        for key in parents:
+            node = _step(node, key)
+        _step(node, last)
+        del node[last if isinstance(node, dict) else int(last)]
+    except (KeyError, IndexError, ValueError):
+        pass
+    return tree
+
+
+def replaced(tree: Any, old: str, new: str) -> tuple[Any, int]:
+    """The tree with each leaf whose text is old set to new, numbers as numbers where new is one; and how many."""
+    if isinstance(tree, dict):
+        pairs = {k: replaced(v, old, new) for k, v in tree.items()}
+        return {k: v for k, (v, _) in pairs.items()}, sum(n for _, n in pairs.values())
+    if isinstance(tree, list):
+        items = [replaced(v, old, new) for v in tree]
+        return [v for v, _ in items], sum(n for _, n in items)
+    if scalar_text(tree) != old:
+        return tree, 0
+    if isinstance(tree, Number):
+        try:
+            float(new)
+            return Number(new), 1
+        except ValueError:
+            return new, 1
+    return new, 1
+
+
+def locked_schema(tree: Any) -> Any:
+    """A JSON schema that only this tree fits."""
+    if isinstance(tree, dict):
+        return {"type": "object", "properties": {k: locked_schema(v) for k, v in tree.items()}, "required": list(tree), "additionalProperties": False}
+    if isinstance(tree, list):
+        return {"type": "array", "prefixItems": [locked_schema(v) for v in tree], "minItems": Number(len(tree)), "maxItems": Number(len(tree))}
+    return {"enum": [tree]}
+
+
+def first_object(text: str | None) -> str | None:
+    """The first balanced {...} of a text that is JSON, as it stands there."""
+    decoder = json.JSONDecoder()
+    at = (text or "").find("{")
+    while at >= 0:
+        try:
+            _, end = decoder.raw_decode(text, at)
+            return text[at:end]
+        except (ValueError, RecursionError):
+            at = text.find("{", at + 1)
+    return None
+
+
+def recovered(text: str | None) -> str | None:
+    """The longest prefix that is JSON once open brackets are closed; None if there is none."""
+    if not text:
+        return None
+    ends, stack, quoted, escaped = [], [], False, False
+    for i, c in enumerate(text):
+        if quoted:
+            escaped, quoted = (c == "\\" and not escaped), not (c == '"' and not escaped)
+        elif c == '"':
+            quoted = True
+        elif c in "{[":
+            stack.append("}" if c == "{" else "]")
+        elif c in "}]":
+            if not stack or stack.pop() != c:
+                break
+            ends.append((i + 1, "".join(reversed(stack))))
+        if not quoted and c in '"0123456789elE}]':
+            ends.append((i + 1, "".join(reversed(stack))))
+    for end, rest in reversed(ends[-64:]):
+        try:
+            json.loads(text[:end] + rest)
+            return text[:end] + rest
+        except (ValueError, RecursionError):
+            continue
+    return None
+
+
+def _udf(kind: str, f: Callable[..., Any]) -> Callable[..., Column]:
+    @F.pandas_udf(kind)
+    def run(*columns: pd.Series) -> pd.Series:
+        return pd.Series([f(*row) for row in zip(*columns, strict=True)], dtype=object)
+
+    return run
+
+
+def flatten_json(c: Column | str) -> Column:
+    """Indented lines; a text that isn't JSON stays as it is."""
+
+    def one(text: str | None) -> str | None:
+        tree = decode(text)
+        return text if not isinstance(tree, (dict, list)) else "\n".join(flat_text(tree))
+
+    return _udf("string", one)(c)
+
+
+def delete_path(c: Column | str, path: Column | str) -> Column:
+    def one(text: str | None, at: str | None) -> str | None:
+        tree = decode(text)
+        return text if not isinstance(tree, (dict, list)) or not at else encode(removed(tree, at))
+
+    return _udf("string", one)(c, path)
+
+
+def replace_value(c: Column | str, old: Column | str, new: Column | str) -> Column:
+    """JSON text with the leaves replaced."""
+
+    def one(text: str | None, a: str | None, b: str | None) -> str | None:
+        tree = decode(text)
+        return text if not isinstance(tree, (dict, list)) or a is None or b is None else encode(replaced(tree, a, b)[0])
+
+    return _udf("string", one)(c, old, new)
+
+
+def lock(c: Column | str) -> Column:
+    def one(text: str | None) -> str | None:
+        tree = decode(text)
+        return None if tree is None else encode(locked_schema(tree))
+
+    return _udf("string", one)(c)
+
+
+def first_json(c: Column | str) -> Column:
+    return _udf("string", first_object)(c)
+
+
+def recover_json(c: Column | str) -> Column:
+    return _udf("string", recovered)(c)
+
+
+def leaves(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, pos, path, value: a row for each leaf of each row's JSON text, streamed batch by batch."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(k, i, path, scalar_text(v)) for k, t in zip(batch[key], batch[text], strict=True) for i, (path, v) in enumerate(walk(decode(t)) if decode(t) is not None else ())]
+            yield pd.DataFrame(found, columns=[key, "pos", "path", "value"])
+
+    return rows.select(key, text).mapInPandas(run, f"{key} {kind}, pos int, path string, value string")
+
+
+def diff(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """Two leaf tables -> key, path, before, after, change (changed or deleted)."""
+    new = after.select(key, "path", F.col("value").alias("after"))
+    joined = before.select(key, "path", F.col("value").alias("before")).join(new, [key, "path"], "left")
+    return joined.where(~F.col("before").eqNullSafe(F.col("after"))).withColumn("change", F.when(F.col("after").isNull(), "deleted").otherwise("changed"))
