@@ -11,6 +11,7 @@ Null texts are empty; each document ends with the end id. Null ids sort first. R
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -26,9 +27,16 @@ from spanloom.llm.common import BATCH_ROWS, scratch, small_batches
 
 #: A block is closed when it holds so many ids.
 BLOCK_IDS = 1 << 18
-#: Texts are cut here before encoding: the tokenizer's own split never joins what white space parts.
-PARTS = re.compile(r"[^ \n\t\r]+")
-CACHED = 300_000
+#: A run between white space that is letters, then ASCII signs: the tokenizer parts these two as well, so they are encoded apart.
+#: (An apostrophe isn't such a sign: it may begin a part of its own.)
+LETTERS_AND_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Runs, and letters or signs, whose ids are kept; once so many are, others are encoded once for each batch.
+CACHED = 350_000
+#: Parts encoded in one call.
+TOGETHER = 1000
+#: The bytes of Latin letters as byte-level models write them: a letter of its own for each byte.
+BYTE_LETTERS = {**{b: chr(b) for b in [*range(33, 127), *range(161, 173), *range(174, 256)]}, **{b: chr(256 + n) for n, b in enumerate([*range(33), *range(127, 161), 173])}}
+LATIN = {c: "".join(BYTE_LETTERS[b] for b in chr(c).encode()) for c in range(192, 256)}
 
 
 def width_of(vocabulary: int) -> int:
@@ -57,22 +65,58 @@ class Encoder:
     """Encodes texts with the tokenizers library; the ids of parts seen before are kept, up to a bound."""
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.seen: dict[str, bytes] = {}
+        self.lower = '"Lowercase"' in self.tokenizer.to_str()[:4000]
+        self.seen: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        # The model alone is used only if it gives what the tokenizer gives, for words of all Latin letters.
+        trial = ["the", "benchmarking", "zqxjkvw", *("ab" + chr(c) + "cd" for c in [*range(223, 247), *range(248, 256)])]
+        self.by_model = self.lower and self._letters(trial) == self._ids(trial)
+
+    def _ids(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of each part. Where the tokenizer has a special token, parts are encoded in one call with it between them."""
+        special = next((t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special), None)
+        out = {p: np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes() for p in parts if special is None or "<" in p}
+        if special is None:
+            return out
+        rest, mark = [p for p in parts if "<" not in p], self.tokenizer.token_to_id(special)
+        for i in range(0, len(rest), TOGETHER):
+            some = rest[i : i + TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([special + special.join(some)], add_special_tokens=False)[0].ids, "<u4")
+            data, cuts = ids.tobytes(), np.append(np.flatnonzero(ids == mark), len(ids)) * 4
+            out.update((p, data[a + 4 : b]) for p, a, b in zip(some, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        return out
+
+    def _letters(self, names: list[str]) -> dict[str, bytes]:
+        """Ids of runs of letters in lower case, by the tokenizer's model alone: its other steps leave them as they are."""
+        tokens = self.tokenizer.model.tokenize
+        return {x: np.array([t.id for t in tokens(x if x.isascii() else x.translate(LATIN))], "<u4").tobytes() for x in names}
+
+    def _runs(self, runs: list[bytes]) -> dict[bytes, bytes]:
+        cut = {r: m.groups() if (m := LETTERS_AND_SIGNS.fullmatch(text := r.decode())) else ("", text) for r in runs}
+        known = self.parts
+        new = sorted({x for pair in cut.values() for x in pair if x}.difference(known))
+        plain = [x for x in new if self.by_model and x.isalpha() and x.islower() and LETTERS_AND_SIGNS.fullmatch(x)]
+        fresh = self._letters(plain) | self._ids(sorted(set(new).difference(plain)))
+        fresh[""] = b""
+        if len(known) < CACHED:
+            known.update(fresh)
+        return {r: (fresh[a] if a in fresh else known[a]) + (fresh[b] if b in fresh else known[b]) for r, (a, b) in cut.items()}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        parts = [PARTS.findall(x) for x in texts]
-        if len(self.seen) > CACHED:
-            self.seen.clear()
-        new = list(set().union(*parts).difference(self.seen))
-        for i in range(0, len(new), 2000):
-            for part, got in zip(new[i : i + 2000], self.tokenizer.encode_batch_fast(new[i : i + 2000], add_special_tokens=False), strict=True):
-                self.seen[part] = np.array(got.ids, "<u4").tobytes()
-        return [b"".join(map(self.seen.__getitem__, x)) for x in parts]
+        # The vocabulary is of lower case; what a capital sigma becomes depends on its place, and special tokens are found before.
+        runs = [(x if not self.lower or "<" in x or "Σ" in x else x.lower()).encode().split() for x in texts]
+        seen = self.seen
+        new = self._runs(list(set().union(*runs).difference(seen)))
+        if len(seen) < CACHED:
+            seen.update(new)
+            return [b"".join(map(seen.__getitem__, x)) for x in runs]
+        return [b"".join([new[r] if r in new else seen[r] for r in x]) for x in runs]
 
 
 _ENCODERS: dict[str, Encoder] = {}
