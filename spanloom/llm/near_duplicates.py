@@ -7,10 +7,11 @@
 2. Each text gets SAMPLES consistent weighted samples: the chance that two texts agree in one is their weighted Jaccard similarity.
    Four samples make a band; texts that share a band are candidates.
 3. Equal texts are one node, so that copies are never paired. In each band's bucket all members are compared with a leader, the
-   member with the least weight of shingles that no other text has, so most likely the text that the others are copies of; those
-   still in other classes with a second leader; then each member outside the bucket's largest class with the members of
-   other classes. Pairs are left out only where the weight of shingles of one text alone rules out that they are similar. That finds every link between classes without pairing the members of a class. Comparing computes the
-   weighted Jaccard similarity of the two whole texts.
+   member with the least weight of shingles that no other text has, so most likely the text that the others are copies of. A bucket
+   that then still holds several classes makes its largest one a family with all its members; in a family, each text outside that
+   class is compared with all texts of other classes, in blocks of bounded size that only links leave. Texts whose own shingles
+   alone weigh too much to be similar to any other are left out of that. Comparing computes the weighted Jaccard similarity of the
+   two whole texts.
 4. Linked nodes form classes (smallest label over neighbours, with pointer jumping), each named by its smallest doc_id.
 
 Null texts are classes of their own. Equal texts, empty ones too, are one class. Rows with equal ids stay separate rows.
@@ -21,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +35,8 @@ BANDS = SAMPLES // ROWS
 #: Random triplets are drawn from so many rows; a shingle's hash picks its row.
 POOL = 1 << 14
 COUNTERS = 1 << 16
-#: Leaders of a bucket with which its members are compared before members are compared with each other.
-LEADERS = 2
+#: Texts in the blocks of a family that are compared with each other, and cells of a block's table of weights.
+OUT_BLOCK, ALL_BLOCK, CELLS = 64, 256, 1 << 22
 #: Counters that tell shingles of one text only from others.
 WIDE = 1 << 22
 COMMON = 0.1
@@ -125,6 +127,53 @@ def _verified(pairs: DataFrame, texts: DataFrame, sampler: Sampler) -> DataFrame
     return pairs.join(own, "b").join(other, "a").select("a", "b", "x", "y").mapInArrow(rows, "a binary, b binary")
 
 
+def _links_in_families(rows: DataFrame, texts: DataFrame, sampler: Sampler) -> DataFrame:
+    """rows(family, h, root) -> the similar pairs (a, b) of a text outside a family's class and a text of another class in that family.
+
+    A family is a class with the texts that share a bucket with it. Its texts outside the class, and all its texts, are dealt into
+    blocks by a hash; each pair of blocks is one group, so no group grows with the family. Only links leave a group.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(sampler)
+    outside = rows.where("root != family")
+    counts = rows.groupBy("family").agg(F.count("*").alias("n"), F.count_if(F.col("root") != F.col("family")).alias("n_out")).where("n_out > 0")
+    blocks = counts.select("family", F.ceil(F.col("n_out") / OUT_BLOCK).cast("int").alias("na"), F.ceil(F.col("n") / ALL_BLOCK).cast("int").alias("nb"))
+
+    def dealt(of: DataFrame, own: str, own_n: str, other: str, other_n: str) -> DataFrame:
+        d = of.join(blocks, "family").join(texts, "h").withColumn(own, F.pmod(F.xxhash64("h"), F.col(own_n)).cast("int"))
+        return d.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1))).select("family", "a", "b", "h", "root", "text")
+
+    def links(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple[bytes, bytes]] = []
+        mine = [shared.value.weights(t) for t in left["text"]]
+        others = [shared.value.weights(t) for t in right["text"]]
+        at = 0
+        while at < len(mine):
+            end, held = at, 0
+            while end < len(mine) and (end == at or (held + len(mine[end][0])) * (end - at + 1) < CELLS):
+                held += len(mine[end][0])
+                end += 1
+            names = np.unique(np.concatenate([x for x, _ in mine[at:end]]))
+            table = np.zeros((end - at, len(names)), np.float32)
+            for k, (x, w) in enumerate(mine[at:end]):
+                table[k, np.searchsorted(names, x)] = w
+            sums = np.array([w.sum() for _, w in mine[at:end]])
+            for (y, v), h, root, text in zip(others, right["h"], right["root"], right["text"], strict=True):
+                place = np.searchsorted(names, y).clip(max=len(names) - 1)
+                hit = names[place] == y
+                both = np.minimum(table[:, place[hit]], v[hit].astype(np.float32)).sum(axis=1)
+                for k in np.flatnonzero(both >= SIMILARITY * (sums + v.sum() - both) * (1 - 1e-5)):
+                    i = at + int(k)
+                    if left["root"].iat[i] != root and shared.value.similarity(left["text"].iat[i], text) >= SIMILARITY:
+                        found.append((left["h"].iat[i], h))
+            at = end
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    mine, all_of = dealt(outside, "a", "na", "b", "nb"), dealt(rows, "b", "nb", "a", "na")
+    all_of = all_of.toDF("family_2", "a_2", "b_2", "h", "root", "text")  # columns of its own, as both come from rows
+    out = mine.groupBy("family", "a", "b").cogroup(all_of.groupBy("family_2", "a_2", "b_2")).applyInPandas(links, "a binary, b binary")
+    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _may_link(total: Column, common: Column, other_total: Column, other_common: Column) -> Column:
     """False where two texts can't be similar: what they have in common weighs no more than either's shingles that other texts have."""
     most = F.least(common, other_common)
@@ -203,38 +252,21 @@ def _nodes_and_classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     same = (hashed["h"] == wanted["h"]) & hashed["doc_id"].eqNullSafe(wanted["doc_id"])
     texts = save(hashed.join(wanted, same).select(hashed["h"], "text").dropDuplicates(["h"]), "texts")
     buckets = save(members.join(_masses(texts, sampler), "h"), "buckets")  # key, h, total, common
-    edges, roots = None, None
-
-    def rooted() -> DataFrame:
-        return (buckets if roots is None else buckets.join(roots, "h", "left")).withColumn("root", F.col("h") if roots is None else F.coalesce("root", "h"))
-
-    def settle(pairs: DataFrame) -> None:
-        nonlocal edges, roots
-        new = save(_verified(save(pairs.select("a", "b").distinct(), "pairs"), texts, sampler), "links")
-        if edges is None or not new.isEmpty():
-            edges = new if edges is None else edges.union(new)
-            roots = components(edges)
-
-    own = F.struct((F.col("total") - F.col("common")).alias("own"), "h", "root", "total", "common")
-    last = None
-    for _ in range(LEADERS):
-        rows = rooted()
-        if last is not None:  # only buckets that hold several classes, and leaders not taken yet
-            mixed = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
-            rows = save(rows.join(mixed, "key"), "rows")
-            leaders = rows.join(last, "key").where(F.struct((F.col("total") - F.col("common")).alias("own"), "h") > F.struct("last.own", "last.h")).groupBy("key").agg(F.min(own).alias("l"))
-        else:
-            leaders = rows.groupBy("key").agg(F.min(own).alias("l"))
-        leaders = save(leaders, "leaders")
-        last = leaders.select("key", F.col("l").alias("last"))
-        settle(rows.join(leaders, "key").where((F.col("root") != F.col("l.root")) & _may_link(F.col("total"), F.col("common"), F.col("l.total"), F.col("l.common"))).select(F.col("l.h").alias("a"), F.col("h").alias("b")))
-
-    held = save(rooted(), "open")
+    leader = F.min(F.struct((F.col("total") - F.col("common")).alias("own"), "h", "total", "common"))
+    leaders = buckets.groupBy("key").agg(leader.alias("l"))
+    may = (F.col("h") != F.col("l.h")) & _may_link(F.col("total"), F.col("common"), F.col("l.total"), F.col("l.common"))
+    pairs = buckets.join(leaders, "key").where(may).select(F.col("l.h").alias("a"), F.col("h").alias("b")).distinct()
+    edges = save(_verified(save(pairs, "pairs"), texts, sampler), "links")
+    roots = components(edges)
+
+    held = save(buckets.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h")), "open")
     by_class = held.groupBy("key", "root").agg(F.count("*").alias("n"))
-    largest = by_class.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("classes")).where("classes > 1").select("key", "largest")
-    outside = held.join(largest, "key").where("root != largest").select("key", *[F.col(c).alias(f"p_{c}") for c in ("h", "root", "total", "common")])
-    may = (outside["key"] == held["key"]) & (F.col("root") != F.col("p_root")) & _may_link(F.col("total"), F.col("common"), F.col("p_total"), F.col("p_common"))
-    settle(outside.join(held, may).select(F.least("p_h", "h").alias("a"), F.greatest("p_h", "h").alias("b")))
+    largest = by_class.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("family"), F.count("*").alias("classes")).where("classes > 1").select("key", "family")
+    open_rows = save(held.where(F.col("common") >= SIMILARITY * F.col("total") - 1e-6).join(largest, "key").select("family", "h", "root").distinct(), "open_rows")
+    new = save(_links_in_families(open_rows, texts, sampler), "links")
+    if not new.isEmpty():
+        edges = edges.union(new)
+        roots = components(edges)
 
     named = nodes.select("h", "doc_id").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
     return drawn.select("doc_id", "h"), save(named.select("h", "doc_id", "root"), "classes")

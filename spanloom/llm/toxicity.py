@@ -186,7 +186,9 @@ def train(texts: list[str | None], toxic: list[int], landmarks: int = 96, rounds
         positives = Counter(chosen)
         marks = [u for u, _ in positives.most_common(landmarks * 2 // 3)]
         marks += [u for u in hard[::-1] if u not in positives][: landmarks - len(marks)]
-        maps = np.stack([table_of([u], np.ones(1)) for u in marks], axis=1).astype(np.float32)
+        maps = np.empty((1 << BITS, len(marks)), np.float32)
+        for i, u in enumerate(marks):
+            maps[:, i] = table_of([u], np.ones(1))
         value, vector = np.linalg.eigh(against(marks, maps).astype(float))
         root = vector[:, value > 1e-3] / np.sqrt(value[value > 1e-3])
         share = {v: max(1.0, 0.2 * positives[u] / len(_bent(u))) for u in marks if positives[u] > 1 for v in _bent(u)}
@@ -198,7 +200,7 @@ def train(texts: list[str | None], toxic: list[int], landmarks: int = 96, rounds
             weight[sign == s] *= cost * 100 / max(weight[sign == s].sum(), 1)
         k = np.concatenate([against(names[i : i + 512], maps) for i in range(0, len(names), 512)])
         w = _svm(k @ root, sign, weight)
-        model = ToxicityModel(maps @ (root @ w[:-1]), float(w[-1]), 1.0, 0.0)
+        model = ToxicityModel(maps @ (root @ w[:-1]).astype(np.float32), float(w[-1]), 1.0, 0.0)
         value_of = dict(zip(clean, np.concatenate([model.decide(clean[i : i + 4096]) for i in range(0, len(clean), 4096)]).tolist(), strict=True)) if clean else {}
         hardest = sorted(value_of, key=value_of.get)[-negatives // 2 :]
         hard = list(dict.fromkeys([*hard[:negatives // 2], *hardest]))
