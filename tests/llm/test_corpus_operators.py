@@ -107,6 +107,15 @@ def test_op4_equals_the_library(spark):
         start += len(ids)
 
 
+def test_op4_odd_texts_equal_the_library():
+    from tokenizers import Tokenizer
+
+    tool, own = Tokenizer.from_file(queries.tokenizer_path()), token_files.encoder(queries.tokenizer_path())
+    texts = ["it's IT'S don't 'tis a—,b x<|endoftext|>Y <|ENDOFTEXT|> ΣΑΣ é É e\u0301 E\u0301, naïve... \u212a \u0130x a\u00a0b c\u0085d \u3000 1,234.5 ab12, $5 don''t", "", " ", "<", "a<b", "ﬁ ½, ¼. ªº, ß, SS ẞ", "\x00a \x1c b", "Ǆ ǅ, Ⅷ, 漢字, 😀, x😀,", "Ÿ ÿ, Ñandú!! THE. The, the"]
+    assert own.by_model
+    assert own.encode(texts) == [np.array(tool.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+
+
 @pytest.mark.parametrize("width", [1, 3, 8, 11, 16, 17, 32])
 def test_op4_packing(width):
     ids = np.random.default_rng(width).integers(0, 1 << width, 1000).astype(np.uint32)
