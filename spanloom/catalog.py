@@ -71,7 +71,7 @@ def orders_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {LABELLED_SQL}, c as (select gold, count(*) filter (where flagged) as yes, count(*) filter (where not flagged) as no from labelled group by gold),
-v as (select (select yes from c where gold = 'clean') cy, (select no from c where gold = 'clean') cn, (select sum(no) from c where gold in ('answer_mismatch', 'overgeneration', 'missing_tool')) missed),
+v as (select (select yes from c where gold = 'clean') cy, (select no from c where gold = 'clean') cn, (select cast(sum(no) as bigint) from c where gold in ('answer_mismatch', 'overgeneration', 'missing_tool')) missed),
 r as (select gold as class, case when gold = 'clean' then no else yes end as tp, case when gold = 'clean' then missed else cy end as fp, case when gold = 'clean' then yes else no end as fn, yes + no as support from c, v where gold <> 'undergeneration')
 select *, {SHARES_SQL} from r""")
 def class_detection_report(spark, sf_dir):
@@ -181,7 +181,7 @@ def trimmed_histories(spark, sf_dir):
     return dialogues(spark, sf_dir).select("conv_id", F.size(t).alias("n"), dialogue.render(t).alias("transcript"))
 
 
-@query(f"with {DIALOGUES_SQL}, m as (select len(messages) n, list_sum(list_transform(messages, lambda x: length(x.content))) c, len(list_filter(messages, lambda x: x.role = 'user')) u from dialogues) select count(*) dialogues, sum(n) messages, sum(c) chars, avg(n) mean_messages, count(*) filter (where u > 1) several_turns from m")
+@query(f"with {DIALOGUES_SQL}, m as (select len(messages) n, list_sum(list_transform(messages, lambda x: length(x.content))) c, len(list_filter(messages, lambda x: x.role = 'user')) u from dialogues) select count(*) dialogues, cast(sum(n) as bigint) messages, cast(sum(c) as bigint) chars, avg(n) mean_messages, count(*) filter (where u > 1) several_turns from m")
 def processing_report(spark, sf_dir):
     return dialogue.processing_report(dialogues(spark, sf_dir))
 
@@ -269,7 +269,7 @@ def union_and_count(spark, sf_dir):
     return flows.union_all(*parts).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("select avg(s) mean_score, min(s) least, max(s) greatest, count(*) filter (where s = 1) all_supported, count(*) filter (where s < 0.5) below_half, sum(a) supported, sum(b) unsupported, sum(c) contradicted from (select doc_id % 5 as a, doc_id % 3 as b, doc_id % 2 as c, (doc_id % 5) / nullif(doc_id % 5 + doc_id % 3 + doc_id % 2, 0) as s from documents)")
+@query("select avg(s) mean_score, min(s) least, max(s) greatest, count(*) filter (where s = 1) all_supported, count(*) filter (where s < 0.5) below_half, cast(sum(a) as bigint) supported, cast(sum(b) as bigint) unsupported, cast(sum(c) as bigint) contradicted from (select doc_id % 5 as a, doc_id % 3 as b, doc_id % 2 as c, (doc_id % 5) / nullif(doc_id % 5 + doc_id % 3 + doc_id % 2, 0) as s from documents)")
 def faithfulness(spark, sf_dir):
     i = F.col("doc_id")
     many = lambda label, n: F.array_repeat(F.lit(label), n.cast("int"))
