@@ -4,7 +4,8 @@ Each id takes the fewest bits that hold the vocabulary's largest id. Documents a
 partition becomes a shard, each shard a run of blocks. A block holds whole documents: their ids packed one after another in one
 binary value, with the documents' ids, and the offset of each document's first token. A document can be read alone: its block is
 found by shard and doc_id, its bits by offset * width. Blocks are rows of Parquet files, so that any store Spark writes to can hold
-them. A reader gets the start of a shard from the token counts of the shards before it.
+them. A block also tells how many tokens its shard has before it; a reader gets the start of a shard from the token counts of the
+shards before it.
 
 Null texts are empty; each document ends with the end id. Null ids sort first. Repeated ids are kept, in the order of their texts.
 """
@@ -133,19 +134,19 @@ def write_token_files(documents: DataFrame, path: str, tokenizer: str, end_id: i
     spark = documents.sparkSession
     small_batches(spark)
     kind = documents.schema["doc_id"].dataType.simpleString()
-    names = ["shard", "block", "width", "doc_ids", "offsets", "n_ids", "payload"]
+    names = ["shard", "block", "width", "doc_ids", "offsets", "block_start", "n_ids", "payload"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, shard, block = encoder(tokenizer), TaskContext.get().partitionId(), 0
         width, end = width_of(max(tool.vocabulary, end_id + 1)), np.array([end_id], "<u4").tobytes()
         docs: list[int] = []
         held: list[bytes] = []
-        size = 0
+        size = before = 0
 
         def closed() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(held), "<u4")
             offsets = np.cumsum([0] + [len(x) // 4 for x in held])[:-1].tolist()
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([width], pa.int32()), pa.array([docs], pa.list_(schema_type)), pa.array([offsets], pa.list_(pa.int64())), pa.array([len(ids)], pa.int64()), pa.array([pack(ids, width)], pa.binary())], names)
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([width], pa.int32()), pa.array([docs], pa.list_(schema_type)), pa.array([offsets], pa.list_(pa.int64())), pa.array([before], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([pack(ids, width)], pa.binary())], names)
 
         schema_type = pa.int64()
         for batch in batches:
@@ -156,12 +157,12 @@ def write_token_files(documents: DataFrame, path: str, tokenizer: str, end_id: i
                 size += len(ids) // 4 + 1
                 if size >= BLOCK_IDS:
                     yield closed()
-                    docs, held, size, block = [], [], 0, block + 1
+                    docs, held, size, block, before = [], [], 0, block + 1, before + size
         if docs:
             yield closed()
 
     ordered = documents.select("doc_id", F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(rows, f"shard int, block int, width int, doc_ids array<{kind}>, offsets array<bigint>, n_ids bigint, payload binary").write.option("compression", "zstd").parquet(path)
+    ordered.mapInArrow(rows, f"shard int, block int, width int, doc_ids array<{kind}>, offsets array<bigint>, block_start bigint, n_ids bigint, payload binary").write.option("compression", "zstd").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -169,11 +170,10 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(16, BATCH_ROWS)))
     blocks = spark.read.parquet(path)
     kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
-    # One row a block here, without its payload: few rows, however large the corpus.
+    # One row a shard, so no more than there were writing tasks; the blocks themselves are not shuffled.
     shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     starts = shards.select("shard", (F.sum("n").over(W.orderBy("shard")) - F.col("n")).alias("shard_start"))
-    inside = blocks.select("shard", "block", F.coalesce(F.sum("n_ids").over(W.partitionBy("shard").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("block_start"))
-    placed = inside.join(starts, "shard").select("shard", "block", (F.col("shard_start") + F.col("block_start")).alias("base"))
+    placed = blocks.join(F.broadcast(starts), "shard").withColumn("base", F.col("shard_start") + F.col("block_start"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,7 +184,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 crcs = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([docs.values, pa.array(at[:-1] + base.as_py()), pa.array(np.diff(at)), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return blocks.join(placed, ["shard", "block"]).mapInArrow(rows, f"doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return placed.select("width", "doc_ids", "offsets", "n_ids", "payload", "base").mapInArrow(rows, f"doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def encode_and_read(documents: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
