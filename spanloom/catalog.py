@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import json_tree, text
-from spanloom.operators import dialogue, flows, metrics, spans
+from spanloom.operators import dialogue, flows, metrics, reports, spans
 from spanloom.plans import completion
 from spanloom.streaming import live
 
@@ -294,3 +294,43 @@ def gold_look_up(spark, sf_dir):
     d = labelled(spark, sf_dir).select(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("u"), "doc_id")).alias("uid"), F.col("doc_id").alias("row_index"), F.concat(F.lit("d"), (F.col("doc_id") % 500).cast("string")).alias("dialogue_id"), F.col("gold").alias("type"))
     pred = d.withColumn("row_index", F.when(F.col("row_index") % 2 == 0, F.col("row_index")).otherwise(-1))
     return flows.look_up_gold(pred, d).select("dialogue_id", "type", "row_index", "how", "gold_row")
+
+
+@query(f"""with {LABELLED_SQL}, p as (select gold, case when doc_id % 6 = 0 then null when doc_id % 5 = 0 then [pred, 'missing_tool'] else [pred] end preds from labelled), k as (select unnest({CLASSES}) as label),
+r as (select label, count(*) filter (where gold = label and coalesce(list_contains(preds, label), false)) tp, count(*) filter (where gold <> label and coalesce(list_contains(preds, label), false)) fp, count(*) filter (where gold = label and not coalesce(list_contains(preds, label), false)) fn, count(*) filter (where gold = label) support from p, k group by label) select *, {SHARES_SQL} from r""")
+def multi_label_report(spark, sf_dir):
+    i = F.col("doc_id")
+    preds = F.when(i % 6 == 0, None).when(i % 5 == 0, F.array("pred", F.lit("missing_tool"))).otherwise(F.array("pred"))
+    return reports.class_metrics(labelled(spark, sf_dir).withColumn("preds", preds))
+
+
+@query(f"""with {LABELLED_SQL}, r as (select case when not flagged then 'clean' when gold = 'clean' then 'hallucination' else gold end as by_detection, case when not flagged then 'clean' when gold <> 'clean' and doc_id % 3 = 0 then gold else 'hallucination' end as by_overlap from labelled) select by_detection, by_overlap, count(*) as n from r group by all""")
+def label_rules(spark, sf_dir):
+    g, f = F.col("gold"), F.col("flagged")
+    labels = labelled(spark, sf_dir).select(reports.detection_label(g, f).alias("by_detection"), reports.overlap_label(g, f, F.col("doc_id") % 3 == 0).alias("by_overlap"))
+    return labels.groupBy("by_detection", "by_overlap").agg(F.count("*").alias("n"))
+
+
+@query(f"""with {LABELLED_SQL}, c as (select coalesce(gold, 'ALL') as gold, count(*) n, count(*) filter (where gold_bad and flagged) tp, count(*) filter (where not gold_bad and flagged) fp, count(*) filter (where gold_bad and not flagged) fn, count(*) filter (where not gold_bad and not flagged) tn, sum(doc_id % 2) m, sum(doc_id % 3) p, sum(doc_id % 2 + doc_id % 5) g from (select *, gold <> 'clean' as gold_bad from labelled) group by rollup (gold)),
+f as (select gold, n, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0) f1_positive, coalesce(2 * tn / nullif(2 * tn + fp + fn, 0), 0.0) f1_negative, coalesce(2 * m / nullif(p + g, 0), 0.0) span_f1, (tp + fp) / n flag_rate from c) select *, (f1_positive + f1_negative) / 2 as type_macro_f1, ((f1_positive + f1_negative) / 2 + span_f1) / 2 as score from f""")
+def composite_scores(spark, sf_dir):
+    i = F.col("doc_id")
+    d = labelled(spark, sf_dir).withColumns({"bad": F.col("gold") != "clean", "matched": i % 2, "n_pred": i % 3, "n_gold": i % 2 + i % 5})
+    return reports.composite_score(d, "bad", "flagged", "gold")
+
+
+@query(f"with {LABELLED_SQL}, c as (select gold, pred, count(*) as n from labelled group by all), r as (select *, cast(row_number() over (partition by gold order by n desc, pred) as int) as place from c) select * from r where place <= 4")
+def top_predictions(spark, sf_dir):
+    return reports.top_predictions(labelled(spark, sf_dir), "gold", "pred")
+
+
+@query(f"with {LABELLED_SQL} select gold as stored, case when doc_id % 4 = 0 then 'missing' else pred end as judged, count(*) as n, gold = (case when doc_id % 4 = 0 then 'missing' else pred end) as agree from labelled group by all")
+def judge_summary(spark, sf_dir):
+    return reports.judge_summary(labelled(spark, sf_dir).withColumn("judged", F.when(F.col("doc_id") % 4 != 0, F.col("pred"))), "gold", "judged")
+
+
+@query("select doc_id, l.quality, d.n_chars, doc_id % 7 <> 0 as matched from labels l join documents d using (doc_id)")
+def guarded_join(spark, sf_dir):
+    left = _table(spark, sf_dir, "labels").select("doc_id", "quality", F.col("doc_id").alias("guard"))
+    right = _table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.when(F.col("doc_id") % 7 != 0, F.col("doc_id")).otherwise(-1).alias("guard"))
+    return reports.aligned(left, right, "doc_id", "guard").drop("guard")
