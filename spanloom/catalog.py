@@ -177,6 +177,12 @@ def target_turns(spark, sf_dir):
 
 @query(f"with {DIALOGUES_SQL}, u as (select conv_id, messages, list_filter(list_transform(range(0, len(messages)), lambda i: case when messages[i + 1].role = 'user' then i end), lambda i: i is not null) us from dialogues), t as (select conv_id, case when len(us) > 1 then list_slice(messages, us[-1] + 1, len(messages)) else messages end m from u) select conv_id, len(m) as n, list_aggregate(list_transform(m, lambda x: x.role || ': ' || substr(x.content, 1, 1200)), 'string_agg', chr(10)) as transcript from t")
 def trimmed_histories(spark, sf_dir):
+    t = dialogue.trim_history(F.col("messages"), 1)
+    return dialogues(spark, sf_dir).select("conv_id", F.size(t).alias("n"), dialogue.render(t, most=1200).alias("transcript"))  # its SQL cuts at 1200; whole_histories does not
+
+
+@query(f"with {DIALOGUES_SQL}, u as (select conv_id, messages, list_filter(list_transform(range(0, len(messages)), lambda i: case when messages[i + 1].role = 'user' then i end), lambda i: i is not null) us from dialogues), t as (select conv_id, case when len(us) > 1 then list_slice(messages, us[-1] + 1, len(messages)) else messages end m from u) select conv_id, len(m) as n, list_aggregate(list_transform(m, lambda x: x.role || ': ' || x.content), 'string_agg', chr(10)) as transcript from t")
+def whole_histories(spark, sf_dir):
     t = dialogue.trim_history(F.col("messages"), 1)
     return dialogues(spark, sf_dir).select("conv_id", F.size(t).alias("n"), dialogue.render(t).alias("transcript"))
 

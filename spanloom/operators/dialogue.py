@@ -94,9 +94,23 @@ def prune(messages: Column, last: Column) -> Column:
     return F.slice(messages, F.lit(1), last + 1)
 
 
-def render(messages: Column, most: int = 1200, separator: str = "\n") -> Column:
-    """Transcript lines of role and content, each content cut at `most` characters."""
-    return F.array_join(F.transform(messages, lambda m: F.concat(m["role"], F.lit(": "), F.substring(m["content"], F.lit(1), F.lit(most)))), separator)
+def render(messages: Column, most: int | None = None, separator: str = "\n") -> Column:
+    """Transcript lines of role and content; whole contents, or each cut at `most` characters where that is given."""
+    content = lambda m: m["content"] if most is None else F.substring(m["content"], F.lit(1), F.lit(most))
+    return F.array_join(F.transform(messages, lambda m: F.concat(m["role"], F.lit(": "), content(m))), separator)
+
+
+def prompt_summary(messages: Column, most: int = 1200) -> Column:
+    """Numbered lines of role and trimmed content for a prompt; a content over `most` characters is cut there and marked as truncated."""
+    space = r"[\s\x1C-\x1F]+"
+
+    def line(m: Column, i: Column) -> Column:
+        content = F.regexp_replace(m["content"], rf"(?U)\A{space}|(?<![\s\x1C-\x1F]){space}\z", "")
+        cut = F.regexp_replace(F.substring(content, F.lit(1), F.lit(most)), rf"(?U)(?<![\s\x1C-\x1F]){space}\z", "")
+        shown = F.when(F.length(content) > most, F.concat(cut, F.lit("\n...[truncated]"))).otherwise(content)
+        return F.concat((i + 1).cast("string"), F.lit(". "), m["role"], F.lit(": "), shown)
+
+    return F.array_join(F.transform(messages, line), "\n")
 
 
 def sft_messages(system: Column, query: Column, target: Column) -> Column:

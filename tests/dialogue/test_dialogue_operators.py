@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF
+from conftest import SF, SF2
 from spanloom import catalog
 from spanloom.functions import json_tree, text
 from spanloom.operators import dialogue, flows, metrics, spans
@@ -171,3 +171,24 @@ def test_completion_retries(spark):
     d = spark.createDataFrame([(i, f"p{i}") for i in range(6)], "k int, prompt string").coalesce(1)
     got = completion.resume(d, d.where("k < 2"), ["k"], "prompt", Flaky()).select("status", completion.parse_verdict("raw_response").alias("v")).collect()
     assert len(got) == 4 and all(r.status == "ok" and r.v.type == "clean" and r.v.span_labels[0].end == 2 for r in got)
+
+
+def test_transcripts_are_whole_and_summaries_mark_their_cut(spark):
+    long = "a" * 1199 + " " + "b" * 3000
+    contents = [long, "  x \n", "", "c" * 1200, "\u2003" + "d" * 1201, "\x1c" + "y  z" + "\x85"]
+    made = F.array(*[F.struct(F.lit("user").alias("role"), F.lit(c).alias("content")) for c in contents])
+    got = spark.range(1).select(dialogue.render(made).alias("whole"), dialogue.prompt_summary(made).alias("short")).first()
+    assert got.whole == "\n".join(f"user: {c}" for c in contents)
+
+    def shown(c):  # as in the reference's summary
+        c = c.strip()
+        return c[:1200].rstrip() + "\n...[truncated]" if len(c) > 1200 else c
+
+    assert got.short == "\n".join(f"{i}. user: {shown(c)}" for i, c in enumerate(contents, 1))
+
+
+def test_whole_histories_keep_every_character(spark):
+    got = catalog.whole_histories(spark, SF2).join(catalog.dialogues(spark, SF2), "conv_id").collect()
+    for r in got:
+        assert r.transcript == "\n".join(f"{m.role}: {m.content}" for m in (r.messages[-r.n :] if r.n else []))
+    assert any(len(m.content) > 1200 for r in got for m in r.messages[-r.n :])
