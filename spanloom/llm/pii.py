@@ -22,16 +22,17 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import save
 
 KINDS = ("email", "ip", "card", "phone")
+#: Groups repeat possessively: Java matches these by iteration, others by recursion, which a long text takes beyond the stack.
 BASE = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]++)++",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
-    "card": r"[0-9]([\x20-]?[0-9])+",
+    "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: What a text must hold for a pattern to be tried at all.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 WIDER = {
-    "email": r"[A-Za-z0-9._%+-]+\x20?(?:@|\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]+(?:\x20?(?:\.|\(dot\)|\[dot\]|\x20dot\x20)\x20?[A-Za-z0-9-]+)+",
+    "email": r"[A-Za-z0-9._%+-]+\x20?(?:@|\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]+(?:\x20?(?:\.|\(dot\)|\[dot\]|\x20dot\x20)\x20?[A-Za-z0-9-]++)++",
     "phone": r"\(?[0-9]{2,4}\)?(?:[\x20./-]\(?[0-9]{2,4}\)?){2,4}",
 }
 WIDER_NEEDS = {"email": r"(?:@|\(at\)|\[at\]|\x20at\x20[A-Za-z0-9-]+\x20?(?:\.|\(dot\)|\[dot\]|\x20dot\x20))", "phone": r"[0-9]{2,4}\)?[\x20./-]\(?[0-9]{2,4}\)?[\x20./-]"}

@@ -230,6 +230,18 @@ def test_op8_cases(spark):
         assert set(filter(None, joined.split(","))) <= set(rows[i].spans.split(","))
 
 
+def test_op8_long_runs(spark):
+    texts = ["1 " * 100_000, "12 " * 50_000, "4-" * 2_000 + "x 4111 1111 1111 1111", "a@b" + ".c" * 100_000, "a at b" + " dot c" * 50_000, "a [at] b" + "[dot]c" * 50_000, "7" * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    rows = {r.doc_id: r for r in pii.find_personal_data(docs).collect()}
+    for i, text in enumerate(texts):
+        counts, joined = brute.base_digest(text)
+        assert (rows[i].n_email, rows[i].n_ip, rows[i].n_card, rows[i].n_phone, rows[i].base_sha256) == counts
+        assert set(filter(None, joined.split(","))) <= set(rows[i].spans.split(","))
+    found = docs.select(F.regexp_extract_all("text", F.lit(f"({pii.WIDER['email']})"), F.lit(1)).alias("m")).collect()
+    assert [len(r.m) for r in found] == [0, 0, 0, 1, 1, 1, 0] and found[4].m[0] == texts[4] and found[5].m[0] == texts[5]
+
+
 def test_op8_em_finds_reliable_labelers():
     counts = [(0, (1, 1, 1, -1, -1), 80), (0, (0, 0, 0, -1, -1), 90), (0, (1, 1, 0, -1, -1), 10), (0, (0, 1, 0, -1, -1), 12)]
     prior, weight = pii.estimate(counts)
