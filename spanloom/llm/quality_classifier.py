@@ -55,20 +55,20 @@ class QualityModel:
         n = (len(codes) - WIDTH) // STRIDE + 1
         return np.lib.stride_tricks.as_strided(x, (n, WIDTH * EMBED), (STRIDE * EMBED * 4, 4))
 
-    def _halves(self, codes: np.ndarray) -> np.ndarray:
-        """Maximum of each filter in each half chunk, before the rectifier."""
-        n = (len(codes) - (WIDTH - STRIDE)) // HALF
-        out = np.empty((n, FILTERS), np.float32)
-        for i in range(0, n, PIECE):
-            j = min(n, i + PIECE)
-            z = self._windows(codes[i * HALF : j * HALF + WIDTH - STRIDE]) @ self.p["filters"]
-            out[i:j] = z.reshape(j - i, STEPS, FILTERS).max(axis=1)
+    def _halves(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Maximum of each filter in the half chunk at each start, before the rectifier. Products of one size each, so that no row's rounding depends on the others."""
+        out = np.empty((len(starts), FILTERS), np.float32)
+        for i in range(0, len(starts), PIECE):
+            own = starts[i : i + PIECE]
+            windows = self._windows(codes[own[0] : own[-1] + HALF + WIDTH - STRIDE])
+            rows = (own[:, None] - own[0]) // STRIDE + np.arange(STEPS)
+            out[i : i + PIECE] = (windows[rows] @ self.p["filters"]).max(axis=1)
         return out
 
     def _head(self, mean: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         x = np.concatenate([mean, most], axis=1)
-        hidden = np.maximum(x @ self.p["w1"] + self.p["b1"], 0)
-        return x, hidden, 1 / (1 + np.exp(-np.clip(hidden @ self.p["w2"] + self.p["b2"], -40, 40)))
+        hidden = np.maximum((x[:, None] @ self.p["w1"])[:, 0] + self.p["b1"], 0)  # row by row, as above
+        return x, hidden, 1 / (1 + np.exp(-np.clip((hidden[:, None] @ self.p["w2"][:, None])[:, 0, 0] + self.p["b2"], -40, 40)))
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         mean, most = np.empty((len(texts), FILTERS), np.float32), np.empty((len(texts), FILTERS), np.float32)
@@ -79,11 +79,11 @@ class QualityModel:
             nonlocal start, held
             if not group:
                 return
-            codes = np.concatenate([c[:-(WIDTH - STRIDE)] for c in group[:-1]] + [group[-1]])
-            halves = self._halves(codes)
+            counts = [len(c) // HALF for c in group]
+            places = np.cumsum([0] + [len(c) for c in group[:-1]])  # each text keeps its own padding
+            halves = self._halves(np.concatenate(group), np.concatenate([p + HALF * np.arange(n) for p, n in zip(places, counts, strict=True)]))
             at = 0
-            for i, c in zip(range(start, end), group, strict=True):
-                n = (len(c) - (WIDTH - STRIDE)) // HALF
+            for i, n in zip(range(start, end), counts, strict=True):
                 mean[i], most[i] = self._pool(halves[at : at + n])
                 at += n
             group.clear()
@@ -166,7 +166,7 @@ def fit(documents: DataFrame, labels: DataFrame, keep: Column, per_class: int =
 
 
 def train(texts: list[str | None], good: list[int], odds: float = 1.0) -> QualityModel:
-    """odds: of good to bad among all labelled texts; the sample is balanced, so their logarithm is added to the last bias."""
+    """odds: of good to bad among all labelled texts; the logarithm of their ratio to the odds trained on is added to the last bias."""
     y, model = np.array(good, np.float32), QualityModel()
     if not len(y) or y.min() == y.max():
         model.p["w2"][:] = 0
@@ -176,7 +176,8 @@ def train(texts: list[str | None], good: list[int], odds: float = 1.0) -> Qualit
     most = min(len(y) - len(few), 600)
     order = np.r_[np.arange(len(y)), np.resize(few, max(0, most - len(few)))]  # the rarer label is repeated up to balance
     model.train([texts[i] for i in order], y[order], epochs=max(6, min(40, 7000 // max(len(order), 1))))
-    model.p["b2"] += np.float32(np.log(min(max(odds, 0.05), 20.0)))
+    trained = float(y[order].sum() / (len(order) - y[order].sum()))
+    model.p["b2"] += np.float32(np.log(min(max(odds, 0.05), 20.0) / trained))
     return model
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import brute
 from conftest import SF, SF2
-from spanloom.llm import decontamination, html_extraction, mixing, near_duplicates, pii, quality_rules, queries, token_files, toxicity, url_filters
+from spanloom.llm import decontamination, html_extraction, mixing, near_duplicates, pii, quality_classifier, quality_rules, queries, token_files, toxicity, url_filters
 
 
 def read(spark, sf, name):
@@ -96,6 +96,22 @@ def test_op3_held_out(spark):
     assert auc(np.array([r.quality for r in held]), np.array([r.score for r in held])) > 0.95
 
 
+def test_op3_scores_do_not_depend_on_the_batch():
+    rng, model = np.random.default_rng(2), quality_classifier.QualityModel()
+    texts = [None, "", "é" * 300] + ["".join(map(chr, rng.integers(33, 500, n))) for n in (1, 5, 250, 256, 509, 512, 700, 5000, 3, 100_000, 20)] + ["x" * 256, "y" * 512, "z" * 768, "z" * 1024]
+    alone = np.array([model.score([t])[0] for t in texts])
+    for order in (np.arange(len(texts)), np.arange(len(texts))[::-1], rng.permutation(len(texts)), np.tile(np.arange(len(texts)), 12)):
+        assert (model.score([texts[i] for i in order]) == alone[order]).all()
+
+
+def test_op3_odds_are_those_of_all_labels(monkeypatch):
+    monkeypatch.setattr(quality_classifier.QualityModel, "train", lambda self, *a, **k: self)
+    for good, bad in ((100, 900), (900, 100), (50, 60), (500, 500)):
+        model = quality_classifier.train(["t"] * (good + bad), [1] * good + [0] * bad, 3.0)
+        trained = min(max(good, min(bad, 600)), max(good, 600)) / max(bad, min(good, 600))
+        assert model.p["b2"][0] == pytest.approx(np.log(3.0 / trained), rel=1e-5)
+
+
 def test_op4_equals_the_library(spark):
     from tokenizers import Tokenizer
 
