@@ -3,7 +3,8 @@
 The standard library's parser streams events; text between block tags forms a line. Lines in menus, headers, footers, sidebars,
 adverts, notices, forms, comments and hidden elements are dropped by their element. Of the others, the ratio of characters to tags
 is smoothed with a Gaussian kernel and cut at a threshold; neighbouring lines above it form content regions. The article elements
-that hold a region are returned whole, so that short paragraphs in them stay. Without such an element the regions decide alone.
+that hold a region are returned whole, so that short paragraphs in them stay, and so is the text of a main element around them that
+holds a region of its own. Without such an element the regions decide alone: each with the innermost element around it.
 
 Null and empty html give an empty text. A tag cut off by the end of the page is dropped; a cut-off character reference stays as it is.
 """
@@ -139,7 +140,8 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    content = content_lines(np.array([len(text) / tags for text, tags, _, _ in lines], float), sigma)
+    ratios = np.array([len(text) / tags for text, tags, _, _ in lines], float)
+    content = content_lines(ratios, sigma)
     names = parser.containers
     held: dict[int, list[int]] = {}  # the outermost article around a line, or else the innermost main element
     for i, (_, _, around, _) in enumerate(lines):
@@ -147,10 +149,12 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
         if own:
             held.setdefault(own[0], []).append(i)
     weight = {c: (sum(len(lines[i][0]) for i in at if content[i]), sum(len(lines[i][0]) for i in at)) for c, at in held.items()}
-    articles = [c for c in held if names[c] == "article"] or list(held)
-    if articles:
-        best = max(articles, key=lambda c: (weight[c], -c))
-        keep = sorted(i for c in articles if c == best or weight[c][0] for i in held[c])
+    if held:
+        best = max(held, key=lambda c: (weight[c], -c))
+        beside = any(names[c] == "article" for c in held)
+        dense = content & (ratios >= ratios.mean())  # a region may blur over an article's edge: main beside one needs a line that is dense by itself
+        kept_whole = [c for c in held if c == best or (dense[held[c]].any() if beside and names[c] == "main" else weight[c][0])]
+        keep = sorted(i for c in kept_whole for i in held[c])
     else:
         regions: list[list[int]] = []
         for i in np.flatnonzero(content):
@@ -158,15 +162,22 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
                 regions[-1].append(int(i))
             else:
                 regions.append([int(i)])
-        best_region = max(regions, key=lambda r: sum(len(lines[i][0]) for i in r))
-        common = set(lines[best_region[0]][2]).intersection(*(lines[i][2] for i in best_region)) - {c for c, name in enumerate(names) if name == "body"}
-        if common:  # the innermost element around the whole region
-            keep = [i for i, line in enumerate(lines) if max(common) in line[2]]
-        else:
+        body = {c for c, name in enumerate(names) if name == "body"}
+        around_regions: set[int] = set()
+        alone = False
+        for region in regions:
+            common = set(lines[region[0]][2]).intersection(*(lines[i][2] for i in region)) - body
+            if common:  # the innermost element around the whole region
+                around_regions.add(max(common))
+            else:
+                alone = True
+        kept = {i for i, line in enumerate(lines) if not around_regions.isdisjoint(line[2])}
+        if alone:  # a region that no element holds: all from the first region to the last
             first, last = regions[0][0], regions[-1][-1]
             while first and lines[first - 1][3]:
                 first -= 1
-            keep = list(range(first, last + 1))
+            kept.update(range(first, last + 1))
+        keep = sorted(kept)
     return "\n".join(lines[i][0] for i in keep)
 
 

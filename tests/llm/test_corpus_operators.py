@@ -54,6 +54,28 @@ def test_op1_cases(html, text):
     assert html_extraction.main_text(html) == text
 
 
+SHORT = "<p>ab</p>" * 5
+LINKS = "<ul>" + "<li><a href='x'>ab</a></li>" * 12 + "</ul>"
+A, B, C = (f"{word} " + LONG.strip() for word in ("First.", "Second.", "Third."))
+
+
+@pytest.mark.parametrize(
+    "html, texts",
+    [
+        (f"<body><section><p>{A}</p><p>{A}</p></section>{LINKS}<section><p>{B}</p></section></body>", [A, A, B]),
+        (f"<body><div><p>{A}</p></div>{LINKS}<div><p>{B}</p></div>{LINKS}<div><p>{C}</p></div></body>", [A, B, C]),
+        (f"<body><div><p>{A}</p></div>{LINKS}<p>{B}</p>{LINKS}<section><p>{C}</p></section></body>", [A, B, C]),
+        (f"<body><section><p>{A}</p><p>{A}</p>{SHORT}</section>{LINKS}<section>{SHORT}<p>{B}</p>{SHORT}</section></body>", [A, A, B]),
+        (f"<body><div>{SHORT}<p>{A}</p>{SHORT}</div>{LINKS}<div>{SHORT}<p>{B}</p>{SHORT}</div><div>{SHORT}<p>{C}</p>{SHORT}</div></body>", [A, B, C]),
+        (f"<main><p>{A}</p><p>{B}</p>{LINKS}<article><p>see</p></article><article><p>more</p></article></main>", [A, B]),
+        (f"<main><p>{A}</p><p>{B}</p>{LINKS}<article><p>{C}</p></article></main>", [A, B, C]),
+        (f"<main><p>{A}</p>{LINKS}<article><p>{B}</p><p>{C}</p></article></main>", [A, B, C]),
+    ],
+)
+def test_op1_keeps_all_regions(html, texts):
+    assert [x for x in html_extraction.main_text(html).split("\n") if len(x) > 100] == texts
+
+
 def test_op2_held_out(spark):
     got = queries.op2_toxicity(spark, SF2).join(read(spark, SF2, "labels"), "doc_id").collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
