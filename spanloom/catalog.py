@@ -268,6 +268,21 @@ def tag_round_trip(spark, sf_dir):
     return d.select("doc_id", text.tag_spans(tagged, "OVER").alias("r")).select("doc_id", "r.text", F.col("r.spans")[0]["start"].alias("start"), F.col("r.spans")[0]["end"].alias("end"))
 
 
+@query("with d as (select doc_id, coalesce(text, '') as text, length(coalesce(text, '')) + 1 as m from documents), p as (select doc_id, text, list_sort([doc_id * 7 % m, doc_id * 31 % m, doc_id * 101 % m, doc_id * 211 % m, doc_id * 503 % m, doc_id * 997 % m]) as p from d) select doc_id, text, cast(p[1] as int) as start_1, cast(p[2] as int) as end_1, cast(p[3] as int) as start_2, cast(p[4] as int) as end_2, cast(p[5] as int) as start_3, cast(p[6] as int) as end_3 from p")
+def tag_round_trip_whole(spark, sf_dir):
+    """Three tags, empty ones too, at places of the whole text that depend on doc_id; an empty or null text has them all at 0."""
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    cuts = F.array_sort(F.array(*[F.col("doc_id") * k % (F.length("t") + 1) for k in (7, 31, 101, 211, 503, 997)]))
+    d = d.withColumn("p", cuts.cast("array<int>"))
+    at = lambda i: F.col("p")[i]
+    pieces = [F.substring("t", F.lit(1), at(0))]
+    for i in range(6):
+        end = at(i + 1) if i < 5 else F.length("t")
+        pieces += [F.lit("<OVER>" if i % 2 == 0 else "</OVER>"), F.substring("t", at(i) + 1, end - at(i))]
+    d = d.select("doc_id", text.tag_spans(F.concat(*pieces), "OVER").alias("r"))
+    return d.select("doc_id", "r.text", *[F.col("r.spans")[k][x].alias(f"{x}_{k + 1}") for k in range(3) for x in ("start", "end")])
+
+
 @query("select case d when 0 then 'all' when 1 then 'some' else 'none' end as kind, count(*) as n from (select doc_id % 3 as d from labels) group by d")
 def union_and_count(spark, sf_dir):
     rows = _table(spark, sf_dir, "labels").select("doc_id")

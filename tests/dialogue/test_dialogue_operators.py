@@ -192,3 +192,10 @@ def test_whole_histories_keep_every_character(spark):
     for r in got:
         assert r.transcript == "\n".join(f"{m.role}: {m.content}" for m in (r.messages[-r.n :] if r.n else []))
     assert any(len(m.content) > 1200 for r in got for m in r.messages[-r.n :])
+
+
+def test_tags_are_tried_all_over_whole_texts(spark):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in catalog.tag_round_trip_whole(spark, SF).collect()}
+    assert got.keys() == texts.keys() and all(got[i].text == t for i, t in texts.items())
+    assert max(r.end_3 for r in got.values()) > 1000 and sum(r.start_2 > 40 for r in got.values()) > len(got) / 2
