@@ -59,6 +59,32 @@ LINKS = "<ul>" + "<li><a href='x'>ab</a></li>" * 12 + "</ul>"
 A, B, C = (f"{word} " + LONG.strip() for word in ("First.", "Second.", "Third."))
 
 
+ART = f"<article class='{{}}'><p>{A}</p><p>tiny</p></article>"
+
+
+@pytest.mark.parametrize("name", ["post with-sidebar", "related-work", "search-results-article", "article-header", "promo-post", "", "hentry comment-open"])
+def test_op1_class_words_do_not_empty_an_article(name):
+    for page in (ART.format(name), f"<div class='{name}'>{ART.format('x')}</div>", f"<body><div class='ad'>buy</div><div class='{name}'><h1>t</h1>{ART.format(name)}</div></body>"):
+        assert f"{A}\ntiny" in html_extraction.main_text(page)
+
+
+def test_op1_headers_comments_and_marked_pages():
+    assert html_extraction.main_text(f"<body><header><h1>Site</h1></header><article><header><h1>T</h1><p>by me</p></header><p>{A}</p></article></body>") == f"T\n{A}"
+    assert html_extraction.main_text(f"<body><article><p>{A}</p></article><div id='comments'><article class='comment'><p>{B}</p><p>{B}</p><p>{C}</p></article></div></body>") == A
+    assert html_extraction.main_text(f"<body><div class='widget'><p>{A}</p><p>{B}</p></div><div class='ad'><p>buy</p></div></body>") == f"{A}\n{B}"
+    assert html_extraction.main_text(f"<article><p>{A} <span class='share'>Tweet</span>end</p></article>") == f"{A} end"
+    assert html_extraction.main_text("<div>" * 20_000 + f"<p>{A}</p>" + "<b></i>" * 20_000) == A
+
+
+def test_op1_the_ratios_decide(monkeypatch):
+    page = f"<body><div><a>one</a> <a>two</a></div><div><p>{A}</p><p>{B}</p></div><div><a>x</a><a>y</a></div></body>"
+    assert html_extraction.main_text(page) == f"{A}\n{B}"
+    monkeypatch.setattr(html_extraction, "content_lines", lambda ratios, sigma=1.0: np.ones(len(ratios), bool))
+    assert html_extraction.main_text(page) == f"one two\n{A}\n{B}\nxy"
+    monkeypatch.setattr(html_extraction, "content_lines", lambda ratios, sigma=1.0: np.zeros(len(ratios), bool))
+    assert html_extraction.main_text(page) == html_extraction.main_text(ART.format("a")) == ""
+
+
 @pytest.mark.parametrize(
     "html, texts",
     [
