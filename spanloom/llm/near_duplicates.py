@@ -1,11 +1,14 @@
 """Operator 5: near duplicates by improved consistent weighted sampling.
 
 1. Shingles are runs of five words (all words of a shorter text). A shingle's weight is its count in the text times an inverse
-   document frequency, which is 1 up to COMMON of all documents and falls logarithmically beyond. Frequencies come from counters
-   over all documents: a fixed number of them, so that their table has a fixed size however large the corpus. A counter's surplus is
-   about a text's shingles over the number of counters, 1 % of the documents, a tenth of COMMON.
+   document frequency, which is 1 up to COMMON of all documents and falls logarithmically beyond: passages that many documents share
+   weigh less. Frequencies come from two rows of counters over all documents, of which the lower counts, less the rows' median, which
+   is what other shingles add to a counter: a fixed number of them, so that their table has a fixed size however large the corpus and
+   however long its texts.
 2. Each text gets SAMPLES consistent weighted samples: the chance that two texts agree in one is their weighted Jaccard similarity.
-   Four samples make a band; texts that share a band are candidates.
+   Four samples make a band; texts that share a band are candidates. Two texts are similar if that similarity, or the one by counts
+   alone, is high enough: the edits of the members of a large group of near copies are rare and what they share is not, so that
+   weights alone would part them. A text with a shingle of lower weight has the bands of both measures; all others have only one.
 3. Equal texts are one node, so that copies are never paired. In each band's bucket all members are compared with a leader, the
    member with the least weight of shingles that no other text has, so most likely the text that the others are copies of. A bucket
    that then still holds several classes makes its largest one a family with all its members; in a family, each text outside that
@@ -39,17 +42,19 @@ COUNTERS = 1 << 16
 OUT_BLOCK, ALL_BLOCK, CELLS = 64, 256, 1 << 22
 #: Counters that tell shingles of one text only from others.
 WIDE = 1 << 22
-COMMON = 0.1
+COMMON = 0.02
 
 
 class Sampler:
     """Consistent weighted samples (r and c gamma(2, 1), b uniform), and the weights they need."""
 
-    def __init__(self, documents: int, frequent: dict[int, int], seed: int = 17) -> None:
-        self.seed, self.pool = seed, None
-        self.idf = np.ones(COUNTERS, np.float32)
+    def __init__(self, documents: int, frequent: dict[int, int], counters: int = COUNTERS, seed: int = 17) -> None:
+        """frequent: counts of the counters above COMMON, those of the second row numbered from `counters` on."""
+        self.seed, self.pool, self.counters = seed, None, counters
+        self.idf = np.ones(2 * counters, np.float32)
         for counter, n in frequent.items():
             self.idf[counter] = min(1.0, np.log(1 + documents / n) / np.log(1 + 1 / COMMON))
+        self.level = bool((self.idf == 1).all())  # all weights are counts
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"pool": None}
@@ -57,12 +62,24 @@ class Sampler:
     def weights(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Distinct shingles in ascending order, and their weights."""
         found, counts = np.unique(shingles(text, SHINGLE), return_counts=True)
-        return found, counts * self.idf[found % np.uint64(COUNTERS)]
+        return found, counts * self.idf_of(found)
+
+    def idf_of(self, found: np.ndarray) -> np.ndarray:
+        """Of the two counters the one with the lower frequency, so the higher idf, counts."""
+        if self.level:
+            return np.ones(len(found), np.float32)
+        first, second = counters_of(found, self.counters)
+        return np.maximum(self.idf[first], self.idf[second])
 
     def bands(self, text: str | None) -> list[int] | None:
-        found, weights = self.weights(text)
+        found, counts = np.unique(shingles(text, SHINGLE), return_counts=True)
         if not len(found):
             return None
+        idf = self.idf_of(found)
+        keys = self._bands(found, counts * np.float32(1))
+        return keys if (idf == 1).all() else list({*keys, *self._bands(found, counts * idf)})
+
+    def _bands(self, found: np.ndarray, weights: np.ndarray) -> list[int]:
         if self.pool is None:
             rng = np.random.default_rng(self.seed)
             r, c = rng.gamma(2, 1, (POOL, SAMPLES)).astype(np.float32), rng.gamma(2, 1, (POOL, SAMPLES)).astype(np.float32)
@@ -89,29 +106,52 @@ class Sampler:
         return key.view(np.int64).tolist()
 
     def similarity(self, a: str | None, b: str | None) -> float:
-        (x, u), (y, v) = self.weights(a), self.weights(b)
+        """The higher of the similarities by weight and by count."""
+        (x, u), (y, v) = (np.unique(shingles(t, SHINGLE), return_counts=True) for t in (a, b))
         _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-        both = float(np.minimum(u[i], v[j]).sum())
-        return both / max(float(u.sum()) + float(v.sum()) - both, 1e-9)
+        return max(_jaccard(u * p, v * q, i, j) for p, q in self.measures(x, y))
+
+    def measures(self, x: np.ndarray, y: np.ndarray) -> list[tuple[np.ndarray | float, np.ndarray | float]]:
+        """Factors of the counts of two texts' shingles, for each of the two similarities that differ."""
+        p, q = self.idf_of(x), self.idf_of(y)
+        return [(1.0, 1.0)] if self.level or (p == 1).all() and (q == 1).all() else [(1.0, 1.0), (p, q)]
+
+
+def _jaccard(u: np.ndarray, v: np.ndarray, i: np.ndarray, j: np.ndarray) -> float:
+    both = float(np.minimum(u[i], v[j]).sum())
+    return both / max(float(u.sum()) + float(v.sum()) - both, 1e-9)
 
 
-def fit_sampler(documents: DataFrame) -> Sampler:
-    """Counts shingles over all documents into COUNTERS counters; only those above COMMON of the documents come to the driver."""
+def counters_of(found: np.ndarray, counters: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the two counters of shingles."""
+    n = np.uint64(counters)
+    return (found % n).astype(np.int64), ((found >> np.uint64(40)) % n + n).astype(np.int64)
+
+
+def fit_sampler(documents: DataFrame, counters: int = COUNTERS) -> Sampler:
+    """Counts shingles over all documents into two rows of counters; only those above COMMON of the documents come to the driver, and each row's median."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, n = np.zeros(COUNTERS, np.int64), 0
+        counts, n = np.zeros(2 * counters, np.int64), 0
         for _, texts in arrow_rows(batches):
             n += len(texts)
             for text in texts:
-                counts[np.unique(shingles(text, SHINGLE) % np.uint64(COUNTERS))] += 1
+                for row in counters_of(np.unique(shingles(text, SHINGLE)), counters):
+                    counts[np.unique(row)] += 1
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at]), pa.array(np.r_[n, counts[at]])], ["counter", "n"])
 
     small_batches(documents.sparkSession)
     sums = documents.select("text").mapInArrow(counted, "counter bigint, n bigint").groupBy("counter").agg(F.sum("n").alias("n"))
     total = documents.where("text is not null").count()
-    frequent = sums.where((F.col("counter") >= 0) & (F.col("n") > COMMON * total)).collect()  # at most COUNTERS rows
-    return Sampler(total, {r.counter: r.n for r in frequent})
+    sums = save(sums, "counters")
+    both = sums.where("counter >= 0").withColumn("upper", F.col("counter") >= counters)
+    own = both.groupBy("upper").agg(F.percentile("n", 0.5).alias("middle"), F.count("*").alias("filled"))
+    # Where most counters are empty, the median of all is 0.
+    middle = {r.upper: int(r.middle) if r.filled == counters else 0 for r in own.collect()}
+    surplus = F.when(F.col("upper"), middle.get(True, 0)).otherwise(middle.get(False, 0))
+    frequent = both.withColumn("n", F.col("n") - surplus).where(F.col("n") > COMMON * total).collect()  # at most 2 * counters rows
+    return Sampler(total, {r.counter: r.n for r in frequent}, counters)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, sampler: Sampler) -> DataFrame:
@@ -144,8 +184,8 @@ def _links_in_families(rows: DataFrame, texts: DataFrame, sampler: Sampler) -> D
 
     def links(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[bytes, bytes]] = []
-        mine = [shared.value.weights(t) for t in left["text"]]
-        others = [shared.value.weights(t) for t in right["text"]]
+        mine = [np.unique(shingles(t, SHINGLE), return_counts=True) for t in left["text"]]
+        others = [np.unique(shingles(t, SHINGLE), return_counts=True) for t in right["text"]]
         at = 0
         while at < len(mine):
             end, held = at, 0
@@ -156,12 +196,18 @@ def _links_in_families(rows: DataFrame, texts: DataFrame, sampler: Sampler) -> D
             table = np.zeros((end - at, len(names)), np.float32)
             for k, (x, w) in enumerate(mine[at:end]):
                 table[k, np.searchsorted(names, x)] = w
-            sums = np.array([w.sum() for _, w in mine[at:end]])
+            idf = shared.value.idf_of(names)
+            tables = [(table, lambda y: np.float32(1))] + ([] if (idf == 1).all() else [(table * idf, shared.value.idf_of)])
+            sums = [t.sum(axis=1) for t, _ in tables]
             for (y, v), h, root, text in zip(others, right["h"], right["root"], right["text"], strict=True):
                 place = np.searchsorted(names, y).clip(max=len(names) - 1)
                 hit = names[place] == y
-                both = np.minimum(table[:, place[hit]], v[hit].astype(np.float32)).sum(axis=1)
-                for k in np.flatnonzero(both >= SIMILARITY * (sums + v.sum() - both) * (1 - 1e-5)):
+                near = np.zeros(end - at, bool)
+                for (own, factor), total in zip(tables, sums, strict=True):
+                    w = v.astype(np.float32) * factor(y)
+                    both = np.minimum(own[:, place[hit]], w[hit]).sum(axis=1)
+                    near |= both >= SIMILARITY * (total + w.sum() - both) * (1 - 1e-5)
+                for k in np.flatnonzero(near):
                     i = at + int(k)
                     if left["root"].iat[i] != root and shared.value.similarity(left["text"].iat[i], text) >= SIMILARITY:
                         found.append((left["h"].iat[i], h))
@@ -174,14 +220,18 @@ def _links_in_families(rows: DataFrame, texts: DataFrame, sampler: Sampler) -> D
     return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _may_link(total: Column, common: Column, other_total: Column, other_common: Column) -> Column:
-    """False where two texts can't be similar: what they have in common weighs no more than either's shingles that other texts have."""
-    most = F.least(common, other_common)
-    return most >= SIMILARITY * (total + other_total - most) - 1e-6
+def _may_link(other: Column) -> Column:
+    """False where this text and the other can't be similar, by weight or by count: what they have in common weighs no more than either's shingles that other texts have."""
+
+    def by(total: str, common: str) -> Column:
+        most = F.least(F.col(common), other[common])
+        return most >= SIMILARITY * (F.col(total) + other[total] - most) - 1e-6
+
+    return by("total", "common") | by("count", "shared")
 
 
 def _masses(texts: DataFrame, sampler: Sampler) -> DataFrame:
-    """texts(h, text) -> h, total weight, and the weight of shingles that may also be in another of these texts; those whose counter is 1 can't."""
+    """texts(h, text) -> h, total weight, the weight of shingles that may also be in another of these texts (those whose counter is 1 can't), and both by count."""
     shared = texts.sparkSession.sparkContext.broadcast(sampler)
     wide = np.uint64(WIDE)
 
@@ -189,7 +239,7 @@ def _masses(texts: DataFrame, sampler: Sampler) -> DataFrame:
         counts = np.zeros(WIDE, np.uint8)
         for _, rows in arrow_rows(batches):
             for text in rows:
-                at = np.unique(shared.value.weights(text)[0] % wide)
+                at = np.unique(np.unique(shingles(text, SHINGLE)) % wide)
                 counts[at] = np.minimum(counts[at] + 1, 2)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(at & 63), pa.array(counts[at].astype(np.int64))], ["word", "bit", "n"])
@@ -205,12 +255,15 @@ def _masses(texts: DataFrame, sampler: Sampler) -> DataFrame:
     def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         again = np.unpackbits(table.value).view(bool)
         for batch, rows in arrow_rows(batches):
-            pairs = [shared.value.weights(text) for text in rows]
-            total = [float(w.sum()) for _, w in pairs]
-            common = [float(w[again[x % wide]].sum()) for x, w in pairs]
-            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(total, pa.float64()), pa.array(common, pa.float64())], ["h", "total", "common"])
+            found = []
+            for text in rows:
+                x, n = np.unique(shingles(text, SHINGLE), return_counts=True)
+                w, known = n * shared.value.idf_of(x), again[x % wide]
+                found.append((float(w.sum()), float(w[known].sum()), float(n.sum()), float(n[known].sum())))
+            columns = [pa.array([f[k] for f in found], pa.float64()) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), *columns], ["h", "total", "common", "count", "shared"])
 
-    return texts.select("h", "text").mapInArrow(weighed, "h binary, total double, common double")
+    return texts.select("h", "text").mapInArrow(weighed, "h binary, total double, common double, count double, shared double")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -251,10 +304,10 @@ def _nodes_and_classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = members.select("h").distinct().join(nodes.select("h", "doc_id"), "h")
     same = (hashed["h"] == wanted["h"]) & hashed["doc_id"].eqNullSafe(wanted["doc_id"])
     texts = save(hashed.join(wanted, same).select(hashed["h"], "text").dropDuplicates(["h"]), "texts")
-    buckets = save(members.join(_masses(texts, sampler), "h"), "buckets")  # key, h, total, common
-    leader = F.min(F.struct((F.col("total") - F.col("common")).alias("own"), "h", "total", "common"))
+    buckets = save(members.join(_masses(texts, sampler), "h"), "buckets")  # key, h, total, common, count, shared
+    leader = F.min(F.struct((F.col("total") - F.col("common")).alias("own"), "h", "total", "common", "count", "shared"))
     leaders = buckets.groupBy("key").agg(leader.alias("l"))
-    may = (F.col("h") != F.col("l.h")) & _may_link(F.col("total"), F.col("common"), F.col("l.total"), F.col("l.common"))
+    may = (F.col("h") != F.col("l.h")) & _may_link(F.col("l"))
     pairs = buckets.join(leaders, "key").where(may).select(F.col("l.h").alias("a"), F.col("h").alias("b")).distinct()
     edges = save(_verified(save(pairs, "pairs"), texts, sampler), "links")
     roots = components(edges)
@@ -262,7 +315,7 @@ def _nodes_and_classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     held = save(buckets.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h")), "open")
     by_class = held.groupBy("key", "root").agg(F.count("*").alias("n"))
     largest = by_class.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("family"), F.count("*").alias("classes")).where("classes > 1").select("key", "family")
-    open_rows = save(held.where(F.col("common") >= SIMILARITY * F.col("total") - 1e-6).join(largest, "key").select("family", "h", "root").distinct(), "open_rows")
+    open_rows = save(held.where((F.col("common") >= SIMILARITY * F.col("total") - 1e-6) | (F.col("shared") >= SIMILARITY * F.col("count") - 1e-6)).join(largest, "key").select("family", "h", "root").distinct(), "open_rows")
     new = save(_links_in_families(open_rows, texts, sampler), "links")
     if not new.isEmpty():
         edges = edges.union(new)
@@ -291,7 +344,7 @@ def keep_one_of_each(documents: DataFrame) -> DataFrame:
     own = F.unhex(F.md5(documents["text"].cast("string")))
 
     def chosen(of: DataFrame) -> DataFrame:
-        return documents.join(of, documents["doc_id"].eqNullSafe(F.col("kept_id")) & (own == F.col("kept_h")), "left_semi")
+        return documents.join(of, documents["doc_id"].eqNullSafe(of["kept_id"]) & (own == of["kept_h"]), "left_semi")
 
     again = kept.where("kept_rows > 1")
     out = documents.where("text is null").unionByName(chosen(kept.where("kept_rows = 1")))

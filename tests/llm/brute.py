@@ -79,10 +79,12 @@ def shingle_counts(text, size=5):
 
 
 def duplicate_classes(rows, weight=lambda gram: 1.0, similarity=0.8):
-    """rows: (doc_id, text). The smallest id of each one's class, by all pairs that share a shingle."""
+    """rows: (doc_id, text). The smallest id of each one's class, by all pairs that share a shingle, similar by count or by weight."""
     texts = sorted({t for _, t in rows if t is not None})
-    grams = [{x: n * weight(x) for x, n in shingle_counts(t).items()} for t in texts]
-    sums = [sum(g.values()) for g in grams]
+    plain = [shingle_counts(t) for t in texts]
+    measures = [plain, [{x: n * weight(x) for x, n in g.items()} for g in plain]]
+    sums = [[sum(g.values()) for g in grams] for grams in measures]
+    grams = plain
     holders = defaultdict(list)
     for i, g in enumerate(grams):
         for x in g:
@@ -96,9 +98,10 @@ def duplicate_classes(rows, weight=lambda gram: 1.0, similarity=0.8):
 
     for i, g in enumerate(grams):
         for j in {j for x in g for j in holders[x] if j > i}:
-            low = sum(min(v, grams[j][x]) for x, v in g.items() if x in grams[j])
-            if low >= similarity * (sums[i] + sums[j] - low):
-                parent[max(root(i), root(j))] = min(root(i), root(j))
+            for own, total in zip(measures, sums, strict=True):
+                low = sum(min(v, own[j][x]) for x, v in own[i].items() if x in own[j])
+                if low >= similarity * (total[i] + total[j] - low) - 1e-9:
+                    parent[max(root(i), root(j))] = min(root(i), root(j))
     at = {t: root(i) for i, t in enumerate(texts)}
     least = {}
     for d, t in rows:

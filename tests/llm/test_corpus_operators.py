@@ -188,16 +188,52 @@ def test_op4_packing(width):
     assert (token_files.unpack(data, width, 0, 1000) == ids).all() and (token_files.unpack(data, width, 123, 45) == ids[123:168]).all()
 
 
+def gram_weight(sampler):
+    """A shingle's inverse document frequency, from its words."""
+    return lambda gram: float(sampler.idf_of(near_duplicates.shingles(b" ".join(gram).decode(), 5))[0])
+
+
 def test_op5_equals_all_pairs(spark):
     rows = [(r.doc_id, r.text) for r in read(spark, SF, "documents").collect()]
-    sampler = near_duplicates.fit_sampler(read(spark, SF, "documents"))
-    assert (sampler.idf == 1).mean() > 0.99
-    weight = lambda gram: float(sampler.idf[int(near_duplicates.shingles(b" ".join(gram).decode(), 5)[0] % np.uint64(near_duplicates.COUNTERS))])
-    plain = brute.duplicate_classes(rows, weight)
+    plain = brute.duplicate_classes(rows, gram_weight(near_duplicates.fit_sampler(read(spark, SF, "documents"))))
     got = {r.doc_id: r.class_id for r in queries.op5_near_duplicates(spark, SF).collect()}
     assert got == plain
 
 
+def word_list(seed, n):
+    return [f"w{x}" for x in np.random.default_rng(seed).integers(0, 10**9, n)]
+
+
+def test_op5_frequent_shingles_weigh_less_and_large_groups_stay_together(spark):
+    """A third of the rows is one group of near copies, of which each pair has a similarity by count of about 0.83; other texts share a long passage that is not theirs."""
+    base, notice = word_list(1, 300), " ".join(word_list(2, 120))
+    copies = []
+    for i in range(100):
+        words = list(base)
+        words[30 + (i * 7) % 240] = f"edit{i}"
+        words[15 + (i * 11) % 240] = f"change{i}"
+        copies.append(" ".join(words))
+    own = [" ".join(word_list(100 + i, 40)) + " " + notice for i in range(60)]
+    other = [" ".join(word_list(500 + i, 80)) for i in range(140)]
+    pair = [" ".join(word_list(900, 90)) + " " + notice, " ".join(word_list(900, 90)) + " and then"]  # alike but for the shared passage
+    docs = spark.createDataFrame(list(enumerate(copies + own + other + pair)), "doc_id long, text string")
+    sampler = near_duplicates.fit_sampler(docs)
+    weight = gram_weight(sampler)
+    gram = lambda text: tuple(text.split()[10:15])
+    words = [tuple(x.encode() for x in gram(t)) for t in (copies[0], notice, other[0])]
+    assert weight(words[0]) < weight(words[1]) < weight(words[2]) == 1
+    assert 0.78 < min(sampler.similarity(copies[0], c) for c in copies) < 0.97
+    got = {r.doc_id: r.class_id for r in near_duplicates.near_duplicate_classes(docs).collect()}
+    assert got == brute.duplicate_classes(list(enumerate(copies + own + other + pair)), weight)
+    assert {got[i] for i in range(100)} == {0} and len({got[i] for i in range(100, 300)}) == 200
+
+
+def test_op5_counters_bear_long_texts(spark):
+    docs = spark.createDataFrame([(i, " ".join(word_list(i, 3000))) for i in range(60)], "doc_id long, text string")
+    sampler = near_duplicates.fit_sampler(docs, counters=256)  # each text fills every counter
+    assert (sampler.idf == 1).mean() > 0.9
+
+
 def test_op5_samples_agree_as_often_as_the_similarity():
     sampler = near_duplicates.Sampler(100, {})
     words = [f"w{i}" for i in range(400)]
