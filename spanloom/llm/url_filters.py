@@ -1,11 +1,18 @@
 """Operator 9: URL filters, by DataFrame functions only.
 
 A URL is judged by the longest rule that fits its host or a parent domain and the start of its path. Where no rule fits, the method
-decides: the URL's canonical host is looked up, with its parent domains, in a list of blocked canonical hosts. A blocked Bloom filter
-of the list, a table of one 64-bit mask for each block, passes possible hits; a hash join with the list itself removes the false ones.
-
-Canonical: lower case, without user, port and trailing dots. Null urls and those without :// have an empty host and path and are
-allowed unless a rule says otherwise. Repeated rows stay; other columns are ignored.
+decides: the URL is blocked if a list of canonical URLs holds its canonical form, or a form that covers it: one of its parent domains,
+or its host or such a domain with one of the leading parts of its path. A blocked Bloom filter of the list, one mask of 64 bits for
+each block, passes possible hits; a hash join with the list itself removes the false ones.
+
+Canonical: host in lower case without user, port, `www.` and trailing dots; path without empty parts and `.`, without a trailing slash
+or index page; without scheme, query and fragment. The filter has one block for about KEYS_A_BLOCK listed URLs, so that false hits
+stay rare however long the list: it is a table of blocks, joined by broadcast up to BROADCAST_BLOCKS of them and by shuffle beyond.
+Each distinct URL is looked up once; looked-up keys are the URL's own, at most PARTS domains times PARTS path starts (a longer path is
+listed by its first parts or whole).
+
+Null urls and those without :// have an empty host and path and are allowed unless a rule says otherwise. Null and empty listed URLs
+are left out. Repeated rows stay, other columns are ignored, an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -17,11 +24,13 @@ from spanloom.llm.common import save
 
 #: (host, path, verdict)
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-#: Hosts of gambling, adult and spam sites; their subdomains count as well.
+#: A small example list of gambling, adult and spam sites; a real one comes as a table.
 LISTED = tuple(f"{name}.example.{end}" for name in ("adult-x", "casino-win", "free-bets", "spam-farm") for end in ("com", "net", "org"))
-#: Masks in the Bloom filter: at most so many rows are broadcast, 12 bytes each.
-BLOCKS = 1 << 16
-BITS = 4
+#: Keys in a 64-bit block: with BITS bits for each, about 1 key in 40 that isn't listed passes.
+KEYS_A_BLOCK, BITS = 6, 4
+#: Blocks that are broadcast, 12 bytes each; a larger filter is joined by its block's number.
+BROADCAST_BLOCKS = 1 << 20
+PARTS = 8
 
 
 def _lower_ascii(c: Column) -> Column:
@@ -37,8 +46,22 @@ def path_of(url: Column) -> Column:
 
 
 def canonical_host(host: Column) -> Column:
-    """Without user, port and trailing dots."""
-    return F.regexp_replace(host, r"(?s)\A.*@|:[0-9]*\z|\.+\z", "")
+    """Without user, port, leading www and trailing dots."""
+    return F.regexp_replace(F.regexp_replace(host, r"(?s)\A.*@|:[0-9]*\z|\.+\z", ""), r"\Awww\.(?=.)", "")
+
+
+def path_parts(path: Column) -> Column:
+    """The parts of a path; without empty ones, `.` and a last index page."""
+    parts = F.filter(F.split(path, "/"), lambda x: (x != "") & (x != "."))
+    last = F.element_at(parts, -1)
+    return F.when((F.size(parts) > 0) & last.rlike(r"(?i)\A(?:index|default)\.[a-z]+\z"), F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+
+
+def canonical_url(url: Column) -> Column:
+    """host, or host/path, of a URL with or without a scheme; null where it has no host."""
+    whole = F.when(url.contains("://"), url).otherwise(F.concat(F.lit("://"), url))
+    host, parts = canonical_host(host_of(whole)), path_parts(path_of(whole))
+    return F.when(host != "", F.when(F.size(parts) > 0, F.concat(host, F.lit("/"), F.array_join(parts, "/"))).otherwise(host))
 
 
 def rule_for(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...] = RULES) -> Column:
@@ -60,43 +83,61 @@ def bit_mask(key: Column) -> Column:
     return mask
 
 
-def block_of(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(0)), F.lit(BLOCKS)).cast("int")
+def block_of(key: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(0)), F.lit(blocks)).cast("int")
 
 
-def bloom_blocks(keys: DataFrame, column: str) -> DataFrame:
-    """block, mask: the blocked Bloom filter of a column; at most BLOCKS rows."""
-    return keys.select(block_of(F.col(column)).alias("block"), bit_mask(F.col(column)).alias("mask")).groupBy("block").agg(F.bit_or("mask").alias("mask"))
+def bloom_blocks(keys: DataFrame, column: str, blocks: int) -> DataFrame:
+    """block, mask: the blocked Bloom filter of a column; at most `blocks` rows."""
+    return keys.select(block_of(F.col(column), blocks).alias("block"), bit_mask(F.col(column)).alias("mask")).groupBy("block").agg(F.bit_or("mask").alias("mask"))
 
 
 def domains(host: Column) -> Column:
-    """The host and its parent domains: a.b.c, b.c, c."""
+    """The host and its parent domains, the last PARTS of them: a.b.c, b.c, c."""
     labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    return F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - PARTS + 1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+
+
+def covering(host: Column, path: Column) -> Column:
+    """All canonical URLs that cover a URL: its canonical host and that host's domains, alone and with the leading parts of the path, and the whole."""
+    own, parts = canonical_host(host), path_parts(path)
+    names = F.array_distinct(F.concat(F.array(own), domains(own)))
+    ends = F.concat(F.slice(F.sequence(F.lit(0), F.size(parts)), 1, PARTS + 1), F.array(F.size(parts)))
+    starts = F.transform(F.array_distinct(ends), lambda n: F.when(n > 0, F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), n), "/"))).otherwise(""))
+    return F.when(own != "", F.flatten(F.transform(names, lambda d: F.transform(starts, lambda p: F.concat(d, p))))).otherwise(F.array().cast("array<string>"))
+
+
+def listed_table(listed: DataFrame, column: str = "listed") -> DataFrame:
+    """The distinct canonical URLs of a column."""
+    return listed.select(canonical_url(F.trim(F.col(column).cast("string"))).alias("listed")).where("listed is not null").distinct()
 
 
 def listed_hosts(spark: SparkSession, hosts: tuple[str, ...] = LISTED) -> DataFrame:
-    return spark.createDataFrame([(h,) for h in hosts], "listed string").distinct()
+    return spark.createDataFrame([(h,) for h in hosts], "listed string")
 
 
-def listed_urls(urls: DataFrame, listed: DataFrame) -> DataFrame:
-    """urls(host) -> the distinct hosts that are listed or lie below a listed one."""
-    # A host has many pages: each is looked up once.
-    keys = urls.select("host").distinct().select("host", F.explode(domains(canonical_host(F.col("host")))).alias("key"))
-    passed = keys.withColumn("block", block_of(F.col("key"))).join(F.broadcast(bloom_blocks(listed, "listed")), "block").where(bit_mask(F.col("key")).bitwiseAND(F.col("mask")) == bit_mask(F.col("key")))
-    return passed.join(listed.hint("shuffle_hash"), passed["key"] == listed["listed"], "left_semi").select("host").distinct()
+def covered_urls(urls: DataFrame, listed: DataFrame) -> DataFrame:
+    """urls(host, path), listed(listed: canonical URLs) -> the distinct urls that a listed one covers."""
+    # A URL of many pages is looked up once.
+    keys = urls.distinct().select("host", "path", F.explode(covering(F.col("host"), F.col("path"))).alias("key"))
+    blocks = max(1, -(-listed.count() // KEYS_A_BLOCK))
+    filled = bloom_blocks(listed, "listed", blocks)
+    near = keys.withColumn("block", block_of(F.col("key"), blocks)).join(F.broadcast(filled) if blocks <= BROADCAST_BLOCKS else filled, "block")
+    passed = near.where(bit_mask(F.col("key")).bitwiseAND(F.col("mask")) == bit_mask(F.col("key"))).select("host", "path", "key")
+    return passed.join(listed.hint("shuffle_hash"), passed["key"] == listed["listed"], "left_semi").select("host", "path").distinct()
 
 
 def judge_urls(pages: DataFrame, listed: DataFrame | None = None, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
-    """pages(page_id, url, ...) -> page_id, host, path, rule, verdict. One row for each page."""
-    listed = listed if listed is not None else listed_hosts(pages.sparkSession)
+    """pages(page_id, url, ...), listed(listed: URLs or hosts) -> page_id, host, path, rule, verdict. One row for each page."""
+    spark = pages.sparkSession
+    known = save(listed_table(listed if listed is not None else listed_hosts(spark)), "list")
     url = F.col("url").cast("string")
     parsed = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path")).withColumn("r", rule_for(F.col("host"), F.col("path"), rules))
-    hits = save(listed_urls(parsed.where("r is null"), listed), "listed").select(F.col("host").alias("hit"))
-    # Pages whose rule decides need no look-up: their key is null, so that none of them meets a hot host's rows.
+    hits = save(covered_urls(parsed.where("r is null").select("host", "path"), known), "covered").toDF("hit_host", "hit_path")
+    # Pages whose rule decides need no look-up: their key is null, so that none of them meets a hot URL's rows.
     asked = parsed.withColumn("asked", F.when(F.col("r").isNull(), F.col("host")))
-    judged = asked.join(hits, asked["asked"] == hits["hit"], "left")
-    verdict = F.coalesce("r.verdict", F.when(F.col("hit").isNotNull(), F.lit("block")), F.lit("allow"))
+    judged = asked.join(hits, (asked["asked"] == hits["hit_host"]) & (asked["path"] == hits["hit_path"]), "left")
+    verdict = F.coalesce("r.verdict", F.when(F.col("hit_host").isNotNull(), F.lit("block")), F.lit("allow"))
     return judged.select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"))
 
 

@@ -393,6 +393,30 @@ def test_op9_false_hits_are_removed(spark):
     assert got == {i: v for i, (_, v) in enumerate(urls)}
 
 
+def test_op9_lists_of_urls(spark):
+    listed = spark.createDataFrame([("http://WWW.Bad.org:8080/Shop//sale/?a=1#x",), ("spam.net",), ("a.b.io/index.html",), (None,), ("",), ("://",), ("t.co/a/b/c/d/e/f/g/h/i/j/k",)], "listed string")
+    cases = {
+        "https://bad.org/Shop/sale": "block", "http://x.bad.org/Shop/sale/deep/page.html?q": "block", "http://bad.org/Shop": "allow", "http://bad.org/shop/sale": "allow",
+        "http://u:p@www.spam.net./": "block", "http://notspam.net": "allow", "http://m.spam.net/x": "block", "https://a.b.io": "block", "https://b.io": "allow",
+        "http://t.co/a/b/c/d/e/f/g/h/i/j/k": "block", "http://t.co/a/b/c/d/e/f/g/h/i/j": "allow", "http://": "allow",
+    }
+    pages = spark.createDataFrame([(u, u) for u in cases], "page_id string, url string")
+    assert {r.page_id: r.verdict for r in url_filters.judge_urls(pages, listed, rules=(("zz", "/", "allow"),)).collect()} == cases
+
+
+def test_op9_a_million_listed_urls(spark, monkeypatch):
+    listed = spark.range(1_000_000).select(F.concat(F.lit("h"), F.col("id") % 1000, F.lit(".org/p/"), F.col("id")).alias("listed"))
+    pages = spark.range(40_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://www.h"), F.col("id") % 1000, F.lit(".org/p/"), F.col("id") * 50, F.lit("/x?y")).alias("url"))
+    for most in (1 << 20, 1000):  # the filter by broadcast, and by shuffle
+        monkeypatch.setattr(url_filters, "BROADCAST_BLOCKS", most)
+        rows = url_filters.judge_urls(pages, listed, rules=(("zz", "/", "allow"),)).collect()
+        assert len(rows) == 40_000 and all((r.verdict == "block") == (r.page_id * 50 < 1_000_000 and r.page_id * 50 % 1000 == r.page_id % 1000) for r in rows)
+    known = url_filters.listed_table(listed)
+    filled = url_filters.bloom_blocks(known, "listed", 1_000_000 // url_filters.KEYS_A_BLOCK)
+    others = spark.range(50_000).select(F.concat(F.lit("q.org/"), "id").alias("key")).withColumn("block", url_filters.block_of(F.col("key"), 1_000_000 // url_filters.KEYS_A_BLOCK))
+    assert others.join(filled, "block").where(url_filters.bit_mask(F.col("key")).bitwiseAND(F.col("mask")) == url_filters.bit_mask(F.col("key"))).count() < 50_000 * 0.08
+
+
 def test_op10_equals_all_pairs(spark):
     items = [(r.item_id, r.text) for r in read(spark, SF2, "benchmark").collect()]
     got = {(r.doc_id, r.item_id) for r in queries.op10_decontamination(spark, SF2).collect()}
