@@ -439,6 +439,26 @@ def test_op10_whole_of_long_texts():
     assert [bool(x) for x in index.search(texts)] == [True, False, False, False, True, False]
 
 
+def test_op10_several_indexes_ids_of_any_type(spark):
+    docs = read(spark, SF2, "documents")
+    items = read(spark, SF2, "benchmark").select(F.concat(F.lit("q"), "item_id").alias("item_id"), "text")
+    one = {(r.doc_id, r.item_id): round(r.score, 4) for r in decontamination.find_contamination(docs, items).collect()}
+    several = {(r.doc_id, r.item_id): round(r.score, 4) for r in decontamination.find_contamination(docs, items, index_items=9).collect()}
+    assert one == several and one
+    assert {r.doc_id for r in decontamination.drop_contaminated(docs, items, index_items=9).collect()} == {r.doc_id for r in docs.collect()} - {d for d, _ in one}
+
+
+def test_op10_large_benchmark_in_bounded_memory():
+    rng = np.random.default_rng(3)
+    vocabulary = np.array([f"v{i}" for i in range(120_000)])
+    items = [(i, " ".join(vocabulary[(rng.random(40) ** 3 * 120_000).astype(int)]) + f". answer {i}") for i in range(20_000)]
+    index = decontamination.Index(items)
+    held = sum(x.nbytes for x in (index.items, index.impact, index.first, index.block, index.block_max, index.first_block, index.term_max)) + sum(x.nbytes for part in index.parts for x in part[1:])
+    assert held < 100e6
+    texts = [" ".join(vocabulary[rng.integers(0, 120_000, 300)]) + " " + items[k][1] + " the end" for k in (0, 7, 19_999)] + ["nothing here"]
+    assert [[index.ids[hit[0]] for hit in hits] for hits in index.search(texts)] == [[0], [7], [19_999], []]
+
+
 def odd_documents(spark, rows=None):
     rows = rows if rows is not None else [(1, "same text here " * 30, "a"), (1, "same text here " * 30, "a"), (2, None, None), (3, "", "b"), (4, "", "b"), (None, "one two three", "a"), (5, "long " * 60_000, "b"), (6, "\x00\n\t \x85 ü😀", None), (7, "same text here " * 30, "c")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
