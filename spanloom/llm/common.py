@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,17 +21,23 @@ SPACES = r"[\x20\x09-\x0D]+"
 BATCH_ROWS = 400
 
 
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables; the path is left to Spark's readers."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder of spark.checkpoint.dir; a local one only where that is unset."""
+    """A new path in the shared folder of spark.checkpoint.dir. Where that is unset: a local folder if the session is local, else an error, as executors would each write to their own disk."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = _local_folder()
     return f"{root}/{label}-{uuid.uuid4().hex}"
 
 
@@ -42,7 +49,11 @@ def save(df: DataFrame, label: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Lowers the rows in an Arrow batch to what long texts bear; never raises it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
 
 
 def fold(doc_id: Column | str, modulus: int) -> Column:
@@ -57,7 +68,9 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, keep: C
     order = F.xxhash64("doc_id", F.lit(seed))
     ids = rows.where("label = 0").orderBy(order, "doc_id").limit(per_class).unionByName(rows.where("label = 1").orderBy(order, "doc_id").limit(per_class))
     picked = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id")  # at most 2 * per_class ids
-    return sorted(picked.select("doc_id", "label", "text").toLocalIterator(), key=lambda r: (r.doc_id, r.text))
+    # Of rows with one id, the one with the smallest text counts, so that repeated ids don't exceed the bound.
+    single = picked.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return sorted(single.select("doc_id", "label", "text").toLocalIterator(), key=lambda r: (r.doc_id, r.text))
 
 
 class WordHash(dict):

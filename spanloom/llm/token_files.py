@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import BATCH_ROWS, scratch, small_batches
+from spanloom.llm.common import scratch, small_batches
 
 #: A block is closed when it holds so many ids.
-BLOCK_IDS = 1 << 18
+BLOCK_IDS = 1 << 15
 #: A run between white space that is letters, then ASCII signs: the tokenizer parts these two as well, so they are encoded apart.
 #: (An apostrophe isn't such a sign: it may begin a part of its own.)
 LETTERS_AND_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
@@ -167,7 +167,7 @@ def write_token_files(documents: DataFrame, path: str, tokenizer: str, end_id: i
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the files, unpacked block by block."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(16, BATCH_ROWS)))
+    small_batches(spark)
     blocks = spark.read.parquet(path)
     kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
     # One row a shard, so no more than there were writing tasks; the blocks themselves are not shuffled.
@@ -187,6 +187,29 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return placed.select("width", "doc_ids", "offsets", "n_ids", "payload", "base").mapInArrow(rows, f"doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
+def read_documents(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """wanted(doc_id) -> doc_id, ids of these documents only: random access by block offsets, only the bits of a wanted document are unpacked.
+
+    The blocks that hold one are found by their ids alone; payloads of others are not decoded. Null ids are not found; repeated documents
+    come as often as they are in the files.
+    """
+    blocks = spark.read.parquet(path)
+    ids = wanted.select(F.col("doc_id").alias("wanted")).where("wanted is not null").distinct()
+    at = blocks.select("shard", "block", F.posexplode("doc_ids").alias("place", "doc_id")).join(ids, F.col("doc_id") == F.col("wanted"), "left_semi")
+    places = at.groupBy("shard", "block").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                ends = [*r["offsets"][1:], r["n_ids"]]
+                found = [(r["doc_ids"][i], unpack(r["payload"], r["width"], r["offsets"][i], ends[i] - r["offsets"][i]).tolist()) for i in r["places"]]
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], batch.schema.field("doc_ids").type.value_type), pa.array([x for _, x in found], pa.list_(pa.int64()))], ["doc_id", "ids"])
+
+    small_batches(spark)
+    return blocks.join(places, ["shard", "block"]).select("width", "doc_ids", "offsets", "n_ids", "payload", "places").mapInArrow(rows, f"doc_id {kind}, ids array<bigint>")
+
+
 def encode_and_read(documents: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
     """Writes the token files to a new path of the shared folder and returns what they hold."""
     path = scratch(documents.sparkSession, "tokens")

@@ -180,6 +180,18 @@ def test_op4_odd_texts_equal_the_library():
     assert own.encode(texts) == [np.array(tool.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
 
 
+def test_op4_random_access(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    docs, tool = read(spark, SF, "documents"), Tokenizer.from_file(queries.tokenizer_path())
+    path = f"file://{tmp_path}/tokens"
+    token_files.write_token_files(docs, path, queries.tokenizer_path(), queries.END_ID)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    wanted = [0, 7, 100, 199, -5]
+    got = {r.doc_id: r.ids for r in token_files.read_documents(spark, path, spark.createDataFrame([(i,) for i in wanted], "doc_id long")).collect()}
+    assert got == {i: [*tool.encode(texts[i] or "", add_special_tokens=False).ids, 1] for i in wanted if i in texts}
+
+
 @pytest.mark.parametrize("width", [1, 3, 8, 11, 16, 17, 32])
 def test_op4_packing(width):
     ids = np.random.default_rng(width).integers(0, 1 << width, 1000).astype(np.uint32)
