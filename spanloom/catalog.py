@@ -75,7 +75,7 @@ v as (select (select yes from c where gold = 'clean') cy, (select no from c wher
 r as (select gold as class, case when gold = 'clean' then no else yes end as tp, case when gold = 'clean' then missed else cy end as fp, case when gold = 'clean' then yes else no end as fn, yes + no as support from c, v where gold <> 'undergeneration')
 select *, {SHARES_SQL} from r""")
 def class_detection_report(spark, sf_dir):
-    return metrics.detection_report(labelled(spark, sf_dir))
+    return metrics.detection_report(labelled(spark, sf_dir)).where(~F.col("class").isin("undergeneration", "ALL")).drop("flag_rate")
 
 
 @query(f"with {LABELLED_SQL}, b as (select gold <> 'clean' as g, pred <> 'clean' as p from labelled), r as (select count(*) filter (where g and p) tp, count(*) filter (where p and not g) fp, count(*) filter (where g and not p) fn, count(*) filter (where not g and not p) tn, count(*) n from b) select *, (tp + tn) / n as accuracy, {SHARES_SQL} from r")
@@ -144,10 +144,13 @@ def span_metrics_by_class(spark, sf_dir):
     return metrics.span_report(per.join(labelled(spark, sf_dir).select("doc_id", "gold"), "doc_id"))
 
 
-@query("with c as (select item_id, text, substr(text, 1, 12) part from benchmark) select item_id, cast(instr(text, part) - 1 as int) as at, cast((length(text) - length(replace(text, part, ''))) / length(part) as int) as times from c")
+@query()
 def span_anchoring(spark, sf_dir):
-    d = _table(spark, sf_dir, "benchmark").select("item_id", "text", F.substring("text", F.lit(1), F.lit(12)).alias("part"))
-    return d.select("item_id", spans.nearest_occurrence(F.col("text"), F.col("part"), F.lit(0)).alias("at"), F.size(spans.occurrences(F.col("text"), F.col("part"))).alias("times"))
+    """Four characters from inside each whole document, anchored somewhere else in it; tested against plain Python."""
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") >= 8)
+    i, n = F.col("doc_id"), F.length("text")
+    d = d.withColumn("part", F.substring("text", (i * 13 % (n - 5) + 1).cast("int"), F.lit(4))).withColumn("anchor", (i * 31 % n).cast("int"))
+    return d.select("doc_id", F.size(spans.occurrences(F.col("text"), F.col("part"))).alias("times"), spans.nearest_occurrence(F.col("text"), F.col("part"), F.col("anchor")).alias("at"))
 
 
 @query("""with t as (select id, unnest(embedding) v, generate_subscripts(embedding, 1) - 1 as pos from (select vec_id as id, embedding from embeddings)), f as (select id, pos, v from t where v > 0.1),
@@ -156,7 +159,7 @@ select id, min(pos) as start, max(pos) + 1 as "end", count(*) as n from r group
 def token_runs(spark, sf_dir):
     e = _table(spark, sf_dir, "embeddings")
     tokens = e.select(F.col(e.columns[0]).alias("id"), F.posexplode("embedding").alias("pos", "v")).withColumn("hit", F.col("v") > 0.1)
-    return spans.token_runs(tokens, "id", "pos", "hit", "v", gap=1, least=2).drop("mean_score")
+    return spans.token_runs(tokens, "id", "pos", "hit", "v", holes=0, least=2).drop("mean_score")
 
 
 @query()
@@ -166,7 +169,7 @@ def window_votes(spark, sf_dir):
     return spans.window_votes(tokens, "id", "pos", "v", 8, 0.0).drop("v")
 
 
-@query(f"with {DIALOGUES_SQL}, l as (select conv_id, messages, list_max(list_filter(list_transform(range(0, len(messages)), lambda i: case when messages[i + 1].role = 'assistant' then i end), lambda i: i is not null)) a from dialogues), u as (select *, list_max(list_filter(list_transform(range(0, a), lambda i: case when messages[i + 1].role = 'user' then i end), lambda i: i is not null)) q from l where a is not null) select conv_id, messages[q + 1].content as query, messages[a + 1].content as output, a - q as distance from u where q is not null")
+@query(f"with {DIALOGUES_SQL}, l as (select conv_id, messages, list_max(list_filter(list_transform(range(0, len(messages)), lambda i: case when messages[i + 1].role = 'assistant' then i end), lambda i: i is not null)) a from dialogues), u as (select *, list_max(list_filter(list_transform(range(0, a), lambda i: case when messages[i + 1].role = 'user' then i end), lambda i: i is not null)) q from l where a is not null) select conv_id, coalesce(messages[q + 1].content, '') as query, messages[a + 1].content as output, a - q as distance from u")
 def target_turns(spark, sf_dir):
     m = F.col("messages")
     a = dialogue.last_index(m, lambda x: x["role"] == "assistant")
@@ -175,10 +178,10 @@ def target_turns(spark, sf_dir):
     return d.select("conv_id", "t.query", "t.output", "distance")
 
 
-@query(f"with {DIALOGUES_SQL}, u as (select conv_id, messages, list_filter(list_transform(range(0, len(messages)), lambda i: case when messages[i + 1].role = 'user' then i end), lambda i: i is not null) us from dialogues), t as (select conv_id, case when len(us) > 1 then list_slice(messages, us[-1] + 1, len(messages)) else messages end m from u) select conv_id, len(m) as n, list_aggregate(list_transform(m, lambda x: x.role || ': ' || substr(x.content, 1, 1200)), 'string_agg', chr(10)) as transcript from t")
+@query(f"with {DIALOGUES_SQL}, u as (select conv_id, messages, list_filter(list_transform(range(0, len(messages)), lambda i: case when messages[i + 1].role = 'user' then i end), lambda i: i is not null) us from dialogues), t as (select conv_id, case when len(us) > 1 then list_slice(messages, us[-1] + 1, len(messages)) else messages end m from u) select conv_id, len(m) as n, list_aggregate(list_transform(m, lambda x: x.role || ': ' || x.content), 'string_agg', chr(10)) as transcript from t")
 def trimmed_histories(spark, sf_dir):
     t = dialogue.trim_history(F.col("messages"), 1)
-    return dialogues(spark, sf_dir).select("conv_id", F.size(t).alias("n"), dialogue.render(t, most=1200).alias("transcript"))  # its SQL cuts at 1200; whole_histories does not
+    return dialogues(spark, sf_dir).select("conv_id", F.size(t).alias("n"), dialogue.render(t).alias("transcript"))
 
 
 @query(f"with {DIALOGUES_SQL}, u as (select conv_id, messages, list_filter(list_transform(range(0, len(messages)), lambda i: case when messages[i + 1].role = 'user' then i end), lambda i: i is not null) us from dialogues), t as (select conv_id, case when len(us) > 1 then list_slice(messages, us[-1] + 1, len(messages)) else messages end m from u) select conv_id, len(m) as n, list_aggregate(list_transform(m, lambda x: x.role || ': ' || x.content), 'string_agg', chr(10)) as transcript from t")
@@ -255,16 +258,20 @@ def sentences(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", F.size(text.sentences(F.col("text"))).alias("n_sentences"))
 
 
-@query("with n as (select l_orderkey k, l_linenumber i, cast(cast(floor(l_extendedprice) as bigint) as varchar) as v from lineitem) select k, i, v as canonical from n")
+@query("""with n as (select l_orderkey k, l_linenumber i, cast(floor(l_extendedprice) as bigint) as p, (l_orderkey + l_linenumber) % 10 as f from lineitem)
+select k, i, case f when 0 then cast(p as varchar) when 1 then p || '.5' when 2 then p || '000' when 3 then 'null' when 4 then 'true' when 5 then 'a b ' || p when 6 then chr(34) || p when 7 then '0.000' || (p % 9 + 1) when 8 then '-' || p else (p % 9 + 1) || 'e-07' end as canonical from n""")
 def canonical_values(spark, sf_dir):
+    """Ten ways to write a scalar: in quotes with commas, needless zeros, exponents, none, true, spaced words, a single quote, small and negative numbers."""
     price = F.col("l_extendedprice").cast("bigint")
-    return _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("i"), text.canonical(F.concat(F.lit("'"), F.format_number(price, 0), F.lit("'"))).alias("canonical"))
+    p, digit = price.cast("string"), (price % 9 + 1).cast("string")
+    forms = [F.concat(F.lit("'"), F.format_number(price, 0), F.lit(" '")), F.concat(p, F.lit(".50")), F.concat(p, F.lit("e3")), F.lit(" None"), F.lit('"TRUE"'), F.concat(F.lit("a  b \n"), p), F.concat(F.lit('"'), p), F.concat(F.lit("0.000"), digit), F.concat(F.lit("-"), p, F.lit(".0")), F.concat(F.lit(".000000"), digit)]
+    return _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("i"), text.canonical(F.get(F.array(*forms), ((F.col("l_orderkey") + F.col("l_linenumber")) % 10).cast("int"))).alias("canonical"))
 
 
-@query("select doc_id, text, 0 as start, cast(least(5, length(text)) as int) as \"end\" from (select doc_id, substr(text, 1, 40) as text from documents) where length(text) >= 5")
+@query("select doc_id, coalesce(text, '') as text, 0 as start, cast(least(5, length(coalesce(text, ''))) as int) as \"end\" from documents")
 def tag_round_trip(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 40).alias("t")).where(F.length("t") >= 5)
-    tagged = F.concat(F.lit("<OVER>"), F.substring("t", 1, 5), F.lit("</OVER>"), F.substring("t", 6, 40))
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    tagged = F.concat(F.lit("<OVER>"), F.substring("t", 1, 5), F.lit("</OVER>"), F.expr("substring(t, 6)"))
     return d.select("doc_id", text.tag_spans(tagged, "OVER").alias("r")).select("doc_id", "r.text", F.col("r.spans")[0]["start"].alias("start"), F.col("r.spans")[0]["end"].alias("end"))
 
 
@@ -325,10 +332,10 @@ def multi_label_report(spark, sf_dir):
     return reports.class_metrics(labelled(spark, sf_dir).withColumn("preds", preds))
 
 
-@query(f"""with {LABELLED_SQL}, r as (select case when not flagged then 'clean' when gold = 'clean' then 'hallucination' else gold end as by_detection, case when not flagged then 'clean' when gold <> 'clean' and doc_id % 3 = 0 then gold else 'hallucination' end as by_overlap from labelled) select by_detection, by_overlap, count(*) as n from r group by all""")
+@query(f"""with {LABELLED_SQL}, r as (select case when flagged then gold else 'clean' end as by_detection, case when (not flagged and doc_id % 2 = 0) or (flagged and doc_id % 3 = 0) then gold else 'clean' end as by_overlap from labelled) select by_detection, by_overlap, count(*) as n from r group by all""")
 def label_rules(spark, sf_dir):
     g, f = F.col("gold"), F.col("flagged")
-    labels = labelled(spark, sf_dir).select(reports.detection_label(g, f).alias("by_detection"), reports.overlap_label(g, f, F.col("doc_id") % 3 == 0).alias("by_overlap"))
+    labels = labelled(spark, sf_dir).select(reports.detection_label(g, f).alias("by_detection"), reports.overlap_label(g, f.cast("int"), F.col("doc_id") % 2, f & (F.col("doc_id") % 3 == 0)).alias("by_overlap"))
     return labels.groupBy("by_detection", "by_overlap").agg(F.count("*").alias("n"))
 
 

@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Punctuation that is written in several ways, and its plain form, place by place.
-VARIANTS = "‐‑‒–—−‘’‚‛“”„      　"
-PLAIN = "------''''\"\"\"       "
+#: Punctuation that is written in several ways, by its plain form.
+PUNCTUATION = {
+    "-": "\u2010\u2011\u2012\u2013\u2014\u2015\u2212",
+    "'": "\u2018\u2019\u201a\u201b\u2032",
+    '"': "\u201c\u201d\u201e\u201f\u2033",
+    " ": "\u00a0\u202f\u2007\u2009\u200a\u2002\u2003\u2005\u2008",
+}
+VARIANTS = "".join(PUNCTUATION.values())
+PLAIN = "".join(k * len(v) for k, v in PUNCTUATION.items())
 
 
 def plain_punctuation(c: Column) -> Column:
@@ -31,10 +37,18 @@ def asks_back(c: Column, window: int = 400) -> Column:
 
 
 def canonical(c: Column) -> Column:
-    """A scalar's text in one form: no quotes around, no thousands commas, no .0, lower-case booleans and null."""
-    t = F.regexp_replace(F.trim(c), r"^[\"']|[\"']$", "")
-    number = F.regexp_replace(F.regexp_replace(t, ",", ""), r"\.0+$", "")
-    return F.when(t.rlike(r"^-?[0-9]{1,3}(,[0-9]{3})*(\.[0-9]+)?$|^-?[0-9]+(\.[0-9]+)?$"), number).when(F.lower(t).isin("true", "false"), F.lower(t)).when(F.lower(t).isin("none", "null"), "null").otherwise(t)
+    """A scalar's text in one form: trimmed, without a pair of quotes around, true, false and null in lower case (none is null), numbers without thousands commas, needless zeros or an exponent of up to 16 digits; inner white space of other texts is one space."""
+    t = F.trim(c.cast("string"))
+    t = F.when(t.rlike(r"""(?s)\A(?:".*"|'.*')\z""") & (F.length(t) >= 2), F.trim(F.substring(t, F.lit(2), F.length(t) - 2))).otherwise(t)
+    low = F.lower(t)
+    bare = F.when(t.rlike(r"\A-?[0-9,]+(?:\.[0-9]+)?\z"), F.regexp_replace(t, ",", "")).otherwise(t)
+    number = F.when(bare.rlike(r"\A[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"), bare.try_cast("double"))
+    size = F.abs(number)
+    whole = number.try_cast("decimal(38,0)").cast("string")
+    plain = F.regexp_replace(F.regexp_replace(number.try_cast("decimal(38,21)").cast("string"), r"0+\z", ""), r"\.\z", "")
+    small = F.regexp_replace(F.regexp_replace(F.regexp_replace(number.cast("string"), r"\.0E", "E"), "E", "e"), r"e-([0-9])\z", "e-0$1")
+    shown = F.when(number == F.floor(number), whole).when(size >= 1e-4, plain).otherwise(small)
+    return F.when(low.isin("true", "false", "null"), low).when(low == "none", "null").when(number.isNotNull() & (size < 1e37), shown).otherwise(F.trim(F.regexp_replace(t, r"\s+", " ")))
 
 
 def bounded_find(text: Column, part: str) -> Column:

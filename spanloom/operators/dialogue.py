@@ -57,15 +57,13 @@ def last_index(messages: Column, test) -> Column:
 
 
 def target_turn(messages: Column) -> Column:
-    """struct(query, contexts, output): the last assistant message, the user message before it, and the tool messages between."""
+    """struct(query, contexts, output): the last assistant message, the user message before it (empty text if there is none), and the tool messages between. Null without an assistant message."""
     answer = last_index(messages, lambda m: m["role"] == "assistant")
     before = F.slice(messages, F.lit(1), answer)
     user = last_index(before, lambda m: m["role"] == "user")
-    between = F.filter(F.slice(messages, user + 2, answer - user - 1), is_result)
-    return F.when(
-        answer.isNotNull() & user.isNotNull(),
-        F.struct(F.get(messages, user)["content"].alias("query"), F.transform(between, lambda m: m["content"]).alias("contexts"), F.get(messages, answer)["content"].alias("output")),
-    )
+    between = F.filter(F.slice(messages, F.coalesce(user, F.lit(-1)) + 2, answer - F.coalesce(user, F.lit(-1)) - 1), lambda m: m["role"] == "tool")
+    query = F.coalesce(F.get(messages, user)["content"], F.lit(""))
+    return F.when(answer.isNotNull(), F.struct(query.alias("query"), F.transform(between, lambda m: m["content"]).alias("contexts"), F.get(messages, answer)["content"].alias("output")))
 
 
 def first_answer_fallback(messages: Column, last: bool = True) -> Column:

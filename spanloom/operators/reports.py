@@ -21,13 +21,13 @@ def class_metrics(rows: DataFrame, gold: str = "gold", preds: str = "preds") ->
 
 
 def detection_label(gold: Column, flagged: Column) -> Column:
-    """The label as mere detection gives it: a flagged row that isn't clean counts as right, a flagged clean one as a hallucination of no class."""
-    return F.when(~flagged, "clean").when(gold == "clean", "hallucination").otherwise(gold)
+    """The label as mere detection gives it: the row's own class if any span is predicted, else clean."""
+    return F.when(flagged, gold).otherwise("clean")
 
 
-def overlap_label(gold: Column, flagged: Column, overlaps: Column) -> Column:
-    """The label as located spans give it: the gold class only where a predicted span overlaps a gold one."""
-    return F.when(~flagged, "clean").when((gold != "clean") & overlaps, gold).otherwise("hallucination")
+def overlap_label(gold: Column, n_pred: Column, n_gold: Column, overlaps: Column) -> Column:
+    """The label as located spans give it: the row's own class if a predicted span overlaps a gold one, or if there are neither, else clean."""
+    return F.when(((n_pred == 0) & (n_gold == 0)) | overlaps, gold).otherwise("clean")
 
 
 def composite_score(rows: DataFrame, gold: str, flagged: str, key: str | None = None) -> DataFrame:

@@ -105,9 +105,9 @@ def set_f1(common: Column, a: Column, b: Column) -> Column:
     return F.when((a == 0) & (b == 0), 1.0).otherwise(F.coalesce(F.try_divide(2.0 * common, (a + b).cast("double")), F.lit(0.0)))
 
 
-def char_f1(pred: Column, gold: Column) -> Column:
-    """F1 of covered characters, by merged intervals."""
-    p, g = merge(pred), merge(gold)
+def char_f1(pred: Column, gold: Column, text: Column | None = None) -> Column:
+    """F1 of covered characters, by merged intervals; spans that are not inside the text, if one is given, cover none."""
+    p, g = (merge(x if text is None else valid(x, text)) for x in (pred, gold))
     return set_f1(common_length(p, g), covered_length(p), covered_length(g))
 
 
@@ -128,10 +128,13 @@ def exact(pred: Column, gold: Column) -> Column:
 
 
 def occurrences(text: Column, part: Column) -> Column:
-    """0-based places of all occurrences, overlapping ones too."""
-    n = F.length(text) - F.length(part)
-    places = F.when((n >= 0) & (F.length(part) > 0), F.sequence(F.lit(0), n)).otherwise(F.array().cast("array<int>"))
-    return F.filter(places, lambda p: F.substring(text, p + 1, F.length(part)) == part)
+    """0-based places of all occurrences, overlapping ones too: the text is split before each, so that it is read once. None of an empty part."""
+    quoted = F.concat(F.lit("(?=\\Q"), F.replace(part, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+    pieces = F.split(text, quoted, -1)
+    start = F.struct(F.lit(0).alias("at"), F.when(F.startswith(text, part), F.array(F.lit(0))).otherwise(F.array().cast("array<int>")).alias("found"))
+    step = lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.array_append(acc["found"], acc["at"] + F.length(p)).alias("found"))
+    places = F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), start, step, lambda acc: acc["found"])
+    return F.when((F.length(part) > 0) & text.contains(part), places).otherwise(F.array().cast("array<int>"))
 
 
 def nearest_occurrence(text: Column, part: Column, anchor: Column) -> Column:
@@ -140,19 +143,27 @@ def nearest_occurrence(text: Column, part: Column, anchor: Column) -> Column:
     return F.coalesce(best["p"], F.lit(-1))
 
 
-def finalize(text: Column, spans: Column) -> Column:
-    """struct(spans, unlocatable): spans whose text does not stand at their offsets move to its nearest occurrence, or are counted and dropped."""
+def finalize(text: Column, spans: Column, locate: bool = True) -> Column:
+    """struct(spans, unlocatable) of raw spans (start, end, text, and label_type if they have it; null where missing).
 
+    Ends beyond the text are clipped. With locate, a span whose offsets don't give its text moves to the text's nearest occurrence if
+    there is one, and without offsets to its first; what still has no place is dropped and counted. Without locate, spans without
+    offsets are dropped and counted, others without a place are only dropped.
+    """
     def fix(s: Column) -> Column:
-        end = F.least(s["end"], F.length(text))
-        here = (s["start"] >= 0) & (end > s["start"]) & (s["text"].isNull() | (cut(text, s["start"], end) == s["text"]))
-        at = nearest_occurrence(text, s["text"], F.coalesce(s["start"], F.lit(0)))
-        found = F.when(here, F.struct(s["start"].cast("int").alias("start"), end.cast("int").alias("end")))
-        return found.when(at >= 0, F.struct(at.cast("int").alias("start"), (at + F.length(s["text"])).cast("int").alias("end")))
+        offsets = s["start"].isNotNull() & s["end"].isNotNull()
+        said = F.coalesce(F.length(s["text"]), F.lit(0)) > 0
+        moves = F.lit(locate) & said & (F.length(text) > 0) & ~(offsets & F.coalesce(cut(text, s["start"], s["end"]) == s["text"], F.lit(False)))
+        at = F.when(moves, nearest_occurrence(text, s["text"], F.coalesce(s["start"], F.lit(0)))).otherwise(-1)
+        start = F.when(at >= 0, at).when(offsets, s["start"])
+        end = F.when(at >= 0, at + F.length(s["text"])).when(offsets, F.when(F.length(text) > 0, F.least(s["end"], F.length(text))).otherwise(s["end"]))
+        return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), offsets.alias("offsets"), s["text"].alias("text"))
 
     fixed = F.transform(spans, fix)
-    kept = F.filter(fixed, lambda s: s.isNotNull())
-    return F.struct(F.transform(kept, lambda s: F.struct(s["start"], s["end"], cut(text, s["start"], s["end"]).alias("text"))).alias("spans"), (F.size(spans) - F.size(kept)).alias("unlocatable"))
+    good = lambda x: F.coalesce((x["start"] >= 0) & (x["end"] > x["start"]), F.lit(False))
+    lost = F.filter(fixed, lambda x: ~good(x) & (F.lit(locate) | ~x["offsets"]))
+    kept = F.filter(F.zip_with(fixed, spans, lambda x, s: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(F.length(text) > 0, cut(text, x["start"], x["end"])).otherwise(x["text"]).alias("text"), s.alias("raw"))), good)
+    return F.struct(F.transform(kept, lambda x: F.struct(x["start"], x["end"], x["text"])).alias("spans"), F.size(lost).alias("unlocatable"), F.transform(kept, lambda x: x["raw"]).alias("raw"))
 
 
 def punctuation_drift(a: Column, b: Column) -> Column:
@@ -169,15 +180,63 @@ def reconcile_code(text: Column, s: Column) -> Column:
     return F.when(here == s["text"], "OK").when(punctuation_drift(here, s["text"]), "PUNCT_DRIFT").when(once, "REANCHORED").otherwise("BROKEN")
 
 
-def token_runs(rows: DataFrame, key: str, place: str, flag: str, score: str, gap: int = 1, least: int = 1) -> DataFrame:
-    """Runs of flagged tokens, with up to gap - 1 others between: key, start, end (exclusive), n, mean score. One shuffle on the key."""
+def token_runs(rows: DataFrame, key: str, place: str, flag: str, score: str, holes: int = 0, least: int = 1) -> DataFrame:
+    """Runs of flagged tokens with up to `holes` others in a row between: key, start, end (exclusive), n and mean score of all tokens from the first flagged to the last, holes too. One shuffle on the key."""
     w = W.partitionBy(key).orderBy(place)
-    marked = rows.where(flag).withColumn("new", (F.coalesce(F.col(place) - F.lag(place).over(w), F.lit(gap + 1)) > gap).cast("int"))
-    runs = marked.withColumn("run", F.sum("new").over(w)).groupBy(key, "run")
-    out = runs.agg(F.min(place).alias("start"), (F.max(place) + 1).alias("end"), F.count("*").alias("n"), F.avg(score).alias("mean_score"))
+    last = F.last(F.when(F.col(flag), F.col(place)), ignorenulls=True)
+    marked = rows.withColumn("before", last.over(w.rowsBetween(W.unboundedPreceding, -1)))
+    new = F.col(flag) & (F.col("before").isNull() | (F.col(place) - F.col("before") > holes + 1))
+    numbered = marked.withColumn("run", F.sum(F.coalesce(new, F.lit(False)).cast("int")).over(w)).where("run > 0")
+    ends = numbered.withColumn("last", F.max(F.when(F.col(flag), F.col(place))).over(W.partitionBy(key, "run"))).where(F.col(place) <= F.col("last"))
+    out = ends.groupBy(key, "run").agg(F.min(place).alias("start"), (F.max(place) + 1).alias("end"), F.count("*").alias("n"), F.avg(score).alias("mean_score"))
     return out.where(F.col("n") >= least).drop("run")
 
 
+def merge_near(spans: Column, within: int = 2) -> Column:
+    """Token spans struct(start, end inclusive, probability) in order of start: one that starts at most `within` tokens behind the end of the last one joins it, with the mean of both probabilities."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), s["probability"].cast("double").alias("probability"))))
+    head = lambda acc: F.slice(acc, F.lit(1), F.size(acc) - 1)
+
+    def step(acc: Column, s: Column) -> Column:
+        last = F.element_at(acc, -1)
+        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), ((last["probability"] + s["probability"]) / 2).alias("probability"))
+        return F.when(F.size(acc) == 0, F.array(s)).when(s["start"] <= F.try_element_at(acc, F.lit(-1))["end"] + within, F.concat(head(acc), F.array(joined))).otherwise(F.array_append(acc, s))
+
+    return F.aggregate(ordered, F.array().cast("array<struct<start:int,end:int,probability:double>>"), step)
+
+
+def candidate_spans(rows: DataFrame, key: str, tokens: str, longest: int = 50, most: int = 5000) -> DataFrame:
+    """key, start, end (inclusive): all token spans up to a length; of more than `most`, every k-th so that about `most` stay."""
+    n = F.col(tokens)
+    total = F.expr(f"cast({tokens} as bigint) * least({longest}, {tokens}) - cast(least({longest}, {tokens}) as bigint) * (least({longest}, {tokens}) - 1) div 2")
+    step = F.when(total > most, F.floor(total / most)).otherwise(1)
+    d = rows.where(n > 0).select(key, n.alias("n"), step.alias("step"), F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
+    # The number of candidates before those of a start: full ones of `longest`, then a falling row.
+    s, full = F.col("start").cast("bigint"), F.greatest(F.col("n") - longest + 1, F.lit(0)).cast("bigint")
+    falling = F.greatest(s - full, F.lit(0).cast("bigint"))
+    top = F.when(F.col("n") >= longest, F.lit(longest - 1)).otherwise(F.col("n"))
+    before = F.least(s, full) * longest + falling * top - (falling * (falling - 1) / 2).cast("bigint")
+    d = d.withColumn("before", before).withColumn("length", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("start")))))
+    return d.where((F.col("before") + F.col("length") - 1) % F.col("step") == 0).select(key, "start", (F.col("start") + F.col("length") - 1).alias("end"))
+
+
+def span_features(spans: DataFrame, tokens: DataFrame, key: str) -> DataFrame:
+    """spans(key, start, end inclusive), tokens(key, place, feature, value) -> key, start, end, feature, value: the mean of each feature over a span's tokens."""
+    inside = spans.join(tokens, key).where(F.col("place").between(F.col("start"), F.col("end")))
+    return inside.groupBy(key, "start", "end", "feature").agg(F.avg("value").alias("value"))
+
+
+def character_spans(text: Column, offsets: Column, runs: Column) -> Column:
+    """Token spans (start, end inclusive) -> struct(start, end, text, start_token, end_token) by the tokens' offsets struct(start, end); those beyond the tokens are dropped."""
+    known = F.filter(runs, lambda r: (r["start"] < F.size(offsets)) & (r["end"] < F.size(offsets)))
+
+    def one(r: Column) -> Column:
+        a, b = F.get(offsets, r["start"])["start"], F.get(offsets, r["end"])["end"]
+        return F.struct(a.alias("start"), b.alias("end"), cut(text, a, b).alias("text"), r["start"].alias("start_token"), r["end"].alias("end_token"))
+
+    return F.transform(known, one)
+
+
 def window_votes(rows: DataFrame, key: str, place: str, value: str, size: int = 8, threshold: float = 0.5) -> DataFrame:
     """Mean of the value over each full sliding window; each token gets the share of windows over it that reach the threshold. Tokens in no full window count as flagged."""
     w = W.partitionBy(key).orderBy(place)
