@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import json
+import re
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -45,16 +46,22 @@ def scalar_text(value: Any) -> str:
     return {True: "True", False: "False", None: "None"}[value] if value is None or isinstance(value, bool) else str(value)
 
 
-def walk(tree: Any) -> Iterator[tuple[str, Any]]:
-    """(dot path, scalar) of each leaf, in order; list places count as path parts."""
-    stack = [("", tree)]
+def kind_of(value: Any) -> str:
+    return "null" if value is None else "boolean" if isinstance(value, bool) else "number" if isinstance(value, Number) else "string"
+
+
+def walk(tree: Any) -> Iterator[tuple[str, str | None, Any]]:
+    """(dot path, path of the innermost list item around or None, scalar) of each leaf, in order; list places count as path parts."""
+    stack: list[tuple[str, str | None, Any]] = [("", None, tree)]
     while stack:
-        path, node = stack.pop()
-        items = list(node.items()) if isinstance(node, dict) else [(str(i), v) for i, v in enumerate(node)] if isinstance(node, list) else None
+        path, group, node = stack.pop()
+        listed = isinstance(node, list)
+        items = list(node.items()) if isinstance(node, dict) else [(str(i), v) for i, v in enumerate(node)] if listed else None
         if items is None:
-            yield path, node
+            yield path, group, node
         else:
-            stack.extend((f"{path}.{k}" if path else k, v) for k, v in reversed(items))
+            paths = [(f"{path}.{k}" if path else k, v) for k, v in items]
+            stack.extend((p, p if listed else group, v) for p, v in reversed(paths))
 
 
 def flat_text(tree: Any, depth: int = 0) -> list[str]:
@@ -92,23 +99,86 @@ def removed(tree: Any, path: str) -> Any:
     return tree
 
 
+def one_form(text: str) -> str:
+    """A scalar's text in one form, as text.canonical has it for columns."""
+    text = text.strip()
+    if len(text) > 1 and text[0] == text[-1] in "\"'":
+        text = text[1:-1].strip()
+    if (low := text.lower()) in ("true", "false", "null", "none"):
+        return low.replace("none", "null")
+    try:
+        number = float(text.replace(",", "") if re.fullmatch(r"-?[\d,]+(\.\d+)?", text) else text)
+        return str(int(number)) if number.is_integer() else repr(number)
+    except (ValueError, OverflowError):
+        return " ".join(text.split())
+
+
+def like(new: str, old: Any) -> Any:
+    """The new text as a value of the old one's kind, or as a text where it is none; a boolean is only replaced by one."""
+    text = new.strip()
+    if isinstance(old, bool):
+        return {"true": True, "false": False}.get(text.lower(), old)
+    if isinstance(old, Number):
+        try:
+            number = float(text.replace(",", ""))
+            whole = re.fullmatch(r"-?\d+", old) is not None
+            return Number(int(number)) if whole else Number(repr(number))
+        except (ValueError, OverflowError):
+            return text
+    return text
+
+
+def bounded(part: str) -> re.Pattern[str]:
+    """Finds a text where no ASCII letter or digit touches it."""
+    return re.compile(rf"(?<![A-Za-z0-9]){re.escape(part)}(?![A-Za-z0-9])")
+
+
 def replaced(tree: Any, old: str, new: str) -> tuple[Any, int]:
-    """The tree with each leaf whose text is old set to new, numbers as numbers where new is one; and how many."""
-    if isinstance(tree, dict):
-        pairs = {k: replaced(v, old, new) for k, v in tree.items()}
-        return {k: v for k, (v, _) in pairs.items()}, sum(n for _, n in pairs.values())
-    if isinstance(tree, list):
-        items = [replaced(v, old, new) for v in tree]
-        return [v for v, _ in items], sum(n for _, n in items)
-    if scalar_text(tree) != old:
-        return tree, 0
-    if isinstance(tree, Number):
+    """The tree with the scalars that are `old`, in whatever writing, set to `new`, and `new` for `old` inside texts, at word bounds; and how many places changed."""
+    form, inside, n = one_form(old), bounded(old), 0
+
+    def visit(node: Any) -> Any:
+        nonlocal n
+        if isinstance(node, dict):
+            return {k: visit(v) for k, v in node.items()}
+        if isinstance(node, list):
+            return [visit(v) for v in node]
+        if one_form(scalar_text(node)) == form:
+            n += 1
+            return like(new, node)
+        if kind_of(node) == "string" and old:
+            node, times = inside.subn(lambda _: new, node)
+            n += times
+        return node
+
+    return (visit(tree), n) if isinstance(tree, (dict, list)) else (tree, 0)
+
+
+def value_at(tree: Any, path: str) -> Any:
+    """What stands at a path; KeyError, IndexError or ValueError if nothing does."""
+    for key in path.split("."):
+        tree = _step(tree, key)
+    return tree
+
+
+def unlocked(schema: Any, paths: list[str]) -> Any:
+    """The schema with the parts at the paths free of fixed values and sizes. Changes the schema given."""
+
+    def free(node: Any) -> None:
+        for name in ("enum", "minItems", "maxItems"):
+            node.pop(name, None)
+        for part in [*node.get("properties", {}).values(), *node.get("prefixItems", [])]:
+            free(part)
+
+    for path in paths:
+        node = schema
         try:
-            float(new)
-            return Number(new), 1
-        except ValueError:
-            return new, 1
-    return new, 1
+            for key in path.split("."):
+                node = node["properties"][key] if "properties" in node else node["prefixItems"][int(key)]
+        except (KeyError, IndexError, ValueError):
+            continue
+        free(node)
+    return schema
 
 
 def locked_schema(tree: Any) -> Any:
@@ -151,12 +221,20 @@ def recovered(text: str | None) -> str | None:
             ends.append((i + 1, "".join(reversed(stack))))
         if not quoted and c in '"0123456789elE}]':
             ends.append((i + 1, "".join(reversed(stack))))
-    for end, rest in reversed(ends[-64:]):
+    # A prefix that ends inside a literal or behind a lone key is no JSON; which prefixes are can't be told from brackets alone, but a
+    # failed parse says how far the text is good, so the ends behind that place need no try.
+    at = len(ends) - 1
+    while at >= 0:
+        end, rest = ends[at]
         try:
             json.loads(text[:end] + rest)
             return text[:end] + rest
+        except json.JSONDecodeError as error:
+            at -= 1
+            while at >= 0 and ends[at][0] > error.pos + 1:
+                at -= 1
         except (ValueError, RecursionError):
-            continue
+            at -= 1
     return None
 
 
@@ -178,6 +256,15 @@ def flatten_json(c: Column | str) -> Column:
     return _udf("string", one)(c)
 
 
+def flatten_all(c: Column | str) -> Column:
+    """flatten_json of each text of an array."""
+
+    def one(texts: list[str] | None) -> list[str] | None:
+        return None if texts is None else ["\n".join(flat_text(t)) if isinstance(t := decode(x), (dict, list)) else x for x in texts]
+
+    return _udf("array<string>", one)(c)
+
+
 def delete_path(c: Column | str, path: Column | str) -> Column:
     def one(text: str | None, at: str | None) -> str | None:
         tree = decode(text)
@@ -212,16 +299,56 @@ def recover_json(c: Column | str) -> Column:
     return _udf("string", recovered)(c)
 
 
+def unlock(c: Column | str, paths: Column | str) -> Column:
+    """A locked schema's text with the parts at the paths freed."""
+
+    def one(text: str | None, free: list[str] | None) -> str | None:
+        tree = decode(text)
+        return text if not isinstance(tree, dict) or free is None else encode(unlocked(tree, list(free)))
+
+    return _udf("string", one)(c, paths)
+
+
 def leaves(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """key, pos, path, value: a row for each leaf of each row's JSON text, streamed batch by batch."""
+    """key, pos, path, list_item (path of the innermost list item around, or null), kind (string, number, boolean, null), value: a row for each leaf of each row's JSON text, decoded once. A text that is no JSON has none."""
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [(k, i, path, scalar_text(v)) for k, t in zip(batch[key], batch[text], strict=True) for i, (path, v) in enumerate(walk(decode(t)) if decode(t) is not None else ())]
-            yield pd.DataFrame(found, columns=[key, "pos", "path", "value"])
+            trees = ((k, tree) for k, t in zip(batch[key], batch[text], strict=True) if (tree := decode(t)) is not None)
+            found = [(k, i, path, group, kind_of(v), scalar_text(v)) for k, tree in trees for i, (path, group, v) in enumerate(walk(tree))]
+            yield pd.DataFrame(found, columns=[key, "pos", "path", "list_item", "kind", "value"])
+
+    return rows.select(key, text).mapInPandas(run, f"{key} {kind}, pos int, path string, list_item string, kind string, value string")
+
+
+def edited(rows: DataFrame, key: str, text: str, deletes: str, old: str, new: str) -> DataFrame:
+    """rows(key, text, deletes: array of paths, old, new) -> key, json, replaced, and changes: array of struct(path, before, after, change).
+
+    Each tree is decoded once: paths are deleted, values replaced, and both trees walked, so that a change needs no join. Null deletes
+    and a null old value do nothing; a text that is no JSON stays, without changes.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+
+    def one(t: str | None, gone: Any, a: str | None, b: str | None) -> tuple[str | None, int, list[dict[str, str | None]]]:
+        tree = decode(t)
+        if not isinstance(tree, (dict, list)):
+            return t, 0, []
+        before = {path: scalar_text(v) for path, _, v in walk(tree)}
+        # Later list places first, so that a deletion doesn't move the others.
+        for path in sorted(() if gone is None else gone, key=lambda p: [(int(x) if x.isdigit() else -1, x) for x in p.split(".")], reverse=True):
+            tree = removed(tree, path)
+        tree, n = replaced(tree, a, b) if a is not None and b is not None else (tree, 0)
+        after = {path: scalar_text(v) for path, _, v in walk(tree)}
+        changes = [{"path": p, "before": v, "after": after.get(p), "change": "changed" if p in after else "deleted"} for p, v in before.items() if after.get(p) != v or p not in after]
+        return encode(tree), n, changes
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            done = [one(*x) for x in zip(batch[text], batch[deletes], batch[old], batch[new], strict=True)]
+            yield pd.DataFrame({key: batch[key], "json": [x[0] for x in done], "replaced": [x[1] for x in done], "changes": [x[2] for x in done]})
 
-    return rows.select(key, text).mapInPandas(run, f"{key} {kind}, pos int, path string, value string")
+    return rows.select(key, text, deletes, old, new).mapInPandas(run, f"{key} {kind}, json string, replaced int, changes array<struct<path:string,before:string,after:string,change:string>>")
 
 
 def diff(before: DataFrame, after: DataFrame, key: str) -> DataFrame:

@@ -26,14 +26,20 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
-def squeeze(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+def sentence_spans(c: Column) -> Column:
+    """struct(start, end) of sentences, which end with . ! or ? before white space or at the end; white space between belongs to the next one, blank ones are left out."""
+    pieces = F.split(c, r"(?<=[.!?])(?=\s)", -1)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+
+    def step(acc: Column, p: Column) -> Column:
+        end = acc["at"] + F.length(p)
+        return F.struct(end.alias("at"), F.when(p.rlike(r"\S"), F.array_append(acc["spans"], F.struct(acc["at"].alias("start"), end.alias("end")))).otherwise(acc["spans"]).alias("spans"))
 
+    return F.aggregate(pieces, start, step, lambda acc: acc["spans"])
 
-def asks_back(c: Column, window: int = 400) -> Column:
-    """Whether the end of an answer holds a question or an offer."""
-    end = F.lower(F.right(c, F.lit(window)))
-    return end.contains("?") | end.rlike(r"let me know|would you like|feel free|anything else|happy to help")
+
+def squeeze(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
 def canonical(c: Column) -> Column:

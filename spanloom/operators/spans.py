@@ -24,6 +24,11 @@ def valid(spans: Column, text: Column | None = None) -> Column:
     return F.filter(spans, inside if text is None else lambda s: inside(s) & (s["end"] <= F.length(text)))
 
 
+def valid_order(spans: Column) -> Column:
+    """Spans with both offsets and the end behind the start."""
+    return F.filter(spans, lambda s: F.coalesce(s["end"] > s["start"], F.lit(False)))
+
+
 def overlap(a: Column, b: Column) -> Column:
     return F.greatest(F.least(a["end"], b["end"]) - F.greatest(a["start"], b["start"]), F.lit(0))
 
