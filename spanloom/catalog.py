@@ -130,7 +130,20 @@ def span_char_f1(spark, sf_dir):
     return d.select("doc_id", spans.covered_length(p).alias("pred_chars"), spans.covered_length(g).alias("gold_chars"), spans.common_length(p, g).alias("common_chars"), spans.char_f1(F.col("pred"), F.col("gold")).alias("char_f1"))
 
 
-@query()
+def _greedy_sql(score: str, keep: str, order: str) -> str:
+    """Matches of a one-to-one assignment: pairs in an order, taken if both sides are free; at most 3 by 3, so 9 steps."""
+    pairs = f"""list_sort(list_filter(flatten(list_transform(range(0, len(pred)), lambda i: list_transform(range(0, len(gold)), lambda j: {{'v': {score}, 'i': i, 'j': j}}))), lambda x: {keep}), '{order}')"""
+    return f"list_reduce(list_transform({pairs}, lambda x: x.i * 10 + x.j), lambda a, x: case when len(list_filter(a, lambda k: k // 10 = x // 10 or k % 10 = x % 10)) = 0 then list_append(a, x) else a end, cast([] as bigint[]))"
+
+
+_P, _G = "pred[i + 1]", "gold[j + 1]"
+_BOTH = f'greatest(least({_P}."end", {_G}."end") - greatest({_P}.start, {_G}.start), 0)'
+_UNION = f'(({_P}."end" - {_P}.start) + ({_G}."end" - {_G}.start) - {_BOTH})'
+_HULL = f'(greatest({_P}."end", {_G}."end") - least({_P}.start, {_G}.start))'
+
+
+@query(f"""with {SPANS_SQL} select doc_id, cast(coalesce(len({_greedy_sql(f"{_BOTH} / {_UNION}", "x.v > 0.75", "DESC")}), 0) as int) as by_iou, cast(coalesce(len({_greedy_sql(f"case when {_BOTH} > 0 then -1 else 0 end", "x.v < 0", "ASC")}), 0) as int) as by_overlap,
+cast(coalesce(len({_greedy_sql(f"case when {_BOTH} / {_HULL} >= 0.5 then -1 else 0 end", "x.v < 0", "ASC")}), 0) as int) as by_hull, list_sort(list_distinct(list_transform(pred, lambda s: [s.start, s."end"]))) = list_sort(list_distinct(list_transform(gold, lambda s: [s.start, s."end"]))) as exact from pairs""")
 def span_matches(spark, sf_dir):
     p, g = F.col("pred"), F.col("gold")
     return span_pairs(spark, sf_dir).select("doc_id", spans.match_iou(p, g).alias("by_iou"), spans.match_overlap(p, g).alias("by_overlap"), spans.match_hull(p, g).alias("by_hull"), spans.exact(p, g).alias("exact"))
@@ -162,10 +175,11 @@ def token_runs(spark, sf_dir):
     return spans.token_runs(tokens, "id", "pos", "hit", "v", holes=0, least=2).drop("mean_score")
 
 
-@query()
+@query("""with t as (select vec_id as id, unnest(embedding) v, generate_subscripts(embedding, 1) - 1 as pos from embeddings), w as (select id, pos, case when count(*) over a = 8 then cast(avg(cast(v as double)) over a >= 0 as int) end as hit from t window a as (partition by id order by pos rows between current row and 7 following)),
+s as (select id, pos, coalesce(avg(hit) over (partition by id order by pos rows between 7 preceding and current row), 1.0) as share from w) select id, cast(pos as int) as pos, share, share >= 0.5 as flagged from s""")
 def window_votes(spark, sf_dir):
     e = _table(spark, sf_dir, "embeddings")
-    tokens = e.select(F.col(e.columns[0]).alias("id"), F.posexplode("embedding").alias("pos", "v"))
+    tokens = e.select(F.col(e.columns[0]).alias("id"), F.posexplode("embedding").alias("pos", "v")).withColumn("v", F.col("v").cast("double"))
     return spans.window_votes(tokens, "id", "pos", "v", 8, 0.0).drop("v")
 
 
@@ -195,7 +209,14 @@ def processing_report(spark, sf_dir):
     return dialogue.processing_report(dialogues(spark, sf_dir))
 
 
-@query()
+CALL_SQL = r"regexp_full_match(trim(text), '(?s)\[.*[A-Za-z0-9_./ -]+\([^\]\[]*\).*\]')"
+
+
+@query(f"""with c as (select conv_id, turn, case when role = 'assistant' and turn % 4 = 1 then 'tool_call' when role = 'user' and turn % 4 = 2 then 'tool' else lower(trim(role)) end as role, coalesce(text, '') as text from conversations),
+f as (select *, sum(cast(role = 'user' as int)) over (partition by conv_id order by turn) as segment, role = 'tool_call' or (role = 'assistant' and {CALL_SQL}) as call, role = 'tool' as result, role = 'assistant' and not {CALL_SQL} as answer from c),
+a as (select *, min(turn) filter (where call) over s as first_call from f where segment > 0 window s as (partition by conv_id, segment)), b as (select *, max(turn) filter (where result and turn > first_call) over s as last_result from a window s as (partition by conv_id, segment)),
+t as (select conv_id, segment, min(turn) as user_index, count(*) filter (where call) as n_calls, count(*) filter (where result and turn > first_call) as n_results, min(turn) filter (where answer and turn > last_result) as answer_index from b group by all)
+select conv_id, user_index, n_calls, n_results, answer_index, cast(row_number() over (partition by conv_id order by segment) as int) as turn_number from t where answer_index is not null and n_calls > 0 and n_results > 0""")
 def completed_tool_turns(spark, sf_dir):
     c = _table(spark, sf_dir, "conversations")
     role = F.when((F.col("role") == "assistant") & (F.col("turn") % 4 == 1), "tool_call").when((F.col("role") == "user") & (F.col("turn") % 4 == 2), "tool").otherwise(F.col("role"))
@@ -317,7 +338,9 @@ def judged_answers(spark, sf_dir):
     return done.select("conv_id", "status", completion.parse_verdict("raw_response")["type"].alias("type"))
 
 
-@query()
+@query(f"""with {LABELLED_SQL}, g as (select case when doc_id % 3 = 0 then 'u' || doc_id end as uid, doc_id as r, 'd' || (doc_id % 500) as d, gold as t from labelled), p as (select uid, case when r % 2 = 0 then r else -1 end as r, d, t from g)
+select p.d as dialogue_id, p.t as type, p.r as row_index, case when u.r is not null then 'uid' when i.r is not null then 'place' when one.r is not null then 'dialogue' when two.r is not null then 'type' end as how, coalesce(u.r, i.r, one.r, two.r) as gold_row from p
+left join (select uid, min(r) r from g where uid is not null group by uid) u on p.uid = u.uid left join g i on i.r = p.r and i.d = p.d left join (select d, min(r) r from g group by d having count(*) = 1) one on one.d = p.d left join (select d, t, min(r) r from g group by d, t having count(*) = 1) two on two.d = p.d and two.t = p.t""")
 def gold_look_up(spark, sf_dir):
     d = labelled(spark, sf_dir).select(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("u"), "doc_id")).alias("uid"), F.col("doc_id").alias("row_index"), F.concat(F.lit("d"), (F.col("doc_id") % 500).cast("string")).alias("dialogue_id"), F.col("gold").alias("type"))
     pred = d.withColumn("row_index", F.when(F.col("row_index") % 2 == 0, F.col("row_index")).otherwise(-1))

@@ -219,7 +219,7 @@ def recovered(text: str | None) -> str | None:
             if not stack or stack.pop() != c:
                 break
             ends.append((i + 1, "".join(reversed(stack))))
-        if not quoted and c in '"0123456789elE}]':
+        if not quoted and c in '"0123456789elE}]{[':
             ends.append((i + 1, "".join(reversed(stack))))
     # A prefix that ends inside a literal or behind a lone key is no JSON; which prefixes are can't be told from brackets alone, but a
     # failed parse says how far the text is good, so the ends behind that place need no try.

@@ -67,7 +67,7 @@ def bounded_find(text: Column, part: str) -> Column:
 
 def table_value(c: Column) -> Column:
     """Percent with two digits; a dash for null."""
-    return F.coalesce(F.format_string("%.2f", 100 * c), F.lit("—"))
+    return F.when(c.isNotNull(), F.format_string("%.2f", 100 * c)).otherwise("—")
 
 
 def tag_spans(c: Column, tag: str) -> Column:

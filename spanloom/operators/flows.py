@@ -63,11 +63,16 @@ def group_split(rows: DataFrame, group: str, order: Column, test: float = 0.1, d
 
 
 def rank_by(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Adds rank, 1 to n in the order of the keys, which must be unique: rows are range-partitioned, counted by partition, and numbered inside."""
-    parted = rows.repartitionByRange(*keys).withColumn("part", F.spark_partition_id())
+    """Adds rank, 1 to n in the order of the keys, which must be unique: rows are range-partitioned, counted by partition, and numbered inside.
+
+    The number of partitions is given, so that adaptive execution leaves them as they are and a row has the same partition number in
+    the counts and in the numbering.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parted = rows.repartitionByRange(n, *keys).withColumn("part", F.spark_partition_id())
     counts = parted.groupBy("part").agg(F.count("*").alias("c"))
     before = counts.select("part", (F.sum("c").over(W.orderBy("part")) - F.col("c")).alias("before"))
-    return parted.join(before, "part").withColumn("rank", F.col("before") + F.row_number().over(W.partitionBy("part").orderBy(*keys))).drop("part", "before")
+    return parted.join(F.broadcast(before), "part").withColumn("rank", F.col("before") + F.row_number().over(W.partitionBy("part").orderBy(*keys))).drop("part", "before")
 
 
 def sample_per_class(rows: DataFrame, label: str, k: int, order: Column) -> DataFrame:

@@ -133,10 +133,17 @@ def chance_level(rows: DataFrame, gold: str = "gold", steps: int = 1000) -> Data
 
 
 def length_statistics(rows: DataFrame, value: str) -> DataFrame:
-    """n, greatest, mean, and the value at place int(0.95 n) of the sorted ones, exactly: from counts of distinct values."""
+    """n, greatest, mean, and the value at place int(0.95 n) of the sorted ones, exactly.
+
+    From counts of distinct values, dealt by ranges (see flows.rank_by): counts of ranges tell the one that holds the place, and only
+    that one is summed up.
+    """
     from pyspark.sql import Window as W
 
     counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    up = W.orderBy("v")
-    seen = counts.withColumn("upto", F.sum("c").over(up)).withColumn("n", F.sum("c").over(W.partitionBy()))
-    return seen.agg(F.max("n").alias("n"), F.max("v").alias("greatest"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"), F.min(F.when(F.col("upto") > F.floor(F.col("n") * 0.95), F.col("v"))).alias("p95"))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parted = counts.repartitionByRange(n, "v").withColumn("part", F.spark_partition_id())
+    parts = parted.groupBy("part").agg(F.sum("c").alias("in_part"))  # one row a partition
+    before = parts.select("part", (F.sum("in_part").over(W.orderBy("part")) - F.col("in_part")).alias("before"), F.sum("in_part").over(W.partitionBy()).alias("n"))
+    d = parted.join(F.broadcast(before), "part").withColumn("upto", F.col("before") + F.sum("c").over(W.partitionBy("part").orderBy("v")))
+    return d.agg(F.max("n").alias("n"), F.max("v").alias("greatest"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"), F.min(F.when(F.col("upto") > F.floor(F.col("n") * 0.95), F.col("v"))).alias("p95"))

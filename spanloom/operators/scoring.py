@@ -222,7 +222,7 @@ def table_row(rows: DataFrame, policy: str = "exclude", setting: str = "Transfer
 
 def shown_table(row: DataFrame) -> DataFrame:
     """All columns as text: shares in per cent with two digits, a dash for null."""
-    return row.select(*[F.coalesce(F.format_string("%.2f", 100 * F.col(f"`{c}`")) if t == "double" else F.col(f"`{c}`").cast("string"), F.lit("—")).alias(c) for c, t in row.dtypes])
+    return row.select(*[F.coalesce(F.when(F.col(f"`{c}`").isNotNull(), F.format_string("%.2f", 100 * F.col(f"`{c}`"))) if t == "double" else F.col(f"`{c}`").cast("string"), F.lit("—")).alias(c) for c, t in row.dtypes])
 
 
 def _lengths(pred: str, gold: str, text_length: Column | None = None) -> dict[str, Column]:

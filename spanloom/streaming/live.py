@@ -21,5 +21,12 @@ def first_seen(rows: DataFrame, keys: list[str], time: str, late: str = "1 hour"
 
 
 def append_scored(rows: DataFrame, score: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
-    """Scores all that is there and appends it as JSON lines; a restart goes on after the last committed batch."""
-    return rows.writeStream.foreachBatch(lambda d, _: score(d).write.mode("append").json(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Scores all that is there and writes it as JSON lines, each batch to a folder of its own number; a restart goes on after the last committed batch.
+
+    A batch that was written but not committed is written again to the same folder, so no row comes twice.
+    """
+
+    def put(d: DataFrame, batch: int) -> None:
+        score(d).write.mode("overwrite").json(f"{path}/batch={batch}")
+
+    return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF, SF2
-from spanloom import catalog
+from spanloom import catalog, catalog_examples, catalog_rows, catalog_trees  # noqa: F401
 from spanloom.functions import json_tree, text
 from spanloom.operators import dialogue, flows, metrics, spans
 from spanloom.plans import completion
@@ -113,8 +113,15 @@ def test_detection_policy(spark):
     got = {r["class"]: r for r in metrics.detection_report(d).collect()}
     assert (got["answer_mismatch"].tp, got["answer_mismatch"].fp, got["answer_mismatch"].fn) == (1, 1, 0)
     assert (got["clean"].tp, got["clean"].fp, got["clean"].fn) == (1, 0, 1) and got["clean"].f1 == pytest.approx(2 / 3)
-    assert {r["class"] for r in metrics.detection_report(d, undergeneration="score").collect()} == set(metrics.CLASSES)
-    kinds = spark.createDataFrame([("singlehop_Missing-Tool",), ("over",), ("Clean",)], "t string").select(metrics.normalize_type(F.col("t")).alias("t"))
+    # Worked by hand: clean never counts undergeneration rows; only score gives that class rates, the others its share of flagged rows.
+    for policy, under, everything in (("exclude", (None, None, None), (1, 1, 0)), ("positive", (None, None, None), (1, 1, 1)), ("score", (0, 1, 1), (1, 1, 1))):
+        got = {r["class"]: r for r in metrics.detection_report(d, undergeneration=policy).collect()}
+        assert set(got) == {*metrics.CLASSES, "ALL"}
+        assert (got["clean"].tp, got["clean"].fp, got["clean"].fn) == (1, 0, 1)
+        assert (got["undergeneration"].tp, got["undergeneration"].fp, got["undergeneration"].fn) == under
+        assert got["undergeneration"].flag_rate == 0.0 and got["undergeneration"].support == 1
+        assert (got["ALL"].tp, got["ALL"].fp, got["ALL"].fn) == everything
+    kinds = spark.createDataFrame([("singlehop_Missing-Tool",), ("overgen",), ("Clean",)], "t string").select(metrics.normalize_type(F.col("t")).alias("t"))
     assert [r.t for r in kinds.collect()] == ["missing_tool", "overgeneration", "clean"]
 
 
@@ -122,7 +129,7 @@ def test_json_trees():
     assert json_tree.flat_text(json_tree.decode('{"a":{"b":[1,{"c":true}]}}')) == ["a:", "  b:", "    1", "    c: True"]
     tree = json_tree.decode('{"b": 1.0, "a": [1, 2.50, null]}')
     assert json_tree.encode(tree) == '{"b": 1.0, "a": [1, 2.50, null]}'
-    assert list(json_tree.walk(tree)) == [("b", "1.0"), ("a.0", "1"), ("a.1", "2.50"), ("a.2", None)]
+    assert list(json_tree.walk(tree)) == [("b", None, "1.0"), ("a.0", "a.0", "1"), ("a.1", "a.1", "2.50"), ("a.2", "a.2", None)]
     assert json_tree.encode(json_tree.removed(tree, "a.1")) == '{"b": 1.0, "a": [1, null]}'
     assert json_tree.replaced(json_tree.decode('{"x": 7, "y": ["7"]}'), "7", "8") == ({"x": "8", "y": ["8"]}, 2)
     assert json_tree.first_object('so {bad {"a": "}"} rest') == '{"a": "}"}'
