@@ -2,6 +2,7 @@
 
 import html as html_module
 import re
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -152,6 +153,51 @@ def test_op3_scores_do_not_depend_on_the_batch():
         assert (model.score([texts[i] for i in order]) == alone[order]).all()
 
 
+def test_op3_equals_plain_loops():
+    """The convolution, its pooling and the two layers, position by position."""
+    model = quality_classifier.QualityModel(seed=9)
+    p = {k: v.astype(float) for k, v in model.p.items()}
+    q = quality_classifier
+    for text in ("", "short", "é" * 300, "The quick brown fox. " * 60):
+        raw = list(text.encode())
+        halves = max(2, -(-len(raw) // q.HALF))
+        codes = raw + [q.PAD] * (halves * q.HALF + q.WIDTH - q.STRIDE - len(raw))
+        chunks = []
+        for first in range(halves - 1):  # overlapping chunks of two halves
+            top = np.full(q.FILTERS, -np.inf)
+            for at in range(first * q.HALF, (first + 2) * q.HALF, q.STRIDE):
+                window = np.concatenate([p["embed"][codes[at + j]] for j in range(q.WIDTH)])
+                top = np.maximum(top, window @ p["filters"])
+            chunks.append(np.maximum(top + p["bias"], 0))
+        x = np.concatenate([np.mean(chunks, axis=0), np.max(chunks, axis=0)])
+        logit = np.maximum(x @ p["w1"] + p["b1"], 0) @ p["w2"] + p["b2"][0]
+        assert model.score([text])[0] == pytest.approx(1 / (1 + np.exp(-logit)), rel=1e-4)
+
+
+def test_op3_gradients_are_the_slopes_of_the_loss():
+    model = quality_classifier.QualityModel(seed=4)
+    texts, good = ["good words here " * 40, "bad!!! " * 90], np.array([1.0, 0.0])
+    codes = [quality_classifier._codes(t) for t in texts]
+
+    def loss():
+        s = np.clip(model.score(texts).astype(float), 1e-9, 1 - 1e-9)
+        return -np.mean(good * np.log(s) + (1 - good) * np.log(1 - s))
+
+    grads = model._gradients(codes, good)
+    rng = np.random.default_rng(1)
+    for name in ("w2", "b2", "w1", "b1", "bias", "filters"):
+        flat, g = model.p[name].reshape(-1), np.asarray(grads[name], float).reshape(-1)
+        top = np.argsort(-np.abs(g))[:20]
+        for i in rng.choice(top, min(4, len(top)), replace=False):
+            kept, step = flat[i], np.float32(2e-3)
+            flat[i] = kept + step
+            up = loss()
+            flat[i] = kept - step
+            down = loss()
+            flat[i] = kept
+            assert (up - down) / (2 * float(step)) == pytest.approx(g[i], rel=0.15, abs=2e-4), name
+
+
 def test_op3_odds_are_those_of_all_labels(monkeypatch):
     monkeypatch.setattr(quality_classifier.QualityModel, "train", lambda self, *a, **k: self)
     for good, bad in ((100, 900), (900, 100), (50, 60), (500, 500)):
@@ -305,6 +351,39 @@ def test_op7_keeps_good_documents(spark):
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.6
 
 
+def test_op7_kept_equals_a_plain_version(spark):
+    """All measures, the walk down each ladder, the bounds and the verdicts in plain Python over a whole table."""
+    sf, q = "/root/testdata/sf0.1", quality_rules
+    docs = read(spark, sf, "documents").collect()
+    quality = {r.doc_id: r.quality for r in read(spark, sf, "labels").collect()}
+    measured = {}
+    for r in docs:
+        t = r.text or ""
+        n, chars, symbols, dup, repeat, failed = brute.rules_base(t)
+        lines = sum(bool(brute.WORD.search(x)) for x in t.split("\n"))
+        upper = sum(unicodedata.category(c) == "Lu" for c in t)
+        w = max(n, 1)
+        measured[r.doc_id] = (r.lang or "", failed, {"symbols_a_word": symbols / w, "duplicate_lines": dup / max(lines, 1), "repeated_words": repeat / w, "upper_case": upper / max(chars, 1), "exclamations_a_word": t.count("!") / w, "odd_word_length": abs(chars / w - 5.0)})
+    strata = sorted({s for d, (s, failed, _) in measured.items() if not failed and quality.get(d) in (0, 1)})
+    level, allowed, cuts = (1 - q.CONFIDENCE) / (len(q.LADDERS) * len(strata)), q.RISK / len(q.LADDERS), {}
+    for stratum in strata:
+        own = [(d, m) for d, (s, failed, m) in measured.items() if s == stratum and not failed and quality.get(d) in (0, 1)]
+        for name, ladder in q.LADDERS.items():
+            good = [m[name] for d, m in own if quality[d] == 1 and zlib.crc32(str(d).encode()) % 4 != 0]
+            seen = {y: [m[name] for d, m in own if quality[d] == y and zlib.crc32(str(d).encode()) % 4 == 0] for y in (0, 1)}
+            passed = []
+            for cut in ladder:
+                if brute.binomial_at_most(sum(x > cut for x in good), len(good), allowed) > level:
+                    break
+                passed.append(cut)
+            if passed and any(sum(x > c for x in seen[0]) * len(seen[1]) > sum(x > c for x in seen[1]) * len(seen[0]) for c in ladder):
+                cuts[stratum, name] = min(passed)
+    want = {d: not failed and not any(m[k] > cuts.get((s, k), np.inf) for k in q.LADDERS) for d, (s, failed, m) in measured.items()}
+    got = {r.doc_id: (r.kept, r.base_failed) for r in q.apply_quality_rules(read(spark, sf, "documents"), read(spark, sf, "labels")).collect()}
+    assert {d: k for d, (k, _) in got.items()} == want
+    assert cuts and sum(not k and not f for k, f in got.values()) > 0
+
+
 def test_op7_binomial_bound(spark):
     cases = [(0, 10, 0.1), (3, 50, 0.05), (40, 1000, 0.05), (2, 3000, 0.01)]
     got = spark.createDataFrame([(k, n) for k, n, _ in cases], "k long, n long")
@@ -530,12 +609,48 @@ def test_empty_tables(spark):
     assert all(f.count() == 0 for f in frames)
 
 
-def test_pipeline(spark):
+def test_pipeline_stages_equal_plain_versions(spark):
+    """Each stage on its own input against a plain version, and the whole run against the stages one after the other."""
     import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    docs, stages = read(spark, SF, "documents"), dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["quality", "near_duplicates", "decontamination", "mixing", "tokens"]
+    texts = lambda d: {r.doc_id: r.text for r in d.collect()}
+    before, kept = texts(docs), stages["quality"](spark, docs, SF)
+    model = quality_classifier.fit(docs, read(spark, SF, "labels"), ~toxicity.held_out(3, 1))
+    assert kept.dtypes == docs.dtypes and texts(kept) == {d: t for d, t in before.items() if model.score([t])[0] >= 0.5}
+
+    kept = near_duplicates.save(kept, "kept")
+    before, single = texts(kept), stages["near_duplicates"](spark, kept, SF)
+    classes = brute.duplicate_classes(list(before.items()), gram_weight(near_duplicates.fit_sampler(kept)))
+    assert single.dtypes == docs.dtypes and set(texts(single)) == set(classes.values())
+
+    single = near_duplicates.save(single, "single")
+    items = [(r.item_id, r.text) for r in read(spark, SF, "benchmark").collect()]
+    grams = {i: decontamination._shingles(decontamination.words_of(t)) for i, t in items}
+    clean = stages["decontamination"](spark, single, SF)
+    held = {d: decontamination._shingles(decontamination.words_of(t)) for d, t in texts(single).items()}
+    assert clean.dtypes == docs.dtypes and set(texts(clean)) == {d for d, own in held.items() if not any(len(g & own) >= 0.8 * len(g) for g in grams.values() if g)}
+
+    clean = near_duplicates.save(clean, "clean")
+    mixed = near_duplicates.save(stages["mixing"](spark, clean, SF), "mixed")
+    n = lambda t: len(brute.WORD.findall(t or ""))
+    sizes, source, taken = defaultdict(int), {}, defaultdict(int)
+    for r in clean.collect():
+        sizes[r.source] += n(r.text)
+        source[r.doc_id] = (r.source, r.text)
+    for r in mixed.collect():
+        own, text = source[r.doc_id]
+        assert r.source == own and text.startswith(r.text) and r.n_chars == len(r.text)
+        taken[own] += n(r.text)
+    assert mixed.dtypes == docs.dtypes and {s: t for s, t in taken.items()} == {s: round(t) for s, t in brute.mix_targets(sizes).items()}
 
-    docs = read(spark, SF, "documents")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        got = stage(spark, docs, SF)
-        assert got.dtypes == docs.dtypes, name
-    rows = corpus_pipeline.run(spark, SF).collect()
-    assert rows and sum(r.n_tokens for r in rows) == max(r.start + r.n_tokens for r in rows)
+    tool, start = Tokenizer.from_file(queries.tokenizer_path()), 0
+    want = []
+    for r in sorted(mixed.collect(), key=lambda r: (r.doc_id, r.text)):
+        ids = np.array([*tool.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4")
+        want.append((r.doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    got = sorted(tuple(r) for r in stages["tokens"](spark, mixed, SF).collect())
+    assert got == sorted(want) and sorted(tuple(r) for r in corpus_pipeline.run(spark, SF).collect()) == got
