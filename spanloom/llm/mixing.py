@@ -80,20 +80,23 @@ def mix(documents: DataFrame, seed: int = 23, **settings: object) -> DataFrame:
 
     Rows that are equal in id, source and text share their part of the plan: all of them together are taken as planned for each.
     """
+    p = "mix_"  # columns of its own, whatever the documents' are called
+    while any(c.lower().startswith(p) for c in documents.columns):
+        p = f"_{p}"
     plan = save(plan_mix(documents, seed, **settings).where("taken > 0").groupBy("doc_id", "source", "key", "size").agg(F.collect_list("taken").alias("takes")), "plan")
-    plan = plan.toDF("mix_id", "mix_source", "mix_key", "mix_size", "mix_takes")
-    own = F.xxhash64("doc_id", documents["source"].cast("string"), "text", F.lit(seed))
-    keyed = documents.withColumn("mix_own", own)
-    order = W.partitionBy("mix_own", "doc_id").orderBy("mix_own")
-    several = plan.where(F.size("mix_takes") > 1)
-    joined = keyed.join(plan, (F.col("mix_own") == F.col("mix_key")) & F.col("doc_id").eqNullSafe(F.col("mix_id")))
+    plan = plan.toDF(*[p + c for c in ("id", "source", "key", "size", "takes")])
+    col = lambda name: F.col(p + name)
+    keyed = documents.withColumn(f"{p}own", F.xxhash64("doc_id", documents["source"].cast("string"), "text", F.lit(seed)))
+    order = W.partitionBy(f"{p}own", "doc_id").orderBy(f"{p}own")
+    several = plan.where(F.size(f"{p}takes") > 1)
+    joined = keyed.join(plan, (col("own") == col("key")) & F.col("doc_id").eqNullSafe(col("id")))
     if several.isEmpty():
-        joined = joined.withColumn("mix_n", F.element_at("mix_takes", 1))
+        joined = joined.withColumn(f"{p}n", F.element_at(f"{p}takes", 1))
     else:
-        joined = joined.withColumn("mix_at", F.row_number().over(order)).withColumn("mix_n", F.coalesce(F.try_element_at("mix_takes", "mix_at"), F.lit(0)))
-    joined = joined.where("mix_n > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("mix_n") / F.col("mix_size")).cast("int"))))
-    words = F.col("mix_n") - (F.col("mix_copy") - 1) * F.col("mix_size")
-    text = F.when(words >= F.col("mix_size"), F.col("text")).otherwise(first_words(F.col("text"), words))
+        joined = joined.withColumn(f"{p}at", F.row_number().over(order)).withColumn(f"{p}n", F.coalesce(F.try_element_at(f"{p}takes", f"{p}at"), F.lit(0)))
+    joined = joined.where(col("n") > 0).withColumn(f"{p}copy", F.explode(F.sequence(F.lit(1), F.ceil(col("n") / col("size")).cast("int"))))
+    words = col("n") - (col("copy") - 1) * col("size")
+    text = F.when(words >= col("size"), F.col("text")).otherwise(first_words(F.col("text"), words))
     out = joined.withColumn("text", text)
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))

@@ -553,7 +553,7 @@ def test_op10_large_benchmark_in_bounded_memory():
 def odd_documents(spark, rows=None):
     rows = rows if rows is not None else [(1, "same text here " * 30, "a"), (1, "same text here " * 30, "a"), (2, None, None), (3, "", "b"), (4, "", "b"), (None, "one two three", "a"), (5, "long " * 60_000, "b"), (6, "\x00\n\t \x85 ü😀", None), (7, "same text here " * 30, "c")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    for name in ("score", "h", "key", "size", "label", "words", "start", "found", "root", "n", "lang", "kept", "stratum", "part"):
+    for name in ("score", "h", "key", "size", "label", "words", "start", "found", "root", "n", "lang", "kept", "stratum", "part", "kept_id", "kept_h", "kept_rows", "mix_id", "mix_n", "mix_own", "mix_takes", "of"):
         docs = docs.withColumn(name, F.lit("clash"))
     return docs
 
