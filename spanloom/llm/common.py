@@ -76,7 +76,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, keep: C
 class WordHash(dict):
     """64-bit hashes of words, kept for words seen before; emptied when it holds too many."""
 
-    most = 400_000
+    most = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:

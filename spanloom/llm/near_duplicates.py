@@ -35,6 +35,8 @@ from spanloom.llm.common import arrow_rows, mix, save, shingles, small_batches
 SHINGLE, SIMILARITY = 5, 0.8
 SAMPLES, ROWS = 64, 4
 BANDS = SAMPLES // ROWS
+#: Shingles of a text whose costs are held at once.
+TOGETHER = 4096
 #: Random triplets are drawn from so many rows; a shingle's hash picks its row.
 POOL = 1 << 14
 COUNTERS = 1 << 16
@@ -86,19 +88,25 @@ class Sampler:
             b = rng.random((POOL, SAMPLES), np.float32)
             self.pool = (r, b, np.log(c) - r, np.log(c) - r + r * b)
         r, b, base, at_one = self.pool
-        rows = ((found >> np.uint64(20)) % np.uint64(POOL)).astype(np.int64)
-        costs = at_one[rows]  # weight 1: t is 0
-        steps = np.zeros(0)
-        other = np.flatnonzero(weights != 1)
-        if len(other):
-            own = rows[other]
-            steps = np.floor(np.log(weights[other]).astype(np.float32)[:, None] / r[own] + b[own])
-            costs[other] = base[own] - r[own] * (steps - b[own])
-        best = costs.argmin(axis=0)
-        t = np.zeros(SAMPLES, np.int64)
-        if len(other):
-            place = np.searchsorted(other, best).clip(max=len(other) - 1)
-            t = np.where(other[place] == best, steps[place, np.arange(SAMPLES)], 0).astype(np.int64)
+        least, best, t = np.full(SAMPLES, np.inf, np.float32), np.zeros(SAMPLES, np.int64), np.zeros(SAMPLES, np.int64)
+        for at in range(0, len(found), TOGETHER):
+            own, w = found[at : at + TOGETHER], weights[at : at + TOGETHER]
+            rows = ((own >> np.uint64(20)) % np.uint64(POOL)).astype(np.int64)
+            costs = at_one[rows]  # weight 1: t is 0
+            other = np.flatnonzero(w != 1)
+            steps = np.zeros((0, SAMPLES), np.float32)
+            if len(other):
+                mine = rows[other]
+                steps = np.floor(np.log(w[other]).astype(np.float32)[:, None] / r[mine] + b[mine])
+                costs[other] = base[mine] - r[mine] * (steps - b[mine])
+            first = costs.argmin(axis=0)
+            low = costs[first, np.arange(SAMPLES)]
+            step = np.zeros(SAMPLES, np.int64)
+            if len(other):
+                place = np.searchsorted(other, first).clip(max=len(other) - 1)
+                step = np.where(other[place] == first, steps[place, np.arange(SAMPLES)], 0).astype(np.int64)
+            better = low < least
+            least, best, t = np.where(better, low, least), np.where(better, first + at, best), np.where(better, step, t)
         drawn = mix(found[best] + t.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(BANDS, ROWS)
         key = np.arange(BANDS, dtype=np.uint64)
         for j in range(ROWS):
