@@ -331,11 +331,15 @@ def windowed_counts(spark, sf_dir):
     return live.windowed_counts(_table(spark, sf_dir, "events"))
 
 
-@query()
+@query(f"""with {DIALOGUES_SQL}, l as (select conv_id, list_max(list_filter(range(0, len(messages)), lambda i: messages[i + 1].role = 'assistant')) a from dialogues) select conv_id, case when conv_id % 5 < 4 then 'ok' else 'error' end as status, case conv_id % 5 when 0 then 'clean' when 1 then 'overgeneration' when 3 then 'missing_tool' end as type, cast(case conv_id % 5 when 0 then 0 when 1 then 1 when 3 then 2 end as int) as n_spans from l where a is not null""")
 def judged_answers(spark, sf_dir):
+    """Stored responses, one of five missing and one without JSON, joined to the dialogues they judge and parsed."""
     turns = target_turns(spark, sf_dir).withColumn("prompt", completion.judge_prompt(F.col("query"), F.col("output")))
-    done = completion.complete(turns.select("conv_id", "prompt"), "prompt", completion.Echo())
-    return done.select("conv_id", "status", completion.parse_verdict("raw_response")["type"].alias("type"))
+    said = ['Verdict: {"type": "clean", "span_labels": []}', '```json\n{"type": "overgeneration", "span_labels": [{"start": 1, "end": 3, "text": "x{"}]}\n``` as asked', "I can't say.", 'no {brace} {"type": "missing_tool", "span_labels": [{"start": 0, "end": 2, "text": "a"}, {"start": 4, "end": 5}]}']
+    way = F.col("conv_id") % 5
+    stored = turns.where(way < 4).select("conv_id", F.get(F.array(*[F.lit(x) for x in said]), way.cast("int")).alias("raw_response"))
+    v = completion.parse_verdict("raw_response")
+    return completion.refilled(turns.select("conv_id", "prompt"), stored, ["conv_id"]).select("conv_id", "status", v["type"].alias("type"), F.when(v["span_labels"].isNotNull(), F.size(v["span_labels"])).alias("n_spans"))
 
 
 @query(f"""with {LABELLED_SQL}, g as (select case when doc_id % 3 = 0 then 'u' || doc_id end as uid, doc_id as r, 'd' || (doc_id % 500) as d, gold as t from labelled), p as (select uid, case when r % 2 = 0 then r else -1 end as r, d, t from g)

@@ -1,10 +1,10 @@
-"""Drivers around a model: prompts, calls with retries, parsing. The model is any Completer; the one here needs none and is deterministic."""
+"""Drivers around a model: prompts, calls with retries, parsing, resuming. The model is any Completer."""
 
 from __future__ import annotations
 
 import time
-import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pandas as pd
@@ -15,39 +15,44 @@ from spanloom.functions.json_tree import first_json
 
 
 class Completer(Protocol):
-    """complete is called in tasks, so the object must pickle."""
+    """complete is called in tasks, by several threads at once, so the object must pickle and bear that."""
 
     def complete(self, prompt: str) -> str | None: ...
 
 
-class Echo:
-    """A verdict drawn from a checksum of the prompt."""
+def complete(rows: DataFrame, prompt: str, model: Completer, tries: int = 3, pause: float = 0.0, together: int = 8) -> DataFrame:
+    """rows + raw_response, status (ok or error) and error (what the last try failed with).
 
-    def complete(self, prompt: str) -> str:
-        kind = ("clean", "answer_mismatch", "overgeneration", "missing_tool")[zlib.crc32(prompt.encode()) % 4]
-        return f'Verdict: {{"type": "{kind}", "span_labels": []}}'
+    Each task has up to `together` calls under way. Empty answers and exceptions are tried again, with a longer pause each time. Null
+    prompts are errors without a call.
+    """
 
-
-def complete(rows: DataFrame, prompt: str, model: Completer, tries: int = 3, pause: float = 0.0) -> DataFrame:
-    """rows + raw_response and status (ok or error). Empty answers and exceptions are tried again, with a longer pause each time."""
+    def asked(text: str | None) -> tuple[str | None, str | None]:
+        error = "no prompt"
+        for n in range(tries if text is not None else 0):
+            if n:
+                time.sleep(pause * n)
+            try:
+                if answer := model.complete(text):
+                    return answer, None
+                error = "empty answer"
+            except Exception as x:  # whatever the model's client raises is told in the row, and the row is tried again
+                error = f"{type(x).__name__}: {x}"
+        return None, error
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            answers = []
-            for text in batch[prompt]:
-                answer = None
-                for n in range(tries):
-                    try:
-                        answer = model.complete(text)
-                    except Exception:
-                        answer = None
-                    if answer:
-                        break
-                    time.sleep(pause * (n + 1))
-                answers.append(answer)
-            yield batch.assign(raw_response=answers, status=["ok" if a else "error" for a in answers])
-
-    return rows.mapInPandas(run, f"{', '.join(f'`{n}` {t}' for n, t in rows.dtypes)}, raw_response string, status string")
+        with ThreadPoolExecutor(together) as pool:
+            for batch in batches:
+                answers = list(pool.map(asked, batch[prompt]))
+                yield batch.assign(raw_response=[a for a, _ in answers], status=["error" if a is None else "ok" for a, _ in answers], error=[e for _, e in answers])
+
+    return rows.mapInPandas(run, f"{', '.join(f'`{n}` {t}' for n, t in rows.dtypes)}, raw_response string, status string, error string")
+
+
+def refilled(rows: DataFrame, responses: DataFrame, keys: list[str]) -> DataFrame:
+    """rows + raw_response and status from a table of stored responses; rows without one are errors, to be completed."""
+    d = rows.join(responses.select(*keys, "raw_response"), keys, "left")
+    return d.withColumn("status", F.when(F.coalesce(F.length("raw_response"), F.lit(0)) > 0, "ok").otherwise("error"))
 
 
 def judge_prompt(query: Column, answer: Column) -> Column:
