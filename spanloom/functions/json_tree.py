@@ -265,6 +265,16 @@ def flatten_all(c: Column | str) -> Column:
     return _udf("array<string>", one)(c)
 
 
+def decoded(c: Column | str) -> Column:
+    """JSON text of a text that is JSON or a Python literal; any other stays."""
+
+    def one(text: str | None) -> str | None:
+        tree = decode(text)
+        return text if tree is None else encode(tree)
+
+    return _udf("string", one)(c)
+
+
 def delete_path(c: Column | str, path: Column | str) -> Column:
     def one(text: str | None, at: str | None) -> str | None:
         tree = decode(text)

@@ -77,3 +77,44 @@ def write_csv(d: DataFrame, path: str, mode: str = "overwrite") -> None:
 def write_splits(d: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One folder for each split."""
     d.write.mode(mode).partitionBy("split").parquet(path)
+
+
+def load_any_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """JSON lines, an array or a single object, told apart by the first sign that is no white space: an array needs the whole file at once, lines don't."""
+    first = spark.read.text(path).where(F.col("value").rlike(r"\S")).select(F.ltrim(F.regexp_replace("value", "^﻿", "")).alias("v")).first()
+    reader = spark.read.schema(schema) if schema else spark.read
+    lines = first is None or (not first.v.startswith("[") and first.v.rstrip().endswith("}"))
+    return reader.json(path) if lines else reader.option("multiLine", True).json(path)
+
+
+def merge_folder(spark: SparkSession, folder: str, schema: T.StructType, suffix: str = "jsonl") -> DataFrame:
+    """All JSON lines of a folder's files of one suffix, with the file's name; other files are not read."""
+    d = spark.read.schema(schema).option("pathGlobFilter", f"*.{suffix}").json(folder)
+    return d.withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+
+
+def split_if_any(d: DataFrame, split: str) -> DataFrame:
+    """The rows of one split, if there is a split column with a value in any row; else all rows."""
+    if "split" not in d.columns or d.where("split is not null").isEmpty():
+        return d
+    return d.where(F.col("split") == split)
+
+
+def literal_cells(d: DataFrame, *columns: str) -> DataFrame:
+    """Columns of texts that hold JSON or Python literals as JSON texts; a text that is neither stays, blank ones are null."""
+    from spanloom.functions.json_tree import decoded
+
+    return d.withColumns({c: F.when(F.trim(c) != "", decoded(c)) for c in columns})
+
+
+def load_samples(d: DataFrame) -> DataFrame:
+    """Flat rows, or rows with conversations or messages, as samples: sample_id, system, query, tool_call, tool_response, answer; rows that hold none are left out."""
+    from spanloom.operators import rows
+
+    have = set(d.columns)
+    if not have & {"conversations", "messages"}:
+        return rows.flat_samples(d)
+    messages = rows.normalized_messages(*(F.col(c) if c in have else None for c in ("conversations", "messages")))
+    pick = lambda *names: F.coalesce(*[F.col(n).cast("string") for n in names if n in have], F.lit(""))
+    s = d.select(pick("id", "dialogue_id").alias("sample_id"), pick("system").alias("system"), rows.conversation_sample(messages).alias("s")).where("s is not null")
+    return s.select("sample_id", "system", "s.query", "s.tool_call", "s.tool_response", "s.answer")
