@@ -149,12 +149,19 @@ def span_matches(spark, sf_dir):
     return span_pairs(spark, sf_dir).select("doc_id", spans.match_iou(p, g).alias("by_iou"), spans.match_overlap(p, g).alias("by_overlap"), spans.match_hull(p, g).alias("by_hull"), spans.exact(p, g).alias("exact"))
 
 
-@query()
+_WORDS_SQL = r"""list_filter(list_distinct(flatten(list_transform({0}, lambda s: regexp_split_to_array(lower(substr(text, s.start + 1, s."end" - s.start)), '\s+')))), lambda x: x <> '')"""
+_F1_SQL = "case when len({0}) + len({1}) = 0 then 1.0 else 2 * len(list_intersect({0}, {1})) / (len({0}) + len({1})) end"
+
+
+@query(f"""with {LABELLED_SQL}, {SPANS_SQL}, m as (select doc_id, coalesce(len({_greedy_sql(f"{_BOTH} / {_UNION}", "x.v > 0.75", "DESC")}), 0) as matched, len(pred) as n_pred, len(gold) as n_gold, list_distinct(flatten(list_transform(pred, lambda s: range(s.start, s."end")))) as pc, list_distinct(flatten(list_transform(gold, lambda s: range(s.start, s."end")))) as gc, {_WORDS_SQL.format("pred")} as pw, {_WORDS_SQL.format("gold")} as gw,
+list_sort(list_distinct(list_transform(pred, lambda s: [s.start, s."end"]))) = list_sort(list_distinct(list_transform(gold, lambda s: [s.start, s."end"]))) as exact from pairs join (select doc_id, text from documents) using (doc_id)),
+r as (select coalesce(l.gold, 'ALL') as gold, sum(matched) tp, sum(n_pred) - sum(matched) fp, sum(n_gold) - sum(matched) fn, avg({_F1_SQL.format("pc", "gc")}) as mean_char_f1, avg({_F1_SQL.format("pw", "gw")}) as mean_token_f1, avg(cast(exact as double)) as exact_rate, count(*) as n from m join (select doc_id, gold from labelled) l using (doc_id) group by rollup (l.gold))
+select gold, cast(tp as bigint) tp, cast(fp as bigint) fp, cast(fn as bigint) fn, mean_char_f1, mean_token_f1, exact_rate, n, {SHARES_SQL} from r""")
 def span_metrics_by_class(spark, sf_dir):
     p, g = F.col("pred"), F.col("gold")
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    per = span_pairs(spark, sf_dir).join(docs, "doc_id").select("doc_id", F.size(p).alias("n_pred"), F.size(g).alias("n_gold"), spans.match_iou(p, g).alias("matched"), F.lit(0).alias("unlocatable"), spans.char_f1(p, g).alias("char_f1"), spans.token_f1(F.col("text"), p, g).alias("token_f1"), spans.exact(p, g).alias("exact"))
-    return metrics.span_report(per.join(labelled(spark, sf_dir).select("doc_id", "gold"), "doc_id"))
+    docs = labelled(spark, sf_dir).select("doc_id", "text", F.col("gold").alias("class"))
+    per = span_pairs(spark, sf_dir).join(docs, "doc_id").select("class", F.size(p).alias("n_pred"), F.size(g).alias("n_gold"), spans.match_iou(p, g).alias("matched"), F.lit(0).alias("unlocatable"), spans.char_f1(p, g).alias("char_f1"), spans.token_f1(F.col("text"), p, g).alias("token_f1"), spans.exact(p, g).alias("exact"))
+    return metrics.span_report(per.withColumnRenamed("class", "gold"))
 
 
 @query()
@@ -268,7 +275,9 @@ def json_edits(spark, sf_dir):
     return json_tree.edited(d, "o_orderkey", "json", "gone", "old", "new").select("o_orderkey", F.inline("changes"))
 
 
-@query()
+@query("""with i as (select l_orderkey k, l_linenumber n, l_partkey a, cast(l_quantity as bigint) q, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_quantity) as p from lineitem), g as (select k, count(*) as c, string_agg('{"l_linenumber":' || n || ',"l_partkey":' || a || ',"l_quantity":' || q || '}', ',' order by p) as items, string_agg('  l_linenumber: ' || n || chr(10) || '  l_partkey: ' || a || chr(10) || '  l_quantity: ' || q, chr(10) order by p) as lines,
+string_agg('{"type": "object", "properties": {"l_linenumber": {"enum": [' || n || ']}, "l_partkey": {"enum": [' || a || ']}, "l_quantity": {"enum": [' || q || ']}}, "required": ["l_linenumber", "l_partkey", "l_quantity"], "additionalProperties": false}', ', ' order by p) as parts from i group by k), j as (select *, '{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '","items":[' || items || ']}' as json from orders join g on o_orderkey = k)
+select o_orderkey, 'o_orderkey: ' || o_orderkey || chr(10) || 'o_orderstatus: ' || o_orderstatus || chr(10) || 'items:' || chr(10) || lines as lines, '{"type": "object", "properties": {"o_orderkey": {"enum": [' || o_orderkey || ']}, "o_orderstatus": {"enum": ["' || o_orderstatus || '"]}, "items": {"type": "array", "prefixItems": [' || parts || '], "minItems": ' || c || ', "maxItems": ' || c || '}}, "required": ["o_orderkey", "o_orderstatus", "items"], "additionalProperties": false}' as schema, json as recovered, json as first from j""")
 def json_text_forms(spark, sf_dir):
     d = orders_json(spark, sf_dir)
     return d.select("o_orderkey", json_tree.flatten_json("json").alias("lines"), json_tree.lock("json").alias("schema"), json_tree.recover_json(F.expr("substring(json, 1, length(json) - 1)")).alias("recovered"), json_tree.first_json(F.concat(F.lit("Answer: "), "json", F.lit(" done"))).alias("first"))
