@@ -49,10 +49,15 @@ def siblings(leaves: DataFrame, key: str) -> DataFrame:
     return d.join(counts, [key, "parent"], "left").withColumn("n_siblings", F.coalesce("n_siblings", F.lit(1).cast("bigint")))
 
 
+#: Texts that are values rather than content: numbers, percentages, dates, coordinates.
+VALUES = (r"-?\d+(?:\.\d+)?$", r"[+-]?\d+(?:\.\d+)?%$", r"\d{4}-\d{2}-\d{2}", r"\d{1,2}/\d{1,2}/\d{2,4}", r"-?\d{1,3}\.\d+$")
+
+
 def content_strings(leaves: DataFrame) -> DataFrame:
-    """Leaves whose value is a text with content: not empty, and no number, date or percentage."""
-    plain = r"\A\s*[-+]?[0-9][0-9,.]*\s*%?\s*\z|\A\s*[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ].*)?\s*\z|\A\s*[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{2,4}\s*\z"
-    return leaves.where((F.col("kind") == "string") & F.col("value").rlike(r"\S") & ~F.col("value").rlike(plain))
+    """Leaves that are texts with content: fields of objects, no bare list items, not blank, and no number, date or percentage."""
+    plain = r"\A(?:" + "|".join(VALUES) + ")"
+    item = F.coalesce(F.col("list_item") == F.col("path"), F.lit(False))
+    return leaves.where((F.col("kind") == "string") & ~item & F.col("value").rlike(r"\S") & ~F.trim("value").rlike(plain))
 
 
 def matches(leaves: DataFrame, raw: Column) -> Column:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF, SF2
-from spanloom import catalog, catalog_examples, catalog_rows, catalog_trees  # noqa: F401
+from spanloom import catalog, catalog_examples, catalog_rows, catalog_tools, catalog_trees  # noqa: F401
 from spanloom.functions import json_tree, text
 from spanloom.operators import dialogue, flows, metrics, spans
 from spanloom.plans import completion

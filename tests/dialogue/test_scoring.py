@@ -206,9 +206,8 @@ def test_edits_and_cascades(spark):
 
 
 def test_content_strings(spark):
-    values = [("string", "word"), ("string", "12.5%"), ("string", "2024-01-02"), ("string", " "), ("number", "5"), ("string", "1,200"), ("string", "3 apples")]
-    d = spark.createDataFrame(values, "kind string, value string")
-    assert [r.value for r in trees.content_strings(d).collect()] == ["word", "3 apples"]
+    d = spark.createDataFrame([(1, json.dumps({"a": "word", "b": "12.5%", "c": "2024-01-02T1", "d": " ", "e": 5, "f": "1,200", "g": ["bare", {"h": "3 apples"}], "i": "-77.03", "j": "1/2/24 late"}))], "k int, j string")
+    assert [r.value for r in trees.content_strings(json_tree.leaves(d, "k", "j")).orderBy("pos").collect()] == ["word", "1,200", "3 apples"]
 
 
 @pytest.mark.parametrize(
@@ -312,3 +311,21 @@ def test_streamed_batches_are_written_once(spark, tmp_path):
         crc.unlink()
     live.append_scored(stream(), lambda d: d.withColumn("s", F.col("k") * 2), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert sorted(r.s for r in spark.read.json(str(tmp_path / "out")).collect()) == [2, 4]
+
+
+def test_tools_and_fixes(spark):
+    from spanloom.operators import tools
+
+    calls = {"[GetWeather(city='P', days=2)]": ("GetWeather", ["city", "days"]), '{"name": " f ", "arguments": {}}': ("f", []), '{"name": "g", "arg': ("g", []), "": ("", [])}
+    d = spark.createDataFrame([(c,) for c in calls], "c string").select("c", tools.used_tool(F.col("c")).alias("n"), tools.call_parameters(F.col("c")).alias("p"))
+    assert {r.c: (r.n, r.p) for r in d.collect()} == calls
+    many = json.dumps([{"name": f"t{i}"} for i in range(20)])
+    got = one(spark, tools.offered_tools(F.col("s"), F.lit("t3()"), most=8), s=many)
+    assert len(got) == 8 and '{"name":"t3"}' not in got
+    assert one(spark, tools.defined_tools(F.col("s")), s="no list [1, 2]") == []
+    shown = one(spark, tools.few_shot_messages(F.lit("s"), [("q1", "a1")], F.lit("q")))
+    assert [tuple(x) for x in shown] == [("system", "s"), ("user", "q1"), ("assistant", "a1"), ("user", "q")]
+    assert one(spark, tools.coverage_fields(F.col("a")), a='["x", "y"]') == ["x", "y"] and one(spark, tools.coverage_fields(F.col("a")), a="oops") == []
+    kind = "array<struct<start:int,end:int,text:string>>"
+    rows_ = spark.createDataFrame([("clean", []), ("clean", [(0, 1, "a")]), ("overgeneration", []), ("overgeneration", [(0, 4, "it’s")]), ("overgeneration", [(9, 12, "x")])], f"k string, s {kind}")
+    assert [r.v for r in rows_.select(tools.example_reason(F.col("k"), F.lit("it's so"), F.col("s")).alias("v")).collect()] == [None, "SPANS_NOT_ALLOWED", "SPANS_MISSING", None, "OUTSIDE"]
