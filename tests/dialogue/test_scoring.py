@@ -327,5 +327,5 @@ def test_tools_and_fixes(spark):
     assert [tuple(x) for x in shown] == [("system", "s"), ("user", "q1"), ("assistant", "a1"), ("user", "q")]
     assert one(spark, tools.coverage_fields(F.col("a")), a='["x", "y"]') == ["x", "y"] and one(spark, tools.coverage_fields(F.col("a")), a="oops") == []
     kind = "array<struct<start:int,end:int,text:string>>"
-    rows_ = spark.createDataFrame([("clean", []), ("clean", [(0, 1, "a")]), ("overgeneration", []), ("overgeneration", [(0, 4, "it’s")]), ("overgeneration", [(9, 12, "x")])], f"k string, s {kind}")
+    rows_ = spark.createDataFrame([("clean", []), ("clean", [(0, 1, "i")]), ("overgeneration", []), ("overgeneration", [(0, 4, "it’s")]), ("overgeneration", [(9, 12, "x")])], f"k string, s {kind}")
     assert [r.v for r in rows_.select(tools.example_reason(F.col("k"), F.lit("it's so"), F.col("s")).alias("v")).collect()] == [None, "SPANS_NOT_ALLOWED", "SPANS_MISSING", None, "OUTSIDE"]
