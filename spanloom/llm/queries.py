@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spanloom.llm import decontamination, html_extraction, mixing, near_duplicates, pii, quality_classifier, quality_rules, token_files, toxicity, url_filters
-from spanloom.llm.common import table
+from spanloom.llm import decontamination, html_extraction, mixing, near_duplicates, neighbours, periodic_runs, pii, quality_classifier, quality_rules, token_files, toxicity, url_filters, whitening
+from spanloom.llm.common import WORD, table
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -63,8 +64,38 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("number") % 20 == 0)
+
+
+def looped_text(doc_id: Column, text: Column) -> Column:
+    """The texts that op13 searches: of every tenth document by hash, the words from some place on repeat the first few there. The words of a text, or null."""
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10).cast("bigint")
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    n = F.size(words)
+    a = F.pmod(g, n)
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    loop = F.slice(words, (a + 1).cast("int"), p.cast("int"))
+    rest = F.slice(F.flatten(F.array_repeat(loop, F.ceil((n - a) / p).cast("int"))), F.lit(1), (n - a).cast("int"))
+    return F.when((h % 10 == 0) & text.rlike(WORD), F.array_join(F.concat(F.slice(words, F.lit(1), a.cast("int")), rest), " ")).otherwise(text)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", looped_text(F.col("doc_id"), F.col("text").cast("string")).alias("text"))
+    found = periodic_runs.find_runs(documents).withColumn("r", periodic_runs.strongest(F.col("runs")))
+    line = lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))
+    digest = F.sha2(F.array_join(F.transform("runs", line), ""), 256)
+    exponent = F.expr("1000 * r.length div r.period")
+    return found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), "r.start", "r.length", "r.period", exponent.alias("exponent_milli"), digest.alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_extraction, op2_toxicity, op3_quality_classifier, op4_token_files, op5_near_duplicates, op6_mixing, op7_quality_rules, op8_pii, op9_url_filters, op10_decontamination)
+    f.__name__: f for f in (op1_html_extraction, op2_toxicity, op3_quality_classifier, op4_token_files, op5_near_duplicates, op6_mixing, op7_quality_rules, op8_pii, op9_url_filters, op10_decontamination, op11_whitening, op12_neighbours, op13_periodic_runs)
 }
 
 ORACLES: dict[str, str] = {"op9_url_filters": url_filters.ORACLE}

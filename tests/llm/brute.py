@@ -108,3 +108,18 @@ def duplicate_classes(rows, weight=lambda gram: 1.0, similarity=0.8):
         if t is not None:
             least[at[t]] = min(least.get(at[t], d), d)
     return {d: d if t is None else least[at[t]] for d, t in rows}
+
+
+def periodic_runs(words, shortest=6, times=4):
+    """(start, length, period) by walking along each shift of the words; of equal stretches the smallest period, which comes first."""
+    n, found = len(words), {}
+    for q in range(1, n // times + 1):
+        i = 0
+        while i < n - q:
+            j = i
+            while j < n - q and words[j] == words[j + q]:
+                j += 1
+            if j > i and j - i + q >= max(shortest, times * q):
+                found.setdefault((i, j - i + q), q)
+            i = max(j, i + 1)
+    return sorted(((s, length, q) for (s, length), q in found.items()), key=lambda r: (r[0], r[2]))
