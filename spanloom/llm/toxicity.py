@@ -1,11 +1,15 @@
 """Operator 2: toxicity by a subsequence string-kernel support vector machine with Nystroem landmarks.
 
-Units are words (letters and digits only, lower case), runs of single characters written apart, and windows of overlong words. The
-kernel of two units is the sum over all common subsequences of 3 or 4 characters within a span of 6, each occurrence weighted by
-decay ** span: inserted characters and gaps lower a match, but don't end it. Landmarks give a Nystroem map of that kernel; a squared
-hinge support vector machine is trained on it. Labels are of whole texts, so the machine is trained on bags: of a toxic text, its
-likeliest unit counts as toxic, and the choice is repeated with the machine trained so far; units of clean texts are negatives, and
-those scored highest are added each time. A text's score is the logistic function, fitted to the training texts, of its highest unit.
+Units are words (letters and digits only, lower case), runs of single characters written apart, two short words that stand side by side
+as one, and windows of overlong words. The kernel of two units is the sum over all common subsequences of 3 to 5 characters with the gaps of
+PATTERNS, each occurrence weighted by its length and by decay for each character left out: inserted characters lower a match, but don't
+end it. A word with a letter behind each of its letters still holds all that it has in a row. Landmarks give a Nystroem map of that
+kernel; a squared hinge support vector machine is trained on it. Labels are of whole texts, so the machine is trained on bags: the units
+of a toxic text that are likeliest to be why share that text's weight as positives, and the choice is repeated with the machine trained
+so far; units of clean texts are negatives, and those scored highest are added each time. Units chosen for many texts are positives in
+bent forms as well, with letters put in at random, of the same weight as the plain form: the machine then weighs the subsequences that
+survive. A text's score is the logistic function of its highest unit, fitted to the training texts, toxic ones also with their known
+units bent.
 
 The decision of one unit is a sum over landmarks of weighted kernels. Each kernel is an inner product over subsequences, so the
 landmarks' weights are added up once into one table over hashed subsequences, and a unit costs one look-up for each of its own.
@@ -16,6 +20,7 @@ Null and empty texts, and those without letters or digits, get the score of a te
 from __future__ import annotations
 
 import itertools
+import random
 import re
 import zlib
 from collections import Counter
@@ -28,16 +33,34 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.common import fold, labelled_sample, small_batches
 
-SPAN, DECAY, BITS, LONGEST = 6, 0.8, 18, 24
-#: Offsets of the second, third and fourth character of a subsequence.
-PATTERNS = [o for n in (2, 3) for o in itertools.combinations(range(1, SPAN), n)]
+DECAY, BITS, LONGEST = 0.85, 18, 24
+#: A subsequence of 3 to 5 characters is in a row, has characters left out at one place (one, or two of 4 characters), or one left out
+#: everywhere, also but for the first place (behind the start mark): the offsets of its second and later characters.
+PATTERNS = sorted(
+    {tuple(itertools.accumulate(gaps)) for n in (2, 3, 4) for gaps in [(1,) * n, (2,) * n, (1,) + (2,) * (n - 1), *((1,) * i + (2,) + (1,) * (n - 1 - i) for i in range(n))]}
+    | {tuple(itertools.accumulate((1,) * i + (3,) + (1,) * (2 - i))) for i in range(3)},
+    key=lambda o: (len(o), o),
+)
+SPAN = max(o[-1] for o in PATTERNS) + 1
+#: Weight of a subsequence by its length, besides decay for each character left out: the longer, the less it says by chance.
+BY_LENGTH = {3: 0.4, 4: 0.8, 5: 1.2}
+#: Two words side by side are also taken as one if neither is longer than SHORT and both together have JOINED characters.
+SHORT, JOINED = 8, (4, 12)
+#: Labelled texts of either kind from which on a fifth is kept aside for the logistic function.
+ENOUGH = 150
+#: Words in that share of the clean training texts are common.
+COMMON = 0.08
+#: A unit's value beyond which no text gets likelier to be toxic.
+SURE = 1.5
+#: Characters in a row that landmarks hold beside whole units: what of a unit survives letters put in.
+PIECES = (3, 4, 5)
 OTHER = re.compile(r"[\W_]+")
 APART = re.compile(r"(?<![^\W_])(?:[^\W_][\W_]+){2,}[^\W_](?![^\W_])")
 CACHED = 300_000
 
 
-def units(text: str | None) -> set[str]:
-    """The units of a whole text."""
+def units(text: str | None, common: frozenset[str] = frozenset()) -> set[str]:
+    """The units of a whole text. Common words aren't joined with others: they are no halves of a word."""
     lower = (text or "").lower()
     words = set(lower.split())
     found = set()
@@ -48,6 +71,8 @@ def units(text: str | None) -> set[str]:
             found.add(word)
         else:
             found.update(word[i : i + LONGEST] for i in range(0, len(word) - LONGEST // 2, LONGEST // 2))
+    plain = [w if w.isalnum() else OTHER.sub("", w) for w in lower.split()]
+    found.update(a + b for a, b in set(itertools.pairwise(plain)) if a and b and len(a) <= SHORT and len(b) <= SHORT and a not in common and b not in common and JOINED[0] <= len(a) + len(b) <= JOINED[1])
     for run in APART.findall(lower) if APART.search(lower) else ():
         run = OTHER.sub("", run)
         found.update(run[i : i + LONGEST] for i in range(0, max(1, len(run) - LONGEST // 2), LONGEST // 2))
@@ -64,6 +89,10 @@ def _characters(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return chars, sizes
 
 
+def weight_of(offsets: tuple[int, ...]) -> float:
+    return BY_LENGTH[len(offsets) + 1] * DECAY ** (offsets[-1] - len(offsets))
+
+
 def _subsequences(names: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
     """For each pattern of offsets: hashes at each start, where the pattern fits, and its weight."""
     chars, sizes = _characters(names)
@@ -74,7 +103,7 @@ def _subsequences(names: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, fl
         for n, o in enumerate(offsets):
             h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B) + chars[:, o : o + width] * np.uint32(0xC2B2AE35 + 2 * n)
         h = (h ^ (h >> np.uint32(13))) * np.uint32(0x27D4EB2F)
-        yield h >> np.uint32(32 - BITS), at < (sizes - offsets[-1])[:, None], DECAY ** (offsets[-1] + 1)
+        yield h >> np.uint32(32 - BITS), at < (sizes - offsets[-1])[:, None], weight_of(offsets)
 
 
 def table_of(names: list[str], weights: np.ndarray) -> np.ndarray:
@@ -118,7 +147,8 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 25) -> np
 class ToxicityModel:
     """table: the landmarks' weighted maps added up; slope and shift: of the logistic function over the highest unit."""
 
-    def __init__(self, table: np.ndarray, bias: float, slope: float, shift: float) -> None:
+    def __init__(self, table: np.ndarray, bias: float, slope: float, shift: float, common: frozenset[str] = frozenset()) -> None:
+        self.common = common
         self.table, self.bias, self.slope, self.shift = table.astype(np.float32), bias, slope, shift
         self._seen: dict[str, float] = {}
 
@@ -129,7 +159,7 @@ class ToxicityModel:
         return against(names, self.table) + self.bias
 
     def highest(self, texts: list[str | None]) -> np.ndarray:
-        bags = [units(x) for x in texts]
+        bags = [units(x, self.common) for x in texts]
         seen = self._seen
         if len(seen) > CACHED:
             seen.clear()
@@ -139,37 +169,64 @@ class ToxicityModel:
             seen.update(zip(part, self.decide(part).tolist(), strict=True))
         return np.array([max(map(seen.__getitem__, bag), default=self.bias) for bag in bags])
 
+    def value(self, unit: str) -> float:
+        return self._seen[unit] if unit in self._seen else float(self.decide([unit])[0])
+
     def score(self, texts: list[str | None]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.highest(texts) + self.shift, -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(self.slope * np.minimum(self.highest(texts), SURE) + self.shift, -40, 40)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and shift of a one-variable logistic regression with Platt's targets."""
-    n1, n0 = y.sum(), (1 - y).sum()
+    n1, n0 = (weight * y).sum(), (weight * (1 - y)).sum()
     target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     a = np.c_[x, np.ones(len(x))]
     w = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -40, 40)))
-        step = np.linalg.solve((a * (p * (1 - p) + 1e-9)[:, None]).T @ a + 1e-3 * np.eye(2), a.T @ (p - target) + 1e-3 * w)
+        step = np.linalg.solve((a * (weight * (p * (1 - p) + 1e-9))[:, None]).T @ a + 1e-3 * np.eye(2), a.T @ (weight * (p - target)) + 1e-3 * w)
         w -= np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
     return float(max(w[0], 0.1)), float(w[1])
 
 
+#: Weight of a unit's forms with a letter behind each of its letters, which match least, by that of the unit.
+SPREAD_WEIGHT = 8.0
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
 def _bent(name: str) -> list[str]:
-    """The unit with one character inserted or doubled, so that the machine is trained to bear that."""
-    return [name[:i] + c + name[i:] for i in range(1, len(name)) for c in ("x", "0", name[i])] if 4 <= len(name) < LONGEST else []
+    """The unit with characters put in, so that the machine is trained to bear that: two letters by chance at each place inside, each character doubled, and letters behind all characters, by chance or all the same. Chance depends on the unit only."""
+    if not 4 <= len(name) <= LONGEST // 2:
+        return []
+    chance = random.Random(_order(name))
+    out = [name[:i] + c + name[i:] for i in range(1, len(name)) for c in (*chance.sample(LETTERS, 2), name[i])]
+    return list(dict.fromkeys([*out, *_spread(name)]))
+
+
+def _spread(name: str) -> list[str]:
+    """The unit with letters behind all its characters, by chance or all the same. What such forms have in common are the subsequences of characters in a row."""
+    chance = random.Random(~_order(name))
+    by_chance = ["".join(c + chance.choice(LETTERS) for c in name) for _ in range(12)]
+    return by_chance + [c.join(name) for c in chance.sample(LETTERS, 6)] if 4 <= len(name) <= LONGEST // 2 else []
 
 
 def _order(name: str) -> int:
     return zlib.crc32(name.encode("utf-8", "surrogatepass"))
 
 
-def train(texts: list[str | None], toxic: list[int], landmarks: int = 96, rounds: int = 3, negatives: int = 2400, cost: float = 20.0) -> ToxicityModel:
+def train(texts: list[str | None], toxic: list[int], landmarks: int = 192, rounds: int = 3, negatives: int = 4000, mined: int = 120_000, cost: float = 30.0, near: float = 1.5) -> ToxicityModel:
     """Trains on labelled texts. With one label only, every text gets that label's score."""
-    bags = [sorted(units(x)) for x in texts]
+    aside: list[str | None] = []
+    aside_y: list[int] = []
+    if sum(toxic) >= ENOUGH and len(toxic) - sum(toxic) >= ENOUGH:
+        rest = [zlib.crc32(b"aside" + (x or "").encode("utf-8", "surrogatepass")) % 5 == 0 for x in texts]
+        aside, aside_y = [x for x, r in zip(texts, rest, strict=True) if r], [t for t, r in zip(toxic, rest, strict=True) if r]
+        texts, toxic = [x for x, r in zip(texts, rest, strict=True) if not r], [t for t, r in zip(toxic, rest, strict=True) if not r]
+    counted = Counter(w for x, t in zip(texts, toxic, strict=True) if not t for w in {OTHER.sub("", w) for w in (x or "").lower().split()})
+    common = frozenset(w for w, n in counted.items() if n >= max(2, COMMON * len(texts)))
+    bags = [sorted(units(x, common)) for x in texts]
     y = np.array(toxic, float)
     if not len(y) or y.min() == y.max():
         return ToxicityModel(np.zeros(1 << BITS), 0.0, 0.0, -6.0 if not len(y) or not y.max() else 6.0)
@@ -178,39 +235,68 @@ def train(texts: list[str | None], toxic: list[int], landmarks: int = 96, rounds
     n1, n0 = y.sum(), (1 - y).sum()
     odds = {u: np.log((n + 0.5) / (n1 + 1)) - np.log((in_clean[u] + 0.5) / (n0 + 1)) for u, n in in_toxic.items()}
     positive_bags = [bag for bag, t in zip(bags, toxic, strict=True) if t and bag]
-    chosen = [max(bag, key=lambda u: (odds[u], _order(u))) for bag in positive_bags]
-    clean = sorted(in_clean, key=lambda u: (_order(u), u))
+    chosen = _likeliest(positive_bags, odds, near)
+    clean = sorted(in_clean, key=lambda u: (-in_clean[u], _order(u), u))[:mined]
     hard = clean[:negatives]
     model = None
     for _ in range(rounds):
-        positives = Counter(chosen)
-        marks = [u for u, _ in positives.most_common(landmarks * 2 // 3)]
-        marks += [u for u in hard[::-1] if u not in positives][: landmarks - len(marks)]
+        positives = chosen
+        marks = sorted(positives, key=lambda u: (-positives[u], u))[: landmarks // 8]
+        pieces: Counter[str] = Counter()
+        for u, n in positives.items():
+            pieces.update(dict.fromkeys((u[i : i + k] for k in PIECES for i in range(len(u) - k + 1)), n))
+        marks += sorted(pieces, key=lambda v: (-pieces[v] * len(v), v))[: landmarks * 5 // 8]
+        marks = list(dict.fromkeys([*marks, *hard[::-1]]))[:landmarks]
         maps = np.empty((1 << BITS, len(marks)), np.float32)
         for i, u in enumerate(marks):
             maps[:, i] = table_of([u], np.ones(1))
         value, vector = np.linalg.eigh(against(marks, maps).astype(float))
         root = vector[:, value > 1e-3] / np.sqrt(value[value > 1e-3])
-        share = {v: max(1.0, 0.2 * positives[u] / len(_bent(u))) for u in marks if positives[u] > 1 for v in _bent(u)}
+        share = {v: SPREAD_WEIGHT * positives[u] / len(_spread(u)) if v in _spread(u) else positives[u] / len(_bent(u)) for u in _known(positives) for v in _bent(u)}
         bent = sorted(set(share).difference(positives, in_clean))
         names = sorted(positives) + bent + sorted(set(hard) - set(positives))
         sign = np.array([1.0] * (len(positives) + len(bent)) + [-1.0] * (len(names) - len(positives) - len(bent)))
-        weight = np.array([float(positives.get(u) or share.get(u, 1)) for u in names])
+        weight = np.array([float(positives[u] if u in positives else share[u] if u in share else in_clean[u] ** 0.7) for u in names])
         for s in (1, -1):
-            weight[sign == s] *= cost * 100 / max(weight[sign == s].sum(), 1)
+            weight[sign == s] *= cost * (100 if s > 0 else 400) / max(weight[sign == s].sum(), 1)
         k = np.concatenate([against(names[i : i + 512], maps) for i in range(0, len(names), 512)])
         w = _svm(k @ root, sign, weight)
-        model = ToxicityModel(maps @ (root @ w[:-1]).astype(np.float32), float(w[-1]), 1.0, 0.0)
+        model = ToxicityModel(maps @ (root @ w[:-1]).astype(np.float32), float(w[-1]), 1.0, 0.0, common)
         value_of = dict(zip(clean, np.concatenate([model.decide(clean[i : i + 4096]) for i in range(0, len(clean), 4096)]).tolist(), strict=True)) if clean else {}
         hardest = sorted(value_of, key=value_of.get)[-negatives // 2 :]
         hard = list(dict.fromkeys([*hard[:negatives // 2], *hardest]))
         rest = sorted(set(in_toxic).difference(value_of))
         value_of |= dict(zip(rest, np.concatenate([model.decide(rest[i : i + 4096]) for i in range(0, len(rest), 4096)]).tolist(), strict=True)) if rest else {}
-        chosen = [max(bag, key=lambda u: (value_of[u] + 0.15 * min(odds[u], 4.0), u)) for bag in positive_bags]
-    model.slope, model.shift = _logistic(np.array([max((value_of[u] for u in bag), default=model.bias) for bag in bags]), y)
+        chosen = _likeliest(positive_bags, {u: odds[u] + 0.4 * min(max(value_of[u], -1.0), 1.0) for u in odds}, near)
+    # The logistic function is fitted to texts that the machine has not seen, where there are enough of them.
+    last_texts, last_y = (aside, aside_y) if aside else (texts, toxic)
+    forms = {u: float(np.median(model.decide(v))) for u in _known(chosen) if (v := _bent(u))}
+    plain = model.highest(last_texts)
+    last_bags = [units(x, common) for x, t in zip(last_texts, last_y, strict=True) if t]
+    bent = np.array([max((forms[u] if u in forms else model.value(u) for u in bag), default=model.bias) for bag in last_bags])
+    y = np.array(last_y, float)
+    values, weights = np.minimum(np.r_[plain, bent], SURE), np.r_[np.where(y == 1, 0.5, 1.0), np.full(len(bent), 0.5)]
+    model.slope, model.shift = _logistic(values, np.r_[y, np.ones(len(bent))], weights)
     return model
 
 
+def _likeliest(bags: list[list[str]], odds: dict[str, float], near: float) -> dict[str, float]:
+    """Each text's weight of 1, shared by its units with odds near the best: a text with two insults teaches both."""
+    out: dict[str, float] = {}
+    for bag in bags:
+        best = max(odds[u] for u in bag)
+        own = [u for u in bag if odds[u] >= best - near]
+        for u in own:
+            out[u] = out.get(u, 0.0) + 1 / len(own)
+    return out
+
+
+def _known(positives: dict[str, float]) -> list[str]:
+    """Units that stand for several texts: over 1, and a fiftieth of all."""
+    least = max(1.0, sum(positives.values()) / 50)
+    return sorted(u for u, n in positives.items() if n > least)
+
+
 def fit(documents: DataFrame, labels: DataFrame, keep: Column, per_class: int = 1200, seed: int = 7) -> ToxicityModel:
     """Trains on at most per_class labelled texts of either kind, for which keep holds."""
     rows = labelled_sample(documents, labels, "toxic", keep, per_class, seed)

@@ -1,6 +1,7 @@
 """The corpus operators against plain versions, on the small tables."""
 
 import html as html_module
+import random
 import re
 import unicodedata
 import zlib
@@ -118,6 +119,45 @@ def test_op2_bears_gaps_and_inserted_characters():
     assert (scores[:5] >= 0.3).all() and (scores[5:] < 0.3).all()
 
 
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.1"])
+def test_op2_one_altered_insult_in_a_clean_sentence(spark, sf):
+    """Trained on the contract's fold; sentences of held-out clean texts with one insult, altered at random."""
+    documents, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
+    model = toxicity.fit(documents, labels, ~toxicity.held_out(4, 2))
+    rows = documents.join(labels.where("toxic = 0"), "doc_id").where(toxicity.held_out(4, 2)).select("text").where("text is not null").orderBy("doc_id").limit(400).collect()
+    clean = [" ".join(r.text.split()[:25]) for r in rows if len(r.text.split()) >= 25][:150]
+    chance = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    at = lambda w: chance.randrange(1, len(w))
+    forms = {
+        "plain": lambda w: w,
+        "letter put in": lambda w: (lambda i: w[:i] + chance.choice(letters) + w[i:])(at(w)),
+        "blank": lambda w: (lambda i: w[:i] + " " + w[i:])(chance.randrange(2, len(w) - 1)),
+        "letter changed": lambda w: (lambda i: w[:i] + chance.choice(letters) + w[i + 1 :])(at(w)),
+        "dots": ".".join,
+        "letter behind each": lambda w: "".join(c + chance.choice(letters) for c in w),
+    }
+    insults = ["trash", "pathetic", "idiot", "worthless", "disgusting", "stupid", "clown", "loser", "scum", "moron"]
+    found = {}
+    for name, form in forms.items():
+        texts = []
+        for k, sentence in enumerate(clean):
+            words = sentence.split()
+            words.insert(chance.randrange(len(words)), form(insults[k % 10]))
+            texts.append(" ".join(words))
+        found[name] = float((model.score(texts) >= 0.3).mean())
+    assert (model.score(clean) >= 0.3).mean() <= 0.05
+    assert min(found["plain"], found["dots"]) >= 0.95 and found["letter put in"] >= 0.8 and found["blank"] >= 0.7 and found["letter changed"] >= 0.7, found
+    assert found["letter behind each"] >= 0.15, found  # the weakest: see README
+
+
+def test_op2_one_very_long_text():
+    model = toxicity.train(["you stupid fool", "good morning all of you"] * 10, [1, 0] * 10)
+    long = " ".join(f"word{i % 5000}" for i in range(1_200_000))
+    score = model.score([long, long + " stupid", "x" * 10_000_000])
+    assert score[1] > score[0] and (score >= 0).all() and (score <= 1).all()
+
+
 def test_op2_one_label_only():
     assert (toxicity.train(["a", "b"], [0, 0]).score(["a", None]) < 0.3).all()
     assert (toxicity.train([], []).score(["a"]) < 0.3).all()
@@ -132,7 +172,7 @@ def test_op2_unit_kernel_is_the_sum_over_common_subsequences():
         for i in range(len(padded)):
             for offsets in toxicity.PATTERNS:
                 if i + offsets[-1] < len(padded):
-                    phi[(len(offsets), padded[i], *(padded[i + o] for o in offsets))] += toxicity.DECAY ** (offsets[-1] + 1)
+                    phi[(len(offsets), padded[i], *(padded[i + o] for o in offsets))] += toxicity.weight_of(offsets)
         maps.append(phi)
     plain = sum(v * maps[1][k] for k, v in maps[0].items()) / np.prod(toxicity.unit_norms([a, b]))
     assert toxicity.against([b], toxicity.table_of([a], np.ones(1)))[0] == pytest.approx(plain, rel=1e-3)
