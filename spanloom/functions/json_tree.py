@@ -9,8 +9,10 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 
 class Number(str):
@@ -52,16 +54,22 @@ def kind_of(value: Any) -> str:
 
 def walk(tree: Any) -> Iterator[tuple[str, str | None, Any]]:
     """(dot path, path of the innermost list item around or None, scalar) of each leaf, in order; list places count as path parts."""
-    stack: list[tuple[str, str | None, Any]] = [("", None, tree)]
+    return ((path, group, value) for path, group, _, value in walk_named(tree))
+
+
+def walk_named(tree: Any) -> Iterator[tuple[str, str | None, str, Any]]:
+    """walk() with the dot path of object keys alone, without list places, before the scalar."""
+    stack: list[tuple[str, str | None, str, Any]] = [("", None, "", tree)]
     while stack:
-        path, group, node = stack.pop()
+        path, group, names, node = stack.pop()
         listed = isinstance(node, list)
         items = list(node.items()) if isinstance(node, dict) else [(str(i), v) for i, v in enumerate(node)] if listed else None
         if items is None:
-            yield path, group, node
+            yield path, group, names, node
         else:
-            paths = [(f"{path}.{k}" if path else k, v) for k, v in items]
-            stack.extend((p, p if listed else group, v) for p, v in reversed(paths))
+            for k, v in reversed(items):
+                p = f"{path}.{k}" if path else k
+                stack.append((p, p if listed else group, names if listed else f"{names}.{k}" if names else k, v))
 
 
 def flat_text(tree: Any, depth: int = 0) -> list[str]:
@@ -332,6 +340,27 @@ def leaves(rows: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, text).mapInPandas(run, f"{key} {kind}, pos int, path string, list_item string, kind string, value string")
 
 
+def printed(value: Any) -> str:
+    """A scalar as Python prints it once decoded: True, None, 1.5 for 1.50."""
+    return repr(float(value)) if isinstance(value, Number) and not value.lstrip("-").isdigit() else scalar_text(value)
+
+
+def printed_leaves(rows: DataFrame, text: str, into: str, under: str | None = None) -> DataFrame:
+    """rows with into: array of struct(path, names: the path without list places, kind, value: as Python prints it), a leaf each, in order; null for a text that is no JSON. With under: only what stands under that key of the root, if it has it."""
+    fields = list(rows.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([(n, pa.string()) for n in ("path", "names", "kind", "value")]))
+        for batch in batches:
+            trees = [decode(t) for t in batch.column(text).to_pylist()]
+            inner = [t[under] if under is not None and isinstance(t, dict) and under in t else t for t in trees]
+            leaves = [None if t is None else [{"path": p, "names": n, "kind": kind_of(v), "value": printed(v)} for p, _, n, v in walk_named(t)] for t in inner]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaves, kind)], [*batch.schema.names, into])
+
+    schema = StructType([*fields, StructField(into, ArrayType(StructType([StructField(n, StringType()) for n in ("path", "names", "kind", "value")])))])
+    return rows.mapInArrow(run, schema)
+
+
 def edited(rows: DataFrame, key: str, text: str, deletes: str, old: str, new: str) -> DataFrame:
     """rows(key, text, deletes: array of paths, old, new) -> key, json, replaced, and changes: array of struct(path, before, after, change).
 

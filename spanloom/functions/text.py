@@ -75,13 +75,14 @@ def tag_spans(c: Column, tag: str) -> Column:
     import re
 
     pattern = rf"(?s)<{re.escape(tag)}>(.*?)</{re.escape(tag)}>"
-    parts = F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
-    between = F.split(c, pattern, -1)
+    # What stands before each tag goes along with it: split inside the fold would be done again for every tag.
+    pairs = F.arrays_zip(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)).alias("part"), F.split(c, pattern, -1).alias("before"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("spans"))
 
     def step(acc: Column, p: Column) -> Column:
-        i = F.size(acc["spans"])
-        a = acc["at"] + F.length(F.get(between, i))
-        return F.struct((a + F.length(p)).alias("at"), F.array_append(acc["spans"], F.struct(a.alias("start"), (a + F.length(p)).alias("end"), p.alias("text"))).alias("spans"))
+        a = acc["at"] + F.length(p["before"])
+        end = a + F.length(p["part"])
+        return F.struct(end.alias("at"), F.array_append(acc["spans"], F.struct(a.alias("start"), end.alias("end"), p["part"].alias("text"))).alias("spans"))
 
-    return F.struct(F.regexp_replace(c, pattern, "$1").alias("text"), F.aggregate(parts, start, step, lambda acc: acc["spans"]).alias("spans"))
+    tags = F.slice(pairs, F.lit(1), F.greatest(F.size(pairs) - 1, F.lit(0)))
+    return F.struct(F.regexp_replace(c, pattern, "$1").alias("text"), F.aggregate(tags, start, step, lambda acc: acc["spans"]).alias("spans"))

@@ -89,17 +89,18 @@ def _tagged(c: Column, pattern: str, groups: tuple[str, ...], shown: int) -> Col
     """struct(text, spans): the text with each match of the pattern replaced by one of its groups, and where these stand, with all groups by name."""
     found = [F.regexp_extract_all(c, F.lit(pattern), F.lit(i + 1)) for i in range(len(groups))]
     fields = "".join(f",{g}:string" for g in groups)
-    between = F.split(c, pattern, -1)
     start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<start:int,end:int{fields}>>").alias("spans"))
-    zipped = F.arrays_zip(*[x.alias(g) for x, g in zip(found, groups, strict=True)])
+    # What stands before each match goes along with it: split inside the fold would be done again for every match.
+    zipped = F.arrays_zip(*[x.alias(g) for x, g in zip(found, groups, strict=True)], F.split(c, pattern, -1).alias("before"))
 
     def step(acc: Column, m: Column) -> Column:
         part = m[groups[shown]]
-        a = acc["at"] + F.length(F.get(between, F.size(acc["spans"])))
+        a = acc["at"] + F.length(m["before"])
         one = F.struct(a.alias("start"), (a + F.length(part)).alias("end"), *[m[g].alias(g) for g in groups])
         return F.struct((a + F.length(part)).alias("at"), F.array_append(acc["spans"], one).alias("spans"))
 
-    return F.struct(F.regexp_replace(c, F.lit(pattern), F.lit(f"${shown + 1}")).alias("text"), F.aggregate(zipped, start, step, lambda acc: acc["spans"]).alias("spans"))
+    matches = F.slice(zipped, F.lit(1), F.greatest(F.size(zipped) - 1, F.lit(0)))
+    return F.struct(F.regexp_replace(c, F.lit(pattern), F.lit(f"${shown + 1}")).alias("text"), F.aggregate(matches, start, step, lambda acc: acc["spans"]).alias("spans"))
 
 
 def data_spans(c: Column) -> Column:
