@@ -45,7 +45,7 @@ SPAN = max(o[-1] for o in PATTERNS) + 1
 #: Weight of a subsequence by its length, besides decay for each character left out: the longer, the less it says by chance.
 BY_LENGTH = {3: 0.4, 4: 0.8, 5: 1.2}
 #: Two words side by side are also taken as one if neither is longer than SHORT and both together have JOINED characters.
-SHORT, JOINED = 8, (4, 12)
+SHORT, JOINED = 7, (4, 10)
 #: Labelled texts of either kind from which on a fifth is kept aside for the logistic function.
 ENOUGH = 150
 #: Words in that share of the clean training texts are common.
@@ -62,17 +62,18 @@ CACHED = 300_000
 def units(text: str | None, common: frozenset[str] = frozenset()) -> set[str]:
     """The units of a whole text. Common words aren't joined with others: they are no halves of a word."""
     lower = (text or "").lower()
-    words = set(lower.split())
+    row = lower.split()
+    plain = {w: w if w.isalnum() else OTHER.sub("", w) for w in set(row)}
     found = set()
-    for word in words:
-        if not word.isalnum():
-            word = OTHER.sub("", word)
+    for word in plain.values():
         if len(word) <= LONGEST:
             found.add(word)
         else:
             found.update(word[i : i + LONGEST] for i in range(0, len(word) - LONGEST // 2, LONGEST // 2))
-    plain = [w if w.isalnum() else OTHER.sub("", w) for w in lower.split()]
-    found.update(a + b for a, b in set(itertools.pairwise(plain)) if a and b and len(a) <= SHORT and len(b) <= SHORT and a not in common and b not in common and JOINED[0] <= len(a) + len(b) <= JOINED[1])
+    halves = {w: x if 0 < len(x) <= SHORT and x not in common else "" for w, x in plain.items()}
+    half = [halves[w] for w in row]
+    least, most = JOINED
+    found.update([a + b for a, b in set(zip(half, half[1:], strict=False)) if a and b and least <= len(a) + len(b) <= most])
     for run in APART.findall(lower) if APART.search(lower) else ():
         run = OTHER.sub("", run)
         found.update(run[i : i + LONGEST] for i in range(0, max(1, len(run) - LONGEST // 2), LONGEST // 2))
@@ -163,7 +164,7 @@ class ToxicityModel:
         seen = self._seen
         if len(seen) > CACHED:
             seen.clear()
-        new = sorted(set().union(*bags).difference(seen))
+        new = sorted(set().union(*bags).difference(seen), key=len)  # units of like length waste no places
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
             seen.update(zip(part, self.decide(part).tolist(), strict=True))
