@@ -276,8 +276,8 @@ def json_edits(spark, sf_dir):
 
 
 @query("""with i as (select l_orderkey k, l_linenumber n, l_partkey a, cast(l_quantity as bigint) q, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_quantity) as p from lineitem), g as (select k, count(*) as c, string_agg('{"l_linenumber":' || n || ',"l_partkey":' || a || ',"l_quantity":' || q || '}', ',' order by p) as items, string_agg('  l_linenumber: ' || n || chr(10) || '  l_partkey: ' || a || chr(10) || '  l_quantity: ' || q, chr(10) order by p) as lines,
-string_agg('{"type": "object", "properties": {"l_linenumber": {"enum": [' || n || ']}, "l_partkey": {"enum": [' || a || ']}, "l_quantity": {"enum": [' || q || ']}}, "required": ["l_linenumber", "l_partkey", "l_quantity"], "additionalProperties": false}', ', ' order by p) as parts from i group by k), j as (select *, '{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '","items":[' || items || ']}' as json from orders join g on o_orderkey = k)
-select o_orderkey, 'o_orderkey: ' || o_orderkey || chr(10) || 'o_orderstatus: ' || o_orderstatus || chr(10) || 'items:' || chr(10) || lines as lines, '{"type": "object", "properties": {"o_orderkey": {"enum": [' || o_orderkey || ']}, "o_orderstatus": {"enum": ["' || o_orderstatus || '"]}, "items": {"type": "array", "prefixItems": [' || parts || '], "minItems": ' || c || ', "maxItems": ' || c || '}}, "required": ["o_orderkey", "o_orderstatus", "items"], "additionalProperties": false}' as schema, json as recovered, json as first from j""")
+string_agg('{"type": "object", "properties": {"l_linenumber": {"type": "integer", "enum": [' || n || ']}, "l_partkey": {"type": "integer", "enum": [' || a || ']}, "l_quantity": {"type": "integer", "enum": [' || q || ']}}, "required": ["l_linenumber", "l_partkey", "l_quantity"], "additionalProperties": false}', ', ' order by p) as parts from i group by k), j as (select *, '{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '","items":[' || items || ']}' as json from orders join g on o_orderkey = k)
+select o_orderkey, 'o_orderkey: ' || o_orderkey || chr(10) || 'o_orderstatus: ' || o_orderstatus || chr(10) || 'items:' || chr(10) || lines as lines, '{"type": "object", "properties": {"o_orderkey": {"type": "integer", "enum": [' || o_orderkey || ']}, "o_orderstatus": {"type": "string", "enum": ["' || o_orderstatus || '"]}, "items": {"type": "array", "prefixItems": [' || parts || '], "minItems": ' || c || ', "maxItems": ' || c || '}}, "required": ["o_orderkey", "o_orderstatus", "items"], "additionalProperties": false}' as schema, json as recovered, json as first from j""")
 def json_text_forms(spark, sf_dir):
     d = orders_json(spark, sf_dir)
     return d.select("o_orderkey", json_tree.flatten_json("json").alias("lines"), json_tree.lock("json").alias("schema"), json_tree.recover_json(F.expr("substring(json, 1, length(json) - 1)")).alias("recovered"), json_tree.first_json(F.concat(F.lit("Answer: "), "json", F.lit(" done"))).alias("first"))

@@ -22,7 +22,9 @@ def order_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k, total, status, items, response, answer."""
     item = F.struct("l_linenumber", "l_partkey", F.col("l_quantity").cast("bigint").alias("l_quantity"))
     items = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    d = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.floor("o_totalprice").cast("bigint").alias("total"), F.col("o_orderstatus").alias("status")).join(items, "k")
+    # Rows are small but take long to work on: they are dealt over all cores, which adaptive execution wouldn't do for so few bytes.
+    wide = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    d = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.floor("o_totalprice").cast("bigint").alias("total"), F.col("o_orderstatus").alias("status")).join(items, "k").repartition(wide, "k")
     inner = F.struct(F.col("k").alias("order"), "total", "status", F.transform("items", lambda x: F.struct(x["l_linenumber"].alias("line"), x["l_partkey"].alias("part"), x["l_quantity"].alias("pieces"))).alias("items"))
     d = d.withColumn("response", F.to_json(F.struct(F.lit("order").alias("name"), inner.alias("results"))))
     line = lambda x: F.concat(F.lit(" Part "), x["l_partkey"], F.lit(": "), x["l_quantity"], F.lit(" pieces."))

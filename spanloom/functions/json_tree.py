@@ -170,7 +170,7 @@ def value_at(tree: Any, path: str) -> Any:
 
 
 def unlocked(schema: Any, paths: list[str]) -> Any:
-    """The schema with the parts at the paths free of fixed values and sizes. Changes the schema given."""
+    """The schema with the parts at the paths free of fixed values and sizes; types stay. Changes the schema given."""
 
     def free(node: Any) -> None:
         for name in ("enum", "minItems", "maxItems"):
@@ -195,7 +195,12 @@ def locked_schema(tree: Any) -> Any:
         return {"type": "object", "properties": {k: locked_schema(v) for k, v in tree.items()}, "required": list(tree), "additionalProperties": False}
     if isinstance(tree, list):
         return {"type": "array", "prefixItems": [locked_schema(v) for v in tree], "minItems": Number(len(tree)), "maxItems": Number(len(tree))}
-    return {"enum": [tree]}
+    kind = kind_of(tree)
+    if kind == "null":
+        return {"type": "null"}
+    if kind == "number" and tree.lstrip("-").isdigit():
+        kind = "integer"
+    return {"type": kind, "enum": [tree]}
 
 
 def first_object(text: str | None) -> str | None:

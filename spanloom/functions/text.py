@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ VARIANTS = "".join(PUNCTUATION.values())
 PLAIN = "".join(k * len(v) for k, v in PUNCTUATION.items())
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once: inside lambdas an expression that is used twice is computed twice, and grows the plan as often."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def plain_punctuation(c: Column) -> Column:
     """Dashes, quotes and spaces in one form; offsets stay."""
     return F.translate(c, VARIANTS, PLAIN)
@@ -44,17 +51,27 @@ def squeeze(c: Column) -> Column:
 
 def canonical(c: Column) -> Column:
     """A scalar's text in one form: trimmed, without a pair of quotes around, true, false and null in lower case (none is null), numbers without thousands commas, needless zeros or an exponent of up to 16 digits; inner white space of other texts is one space."""
-    t = F.trim(c.cast("string"))
-    t = F.when(t.rlike(r"""(?s)\A(?:".*"|'.*')\z""") & (F.length(t) >= 2), F.trim(F.substring(t, F.lit(2), F.length(t) - 2))).otherwise(t)
-    low = F.lower(t)
-    bare = F.when(t.rlike(r"\A-?[0-9,]+(?:\.[0-9]+)?\z"), F.regexp_replace(t, ",", "")).otherwise(t)
-    number = F.when(bare.rlike(r"\A[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"), bare.try_cast("double"))
-    size = F.abs(number)
-    whole = number.try_cast("decimal(38,0)").cast("string")
-    plain = F.regexp_replace(F.regexp_replace(number.try_cast("decimal(38,21)").cast("string"), r"0+\z", ""), r"\.\z", "")
-    small = F.regexp_replace(F.regexp_replace(F.regexp_replace(number.cast("string"), r"\.0E", "E"), "E", "e"), r"e-([0-9])\z", "e-0$1")
-    shown = F.when(number == F.floor(number), whole).when(size >= 1e-4, plain).otherwise(small)
-    return F.when(low.isin("true", "false", "null"), low).when(low == "none", "null").when(number.isNotNull() & (size < 1e37), shown).otherwise(F.trim(F.regexp_replace(t, r"\s+", " ")))
+    def quoted(t: Column) -> Column:
+        return F.when(t.rlike(r"""(?s)\A(?:".*"|'.*')\z""") & (F.length(t) >= 2), F.trim(F.substring(t, F.lit(2), F.length(t) - 2))).otherwise(t)
+
+    def numeric(t: Column) -> Column:
+        bare = F.when(t.rlike(r"\A-?[0-9,]+(?:\.[0-9]+)?\z"), F.regexp_replace(t, ",", "")).otherwise(t)
+        return F.when(t.rlike(r"\A[+-]?[0-9.,]"), bound(bare, lambda b: F.when(b.rlike(r"\A[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"), b.try_cast("double"))))
+
+    def written(number: Column) -> Column:
+        whole = F.when(F.abs(number) < 1e15, number.cast("bigint").cast("string")).otherwise(number.try_cast("decimal(38,0)").cast("string"))
+        plain = F.regexp_replace(F.regexp_replace(number.try_cast("decimal(38,21)").cast("string"), r"0+\z", ""), r"\.\z", "")
+        small = F.regexp_replace(F.regexp_replace(F.regexp_replace(number.cast("string"), r"\.0E", "E"), "E", "e"), r"e-([0-9])\z", "e-0$1")
+        return F.when(number == F.floor(number), whole).when(F.abs(number) >= 1e-4, plain).otherwise(small)
+
+    def other(t: Column) -> Column:
+        low = F.lower(t)
+        return F.when(low.isin("true", "false", "null"), low).when(low == "none", "null").otherwise(F.trim(F.regexp_replace(t, r"\s+", " ")))
+
+    # A whole number of up to 15 digits without a leading zero is in its one form already.
+    plain = r"\A(?:0|-?[1-9][0-9]{0,14})\z"
+    one = lambda t: F.when(t.rlike(plain), t).otherwise(bound(numeric(t), lambda n: F.when(n.isNotNull() & (F.abs(n) < 1e37), written(n)).otherwise(other(t))))
+    return bound(quoted(F.trim(c.cast("string"))), one)
 
 
 def bounded_find(text: Column, part: str) -> Column:

@@ -20,6 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, StructField, StructType
 
 from spanloom.functions import json_tree
+from spanloom.functions.text import bound
 from spanloom.operators import spans
 from spanloom.operators.examples import CURRENCIES, apart, key_spans
 
@@ -151,12 +152,16 @@ def grouped(whole: Column) -> Column:
 
 def number_forms(value: Column) -> Column:
     """Other ways to write a number, in the order of preference: whole, with commas, each of these and the number itself behind a currency sign, as a percentage. None for what is no plain number."""
-    number = value.try_cast("double")
+    return F.when(value.rlike(r"\A-?[0-9]+(\.[0-9]+)?\z"), bound(value.try_cast("double"), lambda n: _forms(value, n))).otherwise(F.array().cast("array<string>"))
+
+
+def _forms(value: Column, number: Column) -> Column:
     whole = F.when((number == F.floor(number)) & (F.abs(number) < 1e18), F.floor(number).cast("bigint"))
     commas = F.regexp_replace(F.regexp_replace(F.format_number(number, 2), r"(?<=\.[0-9]{0,2})0+\z", ""), r"\.\z", "")
     plain = F.array_compact(F.array(whole.cast("string"), F.when(commas != value, commas), F.format_number(whole, 0)))
-    signed = F.flatten(F.array(*[F.transform(F.array_append(plain, value), lambda v, s=s: F.concat(F.lit(s), v)) for s in CURRENCIES]))
-    return F.when(value.rlike(r"\A-?[0-9]+(\.[0-9]+)?\z"), F.concat(plain, signed, F.array(F.concat(value, F.lit("%")), F.concat(value, F.lit(" %"))))).otherwise(F.array().cast("array<string>"))
+    percent = F.array(F.concat(value, F.lit("%")), F.concat(value, F.lit(" %")))
+    signed = lambda p: F.flatten(F.transform(F.array(*[F.lit(s) for s in CURRENCIES]), lambda s: F.transform(F.array_append(p, value), lambda v: F.concat(s, v))))
+    return bound(plain, lambda p: F.concat(p, signed(p), percent))
 
 
 def apart_count(starts: Column, size: Column) -> Column:
@@ -178,12 +183,13 @@ def spots(rows: DataFrame, answer: str, leaves: str, into: str) -> DataFrame:
     # The forms that were found, in lower case, with their places.
     seen = lambda v: F.try_element_at(F.col("_found"), lower_case(v))
 
+    none = F.lit(None).cast("int")
+
     def spot(forms: Column) -> Column:
         # A value itself may be short only if a form of it isn't; a value under 3 characters is never looked for.
-        form = F.get(F.filter(forms, lambda v: (F.length(v) >= 3) & seen(v).isNotNull()), 0)
-        ok = (F.length(forms[0]) >= 3) & form.isNotNull()
-        n = F.when(ok, apart_count(seen(form), F.length(form))).otherwise(0)
-        return F.struct(n.alias("n"), F.when(ok, seen(form)[0]).alias("start"), F.when(ok, seen(form)[0] + F.length(form)).alias("end"))
+        form = F.when(F.length(forms[0]) >= 3, F.get(F.filter(forms, lambda v: (F.length(v) >= 3) & seen(v).isNotNull()), 0))
+        place = lambda at, v: F.struct(apart_count(at, F.length(v)).alias("n"), at[0].alias("start"), (at[0] + F.length(v)).alias("end"))
+        return bound(form, lambda v: F.when(v.isNotNull(), bound(seen(v), lambda at: place(at, v))).otherwise(F.struct(F.lit(0).alias("n"), none.alias("start"), none.alias("end"))))
 
     return d.withColumn(into, F.transform("_needles", spot)).drop("_needles", "_wanted", "_found")
 
@@ -233,16 +239,17 @@ def budgeted_deletions(rows: DataFrame, response: str, answer: str, order: Calla
         return (2 * n <= total) & few & ((F.length(text) == 0) | (2 * covered <= F.length(text)))
 
     def choice(i: Column) -> Column:
-        leaf, tree = F.get("_leaves", i), F.get("_trees", i)
-        whole = (F.col("_depth") > 1) & leaf["path"].contains(".")
-        n = F.when(whole, tree["n"]).otherwise(1)
-        found = sure_places(F.when(whole, F.slice("_spots", tree["at"] + 1, tree["n"])).otherwise(F.slice("_spots", i + 1, 1)))
-        alone = sure_places(F.slice("_spots", i + 1, 1))
-        made = lambda at, size, path, cascade, where: F.struct(path.alias("path"), F.slice("_leaves", at + 1, size).alias("leaves"), cascade.alias("cascade"), where.alias("spans"), size.alias("n"))
-        both = made(F.when(whole, tree["at"]).otherwise(i), n, F.when(whole, tree["up"]).otherwise(leaf["path"]), whole, found)
-        flat = whole & (2 * n <= total) & (F.size(found) == 0)
-        return F.when(fits(found, n), both).when(flat & fits(alone, F.lit(1)), made(i, F.lit(1), leaf["path"], F.lit(False), alone))
+        return bound(F.struct(F.get("_leaves", i)["path"].alias("path"), F.get("_trees", i).alias("tree"), i.alias("i")), of_leaf)
+
+    def of_leaf(x: Column) -> Column:
+        whole = (F.col("_depth") > 1) & x["path"].contains(".")
+        at = F.when(whole, F.struct(x["tree"]["at"].alias("at"), x["tree"]["n"].alias("n"), x["tree"]["up"].alias("path"), F.lit(True).alias("cascade")))
+        leaf = F.struct(x["i"].alias("at"), F.lit(1).alias("n"), x["path"].alias("path"), F.lit(False).alias("cascade"))
+        return bound(at.otherwise(leaf), lambda t: F.when(2 * t["n"] <= total, bound(places_of(t), lambda found: F.when(fits(found, t["n"]), made(t, found)).when(t["cascade"] & (F.size(found) == 0), alone(leaf)))))
 
+    places_of = lambda t: sure_places(F.slice("_spots", t["at"] + 1, t["n"]))
+    alone = lambda t: bound(t, lambda t: bound(places_of(t), lambda found: F.when(fits(found, t["n"]), made(t, found))))
+    made = lambda t, found: F.struct(t["path"].alias("path"), F.slice("_leaves", t["at"] + 1, t["n"]).alias("leaves"), t["cascade"].alias("cascade"), found.alias("spans"), t["n"].alias("n"))
     kind = "struct<path:string,leaves:array<struct<path:string,names:string,kind:string,value:string>>,cascade:boolean,spans:array<struct<start:int,end:int>>,n:int>"
     d = d.withColumn("_pick", F.aggregate("_order", F.lit(None).cast(kind), lambda acc, i: F.when(acc.isNotNull(), acc).otherwise(choice(i).cast(kind))))
     prefix = F.when(F.get_json_object(response, "$.results").isNotNull(), "results.").otherwise("")
@@ -301,14 +308,15 @@ def mismatch_spans(rows: DataFrame, response: str, changed: str, tagged: str) ->
     start = F.struct(F.col("_spans").alias("s"), F.array().cast("array<struct<path:string,orig:string,hall:string>>").alias("left")).cast(acc_kind)
 
     def place(acc: Column, text: Column) -> Column:
-        at = F.instr(F.col("plain"), text) - 1
-        good = (F.length(text) > 1) & ~kept(text) & (at >= 0) & free(acc["s"], at, at + F.length(text))
-        return F.when(F.coalesce(good, F.lit(False)), at)
+        good = (F.length(text) > 1) & ~kept(text)
+        return F.when(F.coalesce(good, F.lit(False)), bound(F.instr(F.col("plain"), text) - 1, lambda at: F.when((at >= 0) & free(acc["s"], at, at + F.length(text)), at)))
 
     def step(acc: Column, c: Column) -> Column:
         old, new = place(acc, c["orig"]), place(acc, c["hall"])
         put = lambda at, text: F.struct(F.array_append(acc["s"], label(at, at + F.length(text), text, meta(c), kind(c))).alias("s"), acc["left"].alias("left")).cast(acc_kind)
-        return F.when(old.isNotNull(), put(old, c["orig"])).when(new.isNotNull(), put(new, c["hall"])).otherwise(F.struct(acc["s"].alias("s"), F.array_append(acc["left"], c).alias("left")).cast(acc_kind))
+        left = F.struct(acc["s"].alias("s"), F.array_append(acc["left"], c).alias("left")).cast(acc_kind)
+        later = bound(new, lambda at: F.when(at.isNotNull(), put(at, c["hall"])).otherwise(left))
+        return bound(old, lambda at: F.when(at.isNotNull(), put(at, c["orig"])).otherwise(later))
 
     d = d.withColumn("_done", F.aggregate("_left", start, step))
     parts = F.array_join(F.transform("_done.left", lambda c: F.concat(F.lit("Path: "), c["path"], F.lit("\n"), base(c))), "\n---\n")
@@ -338,18 +346,18 @@ def deletion_spans(rows: DataFrame, response: str, tagged: str, marked: str, del
     d = rows.withColumn("_t", key_spans(F.col(tagged)))
     d = json_tree.printed_leaves(d.withColumn("plain", F.col("_t.text")), response, "_leaves")
     gone = F.coalesce(F.col(deleted), F.array().cast("array<string>"))
-    said = F.coalesce(F.col(marked), F.slice(F.array(F.struct(F.lit("").alias("tag"), F.lit("").alias("path"), F.lit("").alias("original_value"))), 1, 0))
+    said = F.transform(marked, lambda x: F.struct(x["tag"].alias("tag"), x["path"].alias("path"), x["original_value"].cast("string").alias("value")))
     value_of = lambda p: F.get(F.filter("_leaves", lambda x: x["path"] == p), 0)["value"]
     d = d.withColumn("_lost", F.filter(F.transform(gone, lambda p: F.struct(p.alias("path"), value_of(p).alias("value"))), lambda x: F.length(x["value"]) > 1))
-    d = d.withColumn("_said", F.transform(said, lambda x: F.struct(x["tag"].alias("tag"), x["path"].alias("path"), x["original_value"].cast("string").alias("value"))))
+    d = d.withColumn("_said", F.coalesce(said, F.array().cast("array<struct<tag:string,path:string,value:string>>")))
     d = d.withColumn("_wanted", F.array_distinct(F.flatten(F.concat(F.transform("_said", lambda x: written_forms(x["value"])), F.transform("_lost", lambda x: written_forms(x["value"]))))))
     d = found_in(d, "plain", "_wanted", "_found")
     meta = lambda x: F.concat(F.lit("EVIDENT BASELESS INFO\nPath (deleted): "), x["path"], F.lit("\nOriginal value: "), x["value"])
     made = lambda x, start, end: label(start, end, spans.cut(F.col("plain"), start, end), meta(x), F.lit(BASELESS), null=True)
 
     def everywhere(x: Column) -> Column:
-        forms = F.filter(written_forms(x["value"]), lambda v: F.try_element_at(F.col("_found"), lower_case(v)).isNotNull())
-        each = F.transform(forms, lambda v: F.transform(F.try_element_at(F.col("_found"), lower_case(v)), lambda at: made(x, at, at + F.length(v))))
+        at = F.transform(written_forms(x["value"]), lambda v: F.struct(F.length(v).alias("n"), F.try_element_at(F.col("_found"), lower_case(v)).alias("at")))
+        each = F.transform(F.filter(at, lambda y: y["at"].isNotNull()), lambda y: F.transform(y["at"], lambda a: made(x, a, a + y["n"])))
         return F.when(F.length(x["value"]) > 1, F.flatten(each)).otherwise(F.array().cast(f"array<{LABEL}>"))
 
     def hit(x: Column) -> Column:
@@ -358,8 +366,8 @@ def deletion_spans(rows: DataFrame, response: str, tagged: str, marked: str, del
         return F.coalesce(F.get(like, 0), F.get(named, 0))
 
     def proposed(x: Column) -> Column:
-        t = hit(x)
-        return F.concat(F.when(t.isNotNull(), F.array(made(x, t["start"], t["end"]))).otherwise(F.array().cast(f"array<{LABEL}>")), everywhere(x))
+        own = bound(hit(x), lambda t: F.when(t.isNotNull(), F.array(made(x, t["start"], t["end"]))).otherwise(F.array().cast(f"array<{LABEL}>")))
+        return F.concat(own, everywhere(x))
 
     d = d.withColumn("_first", F.transform("_said", lambda x: F.struct(x["path"].alias("path"), proposed(x).alias("s"))))
     open_ = F.filter("_lost", lambda x: ~F.exists("_first", lambda y: (y["path"] == x["path"]) & (F.size(y["s"]) > 0)))

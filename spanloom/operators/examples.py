@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.json_tree import first_json
+from spanloom.functions.text import bound
 from spanloom.operators import spans
 from spanloom.operators.dialogue import last_index
 
@@ -154,8 +155,7 @@ def located(answer: Column, value: Column) -> Column:
 
     low = F.when(F.length(F.lower(answer)) == F.length(answer), at(F.lower(value), F.lower(answer)))  # offsets hold only where case doesn't change the length
     ways = [at(value), at(whole), *[at(F.concat(F.lit(sign), whole)) for sign in CURRENCIES], at(decimal), low, at(date)]
-    found = F.coalesce(*ways)
-    return F.when(found.isNotNull(), F.struct(found["start"].alias("start"), found["end"].alias("end"), spans.cut(answer, found["start"], found["end"]).alias("text")))
+    return bound(F.coalesce(*ways), lambda found: F.when(found.isNotNull(), F.struct(found["start"].alias("start"), found["end"].alias("end"), spans.cut(answer, found["start"], found["end"]).alias("text"))))
 
 
 def explicit(labels: Column) -> Column:

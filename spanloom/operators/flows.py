@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanloom.sources.scratch import written
+
 
 def last_of(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """The row with the greatest order for each key; a map-side combined aggregate, no sort of a key's rows."""
@@ -65,14 +67,14 @@ def group_split(rows: DataFrame, group: str, order: Column, test: float = 0.1, d
 def rank_by(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Adds rank, 1 to n in the order of the keys, which must be unique: rows are range-partitioned, counted by partition, and numbered inside.
 
-    The number of partitions is given, so that adaptive execution leaves them as they are and a row has the same partition number in
-    the counts and in the numbering.
+    The bounds of the ranges are drawn from a sample, so two readers of one range-partitioned plan may see different ranges. The rows are
+    therefore written once with the number of their range, and both the counts and the numbering read what was written.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parted = rows.repartitionByRange(n, *keys).withColumn("part", F.spark_partition_id())
-    counts = parted.groupBy("part").agg(F.count("*").alias("c"))
-    before = counts.select("part", (F.sum("c").over(W.orderBy("part")) - F.col("c")).alias("before"))
-    return parted.join(F.broadcast(before), "part").withColumn("rank", F.col("before") + F.row_number().over(W.partitionBy("part").orderBy(*keys))).drop("part", "before")
+    parted = written(rows.repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id()), "ranked")
+    counts = parted.groupBy("_part").agg(F.count("*").alias("_c"))  # a row for each range
+    before = counts.select("_part", (F.sum("_c").over(W.orderBy("_part")) - F.col("_c")).alias("_before"))
+    return parted.join(F.broadcast(before), "_part").withColumn("rank", F.col("_before") + F.row_number().over(W.partitionBy("_part").orderBy(*keys))).drop("_part", "_before")
 
 
 def sample_per_class(rows: DataFrame, label: str, k: int, order: Column) -> DataFrame:
@@ -90,19 +92,3 @@ def shard(rows: DataFrame, index: str, k: int, n: int, total: int) -> DataFrame:
 def issue_counts(rows: DataFrame, codes: str) -> DataFrame:
     """code, n over an array column of codes."""
     return rows.select(F.explode(codes).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
-
-
-def gate_codes(label: Column, answer: Column, spans: Column) -> Column:
-    """Codes of what is wrong with a row: class, answer, spans that a class must or must not have, offsets and texts."""
-    text = lambda s: F.substring(answer, s["start"] + 1, s["end"] - s["start"])
-    bare = label.isin("clean", "undergeneration")
-    known = label.isin("clean", "answer_mismatch", "overgeneration", "missing_tool", "undergeneration")
-    checks = {
-        "UNKNOWN_CLASS": ~known,
-        "EMPTY_ANSWER": F.coalesce(F.length(F.trim(answer)), F.lit(0)) == 0,
-        "SPANS_NOT_ALLOWED": bare & (F.size(spans) > 0),
-        "SPANS_MISSING": known & ~bare & (F.size(spans) == 0),
-        "OUT_OF_RANGE": F.exists(spans, lambda s: (s["start"] < 0) | (s["end"] > F.length(answer)) | (s["start"] >= s["end"])),
-        "TEXT_MISMATCH": F.exists(spans, lambda s: text(s) != s["text"]),
-    }
-    return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), code) for code, c in checks.items()]))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.sources.scratch import written
+
 CLASSES = ("clean", "answer_mismatch", "overgeneration", "missing_tool", "undergeneration")
 DEFECTS, SPAN_CLASSES = CLASSES[1:], CLASSES[1:4]
 #: Spellings of the classes.
@@ -135,14 +137,14 @@ def chance_level(rows: DataFrame, gold: str = "gold", steps: int = 1000) -> Data
 def length_statistics(rows: DataFrame, value: str) -> DataFrame:
     """n, greatest, mean, and the value at place int(0.95 n) of the sorted ones, exactly.
 
-    From counts of distinct values, dealt by ranges (see flows.rank_by): counts of ranges tell the one that holds the place, and only
-    that one is summed up.
+    From counts of distinct values, dealt by ranges and written once (see flows.rank_by): counts of ranges tell the one that holds the
+    place, and only that one is summed up.
     """
     from pyspark.sql import Window as W
 
     counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parted = counts.repartitionByRange(n, "v").withColumn("part", F.spark_partition_id())
+    parted = written(counts.repartitionByRange(n, "v").withColumn("part", F.spark_partition_id()), "lengths")
     parts = parted.groupBy("part").agg(F.sum("c").alias("in_part"))  # one row a partition
     before = parts.select("part", (F.sum("in_part").over(W.orderBy("part")) - F.col("in_part")).alias("before"), F.sum("in_part").over(W.partitionBy()).alias("n"))
     d = parted.join(F.broadcast(before), "part").withColumn("upto", F.col("before") + F.sum("c").over(W.partitionBy("part").orderBy("v")))

@@ -149,8 +149,15 @@ def test_flows(spark):
     ranked = flows.rank_by(rows.select((F.col("k") * 7 % 1000).alias("k")), ["k"]).collect()
     assert all(r["rank"] == r.k + 1 for r in ranked)
     assert flows.shard(rows, "k", 2, 3, 1000).count() == 334
-    bad = spark.createDataFrame([("clean", "x", [(0, 1, "x")]), ("missing_tool", "abc", [(0, 9, "abc")]), ("nope", "", [])], "l string, a string, s array<struct<start:int,end:int,text:string>>")
-    assert [r.c for r in bad.select(flows.gate_codes(F.col("l"), F.col("a"), F.col("s")).alias("c")).collect()] == [["SPANS_NOT_ALLOWED"], ["OUT_OF_RANGE"], ["UNKNOWN_CLASS", "EMPTY_ANSWER"]]
+
+
+def test_ranks_of_wide_rows(spark):
+    """More rows than the sample that draws the ranges, with other columns: the ranks are 1 to n in the keys' order."""
+    n = 600_000
+    rows = spark.range(n).select((F.col("id") * 7919 % n).alias("k"), F.concat(F.lit("row "), "id").alias("other"))
+    ranked = flows.rank_by(rows, ["k"])
+    assert ranked.where(F.col("rank") != F.col("k") + 1).count() == 0
+    assert ranked.agg(F.count_distinct("rank"), F.max("rank"), F.count("other")).first() == (n, n, n)
 
 
 def test_files_and_streams(spark, tmp_path):
