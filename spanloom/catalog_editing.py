@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.catalog import _table, query
-from spanloom.functions import json_tree
+from spanloom.functions import json_tree, text
 from spanloom.operators import editing
 from spanloom.operators.examples import CURRENCIES, key_spans
 
@@ -145,3 +145,19 @@ def comment_spans(spark, sf_dir):
     answer = F.when(way == 0, F.concat("t", F.lit("\n\n"), "c")).when(way == 1, F.concat("t", F.lit("\n\n"), "c", F.lit(" \n"))).when(way == 2, F.concat("c", F.lit(" "), "t", F.lit("\n\n"), "c")).otherwise(F.col("t"))
     made = editing.comment_spans(answer, F.col("c"), F.lit("find"))
     return d.select("doc_id", F.size(made).alias("n"), F.get(made, 0)["start"].alias("start"), F.get(made, 0)["end"].alias("end"))
+
+
+_SAID = """d as (select doc_id, coalesce(source, '?') as s, coalesce(n_chars, 0) as n from documents), b as (select *, 'It came from ' || s || '. ' || case when doc_id % 2 = 0 then 'Really!  ' else '' end || 'It has ' || n || ' characters' || case doc_id % 3 when 0 then '.' else '' end as base from d)"""
+
+
+@query(f"""with {_SAID} select doc_id, case doc_id % 4 when 0 then base when 1 then base when 2 then case when doc_id % 3 = 0 then regexp_replace(base, '  ', ' ') else 'It came from ' || s || '.' || case when doc_id % 2 = 0 then ' Really!' else '' end end else '' end as kept,
+doc_id % 5 in (1, 4) as fit from b""")
+def filler_removed(spark, sf_dir):
+    """Answers about each document with filler: none; two paragraphs of it; a sentence behind a blank; nothing else. And comments: too short, fit, filler, said before, fit with three sentences."""
+    i = F.col("doc_id")
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("?")).alias("s"), F.coalesce("n_chars", F.lit(0)).alias("n"))
+    base = F.concat(F.lit("It came from "), "s", F.lit(". "), F.when(i % 2 == 0, "Really!  ").otherwise(""), F.lit("It has "), "n", F.lit(" characters"), F.when(i % 3 == 0, ".").otherwise(""))
+    d = d.withColumn("base", base)
+    said = F.when(i % 4 == 0, F.concat(F.lit(" "), "base", F.lit("\n"))).when(i % 4 == 1, F.concat("base", F.lit("\n\nFeel free to write.\n\nAnything else you want?"))).when(i % 4 == 2, F.concat("base", F.lit(" Let me know."))).otherwise("Happy to help! ASK ME.")
+    comment = F.get(F.array(F.lit("Too short"), F.concat(F.lit("It is number "), i, F.lit(" of many.")), F.lit("Reach out to us for all of it."), F.concat(F.lit("it CAME from "), "s", F.lit(". ")), F.lit("One is enough. Two is a pair. Three is it.")), (i % 5).cast("int"))
+    return d.select("doc_id", text.without_filler(said).alias("kept"), text.comment_is_fit(comment, F.col("base")).alias("fit"))

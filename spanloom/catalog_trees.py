@@ -75,3 +75,30 @@ def json_cascades(spark, sf_dir):
     freed = trees.cascades(json_tree.leaves(d, "o_orderkey", "json"), "o_orderkey", order)
     schema = d.join(freed, "o_orderkey").select("o_orderkey", F.array_sort("paths").alias("paths"), json_tree.unlock(json_tree.lock("json"), "paths").alias("schema"))
     return schema.select("o_orderkey", "paths", F.regexp_count("schema", F.lit('"enum"')).cast("bigint").alias("locked"))
+
+
+_U = "(('0x' || left(md5({0}), 13))::bigint + 0.5) / 4503599627370496.0"
+_DRAW = "-ln(" + _U.format("'{0}|' || k || '|' || path") + ") / {1}"
+_NODE = """'{"type": "object", "properties": {"l_linenumber": {"type": "integer"' || case when free then '' else ', "enum": [' || l_linenumber || ']' end || '}, "l_partkey": {"type": "integer"' || case when free then '' else ', "enum": [' || l_partkey || ']' end || '}, "l_quantity": {"type": "integer"' || case when free then '' else ', "enum": [' || q || ']' end || '}}, "required": ["l_linenumber", "l_partkey", "l_quantity"], "additionalProperties": false}'"""
+
+
+def _schema_sql(freed: str) -> str:
+    """freed(k, item: number of the freed item or null, root: whether the root's own leaves are free, listed: whether the list is)."""
+    return f"""x as (select i.*, root, listed, coalesce(listed or i.p = item, false) as free from i join ({freed}) f on i.k = f.k), g as (select k, any_value(root) as root, any_value(listed) as listed, count(*) as c, string_agg({_NODE}, ', ' order by p) as parts from x group by k)
+select k as o_orderkey, '{{"type": "object", "properties": {{"o_orderkey": {{"type": "integer"' || case when root then '' else ', "enum": [' || k || ']' end || '}}, "o_orderstatus": {{"type": "string"' || case when root then '' else ', "enum": ["' || o_orderstatus || '"]' end || '}}, "items": {{"type": "array", "prefixItems": [' || parts || ']' || case when listed then '' else ', "minItems": ' || c || ', "maxItems": ' || c end || '}}}}, "required": ["o_orderkey", "o_orderstatus", "items"], "additionalProperties": false}}' as schema from g join orders on o_orderkey = k"""
+
+
+@query(f"""with {LEAVES_SQL}, d as (select k, path, item, row_number() over (partition by k order by {_DRAW.format("cascade", "(case when item is null then 1 else 3 end)")}) as r from leaves), {_schema_sql("select k, cast(substr(item, 7) as int) as item, item is null as root, item is null as listed from d where r = 1")}""")
+def random_cascade_schemas(spark, sf_dir):
+    """A leaf drawn by its depth, and the schema in which its item, or all that stands beside it, is free."""
+    d = orders_json(spark, sf_dir)
+    freed = trees.random_cascades(json_tree.leaves(d, "o_orderkey", "json"), "o_orderkey", "cascade")
+    return d.join(freed, "o_orderkey").select("o_orderkey", json_tree.unlock(json_tree.lock("json"), "paths").alias("schema"))
+
+
+@query(f"""with {ITEMS}, n as (select k, 'items' as path, 1 as w, null as p from i group by k union all select k, 'items.' || p, 2, p from i), d as (select *, row_number() over (partition by k order by {_DRAW.format("focus", "w")}) as r from n), {_schema_sql("select k, p as item, false as root, p is null as listed from d where r = 1")}""")
+def random_focus_schemas(spark, sf_dir):
+    """A list or an item drawn by its depth, and the schema in which it is free."""
+    d = orders_json(spark, sf_dir)
+    freed = trees.random_focus(json_tree.leaves(d, "o_orderkey", "json"), "o_orderkey", "focus")
+    return d.join(freed, "o_orderkey").select("o_orderkey", json_tree.unlock(json_tree.lock("json"), F.array("path")).alias("schema"))

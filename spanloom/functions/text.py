@@ -103,3 +103,40 @@ def tag_spans(c: Column, tag: str) -> Column:
 
     tags = F.slice(pairs, F.lit(1), F.greatest(F.size(pairs) - 1, F.lit(0)))
     return F.struct(F.regexp_replace(c, pattern, "$1").alias("text"), F.aggregate(tags, start, step, lambda acc: acc["spans"]).alias("spans"))
+
+
+#: A sentence that holds one of these is filler.
+FILLER = (
+    r"(?i)feel free|let me know|if you need|anything else|further detail|"
+    r"further assist|is there anything|happy to help|don'?t hesitate|"
+    r"please let me|reach out|i(?:'?m| am) here|ask me|can i help|"
+    r"any (other|more) (questions?|help|assist)"
+)
+
+
+def stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"\A\s+|\s+\z", "")
+
+
+def without_filler(c: Column) -> Column:
+    """A text without the filler at its end: its last paragraph goes as long as it holds filler, else its last sentence, and the sentences left are joined by one space. Null stays null."""
+    ends = r"""(?<=[.!?])\s+|(?<=[.!?]["'])\s+"""
+
+    def shorter(t: Column) -> Column:
+        last = F.substring_index(t, "\n\n", -1)
+        paragraph = t.contains("\n\n") & last.rlike(FILLER)
+        before = stripped(F.substring(t, F.lit(1), F.length(t) - F.length(last) - 2))
+        sentence = bound(F.split(t, ends, -1), lambda s: F.when(F.element_at(s, -1).rlike(FILLER), stripped(F.array_join(F.slice(s, F.lit(1), F.size(s) - 1), " "))))
+        return F.when(paragraph, before).otherwise(sentence)
+
+    # As many rounds as there may be paragraphs and sentences; once nothing goes, the rounds left cost nothing.
+    rounds = F.sequence(F.lit(0), F.regexp_count(c, F.lit(r"[.!?]|\n\n")) + 1)
+    start = F.struct(stripped(c).alias("t"), F.lit(False).alias("done"))
+    step = lambda acc, _: F.when(acc["done"], acc).otherwise(bound(shorter(acc["t"]), lambda s: F.struct(F.coalesce(s, acc["t"]).alias("t"), s.isNull().alias("done"))))
+    return F.when(c.isNotNull(), F.aggregate(rounds, start, step, lambda acc: acc["t"]))
+
+
+def comment_is_fit(comment: Column, answer: Column) -> Column:
+    """Whether a comment can be added to an answer: at least 15 characters, no filler, not already in the answer in any case, and at most three sentences. False for null."""
+    new = ~F.lower(F.coalesce(answer, F.lit(""))).contains(F.lower(comment))
+    return F.coalesce((F.length(comment) >= 15) & ~comment.rlike(FILLER) & new & (F.size(F.split(comment, r"(?<=[.!?])\s+", -1)) <= 3), F.lit(False))

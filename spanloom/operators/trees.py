@@ -98,6 +98,51 @@ def cascades(leaves: DataFrame, key: str, order: Column) -> DataFrame:
     return held.select(key, F.transform(F.slice("l", F.lit(1), taken), lambda x: x["path"]).alias("paths"))
 
 
+def chance(*parts: Column | str) -> Column:
+    """A number between 0 and 1, without both, that depends on nothing but the parts."""
+    bits = F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 13), 16, 10).cast("double")
+    return (bits + 0.5) / F.lit(float(2**52))
+
+
+def weighted_order(weight: Column, *parts: Column | str) -> Column:
+    """Of several, the one with the least of these is drawn with a probability in proportion to its weight."""
+    return -F.ln(chance(*parts)) / weight
+
+
+def _depth(path: Column) -> Column:
+    return F.size(F.split(path, r"\."))
+
+
+def random_cascades(leaves: DataFrame, key: str, seed: str) -> DataFrame:
+    """key, leaf, paths: of each tree a leaf drawn by its depth, and what is freed with it.
+
+    The leaf stands in a list item: all that the innermost one holds. Else up to three parts under its parent: all; of more, the leaf's own
+    and others by chance, two to half of them together. The root's `name` is neither drawn nor freed unless it is the only leaf.
+    """
+    d = leaves.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "path", "list_item"))).alias("_l"))
+    own = lambda x: F.struct(weighted_order(_depth(x["path"]), F.lit(seed), F.col(key), x["path"]).alias("o"), x["path"].alias("path"), x["list_item"].alias("item"))
+    named = F.filter("_l", lambda x: x["path"] != "name")
+    d = d.withColumn("_leaf", F.array_min(F.transform(F.when(F.size(named) > 0, named).otherwise(F.col("_l")), own)))
+    up, leaf = parent(F.col("_leaf.path")), F.col("_leaf.path")
+    held = F.filter(F.transform("_l", lambda x: x["path"]), lambda p: (p == F.col("_leaf.item")) | p.startswith(F.concat(F.col("_leaf.item"), F.lit("."))))
+    start = F.when(up == "", "").otherwise(F.concat(up, F.lit(".")))
+    parts = F.array_distinct(F.transform(F.filter("_l", lambda x: x["path"].startswith(start)), lambda x: F.concat(start, F.substring_index(F.substring(x["path"], F.length(start) + 1, F.length(x["path"])), ".", 1))))
+    d = d.withColumn("_parts", F.when(up == "", F.filter(parts, lambda p: p != "name")).otherwise(parts))
+    n = F.size("_parts")
+    more = 2 + F.floor(chance(F.lit(f"{seed} n"), F.col(key)) * (F.greatest(F.lit(2), F.ceil(n / 2)) - 1))
+    others = F.transform(F.array_sort(F.transform(F.filter("_parts", lambda p: p != leaf), lambda p: F.struct(chance(F.lit(f"{seed} others"), F.col(key), p).alias("o"), p.alias("p")))), lambda x: x["p"])
+    beside = F.when(n <= 3, F.col("_parts")).otherwise(F.concat(F.array(leaf), F.slice(others, F.lit(1), (more - 1).cast("int"))))
+    return d.select(key, leaf.alias("leaf"), F.when(F.col("_leaf.item").isNotNull(), held).otherwise(F.when(n > 0, beside).otherwise(F.array(leaf))).alias("paths"))
+
+
+def random_focus(leaves: DataFrame, key: str, seed: str) -> DataFrame:
+    """key, path: of each tree an object or list inside it, drawn by its depth; of a tree without any, one of its fields, all alike. The root's `name` is not drawn if there is another."""
+    inner = inner_paths(leaves, key).select(key, "path", _depth(F.col("path")).alias("w"))
+    flat = leaves.join(inner.select(key).distinct(), key, "left_anti").select(key, "path", F.lit(1).alias("w"))
+    order = F.struct((F.col("path") == "name").alias("last"), weighted_order(F.col("w"), F.lit(seed), F.col(key), F.col("path")).alias("o"))
+    return inner.unionByName(flat).groupBy(key).agg(F.min_by("path", order).alias("path"))
+
+
 def tool_names(c: Column) -> Column:
     """The names in a tool response: of an object, or of each object of a list. Anything else has none."""
     v = F.try_parse_json(c)

@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.json_tree import first_json
+from spanloom.operators.flows import not_done
+
+#: How much hotter each further attempt is, and the hottest.
+HOTTER, HOTTEST = 0.2, 1.4
 
 
 class Completer(Protocol):
@@ -67,6 +71,47 @@ def parse_verdict(raw: Column | str) -> Column:
 
 def resume(rows: DataFrame, done: DataFrame, keys: list[str], prompt: str, model: Completer) -> DataFrame:
     """Completes the rows whose keys aren't done yet."""
-    from spanloom.operators.flows import not_done
-
     return complete(not_done(rows, done, keys), prompt, model)
+
+
+class Warm:
+    """A model whose calls carry a temperature, as a Completer at one temperature."""
+
+    def __init__(self, model: object, temperature: float):
+        self.model, self.temperature = model, temperature
+
+    def complete(self, prompt: str) -> str | None:
+        return self.model.complete(prompt, self.temperature)
+
+
+def _is_written(rows: DataFrame, path: str) -> bool:
+    hadoop = rows.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return hadoop.getFileSystem(rows.sparkSession._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def waves(rows: DataFrame, keys: list[str], prompt: str, model: object, good: Column, folder: str, attempts: int = 5, temperature: float = 0.8) -> DataFrame:
+    """rows + raw_response, status, error, attempt and temperature: the first attempt whose response is good (a condition on raw_response), else the last.
+
+    Attempts are rounds. Each round calls model.complete(prompt, temperature) once for each row that no round before it has brought a good
+    response, hotter by HOTTER each time, HOTTEST at most, and is written to folder/attempt=n. A round that is written is not called
+    again, so a run after a crash goes on with the round that failed; the folder must lie where driver and executors share it, and belong
+    to these rows. Rounds end when no row is left.
+    """
+    spark = rows.sparkSession
+    done: DataFrame | None = None
+    for n in range(attempts):
+        path = f"{folder}/attempt={n}"
+        heat = min(temperature + HOTTER * n, HOTTEST)
+        if not _is_written(rows, path):
+            left = rows if done is None else not_done(rows, done.where("status = 'ok'"), keys)
+            if done is not None and left.isEmpty():
+                break
+            asked = complete(left.select(*keys, prompt), prompt, Warm(model, heat), tries=1).drop(prompt)
+            fine = F.coalesce(good, F.lit(False)) & (F.col("status") == "ok")
+            asked.withColumns({"status": F.when(fine, "ok").otherwise("error"), "error": F.when(~fine, F.coalesce("error", F.lit("refused"))), "temperature": F.lit(heat), "attempt": F.lit(n)}).write.mode("overwrite").parquet(path)
+        part = spark.read.parquet(path)
+        done = part if done is None else done.unionByName(part)
+    # A row is in all rounds up to its first good response, so its last round has the result.
+    rest = [c for c in done.columns if c not in keys]
+    last = done.groupBy(*keys).agg(F.max_by(F.struct(*rest), "attempt").alias("r"))
+    return rows.join(last.select(*keys, *[F.col("r")[c].alias(c) for c in rest]), keys)
