@@ -8,8 +8,9 @@ each block, passes possible hits; a hash join with the list itself removes the f
 Canonical: host in lower case without user, port, `www.` and trailing dots; path without empty parts and `.`, without a trailing slash
 or index page; without scheme, query and fragment. The filter has one block for about KEYS_A_BLOCK listed URLs, so that false hits
 stay rare however long the list: it is a table of blocks, joined by broadcast up to BROADCAST_BLOCKS of them and by shuffle beyond.
-Each distinct URL is looked up once; looked-up keys are the URL's own, at most PARTS domains times PARTS path starts (a longer path is
-listed by its first parts or whole).
+Looked up are only starts of a length that the list holds: if it has hosts of two and three labels and paths of no part and of four, then
+each URL's last two and three labels, alone and with its first four path parts. So no bound is set on lengths, and no key such as a lone
+top-level domain, which all URLs share, is made unless the list has one. Each distinct key is looked up once; hits are joined back.
 
 Null urls and those without :// have an empty host and path and are allowed unless a rule says otherwise. Null and empty listed URLs
 are left out. Repeated rows stay, other columns are ignored, an empty table gives an empty one.
@@ -30,7 +31,6 @@ LISTED = tuple(f"{name}.example.{end}" for name in ("adult-x", "casino-win", "fr
 KEYS_A_BLOCK, BITS = 6, 4
 #: Blocks that are broadcast, 12 bytes each; a larger filter is joined by its block's number.
 BROADCAST_BLOCKS = 1 << 20
-PARTS = 8
 
 
 def _lower_ascii(c: Column) -> Column:
@@ -92,19 +92,28 @@ def bloom_blocks(keys: DataFrame, column: str, blocks: int) -> DataFrame:
     return keys.select(block_of(F.col(column), blocks).alias("block"), bit_mask(F.col(column)).alias("mask")).groupBy("block").agg(F.bit_or("mask").alias("mask"))
 
 
-def domains(host: Column) -> Column:
-    """The host and its parent domains, the last PARTS of them: a.b.c, b.c, c."""
+def domains(host: Column, sizes: list[int]) -> Column:
+    """The host's ends with as many labels as sizes name: of a.b.c those of 2 and 3 are b.c and a.b.c."""
     labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - PARTS + 1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    fits = F.filter(F.array(*[F.lit(n) for n in sizes]).cast("array<int>"), lambda n: n <= F.size(labels))
+    return F.transform(fits, lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), "."))
 
 
-def covering(host: Column, path: Column) -> Column:
-    """All canonical URLs that cover a URL: its canonical host and that host's domains, alone and with the leading parts of the path, and the whole."""
-    own, parts = canonical_host(host), path_parts(path)
-    names = F.array_distinct(F.concat(F.array(own), domains(own)))
-    ends = F.concat(F.slice(F.sequence(F.lit(0), F.size(parts)), 1, PARTS + 1), F.array(F.size(parts)))
-    starts = F.transform(F.array_distinct(ends), lambda n: F.when(n > 0, F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), n), "/"))).otherwise(""))
-    return F.when(own != "", F.flatten(F.transform(names, lambda d: F.transform(starts, lambda p: F.concat(d, p))))).otherwise(F.array().cast("array<string>"))
+def covering(host: Column, path: Column, labels: list[int], parts: list[int]) -> Column:
+    """Canonical URLs that cover a URL: the ends of its canonical host with as many labels, followed by as many of its first path parts, as given."""
+    own, steps = canonical_host(host), path_parts(path)
+    fits = F.filter(F.array(*[F.lit(n) for n in parts]).cast("array<int>"), lambda n: n <= F.size(steps))
+    starts = F.transform(fits, lambda n: F.when(n > 0, F.concat(F.lit("/"), F.array_join(F.slice(steps, F.lit(1), n), "/"))).otherwise(""))
+    names = F.transform(domains(own, labels), lambda d: F.transform(starts, lambda p: F.concat(d, p)))
+    return F.when(own != "", F.flatten(names)).otherwise(F.array().cast("array<string>"))
+
+
+def listed_sizes(listed: DataFrame) -> tuple[list[int], list[int]]:
+    """How many labels the hosts of a list have, and how many parts its paths: the distinct numbers, at most as many as the longest URL has places."""
+    host, path = F.substring_index("listed", "/", 1), F.regexp_extract("listed", r"(?s)\A[^/]*/(.*)\z", 1)
+    parts = F.when(path == "", 0).otherwise(F.size(F.split(path, "/")))
+    row = listed.agg(F.sort_array(F.collect_set(F.size(F.split(host, r"\.")))).alias("labels"), F.sort_array(F.collect_set(parts)).alias("parts")).first()
+    return list(row["labels"]), list(row["parts"])
 
 
 def listed_table(listed: DataFrame, column: str = "listed") -> DataFrame:
@@ -116,15 +125,22 @@ def listed_hosts(spark: SparkSession, hosts: tuple[str, ...] = LISTED) -> DataFr
     return spark.createDataFrame([(h,) for h in hosts], "listed string")
 
 
-def covered_urls(urls: DataFrame, listed: DataFrame) -> DataFrame:
-    """urls(host, path), listed(listed: canonical URLs) -> the distinct urls that a listed one covers."""
-    # A URL of many pages is looked up once.
-    keys = urls.distinct().select("host", "path", F.explode(covering(F.col("host"), F.col("path"))).alias("key"))
+def listed_keys(keys: DataFrame, listed: DataFrame) -> DataFrame:
+    """keys(key), listed(listed: canonical URLs) -> the distinct keys that the list holds: those that pass its filter and are then found in it."""
     blocks = max(1, -(-listed.count() // KEYS_A_BLOCK))
     filled = bloom_blocks(listed, "listed", blocks)
-    near = keys.withColumn("block", block_of(F.col("key"), blocks)).join(F.broadcast(filled) if blocks <= BROADCAST_BLOCKS else filled, "block")
-    passed = near.where(bit_mask(F.col("key")).bitwiseAND(F.col("mask")) == bit_mask(F.col("key"))).select("host", "path", "key")
-    return passed.join(listed.hint("shuffle_hash"), passed["key"] == listed["listed"], "left_semi").select("host", "path").distinct()
+    near = keys.select("key").distinct().withColumn("block", block_of(F.col("key"), blocks)).join(F.broadcast(filled) if blocks <= BROADCAST_BLOCKS else filled, "block")
+    passed = near.where(bit_mask(F.col("key")).bitwiseAND(F.col("mask")) == bit_mask(F.col("key"))).select("key")
+    return passed.join(listed.hint("shuffle_hash"), passed["key"] == listed["listed"], "left_semi")
+
+
+def covered_urls(urls: DataFrame, listed: DataFrame) -> DataFrame:
+    """urls(host, path), listed(listed: canonical URLs) -> the distinct urls that a listed one covers."""
+    labels, parts = listed_sizes(listed)
+    # A URL of many pages is looked up once, and so is a key of many URLs.
+    keys = urls.distinct().select("host", "path", F.explode(covering(F.col("host"), F.col("path"), labels, parts)).alias("key"))
+    hits = save(listed_keys(keys, listed), "hits")
+    return keys.join(hits, "key", "left_semi").select("host", "path").distinct()
 
 
 def judge_urls(pages: DataFrame, listed: DataFrame | None = None, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
@@ -133,12 +149,11 @@ def judge_urls(pages: DataFrame, listed: DataFrame | None = None, rules: tuple[t
     known = save(listed_table(listed if listed is not None else listed_hosts(spark)), "list")
     url = F.col("url").cast("string")
     parsed = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path")).withColumn("r", rule_for(F.col("host"), F.col("path"), rules))
-    hits = save(covered_urls(parsed.where("r is null").select("host", "path"), known), "covered").toDF("hit_host", "hit_path")
-    # Pages whose rule decides need no look-up: their key is null, so that none of them meets a hot URL's rows.
-    asked = parsed.withColumn("asked", F.when(F.col("r").isNull(), F.col("host")))
-    judged = asked.join(hits, (asked["asked"] == hits["hit_host"]) & (asked["path"] == hits["hit_path"]), "left")
-    verdict = F.coalesce("r.verdict", F.when(F.col("hit_host").isNotNull(), F.lit("block")), F.lit("allow"))
-    return judged.select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"))
+    asked = parsed.where("r is null")
+    hits = save(covered_urls(asked.select("host", "path"), known), "covered").withColumn("hit", F.lit(True))
+    # Pages whose rule decides need no look-up.
+    method = asked.join(hits, ["host", "path"], "left").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.when(F.col("hit"), "block").otherwise("allow").alias("verdict"))
+    return parsed.where("r is not null").select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("verdict")).unionByName(method)
 
 
 ORACLE = f"""

@@ -535,6 +535,24 @@ def test_op9_lists_of_urls(spark):
     assert {r.page_id: r.verdict for r in url_filters.judge_urls(pages, listed, rules=(("zz", "/", "allow"),)).collect()} == cases
 
 
+def test_op9_lengths_have_no_bound(spark):
+    """Listed paths of twelve parts and hosts of eleven labels cover what lies below them; a repeated URL is judged each time."""
+    parts, labels = "/".join(f"p{i}" for i in range(12)), ".".join(f"l{i}" for i in range(11))
+    listed = spark.createDataFrame([(f"deep.org/{parts}",), (f"http://{labels}/",), ("two.org",)], "listed string")
+    urls = [f"http://deep.org/{parts}", f"http://www.deep.org/{parts}/more?x", f"http://deep.org/{parts[:-1]}", f"http://a.b.{labels}/x", f"http://{labels[3:]}/x", "http://deep.org/", "http://x.two.org/a", "http://two.org.com/a", "http://org/", None]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls * 40)], "page_id int, url string")
+    got = {r.page_id: r.verdict for r in url_filters.judge_urls(pages, listed, rules=(("none.example", "/", "allow"),)).collect()}
+    assert len(got) == 400 and all(got[i] == ("block" if i % 10 in (0, 1, 3, 6) else "allow") for i in got)
+
+
+def test_op9_looks_up_only_lengths_that_the_list_holds(spark):
+    listed = url_filters.listed_table(spark.createDataFrame([("a.com/x/y",), ("b.c.org",)], "listed string"))
+    assert url_filters.listed_sizes(listed) == ([2, 3], [0, 2])
+    keys = spark.range(1).select(url_filters.covering(F.lit("w.q.r.net"), F.lit("/1/2/3"), [2, 3], [0, 2]).alias("k")).first()["k"]
+    assert sorted(keys) == ["q.r.net", "q.r.net/1/2", "r.net", "r.net/1/2"]  # no lone net, which all would share
+    assert url_filters.listed_sizes(listed.where("false")) == ([], [])
+
+
 def test_op9_a_million_listed_urls(spark, monkeypatch):
     listed = spark.range(1_000_000).select(F.concat(F.lit("h"), F.col("id") % 1000, F.lit(".org/p/"), F.col("id")).alias("listed"))
     pages = spark.range(40_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://www.h"), F.col("id") % 1000, F.lit(".org/p/"), F.col("id") * 50, F.lit("/x?y")).alias("url"))
