@@ -56,20 +56,22 @@ def is_followup(part: str) -> bool:
 
 
 def shortened(answer: str) -> str:
-    """The answer without its trailing paragraphs and sentences that are follow-ups."""
+    """The answer without its trailing paragraphs and sentences that are follow-ups. Where paragraphs and sentences begin is found once; each round looks at the last of them only."""
     left = answer.rstrip()
+    breaks = [m.span() for m in BREAK.finditer(left)]
+    ends = [m.end() for m in SENTENCE_END.finditer(left)]
     while left:
-        breaks = list(BREAK.finditer(left))
-        if breaks and is_followup(left[breaks[-1].end() :]):
-            shorter = left[: breaks[-1].start()].rstrip()
+        while breaks and breaks[-1][1] > len(left):
+            breaks.pop()
+        while ends and ends[-1] >= len(left):  # the last sentence starts behind the end before it
+            ends.pop()
+        start = ends[-1] if ends else 0
+        if breaks and is_followup(left[breaks[-1][1] :]):
+            left = left[: breaks[-1][0]].rstrip()
+        elif is_followup(left[start:]):
+            left = left[:start].rstrip()
         else:
-            ends = [m.end() for m in SENTENCE_END.finditer(left)]
-            ends = [e for e in ends if left[e:].strip()]  # the last sentence starts behind these
-            start = ends[-1] if ends else 0
-            shorter = left[:start].rstrip() if is_followup(left[start:]) else left
-        if shorter == left:
             break
-        left = shorter
     return left
 
 
