@@ -161,3 +161,21 @@ def filler_removed(spark, sf_dir):
     said = F.when(i % 4 == 0, F.concat(F.lit(" "), "base", F.lit("\n"))).when(i % 4 == 1, F.concat("base", F.lit("\n\nFeel free to write.\n\nAnything else you want?"))).when(i % 4 == 2, F.concat("base", F.lit(" Let me know."))).otherwise("Happy to help! ASK ME.")
     comment = F.get(F.array(F.lit("Too short"), F.concat(F.lit("It is number "), i, F.lit(" of many.")), F.lit("Reach out to us for all of it."), F.concat(F.lit("it CAME from "), "s", F.lit(". ")), F.lit("One is enough. Two is a pair. Three is it.")), (i % 5).cast("int"))
     return d.select("doc_id", text.without_filler(said).alias("kept"), text.comment_is_fit(comment, F.col("base")).alias("fit"))
+
+
+@query(f"""with {ORDERS_SQL}, {SPOTS_SQL} select k, coalesce(string_agg('results.' || path, ',' order by i) filter (where n = 1), '') as paths from spot group by k""")
+def quoted_paths(spark, sf_dir):
+    return editing.quoted_paths(order_responses(spark, sf_dir), "response", "answer", "p").select("k", F.array_join("p", ",").alias("paths"))
+
+
+@query(f"""with {ORDERS_SQL}, h as (select k, 'Order [order]' || k || '[/order] has part ' as head, list_transform(items, lambda x: cast(x.p as varchar)) as v from o), t as (select *, head || array_to_string(list_transform(v, lambda x: '[part]' || x || '[/part]'), ', ') || '.' as tagged from h),
+a as (select *, list_transform(range(0, len(v)), lambda j: {{'s': length(head) + coalesce(list_sum(list_transform(v[1:j], lambda x: length(x) + 15)), 0), 'n': length(v[j + 1]) + 13, 'x': v[j + 1]}}) as tags from t)
+select k, array_to_string(list_concat(case when k % 2 = 0 then ['results.order:6:' || (6 + 15 + length(cast(k as varchar))) || ':[order]' || k || '[/order]'] else [] end, list_transform(list_filter(tags, lambda y: contains(y.x, v[1]) or contains(v[1], y.x)), lambda y: 'results.items.0.part:' || cast(y.s as int) || ':' || cast(y.s + y.n as int) || ':[part]' || y.x || '[/part]')), ',') as found from a""")
+def tagged_deletions(spark, sf_dir):
+    """The first part goes, of even orders the number too, and a path that isn't there; all tags that show them."""
+    d = order_responses(spark, sf_dir)
+    parts = F.array_join(F.transform("items", lambda x: F.concat(F.lit("[part]"), x["l_partkey"], F.lit("[/part]"))), ", ")
+    gone = F.array_compact(F.array(F.when(F.col("k") % 2 == 0, "results.order"), F.lit("results.items.0.part"), F.lit("results.items.99"), F.lit("results.0")))
+    d = d.withColumns({"tagged": F.concat(F.lit("Order [order]"), "k", F.lit("[/order] has part "), parts, F.lit(".")), "gone": gone})
+    d = editing.tagged_deletions(d, "response", "tagged", "gone", "x")
+    return d.select("k", F.array_join(F.transform("x", lambda y: F.concat_ws(":", y["path"], y["span_start"].cast("string"), y["span_end"].cast("string"), y["span_text"])), ",").alias("found"))

@@ -200,6 +200,41 @@ def sure_places(found: Column) -> Column:
     return F.when(~F.exists(found, lambda x: x["n"] > 1), F.array_sort(F.array_distinct(single)))
 
 
+def quoted_paths(rows: DataFrame, response: str, answer: str, into: str) -> DataFrame:
+    """rows with into: array of the paths of the response's leaves (under `results`, or the root) that stand just once in the answer, in order; none for nulls, false, zeros and values under 3 characters, nor for a response that is no object or list."""
+    d = spots(json_tree.printed_leaves(rows, response, "_leaves", under="results"), answer, "_leaves", "_spots")
+    empty = lambda x: (x["kind"] == "boolean") & (x["value"] == "False") | (x["kind"] == "number") & (x["value"].try_cast("double") == 0)
+    once = F.filter(F.zip_with("_leaves", "_spots", lambda x, s: F.struct(x["path"].alias("path"), ((s["n"] == 1) & ~empty(x) & (x["path"] != "")).alias("ok"))), lambda x: x["ok"])
+    named = F.transform(once, lambda x: F.when(x["path"].startswith("results"), x["path"]).otherwise(F.concat(F.lit("results."), x["path"])))
+    return d.withColumn(into, F.coalesce(named, F.array().cast("array<string>"))).drop("_leaves", "_spots")
+
+
+def tagged_deletions(rows: DataFrame, response: str, tagged: str, deleted: str, into: str) -> DataFrame:
+    """rows(response, tagged: the answer with tags, deleted: array of paths) -> with into: array of struct(path, tag, span_start, span_end, span_text, original_value): the tags, with their brackets and their places in the tagged answer, that show a deleted value.
+
+    A path's tag is its last part that is no list place (and not `results`); a tag shows a value if one holds the other. Of a deleted list
+    or object the value is its leaves' values, one blank between. Paths without anything at them have none.
+    """
+    d = json_tree.printed_leaves(rows, response, "_leaves").withColumn("_t", key_spans(F.col(tagged))["spans"])
+    zero = F.struct(F.lit(0).alias("more"), F.array().cast("array<struct<start:int,end:int,key:string,value:string>>").alias("found"))
+
+    def placed(acc: Column, t: Column) -> Column:
+        own = 2 * F.length(t["key"]) + 5
+        one = F.struct((t["start"] + acc["more"]).alias("start"), (t["end"] + acc["more"] + own).alias("end"), t["key"].alias("key"), t["value"].alias("value"))
+        return F.struct((acc["more"] + own).alias("more"), F.array_append(acc["found"], one).alias("found"))
+
+    d = d.withColumn("_t", F.aggregate("_t", zero, placed, lambda acc: acc["found"]))
+    names = lambda p: F.filter(F.split(p, r"\."), lambda x: ~x.rlike(r"\A[0-9]+\z"))
+    last = lambda p: F.when(F.element_at(F.split(p, r"\."), -1).rlike(r"\A[0-9]+\z"), F.try_element_at(F.filter(names(p), lambda x: x != "results"), F.lit(-1))).otherwise(F.element_at(F.split(p, r"\."), -1))
+    held = lambda p: F.transform(F.filter("_leaves", lambda x: (x["path"] == p) | x["path"].startswith(F.concat(p, F.lit(".")))), lambda x: x["value"])
+    wanted = F.transform(F.coalesce(F.col(deleted), F.array().cast("array<string>")), lambda p: F.struct(p.alias("path"), last(p).alias("tag"), held(p).alias("values")))
+    wanted = F.transform(F.filter(wanted, lambda w: (F.size(w["values"]) > 0) & w["tag"].isNotNull()), lambda w: F.struct(w["path"].alias("path"), w["tag"].alias("tag"), F.array_join(w["values"], " ").alias("value")))
+    shows = lambda w, t: (t["key"] == w["tag"]) & (t["value"].contains(w["value"]) | w["value"].contains(t["value"]))
+    made = lambda w, t: F.struct(w["path"].alias("path"), w["tag"].alias("tag"), t["start"].alias("span_start"), t["end"].alias("span_end"), spans.cut(F.col(tagged), t["start"], t["end"]).alias("span_text"), w["value"].alias("original_value"))
+    found = F.flatten(F.transform(wanted, lambda w: F.transform(F.filter("_t", lambda t: shows(w, t)), lambda t: made(w, t))))
+    return d.withColumn(into, found).drop("_leaves", "_t")
+
+
 # Deletions
 
 

@@ -178,3 +178,15 @@ def test_nothing_shuffles_behind_the_responses(spark):
     d = catalog_editing.order_responses(spark, SF)
     before = d._jdf.queryExecution().executedPlan().toString().count("Exchange")
     assert editing.tag_answers(d, "response", "answer")._jdf.queryExecution().executedPlan().toString().count("Exchange") == before
+
+
+def test_quoted_paths_and_tagged_deletions(spark):
+    response = '{"name":"n","results":{"city":"Rome","n":1234,"z":0.0,"f":false,"t":true,"l":[{"p":"alpha"},{"p":"beta"}],"twice":"abc"}}'
+    d = spark.createDataFrame([(response, "Rome 1,234 0.0 False true alpha abc abc"), ("[]", "x"), ('"Rome"', "Rome"), ("no json", "x"), (None, None)], "r string, a string")
+    got = [r["p"] for r in editing.quoted_paths(d, "r", "a", "p").collect()]
+    assert got == [["results.city", "results.n", "results.t", "results.l.0.p"], [], [], [], []]
+    tagged = "In [city]Rome[/city]: [p]alpha[/p] or [p]alphabet[/p], [l]beta[/l]"
+    e = spark.createDataFrame([(response, tagged, ["results.city", "results.l.0.p", "results.l.1", "results.none", "0"]), (response, tagged, None)], "r string, t string, g array<string>")
+    one, none = (r["x"] for r in editing.tagged_deletions(e, "r", "t", "g", "x").collect())
+    assert [(x["path"], x["tag"], x["span_text"], x["original_value"]) for x in one] == [("results.city", "city", "[city]Rome[/city]", "Rome"), ("results.l.0.p", "p", "[p]alpha[/p]", "alpha"), ("results.l.0.p", "p", "[p]alphabet[/p]", "alpha"), ("results.l.1", "l", "[l]beta[/l]", "beta")]
+    assert all(tagged[x["span_start"] : x["span_end"]] == x["span_text"] for x in one) and none == []
