@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.catalog import _table, query
 from spanloom.functions import json_tree, text
-from spanloom.operators import editing
+from spanloom.operators import editing, examples, spans
 from spanloom.operators.examples import CURRENCIES, key_spans
 
 # Responses: {"name": "order", "results": {order, total, status, items: [{line, part, pieces}]}}; answers name the order, its status, its
@@ -179,3 +179,24 @@ def tagged_deletions(spark, sf_dir):
     d = d.withColumns({"tagged": F.concat(F.lit("Order [order]"), "k", F.lit("[/order] has part "), parts, F.lit(".")), "gone": gone})
     d = editing.tagged_deletions(d, "response", "tagged", "gone", "x")
     return d.select("k", F.array_join(F.transform("x", lambda y: F.concat_ws(":", y["path"], y["span_start"].cast("string"), y["span_end"].cast("string"), y["span_text"])), ",").alias("found"))
+
+
+@query("""with t as (select vec_id as id, unnest(embedding) v, generate_subscripts(embedding, 1) - 1 as pos from embeddings), w as (select id, pos, case when count(*) over a = 8 then avg(cast(v as double)) over a end as p from t window a as (partition by id order by pos rows between current row and 7 following))
+select id, cast(pos as int) as pos, coalesce(avg(p) over b, 0.0) as probability, coalesce(avg(cast(p > 0.01 as int)) over b > 0.5, false) as factual from w window b as (partition by id order by pos rows between 7 preceding and current row)""")
+def window_probabilities(spark, sf_dir):
+    e = _table(spark, sf_dir, "embeddings")
+    tokens = e.select(F.col("vec_id").alias("id"), F.posexplode("embedding").alias("pos", "v")).withColumn("v", F.col("v").cast("double"))
+    return spans.window_probabilities(tokens, "id", "pos", "v", 8, 0.01)
+
+
+@query("""with d as (select doc_id, coalesce(n_chars, 0) as n from documents) select doc_id, case doc_id % 4 when 0 then (doc_id % 50) || ':' || (doc_id % 50 + n + 1) when 1 then '7:' || (n + 8) else '' end as found from d""")
+def gold_spans(spark, sf_dir):
+    """Spans in the last message's JSON: one; several, of which only one is whole and not empty; in another's message; no JSON."""
+    i, n = F.col("doc_id"), F.coalesce("n_chars", F.lit(0))
+    span = lambda a, b: F.concat(F.lit('{"start": '), a, F.lit(', "end": '), b, F.lit("}"))
+    one = F.concat(F.lit('So: {"type": "clean", "spans": ['), span(i % 50, i % 50 + n + 1), F.lit("]} as asked"))
+    several = F.concat(F.lit('{"spans": ['), F.array_join(F.array(span(F.lit("5"), F.lit("5")), span(F.lit("1.5"), n + 9), span(F.lit('"3"'), n + 9), F.lit("4"), span(F.lit("7"), n + 8)), ", "), F.lit("]}"))
+    message = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
+    messages = F.when(i % 4 == 0, F.array(message("user", F.lit("q")), message("assistant", one))).when(i % 4 == 1, F.array(message("assistant", several))).when(i % 4 == 2, F.array(message("assistant", one), message("user", one))).otherwise(F.array(message("assistant", F.lit("{no"))))
+    found = _table(spark, sf_dir, "documents").select("doc_id", examples.gold_spans(messages).alias("s"))
+    return found.select("doc_id", F.array_join(F.transform("s", lambda x: F.concat(x["start"], F.lit(":"), x["end"])), ",").alias("found"))

@@ -187,3 +187,13 @@ def tagger_samples(rows: DataFrame, dataset: str) -> DataFrame:
 def single_call(messages: Column, is_call) -> Column:
     """Whether a dialogue holds exactly one call."""
     return F.size(F.filter(messages, is_call)) == 1
+
+
+def gold_spans(messages: Column) -> Column:
+    """struct(start, end) of the spans in the first JSON object of the last message, if that is the assistant's: those with whole numbers and the end behind the start. Empty if there is none."""
+    get = lambda x, path, kind: F.call_function("try_variant_get", x, F.lit(path), F.lit(kind))
+    last = F.try_element_at(messages, F.lit(-1))
+    listed = get(F.try_parse_json(first_json(F.when(last["role"] == "assistant", last["content"]))), "$.spans", "array<variant>")
+    whole = lambda x, name: F.when(F.call_function("schema_of_variant", get(x, name, "variant")) == "BIGINT", get(x, name, "bigint"))
+    read = F.transform(listed, lambda x: F.struct(whole(x, "$.start").alias("start"), whole(x, "$.end").alias("end")))
+    return F.coalesce(F.filter(read, lambda s: F.coalesce(s["end"] > s["start"], F.lit(False))), F.array().cast("array<struct<start:bigint,end:bigint>>"))

@@ -249,3 +249,13 @@ def window_votes(rows: DataFrame, key: str, place: str, value: str, size: int =
     hit = rows.withColumn("full", F.count("*").over(ahead) == size).withColumn("hit", F.when(F.col("full"), (F.avg(value).over(ahead) >= threshold).cast("int")))
     over = w.rowsBetween(-(size - 1), 0)
     return hit.select(key, place, value, F.coalesce(F.avg("hit").over(over), F.lit(1.0)).alias("share")).withColumn("flagged", F.col("share") >= 0.5)
+
+
+def window_probabilities(rows: DataFrame, key: str, place: str, value: str, size: int = 8, threshold: float = 0.5) -> DataFrame:
+    """The mean of the value over each full sliding window is that window's probability to be factual. Each token gets the mean probability of the windows over it, and is factual if more than half of them exceed the threshold. A token in no full window has 0 and isn't."""
+    w = W.partitionBy(key).orderBy(place)
+    ahead = w.rowsBetween(0, size - 1)
+    windows = rows.withColumn("p", F.when(F.count("*").over(ahead) == size, F.avg(value).over(ahead)))
+    over = w.rowsBetween(-(size - 1), 0)
+    share = F.avg((F.col("p") > threshold).cast("int")).over(over)
+    return windows.select(key, place, F.coalesce(F.avg("p").over(over), F.lit(0.0)).alias("probability"), F.coalesce(share > 0.5, F.lit(False)).alias("factual"))
