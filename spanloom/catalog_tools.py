@@ -87,3 +87,15 @@ def span_fixes(spark, sf_dir):
     fix = tools.fixed_spans(answer, F.array(span))
     d = labelled(spark, sf_dir).select("doc_id", fix.alias("f"), tools.example_reason(F.col("gold"), answer, F.array(span)).alias("reason"))
     return d.select("doc_id", F.col("f.codes")[0].alias("code"), "f.changed", F.col("f.spans")[0]["text"].alias("text"), "reason")
+
+
+@query("""with d as (select doc_id, text, doc_id * 7 % (length(text) - 12) as a from documents where length(text) > 12), p as (select *, substr(text, a + 1, 12) as part, translate(substr(text, a + 1, 12), ' .,', '_;:') as drifted from d)
+select doc_id, case when doc_id % 3 = 2 then 'GENUINE' when doc_id % 3 = 1 and drifted <> part then 'FIXED' else 'OK' end as code, doc_id % 3 = 1 and drifted <> part as changed, case when doc_id % 3 = 2 then 'Ω' || substr(part, 2) else part end as text from p""")
+def span_fixes_of_documents(spark, sf_dir):
+    """Twelve characters of each whole document: as they are, with other punctuation, or with another first letter."""
+    way, n = F.col("doc_id") % 3, F.length("text")
+    d = _table(spark, sf_dir, "documents").where(n > 12).withColumn("a", (F.col("doc_id") * 7 % (n - 12)).cast("int"))
+    part = F.substring("text", F.col("a") + 1, F.lit(12))
+    said = F.when(way == 0, part).when(way == 1, F.translate(part, " .,", "_;:")).otherwise(F.concat(F.lit("Ω"), F.substring(part, 2, 12)))
+    fix = tools.fixed_spans(F.col("text"), F.array(F.struct(F.col("a").alias("start"), (F.col("a") + 12).alias("end"), said.alias("text"))))
+    return d.select("doc_id", fix.alias("f")).select("doc_id", F.col("f.codes")[0].alias("code"), "f.changed", F.col("f.spans")[0]["text"].alias("text"))
