@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.catalog import query
 from spanloom.catalog_editing import ORDERS_SQL, order_responses
 from spanloom.functions import json_tree
-from spanloom.operators import editing, labels
+from spanloom.operators import editing, labels, rows
 
 
 def shown(c: Column) -> Column:
@@ -93,3 +93,16 @@ def exported_rows(spark, sf_dir):
     e = labels.exported(d, "k", "said", "response", "said", kind, "labels", F.col("said"))
     back = F.from_json("hallucination_labels", f"array<{editing.LABEL}>")
     return e.select(F.col("id").alias("k"), shown(back).alias("labels"), F.col("hallucination_labels_processed").alias("processed"), "task_type")
+
+
+@query(f"""with {ORDERS_SQL} select k as dialogue_id, case when k % 2 = 0 then 'How much is ' || k || '?' else 'asked' end as query, case k % 4 when 0 then 2 when 1 then 1 when 2 then 1 else 0 end as n_contexts,
+case k % 4 when 0 then 'total: ' || total || chr(10) || 'status: ' || status || chr(10) || chr(10) || 'plain' when 1 then 'total: ' || total when 2 then status || ' text' else '' end as context, answer as output, case when k % 3 = 0 then 'clean' else 'other' end as gold_type, case when k % 5 = 0 then '' else '0:5:Order' end as spans from said""")
+def flat_examples(spark, sf_dir):
+    """Rows under other names: a question or else a prompt, and contexts as a JSON list, as one JSON object, as a text, or none."""
+    d, way = order_responses(spark, sf_dir), F.col("k") % 4
+    total = F.to_json(F.struct("total"))
+    context = F.when(way == 0, F.concat(F.lit("["), F.to_json(F.struct("total", "status")), F.lit(', "plain"]'))).when(way == 1, total).when(way == 2, F.concat("status", F.lit(" text")))
+    one = F.array(F.struct(F.lit(0).alias("start"), F.lit(5).alias("end"), F.lit("Order").alias("text")), F.struct(F.lit(5).alias("start"), F.lit(5).alias("end"), F.lit("").alias("text")))
+    flat = d.select(F.col("k").alias("id"), F.when(F.col("k") % 2 == 0, F.concat(F.lit("How much is "), "k", F.lit("?"))).alias("question"), F.lit("asked").alias("prompt"), F.col("answer"), context.alias("tool_response"), F.when(F.col("k") % 3 == 0, "clean").alias("type"), F.lit("other").alias("class"), F.when(F.col("k") % 5 != 0, one).alias("gold"))
+    spans = F.array_join(F.transform("gold_spans", lambda s: F.concat(s["start"], F.lit(":"), s["end"], F.lit(":"), s["text"])), ",")
+    return rows.flat_examples(flat).select("dialogue_id", "query", F.size("contexts").alias("n_contexts"), "context", "output", "gold_type", spans.alias("spans"))

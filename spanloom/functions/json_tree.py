@@ -278,6 +278,18 @@ def flatten_all(c: Column | str) -> Column:
     return _udf("array<string>", one)(c)
 
 
+def flatten_items(c: Column | str) -> Column:
+    """A text's items as flat texts: those of a JSON list, else the text alone; none of an empty one, null of null. Keys keep their order, which a variant's wouldn't."""
+
+    def one(text: str | None) -> list[str] | None:
+        tree = decode(text)
+        if text is None or text == "":
+            return None if text is None else []
+        return ["\n".join(flat_text(x)) for x in tree] if isinstance(tree, list) else ["\n".join(flat_text(tree)) if isinstance(tree, dict) else text]
+
+    return _udf("array<string>", one)(c)
+
+
 def decoded(c: Column | str) -> Column:
     """JSON text of a text that is JSON or a Python literal; any other stays."""
 

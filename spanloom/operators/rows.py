@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions.json_tree import flatten_all
+from spanloom.functions.json_tree import flatten_all, flatten_items
 from spanloom.operators import spans
 from spanloom.operators.dialogue import last_index, trim_history
 from spanloom.operators.metrics import CLASSES, SPAN_CLASSES
@@ -67,6 +67,42 @@ def target_examples(rows: DataFrame) -> DataFrame:
     return d.select("dialogue_id", query.alias("query"), "contexts", F.array_join("contexts", "\n\n").alias("context"), F.get(c, at)["value"].alias("output"), F.col("type").alias("gold_type"), F.col("label").alias("gold_label"), good.alias("gold_spans"), F.col("split").alias("row_split"))
 
 
+#: Columns that flat rows may use for each field of an example, the first that isn't null counts.
+ALIASES = {
+    "query": ("query", "question", "prompt", "user_prompt"),
+    "output": ("output", "answer", "final_answer", "response"),
+    "contexts": ("contexts", "context", "tool_contexts", "tool_response"),
+    "dialogue_id": ("dialogue_id", "id", "example_id"),
+    "gold_type": ("gold_type", "type", "task_type", "class"),
+    "gold_label": ("gold_label", "label"),
+    "gold_spans": ("gold_spans", "span_labels", "gold"),
+    "row_split": ("split", "row_split"),
+}
+
+
+def flat_examples(rows: DataFrame) -> DataFrame:
+    """Rows without conversations, under whatever of ALIASES they have -> the columns of target_examples.
+
+    A context column is an array of texts, or a text; a text that is a JSON list has an item for each of its own. Items that are JSON are
+    flattened; null and empty contexts have none. Fields without a column are null, texts empty. Spans are an array of structs.
+    """
+    def first(name: str) -> Column:
+        return F.coalesce(*[F.col(c) for c in ALIASES[name] if c in rows.columns], F.lit(None))
+
+    def listed(c: str) -> Column:
+        many = rows.schema[c].dataType.simpleString().startswith("array")
+        return flatten_all(F.col(c).cast("array<string>")) if many else flatten_items(F.col(c).cast("string"))
+
+    none = F.array().cast("array<string>")
+    d = rows.withColumn("_c", F.coalesce(*[listed(c) for c in ALIASES["contexts"] if c in rows.columns], none))
+    empty = F.array().cast("array<struct<start:int,end:int,text:string>>")
+    held = [c for c in ALIASES["gold_spans"] if c in rows.columns]
+    span = lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), F.coalesce(s["text"].cast("string"), F.lit("")).alias("text"))
+    gold = F.coalesce(*[F.transform(spans.valid_order(F.col(c)), span) for c in held], empty)
+    text = lambda name: F.coalesce(first(name).cast("string"), F.lit(""))
+    return d.select(first("dialogue_id").alias("dialogue_id"), text("query").alias("query"), F.col("_c").alias("contexts"), F.array_join("_c", "\n\n").alias("context"), text("output").alias("output"), first("gold_type").alias("gold_type"), first("gold_label").alias("gold_label"), gold.alias("gold_spans"), first("row_split").alias("row_split"))
+
+
 def conversation_sample(messages: Column, turns: int = 2) -> Column:
     """struct(history, full_history, query, tool_call, tool_response, answer) of the last tool message that an assistant message follows.
 

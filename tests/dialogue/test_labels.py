@@ -93,3 +93,14 @@ def test_blocks_and_numbers(spark):
     assert [text[b["start"] : b["end"]].split(" ")[0].strip() for b in r["b"]] == ["Intro", "-", "2.", "End"]
     assert [text[b["start"] : b["end"]][:10] for b in r["f"]] == ["2. **Two**"] and r["n"] == []
     assert r["k"] == ["results", "hotel", "name", "rating"]
+
+
+def test_flat_examples_under_any_names(spark):
+    from spanloom.operators import rows
+
+    d = spark.createDataFrame([(1, None, "p", ['{"a":1}', "x"], "r", 1), (2, "q", "p", None, None, None)], "example_id int, question string, prompt string, contexts array<string>, response string, label int")
+    one, two = rows.flat_examples(d).orderBy("dialogue_id").collect()
+    assert (one["query"], one["contexts"], one["context"], one["output"], one["gold_label"], one["gold_spans"], one["gold_type"]) == ("p", ["a: 1", "x"], "a: 1\n\nx", "r", 1, [], None)
+    assert (two["query"], two["contexts"], two["context"], two["output"], two["row_split"]) == ("q", [], "", "", None)
+    e = spark.createDataFrame([('[{"b":1,"a":2},"t"]',), ('{"b":1}',), ("plain",), ("",), (None,)], "tool_response string")
+    assert [r["contexts"] for r in rows.flat_examples(e).collect()] == [["b: 1\na: 2", "t"], ["b: 1"], ["plain"], [], []]
