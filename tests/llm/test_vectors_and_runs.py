@@ -226,3 +226,23 @@ def test_op13_hard_inputs(spark):
 def test_saved_rows_are_what_passes_read(spark):
     rows = save(whitening.whole_numbers(_vectors(spark, [(1, [0.1, -0.1])]), "vec_id", "embedding"), "whole")
     assert rows.collect()[0]["x"] == [100102, 99897]
+
+
+def test_op13_loops_empty_and_short_texts(spark):
+    """The texts that the query loops: null, empty, blank and one-word ones as they are; others as a plain version has them."""
+    texts = [None, "", " \n", "a", "a b c d e f g h i j k l"]
+    rows = [(i, texts[i % 5]) for i in range(400)] + [(None, "a b")]
+    got = spark.createDataFrame(rows, "doc_id bigint, text string").select("doc_id", "text", queries.looped_text(F.col("doc_id"), F.col("text")).alias("t")).collect()
+    looped = 0
+    for r in got:
+        words = (r["text"] or "").split()
+        h = zlib.crc32(str(r["doc_id"]).encode())
+        g, n = h // 10, len(words)
+        if r["doc_id"] is None or h % 10 or not n:
+            assert r["t"] == r["text"]
+            continue
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        assert r["t"].split() == [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+        looped += n > 1
+    assert looped > 3
