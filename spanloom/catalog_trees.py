@@ -53,10 +53,10 @@ def json_deletions(spark, sf_dir):
     order = F.when(F.col("path").endswith("l_partkey"), -F.col("value").cast("bigint")).otherwise(0)
     orders = orders_json(spark, sf_dir)
     chosen = trees.chosen_parts(json_tree.leaves(orders, "o_orderkey", "json"), "o_orderkey", order)
-    d = orders.join(chosen, "o_orderkey").select("o_orderkey", "json", F.array("path").alias("gone"), F.lit(None).cast("string").alias("old"), F.lit(None).cast("string").alias("new"))
+    d = orders.join(chosen.hint("merge"), "o_orderkey").select("o_orderkey", "json", F.array("path").alias("gone"), F.lit(None).cast("string").alias("old"), F.lit(None).cast("string").alias("new"))
     after = json_tree.edited(d, "o_orderkey", "json", "gone", "old", "new")
     left = trees.shapes(json_tree.leaves(after, "o_orderkey", "json"), "o_orderkey").select("o_orderkey", (F.col("leaves") - 2).alias("left_leaves"))
-    return chosen.join(left, "o_orderkey")
+    return chosen.join(left.hint("merge"), "o_orderkey")
 
 
 @query(f"""with {LEAVES_SQL}, r as (select k, path, row_number() over (partition by k order by path desc) as r, count(*) over (partition by k) as n from leaves) select k as o_orderkey, count(*) as n, min(path) as first from r where r <= greatest(n // 2, 1) group by k""")
@@ -73,7 +73,7 @@ def json_cascades(spark, sf_dir):
     d = orders_json(spark, sf_dir)
     order = F.when(F.col("o_orderkey") % 2 == 0, F.when(F.col("path").endswith("l_quantity"), -F.col("value").cast("bigint")).otherwise(0)).otherwise(F.when(F.col("list_item").isNull(), -1).otherwise(0))
     freed = trees.cascades(json_tree.leaves(d, "o_orderkey", "json"), "o_orderkey", order)
-    schema = d.join(freed, "o_orderkey").select("o_orderkey", F.array_sort("paths").alias("paths"), json_tree.unlock(json_tree.lock("json"), "paths").alias("schema"))
+    schema = d.join(freed.hint("merge"), "o_orderkey").select("o_orderkey", F.array_sort("paths").alias("paths"), json_tree.unlock(json_tree.lock("json"), "paths").alias("schema"))
     return schema.select("o_orderkey", "paths", F.regexp_count("schema", F.lit('"enum"')).cast("bigint").alias("locked"))
 
 
@@ -93,7 +93,7 @@ def random_cascade_schemas(spark, sf_dir):
     """A leaf drawn by its depth, and the schema in which its item, or all that stands beside it, is free."""
     d = orders_json(spark, sf_dir)
     freed = trees.random_cascades(json_tree.leaves(d, "o_orderkey", "json"), "o_orderkey", "cascade")
-    return d.join(freed, "o_orderkey").select("o_orderkey", json_tree.unlock(json_tree.lock("json"), "paths").alias("schema"))
+    return d.join(freed.hint("merge"), "o_orderkey").select("o_orderkey", json_tree.unlock(json_tree.lock("json"), "paths").alias("schema"))
 
 
 @query(f"""with {ITEMS}, n as (select k, 'items' as path, 1 as w, null as p from i group by k union all select k, 'items.' || p, 2, p from i), d as (select *, row_number() over (partition by k order by {_DRAW.format("focus", "w")}) as r from n), {_schema_sql("select k, p as item, false as root, p is null as listed from d where r = 1")}""")
@@ -101,4 +101,4 @@ def random_focus_schemas(spark, sf_dir):
     """A list or an item drawn by its depth, and the schema in which it is free."""
     d = orders_json(spark, sf_dir)
     freed = trees.random_focus(json_tree.leaves(d, "o_orderkey", "json"), "o_orderkey", "focus")
-    return d.join(freed, "o_orderkey").select("o_orderkey", json_tree.unlock(json_tree.lock("json"), F.array("path")).alias("schema"))
+    return d.join(freed.hint("merge"), "o_orderkey").select("o_orderkey", json_tree.unlock(json_tree.lock("json"), F.array("path")).alias("schema"))

@@ -1,7 +1,7 @@
 """Operators on leaf tables of JSON trees (key, pos, path, list_item, kind, value): paths, neighbours, occurrences, choices for edits.
 
 The trees are decoded once, by json_tree.leaves; all here is joins and aggregates on paths, and chosen paths go back to json_tree.edited
-or json_tree.unlock.
+or json_tree.unlock. Leaf tables outgrow what Spark knows of their size, so they are joined by merge: a broadcast would go through the driver.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ def siblings(leaves: DataFrame, key: str) -> DataFrame:
     ways = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(F.array_join(F.slice(parts, F.lit(1), n - 1), ".").alias("parent"), F.get(parts, n - 1).alias("part")))
     held = leaves.select(key, F.explode(ways).alias("w")).select(key, "w.*").where("parent <> '' or part <> 'name'")
     counts = held.groupBy(key, "parent").agg(F.count_distinct("part").alias("n_siblings"))
-    return d.join(counts, [key, "parent"], "left").withColumn("n_siblings", F.coalesce("n_siblings", F.lit(1).cast("bigint")))
+    return d.join(counts.hint("merge"), [key, "parent"], "left").withColumn("n_siblings", F.coalesce("n_siblings", F.lit(1).cast("bigint")))
 
 
 #: Texts that are values rather than content: numbers, percentages, dates, coordinates.
@@ -69,7 +69,7 @@ def matches(leaves: DataFrame, raw: Column) -> Column:
 
 def occurrences(leaves: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """wanted(key, raw) -> key, raw, times: in how many leaves of its tree a value stands; 0 too. One shuffle on the key."""
-    d = wanted.select(key, "raw").join(leaves.select(key, "kind", "value"), key, "left")
+    d = wanted.select(key, "raw").join(leaves.select(key, "kind", "value").hint("merge"), key, "left")
     return d.groupBy(key, "raw").agg(F.count_if(F.col("value").isNotNull() & matches(leaves, F.col("raw"))).alias("times"))
 
 
@@ -137,10 +137,13 @@ def random_cascades(leaves: DataFrame, key: str, seed: str) -> DataFrame:
 
 def random_focus(leaves: DataFrame, key: str, seed: str) -> DataFrame:
     """key, path: of each tree an object or list inside it, drawn by its depth; of a tree without any, one of its fields, all alike. The root's `name` is not drawn if there is another."""
-    inner = inner_paths(leaves, key).select(key, "path", _depth(F.col("path")).alias("w"))
-    flat = leaves.join(inner.select(key).distinct(), key, "left_anti").select(key, "path", F.lit(1).alias("w"))
-    order = F.struct((F.col("path") == "name").alias("last"), weighted_order(F.col("w"), F.lit(seed), F.col(key), F.col("path")).alias("o"))
-    return inner.unionByName(flat).groupBy(key).agg(F.min_by("path", order).alias("path"))
+    parts = F.split("path", r"\.")
+    ups = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.struct(F.lit(False).alias("flat"), F.array_join(F.slice(parts, F.lit(1), n), ".").alias("path"), n.alias("w")))
+    own = F.array(F.struct(F.lit(True).alias("flat"), F.col("path").alias("path"), F.lit(1).alias("w")))
+    # A tree's own fields count only where it holds nothing inside, so they come last; parts that hold many leaves are met as often, and drawn once.
+    d = leaves.select(key, F.explode(F.when(F.col("path").contains("."), ups).otherwise(own)).alias("x")).select(key, "x.*")
+    order = F.struct("flat", (F.col("path") == "name").alias("last"), weighted_order(F.col("w"), F.lit(seed), F.col(key), F.col("path")).alias("o"))
+    return d.groupBy(key).agg(F.min_by("path", order).alias("path"))
 
 
 def tool_names(c: Column) -> Column:
