@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.catalog import _table, query
+from spanloom.catalog import _table, orders_with_items, query
 from spanloom.functions import json_tree, text
 from spanloom.operators import editing, examples, spans
 from spanloom.operators.examples import CURRENCIES, key_spans
@@ -20,11 +20,9 @@ said as (select *, 'Order ' || k || ' is ' || status || ' and totals ' || case w
 
 def order_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k, total, status, items, response, answer."""
-    item = F.struct("l_linenumber", "l_partkey", F.col("l_quantity").cast("bigint").alias("l_quantity"))
-    items = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list(item)).alias("items"))
     # Rows are small but take long to work on: they are dealt over all cores, which adaptive execution wouldn't do for so few bytes.
     wide = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    d = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.floor("o_totalprice").cast("bigint").alias("total"), F.col("o_orderstatus").alias("status")).join(items, "k").repartition(wide, "k")
+    d = orders_with_items(spark, sf_dir, [F.floor("o_totalprice").cast("bigint").alias("total"), F.col("o_orderstatus").alias("status")], wide).withColumnRenamed("o_orderkey", "k")
     inner = F.struct(F.col("k").alias("order"), "total", "status", F.transform("items", lambda x: F.struct(x["l_linenumber"].alias("line"), x["l_partkey"].alias("part"), x["l_quantity"].alias("pieces"))).alias("items"))
     d = d.withColumn("response", F.to_json(F.struct(F.lit("order").alias("name"), inner.alias("results"))))
     line = lambda x: F.concat(F.lit(" Part "), x["l_partkey"], F.lit(": "), x["l_quantity"], F.lit(" pieces."))
@@ -45,7 +43,7 @@ t as (select *, list_reduce(byl, lambda acc, x: case when {_FREE} is not null th
 select k, list_reduce(list_reverse_sort(taken), lambda acc, x: substr(acc, 1, x.s) || '[' || x.k || ']' || substr(acc, x.s + 1, x.e - x.s) || '[/' || x.k || ']' || substr(acc, x.e + 1), answer) as tagged_answer, cast(len(taken) as int) as num_tags,
 cast(len(list_filter(byl, lambda x: len(list_filter(taken, lambda t: contains(substr(low, t.s + 1, t.e - t.s), lower(x.v)))) = 0)) as int) as num_unmatched from t""")
 def tagged_answers(spark, sf_dir):
-    return editing.tag_answers(order_responses(spark, sf_dir), "response", "answer").select("k", "tagged_answer", "num_tags", "num_unmatched")
+    return editing.tag_answers(order_responses(spark, sf_dir).select("k", "response", "answer"), "response", "answer").select("k", "tagged_answer", "num_tags", "num_unmatched")
 
 
 @query("""with it as (select l_orderkey as k, list(cast(l_partkey as varchar) order by l_linenumber, l_partkey, l_quantity) as v from lineitem where l_orderkey in (select o_orderkey from orders) group by l_orderkey),
@@ -60,8 +58,8 @@ def tags_of_repeated_keys(spark, sf_dir):
     unlike = F.array_append(F.transform(values, lambda v, j: F.when(j % 2 == 0, "none").otherwise(v)), F.lit("more"))
     tags = F.when(F.col("k") % 3 == 0, values).when(F.col("k") % 3 == 1, F.reverse(values)).otherwise(unlike)
     d = d.withColumn("tagged", F.array_join(F.transform(tags, lambda v: F.concat(F.lit("[part]"), v, F.lit("[/part]"))), ", "))
-    d = json_tree.printed_leaves(d.withColumn("tags", key_spans(F.col("tagged"))["spans"]), "response", "leaves")
-    return editing.tag_paths(d, "tags", "leaves", "p").select("k", F.array_join("p", ",", "-").alias("paths"))
+    d = d.select("k", "response", key_spans(F.col("tagged"))["spans"].alias("tags"))
+    return editing.response_paths(d, "tags", "response", "p").select("k", F.array_join("p", ",", "-").alias("paths"))
 
 
 def _forms(v: str) -> str:
@@ -82,8 +80,7 @@ spot as (select k, answer, m, name, i, coalesce({_COUNT.format("form")}, 0) as n
 select k, most > 1 as unclear, case when most <= 1 then coalesce(array_to_string(list_transform(l, lambda x: x.start || ':' || x."end"), ','), '') end as places from c""")
 def unambiguous_places(spark, sf_dir):
     """Where the values of each response stand in its answer, unless one stands twice."""
-    d = json_tree.printed_leaves(order_responses(spark, sf_dir), "response", "leaves", under="results")
-    d = editing.spots(d, "answer", "leaves", "spots").select("k", editing.sure_places(F.col("spots")).alias("p"))
+    d = editing.placed_leaves(order_responses(spark, sf_dir).select("k", "response", "answer"), "response", "answer", "leaves", "spots").select("k", editing.sure_places(F.col("spots")).alias("p"))
     return d.select("k", F.col("p").isNull().alias("unclear"), F.array_join(F.transform("p", lambda x: F.concat(x["start"], F.lit(":"), x["end"])), ",").alias("places"))
 
 
@@ -95,8 +92,9 @@ f as (select *, row_number() over (partition by k order by o) as r from w where
 select o.k, 'results.' || case when whole then cand else path end as path, whole and cand <> path as cascade, cast(case when whole then len(l) else 1 end as int) as n_spans, cast(case when whole then list_sum(list_transform(l, lambda x: x.e - x.s)) else e - s end as bigint) as covered, cast(floor(100.0 * case when whole then size else 1 end / f.total + 0.5) as int) as pct_deleted, cast(f.total - case when whole then size else 1 end + 1 as int) as left_leaves
 from o left join f on o.k = f.k and f.r = 1""")
 def budgeted_deletions(spark, sf_dir):
-    d = editing.budgeted_deletions(order_responses(spark, sf_dir), "response", "answer", lambda p: F.concat(F.substring(p, -3, 3), p))
-    d = json_tree.printed_leaves(d.withColumn("reduced", F.col("deletion.reduced")), "reduced", "left")
+    d = editing.budgeted_deletions(order_responses(spark, sf_dir).select("k", "response", "answer"), "response", "answer", lambda p: F.concat(F.substring(p, -3, 3), p))
+    d = d.select("k", F.struct("deletion.path", "deletion.cascade", "deletion.n_spans", "deletion.spans", "deletion.pct_deleted").alias("deletion"), F.col("deletion.reduced").alias("reduced"))
+    d = json_tree.printed_leaves(d, "reduced", "left")
     covered = F.aggregate("deletion.spans", F.lit(0).cast("bigint"), lambda acc, s: acc + s["end"] - s["start"])
     return d.select("k", "deletion.path", "deletion.cascade", "deletion.n_spans", covered.alias("covered"), "deletion.pct_deleted", F.size("left").alias("left_leaves"))
 
@@ -115,7 +113,7 @@ def mismatch_spans(spark, sf_dir):
     old, new = F.col("items")[0]["l_partkey"].cast("string"), F.concat(F.lit("x"), F.col("k") * 7, F.lit("y"))
     d = d.withColumn("changed", F.regexp_replace("response", r'\A(.*?"part":)[0-9]+', F.concat(F.lit('$1"'), new, F.lit('"'))))
     d = d.withColumn("tagged", F.when(way == 0, F.concat(F.lit("It is [part]"), old, F.lit("[/part]."))).when(way == 1, F.concat(F.lit("It is "), old, F.lit("."))).when(way == 2, F.concat(F.lit("Now "), new, F.lit("."))).otherwise("Nothing quoted."))
-    d = editing.mismatch_spans(d, "response", "changed", "tagged")
+    d = editing.mismatch_spans(d.select("k", "response", "changed", "tagged"), "response", "changed", "tagged")
     shown = F.transform("labels", lambda s: F.concat(s["start"], F.lit(":"), s["end"], F.lit(":"), s["implicit_true"].cast("string")))
     return d.select("k", "plain", F.array_join(shown, ",").alias("places"), F.array_join(F.transform("labels", lambda s: s["meta"]), "|").alias("notes"))
 
@@ -131,7 +129,7 @@ def deletion_spans(spark, sf_dir):
     tagged = tagged.when(way == 2, F.concat(F.lit("Sum [total]unknown[/total], maybe "), t)).otherwise("No sum at all")
     mark = F.array(F.struct(F.lit("total").alias("tag"), F.lit("results.total").alias("path"), t.alias("original_value")))
     d = d.withColumns({"tagged": tagged, "marked": F.when(way.isin(0, 2), mark).otherwise(F.slice(mark, 1, 0)), "gone": F.array(F.lit("results.total"))})
-    d = editing.deletion_spans(d, "response", "tagged", "marked", "gone")
+    d = editing.deletion_spans(d.select("k", "response", "tagged", "marked", "gone"), "response", "tagged", "marked", "gone")
     shown = F.transform("labels", lambda s: F.concat(s["start"], F.lit(":"), s["end"], F.lit(":"), s["implicit_true"].cast("string")))
     return d.select("k", "plain", F.array_join(shown, ",").alias("places"))
 
@@ -165,7 +163,7 @@ def filler_removed(spark, sf_dir):
 
 @query(f"""with {ORDERS_SQL}, {SPOTS_SQL} select k, coalesce(string_agg('results.' || path, ',' order by i) filter (where n = 1), '') as paths from spot group by k""")
 def quoted_paths(spark, sf_dir):
-    return editing.quoted_paths(order_responses(spark, sf_dir), "response", "answer", "p").select("k", F.array_join("p", ",").alias("paths"))
+    return editing.quoted_paths(order_responses(spark, sf_dir).select("k", "response", "answer"), "response", "answer", "p").select("k", F.array_join("p", ",").alias("paths"))
 
 
 @query(f"""with {ORDERS_SQL}, h as (select k, 'Order [order]' || k || '[/order] has part ' as head, list_transform(items, lambda x: cast(x.p as varchar)) as v from o), t as (select *, head || array_to_string(list_transform(v, lambda x: '[part]' || x || '[/part]'), ', ') || '.' as tagged from h),
@@ -177,7 +175,7 @@ def tagged_deletions(spark, sf_dir):
     parts = F.array_join(F.transform("items", lambda x: F.concat(F.lit("[part]"), x["l_partkey"], F.lit("[/part]"))), ", ")
     gone = F.array_compact(F.array(F.when(F.col("k") % 2 == 0, "results.order"), F.lit("results.items.0.part"), F.lit("results.items.99"), F.lit("results.0")))
     d = d.withColumns({"tagged": F.concat(F.lit("Order [order]"), "k", F.lit("[/order] has part "), parts, F.lit(".")), "gone": gone})
-    d = editing.tagged_deletions(d, "response", "tagged", "gone", "x")
+    d = editing.tagged_deletions(d.select("k", "response", "tagged", "gone"), "response", "tagged", "gone", "x")
     return d.select("k", F.array_join(F.transform("x", lambda y: F.concat_ws(":", y["path"], y["span_start"].cast("string"), y["span_end"].cast("string"), y["span_text"])), ",").alias("found"))
 
 

@@ -33,7 +33,7 @@ def mismatch_labels(spark, sf_dir):
     said = F.when(way == 0, F.concat(F.lit("EVIDENT CONFLICT\nOriginal: "), old, F.lit("\nGenerated: "), new)).when(way == 1, "Original: Ab\nGenerated: aB").when(way == 2, "Original: order\nGenerated: parcel").otherwise("Original: z\nGenerated: y")
     one = F.array(F.struct(said.alias("meta"), F.lit("Evident Conflict").alias("label_type"), F.lit(False).alias("implicit_true"), F.lit(False).alias("due_to_null")))
     d = d.withColumns({"said": answer, "tagged": F.lit(None).cast("string"), "evaluated": one, "asked": F.lit("Which part?")})
-    d = labels.mismatch_labels(d, "said", "response", "changed", "tagged", "evaluated", "asked")
+    d = labels.mismatch_labels(d.select("k", "said", "response", "changed", "tagged", "evaluated", "asked"), "said", "response", "changed", "tagged", "evaluated", "asked")
     return d.select("k", shown(F.col("labels")).alias("labels"), "output")
 
 
@@ -54,7 +54,7 @@ def deletion_labels(spark, sf_dir):
     gone = F.when(way >= 2, F.array(F.lit("results.order"), F.lit("results.total"))).otherwise(F.array(F.lit("results.total")))
     reduced = F.when(way >= 2, json_tree.delete_path(json_tree.delete_path("response", F.lit("results.total")), F.lit("results.order"))).otherwise(json_tree.delete_path("response", F.lit("results.total")))
     d = d.withColumns({"said": answer, "marked": marked, "gone": gone, "reduced": reduced})
-    d = labels.deletion_labels(d.where(way < 2), "said", "response", "reduced", "said", "marked", "gone").unionByName(labels.deletion_labels(d.where(way >= 2), "said", "response", "reduced", "said", "marked", "gone"))
+    d = labels.deletion_labels(d.select("k", "said", "response", "reduced", "marked", "gone"), "said", "response", "reduced", "said", "marked", "gone")
     return d.select("k", shown(F.col("labels")).alias("labels"))
 
 

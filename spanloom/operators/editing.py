@@ -2,28 +2,33 @@
 budget, and the spans of an answer that an edit leaves without ground.
 
 All is row by row, on arrays of the row's own leaves, tags and spans, so nothing here shuffles. What has to read a whole text for many
-values at once (tagging, finding) does so once for each row, by an automaton over all values, in Arrow batches; the rest is expressions.
+values at once (tagging, finding) does so once for each row, in Arrow batches, by an automaton over all values if they are many; the rest
+is expressions. Leaves are made, located and compared in the same pass over a row's texts, so that they needn't go to and fro.
 Case is folded place by place, so that offsets hold: characters whose lower case is longer stay as they are.
 """
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
-from typing import Any
+from decimal import Decimal
+from math import isfinite
 
 import ahocorasick
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import DataType, StructField, StructType
 
 from spanloom.functions import json_tree
+from spanloom.functions.json_tree import LEAF, leaf_list, with_columns
 from spanloom.functions.text import bound
 from spanloom.operators import spans
 from spanloom.operators.examples import CURRENCIES, apart, key_spans
 
+NUMBER = re.compile(r"-?[0-9]+(\.[0-9]+)?")
+#: Up to so many values are looked for one by one: an automaton would take longer to build.
+FEW = 64
+
 #: Names of the two kinds of change, and headings of their notes.
 CONFLICT, BASELESS = "Evident Conflict", "Evident Baseless Info"
 
@@ -48,17 +53,13 @@ def places(text: str, wanted: set[str]) -> dict[str, list[int]]:
     return found
 
 
-def _with(rows: DataFrame, names: list[str], kinds: list[str], inputs: list[str], one: Callable[..., tuple]) -> DataFrame:
-    """rows with columns that a function computes from some of a row's columns."""
-    types = [DataType.fromDDL(k) for k in kinds]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [one(*x) for x in zip(*(batch.column(c).to_pylist() for c in inputs), strict=True)]
-            new = [pa.array([m[i] for m in made], to_arrow_type(t)) for i, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *names])
-
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, *(StructField(n, t) for n, t in zip(names, types, strict=True))]))
+def places_of(text: str, part: str) -> list[int]:
+    """Where a text begins in another, in order, overlapping places too."""
+    found, at = [], text.find(part)
+    while at >= 0:
+        found.append(at)
+        at = text.find(part, at + 1)
+    return found
 
 
 def found_in(rows: DataFrame, text: str, wanted: str, into: str) -> DataFrame:
@@ -67,17 +68,17 @@ def found_in(rows: DataFrame, text: str, wanted: str, into: str) -> DataFrame:
     def one(t: str | None, w: list[str | None] | None) -> tuple:
         return (list(places(lowered(t or ""), {lowered(x) for x in w or () if x}).items()),)
 
-    return _with(rows, [into], ["map<string,array<int>>"], [text, wanted], one)
+    return with_columns(rows, {into: "map<string,array<int>>"}, [text, wanted], one)
 
 
 # Tagging
 
 
-def _tagged(answer: str | None, leaves: list[dict[str, str]] | None) -> tuple:
+def _tagged(answer: str | None, leaves: list[tuple[str, str, str, str]] | None) -> tuple:
     """Longest values first, each at its first place that is still free. Values are handled in falling length, so a taken stretch that overlaps a place covers one of its ends."""
     text = answer or ""
     low = lowered(text)
-    values = [(i, x["names"], x["value"].lower() if x["kind"] == "boolean" else x["value"]) for i, x in enumerate(leaves or ()) if x["kind"] != "null"]
+    values = [(i, names, value.lower() if kind == "boolean" else value) for i, (_, names, kind, value) in enumerate(leaves or ()) if kind != "null"]
     values = sorted(((i, n, v) for i, n, v in values if v.strip()), key=lambda x: -len(x[2]))
     at = places(low, {lowered(v) for _, _, v in values})
     tried: dict[str, int] = defaultdict(int)
@@ -98,7 +99,7 @@ def _tagged(answer: str | None, leaves: list[dict[str, str]] | None) -> tuple:
         pieces += [text[last:start], f"[{name}]{text[start:end]}[/{name}]"]
         last = end
     held = {key for key, starts in at.items() if any(until[s] >= s + len(key) for s in starts)}
-    return "".join([*pieces, text[last:]]), len(taken), [n for _, n, v in values if lowered(v) not in held], [{"start": s, "end": e, "key": k, "leaf": i} for s, e, k, i in taken]
+    return "".join([*pieces, text[last:]]), len(taken), [n for _, n, v in values if lowered(v) not in held], taken
 
 
 def tag_answers(rows: DataFrame, response: str, answer: str) -> DataFrame:
@@ -108,9 +109,9 @@ def tag_answers(rows: DataFrame, response: str, answer: str) -> DataFrame:
     any case. A leaf is unmatched if its value stands in no tag, not even as a part. A response that is no JSON has no leaves; a null
     answer counts as empty.
     """
-    d = json_tree.printed_leaves(rows, response, "_leaves")
-    d = _with(d, ["tagged_answer", "num_tags", "unmatched_keys", "tags"], ["string", "int", "array<string>", "array<struct<start:int,end:int,key:string,leaf:int>>"], [answer, "_leaves"], _tagged)
-    return d.withColumn("num_unmatched", F.size("unmatched_keys")).drop("_leaves")
+    new = {"tagged_answer": "string", "num_tags": "int", "unmatched_keys": "array<string>", "tags": "array<struct<start:int,end:int,key:string,leaf:int>>"}
+    d = with_columns(rows, new, [answer, response], lambda a, r: _tagged(a, leaf_list(r)))
+    return d.withColumn("num_unmatched", F.size("unmatched_keys"))
 
 
 def tag_where_missing(rows: DataFrame, response: str, answer: str, tagged: str = "tagged_answer", overwrite: bool = False) -> DataFrame:
@@ -120,26 +121,43 @@ def tag_where_missing(rows: DataFrame, response: str, answer: str, tagged: str =
     return made.withColumn(tagged, F.when(kept, F.col("_had")).otherwise(F.col("tagged_answer"))).drop("_had")
 
 
-def _paths(tags: list[dict[str, Any]] | None, leaves: list[dict[str, str]] | None) -> tuple:
-    """Each key has a cursor in its own leaves; a tag takes the first leaf from there on whose value is like its own, or else the one at the cursor."""
+def _paths(tags: list[tuple[str, str]], leaves: list[tuple[str, str]]) -> list[str | None]:
+    """Of tags as (key, value) the paths, from leaves as (path, value). Each key has a cursor in its own leaves; a tag takes the first leaf from there on whose value is like its own, or else the one at the cursor."""
     by_key = defaultdict(list)
-    for x in leaves or ():
-        by_key[x["path"].rpartition(".")[2]].append(x)
+    for path, value in leaves:
+        by_key[path.rpartition(".")[2]].append((path, value))
     cursor: dict[str, int] = defaultdict(int)
     out = []
-    for tag in tags or ():
-        own, at = by_key[tag["key"]], cursor[tag["key"]]
-        like = lambda v, t=tag["value"]: v in t or t in v
-        hit = next((j for j in range(at, len(own)) if like(own[j]["value"])), at if at < len(own) else None)
+    for key, t in tags:
+        own, at = by_key[key], cursor[key]
+        hit = next((j for j in range(at, len(own)) if own[j][1] in t or t in own[j][1]), at if at < len(own) else None)
         if hit is not None:
-            cursor[tag["key"]] = hit + 1
-        out.append(None if hit is None else own[hit]["path"])
-    return (out,)
+            cursor[key] = hit + 1
+        out.append(None if hit is None else own[hit][0])
+    return out
+
+
+def _pairs(rows: DataFrame, column: str, *names: str) -> Callable[[list[tuple] | None], list[tuple[str, str]]]:
+    """Takes two fields out of the structs of an array column."""
+    a, b = map(rows.schema[column].dataType.elementType.fieldNames().index, names)
+    return lambda found: [(x[a], x[b]) for x in found or ()]
+
+
+def _values(leaves: list[tuple[str, str, str, str]] | None, field: int = 0) -> list[tuple[str, str]]:
+    """(path or another field, value) of leaves."""
+    return [(x[field], x[3]) for x in leaves or ()]
+
+
+def response_paths(rows: DataFrame, tags: str, response: str, into: str) -> DataFrame:
+    """tag_paths over the leaves of a response, which stay in Python."""
+    named = _pairs(rows, tags, "key", "value")
+    return with_columns(rows, {into: "array<string>"}, [tags, response], lambda t, r: (_paths(named(t), _values(leaf_list(r))),))
 
 
 def tag_paths(rows: DataFrame, tags: str, leaves: str, into: str) -> DataFrame:
     """rows(tags: array of struct(key, value, ...), leaves: as printed) -> with into: array of the leaf path that each tag stands for, null where its key has no leaf left. Tags of one key go through its leaves in order, each leaf once."""
-    return _with(rows, [into], ["array<string>"], [tags, leaves], _paths)
+    named, placed = _pairs(rows, tags, "key", "value"), _pairs(rows, leaves, "path", "value")
+    return with_columns(rows, {into: "array<string>"}, [tags, leaves], lambda t, x: (_paths(named(t), placed(x)),))
 
 
 # Locating
@@ -150,24 +168,32 @@ def grouped(whole: Column) -> Column:
     return F.when(whole.rlike(r"\A[+-]?[0-9]{1,18}\z"), F.format_number(whole.try_cast("bigint"), 0))
 
 
-def number_forms(value: Column) -> Column:
+def number_forms(value: str) -> Iterator[str]:
     """Other ways to write a number, in the order of preference: whole, with commas, each of these and the number itself behind a currency sign, as a percentage. None for what is no plain number."""
-    return F.when(value.rlike(r"\A-?[0-9]+(\.[0-9]+)?\z"), bound(value.try_cast("double"), lambda n: _forms(value, n))).otherwise(F.array().cast("array<string>"))
-
-
-def _forms(value: Column, number: Column) -> Column:
-    whole = F.when((number == F.floor(number)) & (F.abs(number) < 1e18), F.floor(number).cast("bigint"))
-    commas = F.regexp_replace(F.regexp_replace(F.format_number(number, 2), r"(?<=\.[0-9]{0,2})0+\z", ""), r"\.\z", "")
-    plain = F.array_compact(F.array(whole.cast("string"), F.when(commas != value, commas), F.format_number(whole, 0)))
-    percent = F.array(F.concat(value, F.lit("%")), F.concat(value, F.lit(" %")))
-    signed = lambda p: F.flatten(F.transform(F.array(*[F.lit(s) for s in CURRENCIES]), lambda s: F.transform(F.array_append(p, value), lambda v: F.concat(s, v))))
-    return bound(plain, lambda p: F.concat(p, signed(p), percent))
-
-
-def apart_count(starts: Column, size: Column) -> Column:
+    if not NUMBER.fullmatch(value):
+        return
+    number = float(value)
+    whole = int(number) if abs(number) < 1e18 and number == int(number) else None
+    exact = number if abs(number) < 1e15 else Decimal(repr(number))  # beyond, the digits that tell it from other doubles, then zeros
+    commas = f"{exact:,.2f}".rstrip("0").rstrip(".") if isfinite(number) else "-∞" if number < 0 else "∞"
+    plain = [] if whole is None else [str(whole)]
+    plain += [commas] if commas != value else []
+    plain += [] if whole is None else [f"{whole:,}"]
+    yield from plain
+    for sign in CURRENCIES:
+        for form in (*plain, value):
+            yield sign + form
+    yield value + "%"
+    yield value + " %"
+
+
+def apart_count(starts: list[int], size: int) -> int:
     """How many of some places, in order, don't overlap the one counted before."""
-    zero = F.struct(F.lit(0).alias("free"), F.lit(0).alias("n"))
-    return F.aggregate(starts, zero, lambda acc, s: F.when(s >= acc["free"], F.struct((s + size).alias("free"), (acc["n"] + 1).alias("n"))).otherwise(acc), lambda acc: acc["n"])
+    n = until = 0
+    for s in starts:
+        if s >= until:
+            n, until = n + 1, s + size
+    return n
 
 
 def lower_case(c: Column) -> Column:
@@ -175,23 +201,44 @@ def lower_case(c: Column) -> Column:
     return F.when(F.length(F.lower(c)) == F.length(c), F.lower(c)).otherwise(F.array_join(F.transform(F.split(c, ""), lambda x: F.when(F.length(F.lower(x)) == 1, F.lower(x)).otherwise(x)), ""))
 
 
+#: How often a leaf stands in an answer, and its first place.
+SPOT = "struct<n:int,start:int,end:int>"
+
+
+def _spots(answer: str | None, leaves: list[tuple[str, str]]) -> list[tuple[int, int | None, int | None]]:
+    """Of each leaf, given as (kind, value), (n, start, end). All values are looked for in one pass; only those that aren't there are tried in their other forms."""
+    low = lowered(answer or "")
+    # A value itself may be short only if a form of it isn't; a value under 3 characters is never looked for.
+    values = [v if kind != "null" and len(v := value.strip(" ")) >= 3 else None for kind, value in leaves]
+    keys = [None if v is None else lowered(v) for v in values]
+    if len(keys) > FEW:
+        at = places(low, {lowered(f) for v in values if v is not None for f in (v, *number_forms(v))})
+        look = lambda k: at.get(k, [])
+    else:
+        look = lambda k: places_of(low, k)
+    out = []
+    for value, key in zip(values, keys, strict=True):
+        form, found = value, [] if value is None else look(key)
+        if value is not None and not found:
+            form, found = next(((f, x) for f in number_forms(value) if len(f) >= 3 and (x := look(lowered(f)))), (value, []))
+        out.append((apart_count(found, len(form)), found[0], found[0] + len(form)) if found else (0, None, None))
+    return out
+
+
 def spots(rows: DataFrame, answer: str, leaves: str, into: str) -> DataFrame:
     """rows with into: array of struct(n, start, end), one for each leaf: how often its value stands in the answer, or, where it doesn't and is a number, the first of number_forms that does; and its first place. n is 0 for nulls, for values shorter than 3 and for absent ones."""
-    needle = F.transform(leaves, lambda x: F.when(x["kind"] == "null", "").otherwise(F.trim(x["value"])))
-    d = rows.withColumn("_needles", F.transform(needle, lambda v: F.concat(F.array(v), number_forms(v))))
-    d = found_in(d.withColumn("_wanted", F.array_distinct(F.flatten("_needles"))), answer, "_wanted", "_found")
-    # The forms that were found, in lower case, with their places.
-    seen = lambda v: F.try_element_at(F.col("_found"), lower_case(v))
+    named = _pairs(rows, leaves, "kind", "value")
+    return with_columns(rows, {into: f"array<{SPOT}>"}, [answer, leaves], lambda a, x: (None if x is None else _spots(a, named(x)),))
+
 
-    none = F.lit(None).cast("int")
+def placed_leaves(rows: DataFrame, response: str, answer: str, leaves: str, into: str) -> DataFrame:
+    """rows with the printed leaves of a response (under `results`, or the root) and their spots in the answer, in one pass over both texts."""
 
-    def spot(forms: Column) -> Column:
-        # A value itself may be short only if a form of it isn't; a value under 3 characters is never looked for.
-        form = F.when(F.length(forms[0]) >= 3, F.get(F.filter(forms, lambda v: (F.length(v) >= 3) & seen(v).isNotNull()), 0))
-        place = lambda at, v: F.struct(apart_count(at, F.length(v)).alias("n"), at[0].alias("start"), (at[0] + F.length(v)).alias("end"))
-        return bound(form, lambda v: F.when(v.isNotNull(), bound(seen(v), lambda at: place(at, v))).otherwise(F.struct(F.lit(0).alias("n"), none.alias("start"), none.alias("end"))))
+    def one(r: str | None, a: str | None) -> tuple:
+        found = leaf_list(r, "results")
+        return found, None if found is None else _spots(a, _values(found, 2))
 
-    return d.withColumn(into, F.transform("_needles", spot)).drop("_needles", "_wanted", "_found")
+    return with_columns(rows, {leaves: f"array<{LEAF}>", into: f"array<{SPOT}>"}, [response, answer], one)
 
 
 def sure_places(found: Column) -> Column:
@@ -202,7 +249,7 @@ def sure_places(found: Column) -> Column:
 
 def quoted_paths(rows: DataFrame, response: str, answer: str, into: str) -> DataFrame:
     """rows with into: array of the paths of the response's leaves (under `results`, or the root) that stand just once in the answer, in order; none for nulls, false, zeros and values under 3 characters, nor for a response that is no object or list."""
-    d = spots(json_tree.printed_leaves(rows, response, "_leaves", under="results"), answer, "_leaves", "_spots")
+    d = placed_leaves(rows, response, answer, "_leaves", "_spots")
     empty = lambda x: (x["kind"] == "boolean") & (x["value"] == "False") | (x["kind"] == "number") & (x["value"].try_cast("double") == 0)
     once = F.filter(F.zip_with("_leaves", "_spots", lambda x, s: F.struct(x["path"].alias("path"), ((s["n"] == 1) & ~empty(x) & (x["path"] != "")).alias("ok"))), lambda x: x["ok"])
     named = F.transform(once, lambda x: F.when(x["path"].startswith("results"), x["path"]).otherwise(F.concat(F.lit("results."), x["path"])))
@@ -238,19 +285,37 @@ def tagged_deletions(rows: DataFrame, response: str, tagged: str, deleted: str,
 # Deletions
 
 
-def _subtrees(leaves: list[dict[str, str]] | None) -> tuple:
-    """For each leaf its parent's path and which leaves that holds: they stand in a row, from `at` on, n of them. Depth: parts of the longest path."""
+def _fitting(leaves: list[tuple[str, str, str, str]] | None, found: list[tuple[int, int | None, int | None]] | None, size: int, single: bool) -> list[tuple | None]:
+    """For each leaf the deletion that it stands for, if that fits, whatever the order in which leaves are tried: (path, number of its first leaf, of how many, cascade, spans)."""
+    total, cut = len(leaves or ()), [x[0].split(".") for x in leaves or ()]
     first: dict[str, int] = {}
     count: dict[str, int] = defaultdict(int)
-    ups = []
-    for i, x in enumerate(leaves or ()):
-        parts = x["path"].split(".")
-        ups.append(".".join(parts[:-1]))
+    for i, parts in enumerate(cut):  # the leaves of one parent stand in a row
         for k in range(len(parts)):
             up = ".".join(parts[:k])
             first.setdefault(up, i)
             count[up] += 1
-    return [{"up": u, "at": first[u], "n": count[u]} for u in ups], max((len(x["path"].split(".")) for x in leaves or ()), default=0)
+    deep = max(map(len, cut), default=0) > 1
+
+    def clear(at: int, n: int) -> list[tuple[int, int]] | None:
+        """The places of the leaves' values; None if they are too many or one stands more than once."""
+        own = found[at : at + n]
+        return None if 2 * n > total or any(x[0] > 1 for x in own) else sorted({(s, e) for times, s, e in own if times == 1})
+
+    def fits(s: list[tuple[int, int]] | None) -> bool:
+        return bool(s) and (not single or len(s) == 1) and (size == 0 or 2 * sum(e - b for b, e in s) <= size)
+
+    of_parent = {up: clear(first[up], count[up]) for up in {".".join(x[:-1]) for x in cut if len(x) > 1}} if deep else {}
+    out: list[tuple | None] = []
+    for i, parts in enumerate(cut):
+        up = ".".join(parts[:-1])
+        whole = of_parent.get(up) if deep and len(parts) > 1 else None
+        if fits(whole):
+            out.append((up, first[up], count[up], True, whole))
+            continue
+        alone = clear(i, 1) if not (deep and len(parts) > 1) or whole == [] else None
+        out.append((leaves[i][0], i, 1, False, alone) if fits(alone) else None)
+    return out
 
 
 def budgeted_deletions(rows: DataFrame, response: str, answer: str, order: Callable[[Column], Column], single: bool = False) -> DataFrame:
@@ -262,37 +327,24 @@ def budgeted_deletions(rows: DataFrame, response: str, answer: str, order: Calla
     leaf is tried alone. With single, only deletions with one span count. deletion: struct(path, leaves, cascade, spans, n_spans,
     pct_deleted, reduced: the response without it). A tree with one leaf never fits, nor does one that is no JSON.
     """
-    d = json_tree.printed_leaves(rows, response, "_leaves", under="results")
-    d = spots(d, answer, "_leaves", "_spots")
-    d = _with(d, ["_trees", "_depth"], ["array<struct<up:string,at:int,n:int>>", "int"], ["_leaves"], _subtrees)
+
+    def one(r: str | None, a: str | None) -> tuple:
+        found = leaf_list(r, "results")
+        return found, _fitting(found, _spots(a, _values(found, 2)), len(a or ""), single)
+
+    tried = "array<struct<path:string,at:int,n:int,cascade:boolean,spans:array<struct<start:int,end:int>>>>"
+    d = with_columns(rows, {"_leaves": f"array<{LEAF}>", "_tried": tried}, [response, answer], one)
     total, text = F.size("_leaves"), F.coalesce(F.col(answer), F.lit(""))
-    d = d.withColumn("_order", F.transform(F.array_sort(F.transform("_leaves", lambda x, i: F.struct(order(x["path"]).alias("o"), i.alias("i")))), lambda x: x["i"]))
-
-    def fits(found: Column, n: Column) -> Column:
-        covered = F.aggregate(found, F.lit(0), lambda acc, s: acc + s["end"] - s["start"])
-        few = F.size(found) == 1 if single else F.size(found) > 0
-        return (2 * n <= total) & few & ((F.length(text) == 0) | (2 * covered <= F.length(text)))
-
-    def choice(i: Column) -> Column:
-        return bound(F.struct(F.get("_leaves", i)["path"].alias("path"), F.get("_trees", i).alias("tree"), i.alias("i")), of_leaf)
-
-    def of_leaf(x: Column) -> Column:
-        whole = (F.col("_depth") > 1) & x["path"].contains(".")
-        at = F.when(whole, F.struct(x["tree"]["at"].alias("at"), x["tree"]["n"].alias("n"), x["tree"]["up"].alias("path"), F.lit(True).alias("cascade")))
-        leaf = F.struct(x["i"].alias("at"), F.lit(1).alias("n"), x["path"].alias("path"), F.lit(False).alias("cascade"))
-        return bound(at.otherwise(leaf), lambda t: F.when(2 * t["n"] <= total, bound(places_of(t), lambda found: F.when(fits(found, t["n"]), made(t, found)).when(t["cascade"] & (F.size(found) == 0), alone(leaf)))))
-
-    places_of = lambda t: sure_places(F.slice("_spots", t["at"] + 1, t["n"]))
-    alone = lambda t: bound(t, lambda t: bound(places_of(t), lambda found: F.when(fits(found, t["n"]), made(t, found))))
-    made = lambda t, found: F.struct(t["path"].alias("path"), F.slice("_leaves", t["at"] + 1, t["n"]).alias("leaves"), t["cascade"].alias("cascade"), found.alias("spans"), t["n"].alias("n"))
-    kind = "struct<path:string,leaves:array<struct<path:string,names:string,kind:string,value:string>>,cascade:boolean,spans:array<struct<start:int,end:int>>,n:int>"
-    d = d.withColumn("_pick", F.aggregate("_order", F.lit(None).cast(kind), lambda acc, i: F.when(acc.isNotNull(), acc).otherwise(choice(i).cast(kind))))
+    fit = F.filter(F.transform("_tried", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda x: x["x"].isNotNull())
+    first = F.array_min(F.transform(fit, lambda x: F.struct(order(F.get("_leaves", x["i"])["path"]).alias("o"), x["i"].alias("i"))))
+    d = d.withColumn("_first", first).withColumn("_pick", F.get("_tried", F.col("_first.i")))
+    d = d.withColumn("_gone", F.slice("_leaves", F.col("_pick.at") + 1, F.col("_pick.n")))
     prefix = F.when(F.get_json_object(response, "$.results").isNotNull(), "results.").otherwise("")
     d = d.withColumn("_path", F.concat(prefix, F.col("_pick.path"))).withColumn("_reduced", json_tree.delete_path(response, "_path"))
     placed = F.transform("_pick.spans", lambda s: F.struct(s["start"], s["end"], spans.cut(text, s["start"], s["end"]).alias("text")))
     share = F.round(100 * F.col("_pick.n") / total).cast("int")
-    out = F.struct(F.col("_path").alias("path"), F.col("_pick.leaves").alias("leaves"), F.col("_pick.cascade").alias("cascade"), placed.alias("spans"), F.size("_pick.spans").alias("n_spans"), share.alias("pct_deleted"), F.col("_reduced").alias("reduced"))
-    return d.withColumn("deletion", F.when(F.col("_pick").isNotNull(), out)).drop("_leaves", "_spots", "_trees", "_depth", "_order", "_pick", "_path", "_reduced")
+    out = F.struct(F.col("_path").alias("path"), F.col("_gone").alias("leaves"), F.col("_pick.cascade").alias("cascade"), placed.alias("spans"), F.size("_pick.spans").alias("n_spans"), share.alias("pct_deleted"), F.col("_reduced").alias("reduced"))
+    return d.withColumn("deletion", F.when(F.col("_pick").isNotNull(), out)).drop("_leaves", "_tried", "_first", "_pick", "_gone", "_path", "_reduced")
 
 
 # Spans of edited responses
@@ -305,9 +357,23 @@ def label(start: Column, end: Column, text: Column, meta: Column, kind: Column,
     return made.cast(LABEL)
 
 
-def _changes(before: list[dict[str, str]] | None, after: list[dict[str, str]] | None) -> tuple:
-    new = {x["path"]: x["value"] for x in after or ()}
-    return ([{"path": x["path"], "orig": x["value"], "hall": new.get(x["path"])} for x in before or () if new.get(x["path"]) != x["value"]],)
+def _changes(before: list[tuple[str, str, str, str]] | None, after: list[tuple[str, str, str, str]] | None) -> list[tuple[str, str, str | None]]:
+    """(path, orig, hall) of the leaves that are not as they were."""
+    new = {x[0]: x[3] for x in after or ()}
+    return [(path, value, new.get(path)) for path, _, _, value in before or () if new.get(path) != value]
+
+
+def long_values(leaves: list[tuple[str, str, str, str]] | None) -> list[str]:
+    """The values of over two characters."""
+    return [x[3] for x in leaves or () if len(x[3]) > 2]
+
+
+def values_of(leaves: list[tuple[str, str, str, str]] | None, paths: list[str | None] | None) -> list[tuple[str, str]]:
+    """(path, value) of those paths at which a leaf of over one character stands, in their order."""
+    at: dict[str, str] = {}
+    for path, _, _, value in leaves or ():
+        at.setdefault(path, value)
+    return [(p, at[p]) for p in paths or () if len(at.get(p, "")) > 1]
 
 
 def free(taken: Column, start: Column, end: Column) -> Column:
@@ -315,19 +381,26 @@ def free(taken: Column, start: Column, end: Column) -> Column:
     return ~F.exists(taken, lambda t: (t["start"] < end) & (start < t["end"]))
 
 
-def mismatch_spans(rows: DataFrame, response: str, changed: str, tagged: str) -> DataFrame:
+def mismatch_spans(rows: DataFrame, response: str, changed: str, tagged: str, values: str | None = None) -> DataFrame:
     """rows(response, changed: the response with some values replaced, tagged: the answer with tags) -> with plain: the answer without tags, and labels: what of it no longer fits.
 
     By stages, each for changes that the ones before haven't placed: a tag that stands for the changed leaf; the leaf's first text in the
     answer; its new one; and, if nothing at all is marked, the whole answer as an implicit label. A text that also stands in a value of
-    the changed response (of over two characters) fits and is not marked. Labels don't overlap; the first one counts.
+    the changed response (of over two characters) fits and is not marked. Labels don't overlap; the first one counts. With values, a
+    column of that name keeps these values.
     """
     d = rows.withColumn("_t", key_spans(F.col(tagged)))
     d = d.withColumn("plain", F.col("_t.text")).withColumn("_tags", F.col("_t.spans"))
-    d = json_tree.printed_leaves(json_tree.printed_leaves(d, response, "_before"), changed, "_after")
-    d = _with(tag_paths(d, "_tags", "_before", "_paths"), ["_changes"], ["array<struct<path:string,orig:string,hall:string>>"], ["_before", "_after"], _changes)
-    values = F.filter("_after", lambda x: F.length(x["value"]) > 2)
-    d = d.withColumn("_kept", F.lower(F.array_join(F.transform(values, lambda x: x["value"]), "\0"))).withColumn("_any", F.size(values) > 0)
+    named = _pairs(d, "_tags", "key", "value")
+
+    def one(r: str | None, c: str | None, tags: list[tuple] | None) -> tuple:
+        before, after = leaf_list(r), leaf_list(c)
+        return _paths(named(tags), _values(before)), _changes(before, after), long_values(after)
+
+    kept_in = values or "_long"
+    new = {"_paths": "array<string>", "_changes": "array<struct<path:string,orig:string,hall:string>>", kept_in: "array<string>"}
+    d = with_columns(d.drop("_t"), new, [response, changed, "_tags"], one)
+    d = d.withColumn("_kept", F.lower(F.array_join(kept_in, "\0"))).withColumn("_any", F.size(kept_in) > 0)
     kept = lambda t: F.col("_any") & F.col("_kept").contains(F.lower(t))
     kind = lambda c: F.when(c["hall"].isNotNull(), CONFLICT).otherwise(BASELESS)
     base = lambda c: F.concat(F.lit("Original: "), c["orig"], F.when(F.coalesce(F.length(c["hall"]), F.lit(0)) > 0, F.concat(F.lit("\nGenerated: "), c["hall"])).otherwise(""))
@@ -359,7 +432,7 @@ def mismatch_spans(rows: DataFrame, response: str, changed: str, tagged: str) ->
     whole = F.array(label(F.lit(0), F.length("plain"), F.col("plain"), note, F.lit(CONFLICT), True, True))
     implicit = (F.size("_done.left") > 0) & (F.size("_done.s") == 0) & F.col("plain").rlike(r"\S")
     d = d.withColumn("labels", F.array_sort(F.when(implicit, whole).otherwise(F.col("_done.s")), lambda a, b: a["start"] - b["start"]))
-    return d.drop("_t", "_tags", "_before", "_after", "_paths", "_changes", "_kept", "_any", "_paired", "_spans", "_left", "_done")
+    return d.drop("_tags", "_paths", "_changes", "_long", "_kept", "_any", "_paired", "_spans", "_left", "_done")
 
 
 def written_forms(value: Column) -> Column:
@@ -379,11 +452,10 @@ def deletion_spans(rows: DataFrame, response: str, tagged: str, marked: str, del
     is one implicit label. Labels don't overlap, the first one counts; those with only white space between are joined.
     """
     d = rows.withColumn("_t", key_spans(F.col(tagged)))
-    d = json_tree.printed_leaves(d.withColumn("plain", F.col("_t.text")), response, "_leaves")
+    d = d.withColumn("plain", F.col("_t.text"))
     gone = F.coalesce(F.col(deleted), F.array().cast("array<string>"))
     said = F.transform(marked, lambda x: F.struct(x["tag"].alias("tag"), x["path"].alias("path"), x["original_value"].cast("string").alias("value")))
-    value_of = lambda p: F.get(F.filter("_leaves", lambda x: x["path"] == p), 0)["value"]
-    d = d.withColumn("_lost", F.filter(F.transform(gone, lambda p: F.struct(p.alias("path"), value_of(p).alias("value"))), lambda x: F.length(x["value"]) > 1))
+    d = with_columns(d, {"_lost": "array<struct<path:string,value:string>>"}, [response, deleted], lambda r, g: (values_of(leaf_list(r), g),))
     d = d.withColumn("_said", F.coalesce(said, F.array().cast("array<struct<tag:string,path:string,value:string>>")))
     d = d.withColumn("_wanted", F.array_distinct(F.flatten(F.concat(F.transform("_said", lambda x: written_forms(x["value"])), F.transform("_lost", lambda x: written_forms(x["value"]))))))
     d = found_in(d, "plain", "_wanted", "_found")
@@ -411,7 +483,7 @@ def deletion_spans(rows: DataFrame, response: str, tagged: str, marked: str, del
     note = F.concat(F.lit("IMPLICIT HALLUCINATION\nAnswer references data deleted from tool_response.\n\n"), F.array_join(F.transform(gone, lambda p: F.concat(F.lit("Deleted: "), p)), "\n"))
     whole = F.array(label(F.lit(0), F.length("plain"), F.col("plain"), note, F.lit(BASELESS), True, True))
     d = d.withColumn("labels", F.when((F.size("_spans") == 0) & (F.size(gone) > 0) & F.col("plain").rlike(r"\S"), whole).otherwise(joined(F.col("plain"), F.col("_spans"))))
-    return d.drop("_t", "_leaves", "_lost", "_said", "_wanted", "_found", "_first", "_all", "_spans")
+    return d.drop("_t", "_lost", "_said", "_wanted", "_found", "_first", "_all", "_spans")
 
 
 def joined(text: Column, labels: Column) -> Column:

@@ -62,11 +62,9 @@ def mismatch_labels(rows: DataFrame, answer: str, response: str, changed: str, t
     (else the last); if not, all its places count, or, for a long sentence that is most of the answer, those of its numbers that weren't
     asked for. Places grow to whole words. A row without labels gets those of editing.mismatch_spans, which count in its plain text.
     """
-    d = editing.mismatch_spans(rows.withColumn("_t", F.coalesce(F.col(tagged), F.col(answer))), response, changed, "_t").withColumnsRenamed({"labels": "_else", "plain": "_plain"})
-    d = json_tree.printed_leaves(d, changed, "_after")
+    d = editing.mismatch_spans(rows.withColumn("_t", F.coalesce(F.col(tagged), F.col(answer))), response, changed, "_t", values="_values").withColumnsRenamed({"labels": "_else", "plain": "_plain"})
     text, ctx = F.col(answer), F.lower(F.coalesce(F.col(changed), F.lit("")))
-    kept = F.transform(F.filter("_after", lambda x: F.length(x["value"]) > 2), lambda x: F.lower(x["value"]))
-    d = d.withColumn("_kept", F.coalesce(kept, F.array().cast("array<string>")))
+    d = d.withColumn("_kept", F.transform("_values", F.lower)).drop("_values")
     explicit = F.filter(evaluated, lambda x: ~F.coalesce(x["implicit_true"], F.lit(False)) & ~F.coalesce(x["due_to_null"], F.lit(False)))
     read = F.transform(explicit, lambda x: F.struct(line_of(x["meta"], "Original").alias("old"), line_of(x["meta"], "Generated").alias("new"), x["meta"].alias("meta"), F.coalesce(x["label_type"], F.lit(CONFLICT)).alias("kind")))
     same = lambda x: F.when(x["new"].isNotNull(), F.lower(x["new"]) == F.lower(x["old"])).otherwise(F.array_contains("_kept", F.lower(x["old"])))
@@ -100,7 +98,7 @@ def mismatch_labels(rows: DataFrame, answer: str, response: str, changed: str, t
     d = d.withColumn("_all", F.coalesce(proposed, nothing())).withColumn("_labels", F.array_sort(apart(F.col("_all")), lambda a, b: a["start"] - b["start"]))
     found = F.size("_labels") > 0
     d = d.withColumn("labels", F.when(found, F.col("_labels")).otherwise(F.col("_else"))).withColumn("output", F.when(found | (F.size("_else") == 0), text).otherwise(F.col("_plain")))
-    return d.drop("_t", "_else", "_plain", "_after", "_kept", "_read", "_at", "_words", "_wanted", "_found", "_all", "_labels")
+    return d.drop("_t", "_else", "_plain", "_kept", "_read", "_at", "_words", "_wanted", "_found", "_all", "_labels")
 
 
 #: A blank line, or the place before a list item in bold.
@@ -147,18 +145,21 @@ def deletion_labels(rows: DataFrame, answer: str, response: str, reduced: str, t
     hold no value of the original response. If no marked value has a place, the labels are those of editing.deletion_spans.
     """
     d = editing.deletion_spans(rows, response, tagged, marked, deleted).withColumnsRenamed({"labels": "_else", "plain": "_plain"})
-    d = json_tree.printed_leaves(json_tree.printed_leaves(d, response, "_before"), reduced, "_after")
+
+    def one(r: str | None, left: str | None, gone: list[str | None] | None) -> tuple:
+        before = json_tree.leaf_list(r)
+        return editing.long_values(before), editing.long_values(json_tree.leaf_list(left)), editing.values_of(before, gone)
+
+    d = json_tree.with_columns(d, {"_known": "array<string>", "_kept": "array<string>", "_gone": "array<struct<path:string,value:string>>"}, [response, reduced, deleted], one)
     text, ctx = F.col(answer), F.lower(F.coalesce(F.col(reduced), F.lit("")))
-    low = lambda leaves: F.coalesce(F.transform(F.filter(leaves, lambda x: F.length(x["value"]) > 2), lambda x: F.lower(x["value"])), F.array().cast("array<string>"))
-    d = d.withColumns({"_kept": low("_after"), "_known": F.array_distinct(low("_before"))})
+    d = d.withColumns({"_kept": F.transform("_kept", F.lower), "_known": F.array_distinct(F.transform("_known", F.lower))})
     at = F.transform(marked, lambda x: F.struct(x["path"].alias("path"), x["original_value"].alias("value"), F.coalesce(x["label_type"], F.lit("")).alias("kind"), located(text, x["original_value"]).alias("l")))
     d = d.withColumn("_at", F.filter(F.coalesce(at, F.array().cast("array<struct<path:string,value:string,kind:string,l:struct<start:int,end:int,text:string>>>")), lambda y: y["l"].isNotNull()))
     d = d.withColumn("_any", F.size("_at") > 0)
     d = d.withColumn("_at", F.filter("_at", lambda y: ~((F.length(y["value"]) > 2) & F.array_contains("_kept", F.lower(y["value"])))))
     d = d.withColumn("_words", F.transform("_at", lambda y: grown(text, y["l"]["start"], y["l"]["end"], numbers=False)))
-    value_of = lambda p: F.get(F.filter("_before", lambda x: x["path"] == p), 0)["value"]
     named = F.coalesce(F.transform(marked, lambda x: x["path"]), F.array().cast("array<string>"))
-    lost = F.filter(F.transform(F.filter(F.coalesce(F.col(deleted), F.array().cast("array<string>")), lambda p: ~F.coalesce(F.array_contains(named, p), F.lit(False))), lambda p: F.struct(p.alias("path"), value_of(p).alias("value"))), lambda x: (F.length(x["value"]) > 1) & ~ctx.contains(F.lower(x["value"])))
+    lost = F.filter("_gone", lambda x: ~F.coalesce(F.array_contains(named, x["path"]), F.lit(False)) & ~ctx.contains(F.lower(x["value"])))
     d = d.withColumn("_lost", lost)
     wanted = F.concat(F.transform("_words", lambda w: spans.cut(text, w["start"], w["end"])), F.flatten(F.transform("_lost", lambda x: signed_forms(x["value"]))))
     d = editing.found_in(d.withColumn("_wanted", F.array_distinct(wanted)), answer, "_wanted", "_found")
@@ -196,7 +197,7 @@ def deletion_labels(rows: DataFrame, answer: str, response: str, reduced: str, t
     free = F.filter(made_up, lambda b: editing.free(F.col("_marks"), b["start"], b["end"]))
     own = F.array_sort(F.concat(F.transform("_marks", plain), free), lambda a, b: a["start"] - b["start"])
     d = d.withColumn("labels", F.when(F.col("_any"), own).otherwise(F.col("_else"))).withColumn("output", F.when(F.col("_any") | (F.size("_else") == 0), text).otherwise(F.col("_plain")))
-    return d.drop("_else", "_plain", "_before", "_after", "_kept", "_known", "_at", "_any", "_words", "_lost", "_wanted", "_found", "_first", "_marks")
+    return d.drop("_else", "_plain", "_gone", "_kept", "_known", "_at", "_any", "_words", "_lost", "_wanted", "_found", "_first", "_marks")
 
 
 def comment_labels(answer: Column, comment: Column) -> Column:

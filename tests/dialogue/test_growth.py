@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 import pytest
 
-from spanloom import catalog, catalog_tools, catalog_trees  # noqa: F401
+from spanloom import catalog, catalog_editing, catalog_labels, catalog_tools, catalog_trees  # noqa: F401
+from spanloom.functions import json_tree
+from spanloom.operators import editing
 
 SF = "/root/testdata/sf0.001"
 
@@ -12,3 +15,43 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", ["changed_values", "json_occurrences", "json_siblings", "json_deletions", "json_cascades", "json_edits"])
 def test_no_broadcast_of_what_grows(spark, name):
     assert "Broadcast" not in catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def _plan(spark, name):
+    return catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(("name", "passes"), [("budgeted_deletions", 2), ("unambiguous_places", 1), ("deletion_labels", 4), ("mismatch_labels", 2), ("mismatch_spans", 1), ("quoted_paths", 1), ("tags_of_repeated_keys", 1), ("tagged_answers", 1), ("deletion_spans", 2)])
+def test_texts_are_read_in_few_passes(spark, name, passes):
+    """Each pass is one more Python worker a task; leaves aren't handed from one to the next."""
+    plan = _plan(spark, name)
+    assert plan.count("MapInArrow") == passes and plan.count("Exchange hashpartitioning") == 2
+
+
+def test_a_focus_is_drawn_from_leaves_made_once(spark):
+    plan = _plan(spark, "random_focus_schemas")
+    assert plan.count("MapInArrow") == 1 and "Broadcast" not in plan
+
+
+def test_python_holds_few_rows_at_a_time():
+    batch = pa.RecordBatch.from_pydict({"a": list(range(1201))})
+    cut = [b.num_rows for b in json_tree.pieces(iter([batch]))]
+    assert max(cut) <= json_tree.ROWS and sum(cut) == 1201
+
+
+def test_flat_arrow_columns():
+    kind = pa.list_(pa.struct([("a", pa.string()), ("b", pa.list_(pa.int32()))]))
+    rows = [[("x", [1, 2]), None, (None, None)], None, [], [("y", [])], [("z", [3])]]
+    made = json_tree.as_arrow(rows, kind)
+    assert made.to_pylist() == [[{"a": "x", "b": [1, 2]}, None, {"a": None, "b": None}], None, [], [{"a": "y", "b": []}], [{"a": "z", "b": [3]}]]
+    assert json_tree.from_arrow(made) == rows and json_tree.from_arrow(made.slice(2, 3)) == rows[2:] and json_tree.from_arrow(made.slice(1, 1)) == [None]
+    assert json_tree.as_arrow([], kind).to_pylist() == []
+
+
+def test_many_values_are_placed_like_few():
+    leaves = [("number", str(n)) for n in range(1000, 1040)] + [("string", "Rome"), ("null", "None"), ("string", "ab"), ("number", "-1234567.5")]
+    answer = "rome, ROME; 1,003 and €1,004, 1005 1005, -1,234,567.5 or so"
+    few = editing._spots(answer, leaves)
+    assert editing._spots(answer, leaves * 2) == few * 2
+    assert [x[0] for x in few[3:6]] == [1, 1, 2] and few[40] == (2, 0, 4) and few[41:43] == [(0, None, None)] * 2 and few[43][0] == 1
+    assert list(editing.number_forms("12")) == ["12", "12"] + [c + f for c in editing.CURRENCIES for f in ("12", "12", "12")] + ["12%", "12 %"]
