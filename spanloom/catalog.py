@@ -277,7 +277,7 @@ def issue_counts(spark, sf_dir):
 
 @query("with o as (select o_orderkey from orders join (select distinct l_orderkey from lineitem) on o_orderkey = l_orderkey), i as (select l_orderkey k, l_linenumber, l_partkey, cast(l_quantity as bigint) q, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_quantity) - 1 as p from lineitem) select o_orderkey, path, value from (select o_orderkey, 'o_orderkey' as path, cast(o_orderkey as varchar) as value from o union all select o.o_orderkey, 'o_orderstatus', s.o_orderstatus from o join orders s using (o_orderkey) union all select k, 'items.' || p || '.l_linenumber', cast(l_linenumber as varchar) from i join o on k = o_orderkey union all select k, 'items.' || p || '.l_partkey', cast(l_partkey as varchar) from i join o on k = o_orderkey union all select k, 'items.' || p || '.l_quantity', cast(q as varchar) from i join o on k = o_orderkey)")
 def json_leaves(spark, sf_dir):
-    return json_tree.leaves(orders_json(spark, sf_dir), "o_orderkey", "json").select("o_orderkey", "path", "value")
+    return json_tree.leaves(orders_json(spark, sf_dir), "o_orderkey", "json", "path", "value")
 
 
 @query("select o_orderkey, 'o_orderstatus' as path, o_orderstatus as before, case when o_orderkey % 2 = 0 then null else 'X' end as after, case when o_orderkey % 2 = 0 then 'deleted' else 'changed' end as change from orders where o_orderkey in (select l_orderkey from lineitem)")

@@ -13,23 +13,23 @@ LEAVES_SQL = f"""{ITEMS}, leaves as (select k, 'items.' || p || '.l_linenumber'
 union all select o_orderkey, 'o_orderkey', null, o_orderkey from orders where o_orderkey in (select k from i) union all select o_orderkey, 'o_orderstatus', null, null from orders where o_orderkey in (select k from i))"""
 
 
-def _leaves(spark, sf_dir):
-    return json_tree.leaves(orders_json(spark, sf_dir), "o_orderkey", "json")
+def _leaves(spark, sf_dir, *only):
+    return json_tree.leaves(orders_json(spark, sf_dir), "o_orderkey", "json", *only)
 
 
 @query(f"with {ITEMS} select k as o_orderkey, 'items' as path, 3 * count(*) as leaves from i group by k union all select k, 'items.' || p, 3 from i")
 def json_inner_paths(spark, sf_dir):
-    return trees.inner_paths(_leaves(spark, sf_dir), "o_orderkey")
+    return trees.inner_paths(_leaves(spark, sf_dir, "path"), "o_orderkey")
 
 
 @query(f"with {ITEMS} select k as o_orderkey, cast(3 as int) as depth, 3 * count(*) + 2 as leaves, count(*) as list_items from i group by k")
 def json_shapes(spark, sf_dir):
-    return trees.shapes(_leaves(spark, sf_dir), "o_orderkey")
+    return trees.shapes(_leaves(spark, sf_dir, "path", "list_item"), "o_orderkey")
 
 
 @query(f"with {LEAVES_SQL} select k as o_orderkey, path, coalesce(item, '') as parent, item as list_item, cast(3 as bigint) as n_siblings from leaves")
 def json_siblings(spark, sf_dir):
-    return trees.siblings(_leaves(spark, sf_dir), "o_orderkey").select("o_orderkey", "path", "parent", "list_item", "n_siblings")
+    return trees.siblings(_leaves(spark, sf_dir, "path", "list_item"), "o_orderkey").select("o_orderkey", "path", "parent", "list_item", "n_siblings")
 
 
 @query(f"""with {LEAVES_SQL}, w as (select k, case k % 4 when 0 then l_partkey when 1 then q when 2 then -7 end as v from i where p = 0) select w.k as o_orderkey, case w.k % 4 when 0 then '"' || w.v || '.0"' when 1 then cast(w.v as varchar) when 2 then '-7' else o_orderstatus end as raw,
@@ -38,7 +38,7 @@ def json_occurrences(spark, sf_dir):
     d, way = orders_json(spark, sf_dir), F.col("o_orderkey") % 4
     first = lambda f: F.get_json_object("json", f"$.items[0].{f}")
     raw = F.when(way == 0, F.concat(F.lit('"'), first("l_partkey"), F.lit('.0"'))).when(way == 1, first("l_quantity")).when(way == 2, "-7").otherwise(F.col("o_orderstatus"))
-    return trees.occurrences(_leaves(spark, sf_dir), d.select("o_orderkey", raw.alias("raw")), "o_orderkey")
+    return trees.occurrences(_leaves(spark, sf_dir, "kind", "value"), d.select("o_orderkey", raw.alias("raw")), "o_orderkey")
 
 
 @query(f"""with {LEAVES_SQL}, w as (select k, l_partkey as v from i where p = 0) select l.k as o_orderkey, path, cast(l.v as varchar) as before, '1234567' as after from leaves l join w on l.k = w.k and l.v = w.v""")
@@ -62,7 +62,7 @@ def json_deletions(spark, sf_dir):
 @query(f"""with {LEAVES_SQL}, r as (select k, path, row_number() over (partition by k order by path desc) as r, count(*) over (partition by k) as n from leaves) select k as o_orderkey, count(*) as n, min(path) as first from r where r <= greatest(n // 2, 1) group by k""")
 def json_targets(spark, sf_dir):
     """Half of each tree's leaves, the last by path."""
-    d = _leaves(spark, sf_dir)
+    d = _leaves(spark, sf_dir, "path")
     order = F.translate("path", "".join(map(chr, range(46, 123))), "".join(map(chr, range(122, 45, -1))))
     return trees.chosen_leaves(d, "o_orderkey", order).groupBy("o_orderkey").agg(F.count("*").alias("n"), F.min("path").alias("first"))
 
@@ -73,7 +73,7 @@ def json_cascades(spark, sf_dir):
     d = orders_json(spark, sf_dir)
     order = F.when(F.col("o_orderkey") % 2 == 0, F.when(F.col("path").endswith("l_quantity"), -F.col("value").cast("bigint")).otherwise(0)).otherwise(F.when(F.col("list_item").isNull(), -1).otherwise(0))
     freed = trees.cascades(json_tree.leaves(d, "o_orderkey", "json"), "o_orderkey", order)
-    schema = d.join(freed.hint("merge"), "o_orderkey").select("o_orderkey", F.array_sort("paths").alias("paths"), json_tree.unlock(json_tree.lock("json"), "paths").alias("schema"))
+    schema = d.join(freed.hint("merge"), "o_orderkey").select("o_orderkey", F.array_sort("paths").alias("paths"), json_tree.lock("json", "paths").alias("schema"))
     return schema.select("o_orderkey", "paths", F.regexp_count("schema", F.lit('"enum"')).cast("bigint").alias("locked"))
 
 
@@ -93,7 +93,7 @@ def random_cascade_schemas(spark, sf_dir):
     """A leaf drawn by its depth, and the schema in which its item, or all that stands beside it, is free."""
     d = orders_json(spark, sf_dir)
     freed = trees.random_cascades(json_tree.leaves(d, "o_orderkey", "json"), "o_orderkey", "cascade")
-    return d.join(freed.hint("merge"), "o_orderkey").select("o_orderkey", json_tree.unlock(json_tree.lock("json"), "paths").alias("schema"))
+    return d.join(freed.hint("merge"), "o_orderkey").select("o_orderkey", json_tree.lock("json", "paths").alias("schema"))
 
 
 @query(f"""with {ITEMS}, n as (select k, 'items' as path, 1 as w, null as p from i group by k union all select k, 'items.' || p, 2, p from i), d as (select *, row_number() over (partition by k order by {_DRAW.format("focus", "w")}) as r from n), {_schema_sql("select k, p as item, false as root, p is null as listed from d where r = 1")}""")
@@ -101,4 +101,4 @@ def random_focus_schemas(spark, sf_dir):
     """A list or an item drawn by its depth, and the schema in which it is free."""
     d = orders_json(spark, sf_dir)
     freed = trees.random_focus(json_tree.leaves(d, "o_orderkey", "json"), "o_orderkey", "focus")
-    return d.join(freed.hint("merge"), "o_orderkey").select("o_orderkey", json_tree.unlock(json_tree.lock("json"), F.array("path")).alias("schema"))
+    return d.join(freed.hint("merge"), "o_orderkey").select("o_orderkey", json_tree.lock("json", F.array("path")).alias("schema"))

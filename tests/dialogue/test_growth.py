@@ -55,3 +55,23 @@ def test_many_values_are_placed_like_few():
     assert editing._spots(answer, leaves * 2) == few * 2
     assert [x[0] for x in few[3:6]] == [1, 1, 2] and few[40] == (2, 0, 4) and few[41:43] == [(0, None, None)] * 2 and few[43][0] == 1
     assert list(editing.number_forms("12")) == ["12", "12"] + [c + f for c in editing.CURRENCIES for f in ("12", "12", "12")] + ["12%", "12 %"]
+
+
+@pytest.mark.parametrize("text", ['{"a": [1, {"b": "x, }"', '{"a":[1,{"b":2}', '[{"a": "q\\"]"}, ', '{"a": 1}, {', '{"a": "open', '{"a": tru', '{"a": [1}', "", "x", '{"a"'])
+def test_a_cut_text_is_closed_at_once_or_searched(text):
+    """What closes at its end is read as a whole, once; anything else is searched for its longest prefix."""
+    want = {'{"a": [1, {"b": "x, }"': '{"a": [1, {"b": "x, }"}]}', '{"a":[1,{"b":2}': '{"a":[1,{"b":2}]}', '[{"a": "q\\"]"}, ': '[{"a": "q\\"]"}]'}.get(text)
+    assert json_tree._closed(text) == want and (want is None or json_tree.recovered(text) == want)
+
+
+def test_a_schema_is_written_without_the_schema_as_objects(spark):
+    tree = '{"a": {"x": 1, "y": [1.50, null]}, "b": [true, {"c": "d\\"e"}, []], "1": {}}'
+    for paths in ([], ["a"], ["a.y"], ["b.1.c", "a.x"], ["b.-1", "b.7", "b.x", "1.z", ""], ["b.0", "b"]):
+        old = json_tree.encode(json_tree.unlocked(json_tree.locked_schema(json_tree.decode(tree)), paths))
+        assert json_tree.schema_text(json_tree.decode(tree), [p.split(".") for p in paths]) == old
+    assert spark.createDataFrame([(tree, ["b"]), ("no", ["b"]), (tree, None)], "j string, p array<string>").select(json_tree.lock("j", "p")).collect()[1][0] is None
+
+
+def test_leaves_leave_python_with_the_columns_asked_for(spark):
+    d = spark.createDataFrame([(1, '{"a": [1, "x"]}'), (2, None)], "k int, j string")
+    assert [tuple(r) for r in json_tree.leaves(d, "k", "j", "path", "value").collect()] == [(1, "a.0", "1"), (1, "a.1", "x")]
