@@ -40,10 +40,12 @@ def lowered(text: str) -> str:
 
 
 def places(text: str, wanted: set[str]) -> dict[str, list[int]]:
-    """Where each of some texts begins in a text, in order, overlapping places too; both given in lower case. One pass over the text."""
+    """Where each of some texts begins in a text, in order, overlapping places too; both given in lower case. One pass over the text, if they are more than a few."""
     wanted = {w for w in wanted if w}
     found: dict[str, list[int]] = defaultdict(list)
-    if wanted and text:
+    if len(wanted) <= FEW:
+        found.update((w, at) for w in wanted if (at := places_of(text, w)))
+    elif text:
         automaton = ahocorasick.Automaton()
         for w in wanted:
             automaton.add_word(w, w)
@@ -247,13 +249,19 @@ def sure_places(found: Column) -> Column:
     return F.when(~F.exists(found, lambda x: x["n"] > 1), F.array_sort(F.array_distinct(single)))
 
 
+def _empty(kind: str, value: str) -> bool:
+    """Whether a leaf, as printed, is false or zero."""
+    return kind == "boolean" and value == "False" or kind == "number" and float(value) == 0
+
+
 def quoted_paths(rows: DataFrame, response: str, answer: str, into: str) -> DataFrame:
     """rows with into: array of the paths of the response's leaves (under `results`, or the root) that stand just once in the answer, in order; none for nulls, false, zeros and values under 3 characters, nor for a response that is no object or list."""
-    d = placed_leaves(rows, response, answer, "_leaves", "_spots")
-    empty = lambda x: (x["kind"] == "boolean") & (x["value"] == "False") | (x["kind"] == "number") & (x["value"].try_cast("double") == 0)
-    once = F.filter(F.zip_with("_leaves", "_spots", lambda x, s: F.struct(x["path"].alias("path"), ((s["n"] == 1) & ~empty(x) & (x["path"] != "")).alias("ok"))), lambda x: x["ok"])
-    named = F.transform(once, lambda x: F.when(x["path"].startswith("results"), x["path"]).otherwise(F.concat(F.lit("results."), x["path"])))
-    return d.withColumn(into, F.coalesce(named, F.array().cast("array<string>"))).drop("_leaves", "_spots")
+
+    def one(r: str | None, a: str | None) -> tuple:
+        found = leaf_list(r, "results") or ()
+        return ([x[0] if x[0].startswith("results") else f"results.{x[0]}" for x, spot in zip(found, _spots(a, _values(found, 2)), strict=True) if spot[0] == 1 and x[0] and not _empty(x[2], x[3])],)
+
+    return with_columns(rows, {into: "array<string>"}, [response, answer], one)
 
 
 def tagged_deletions(rows: DataFrame, response: str, tagged: str, deleted: str, into: str) -> DataFrame:

@@ -75,3 +75,16 @@ def test_a_schema_is_written_without_the_schema_as_objects(spark):
 def test_leaves_leave_python_with_the_columns_asked_for(spark):
     d = spark.createDataFrame([(1, '{"a": [1, "x"]}'), (2, None)], "k int, j string")
     assert [tuple(r) for r in json_tree.leaves(d, "k", "j", "path", "value").collect()] == [(1, "a.0", "1"), (1, "a.1", "x")]
+
+
+def test_few_values_are_found_without_an_automaton(monkeypatch):
+    monkeypatch.setattr(editing.ahocorasick, "Automaton", None)
+    assert editing.places("aaba ba", {"a", "aa", "ba", "c", ""}) == {"a": [0, 1, 3, 6], "aa": [0], "ba": [2, 5]}
+    assert editing.places("", {"a"}) == {} and editing.places("a", set()) == {}
+
+
+def test_quoted_paths_leave_python_as_paths(spark):
+    d = spark.createDataFrame([(1, '{"results": {"a": 1.50, "b": false, "c": 0.00, "d": "Rome", "e": 123, "f": 123}}', "1.5 False 0.0 rome 123"), (2, '"Rome"', "Rome"), (3, None, "x"), (4, '{"d": "Rome"}', None)], "k int, r string, a string")
+    d = editing.quoted_paths(d, "r", "a", "p")
+    assert [r["p"] for r in d.orderBy("k").collect()] == [["results.a", "results.d", "results.e", "results.f"], [], [], []]
+    assert "_spots" not in _plan(spark, "quoted_paths")
