@@ -17,6 +17,11 @@ def _leaves(spark, sf_dir, *only):
     return json_tree.leaves(orders_json(spark, sf_dir), "o_orderkey", "json", *only)
 
 
+def _trees(spark, sf_dir, least=1):
+    """o_orderkey, o_orderstatus, json, l: the tree's leaves, of trees with so many at least. A condition on what is computed from them would be pushed down, and compute it twice."""
+    return json_tree.leaf_arrays(orders_json(spark, sf_dir), "json", "l").where(F.size("l") >= least)
+
+
 @query(f"with {ITEMS} select k as o_orderkey, 'items' as path, 3 * count(*) as leaves from i group by k union all select k, 'items.' || p, 3 from i")
 def json_inner_paths(spark, sf_dir):
     return trees.inner_paths(_leaves(spark, sf_dir, "path"), "o_orderkey")
@@ -24,7 +29,7 @@ def json_inner_paths(spark, sf_dir):
 
 @query(f"with {ITEMS} select k as o_orderkey, cast(3 as int) as depth, 3 * count(*) + 2 as leaves, count(*) as list_items from i group by k")
 def json_shapes(spark, sf_dir):
-    return trees.shapes(_leaves(spark, sf_dir, "path", "list_item"), "o_orderkey")
+    return _trees(spark, sf_dir).select("o_orderkey", trees.shape_of(F.col("l")).alias("s")).select("o_orderkey", "s.*")
 
 
 @query(f"with {LEAVES_SQL} select k as o_orderkey, path, coalesce(item, '') as parent, item as list_item, cast(3 as bigint) as n_siblings from leaves")
@@ -50,30 +55,29 @@ def json_replacements(spark, sf_dir):
 @query(f"with {ITEMS}, f as (select k, p, l_partkey, row_number() over (partition by k order by l_partkey desc, 'items.' || p || '.l_partkey') as r, count(*) over (partition by k) as n from i) select k as o_orderkey, 'items.' || p as path, (select count(*) * 3 from i where i.k = f.k) - 3 as left_leaves from f where r = 1")
 def json_deletions(spark, sf_dir):
     """The item with the greatest part number goes."""
-    order = F.when(F.col("path").endswith("l_partkey"), -F.col("value").cast("bigint")).otherwise(0)
-    orders = orders_json(spark, sf_dir)
-    chosen = trees.chosen_parts(json_tree.leaves(orders, "o_orderkey", "json"), "o_orderkey", order)
-    d = orders.join(chosen.hint("merge"), "o_orderkey").select("o_orderkey", "json", F.array("path").alias("gone"), F.lit(None).cast("string").alias("old"), F.lit(None).cast("string").alias("new"))
-    after = json_tree.edited(d, "o_orderkey", "json", "gone", "old", "new")
-    left = trees.shapes(json_tree.leaves(after, "o_orderkey", "json"), "o_orderkey").select("o_orderkey", (F.col("leaves") - 2).alias("left_leaves"))
-    return chosen.join(left.hint("merge"), "o_orderkey")
+    order = lambda x: F.when(x["path"].endswith("l_partkey"), -x["value"].cast("bigint")).otherwise(0)
+    d = _trees(spark, sf_dir, 2).withColumn("path", trees.chosen_part_of(F.col("l"), order))
+    none = F.lit(None).cast("string")
+    d = d.select(F.struct("o_orderkey", "path").alias("id"), "json", F.array("path").alias("gone"), none.alias("old"), none.alias("new"))
+    after = json_tree.leaf_arrays(json_tree.edited(d, "id", "json", "gone", "old", "new").select("id", "json"), "json", "l").where(F.size("l") > 0)
+    return after.select("id.*", (trees.shape_of(F.col("l"))["leaves"] - 2).alias("left_leaves"))
 
 
 @query(f"""with {LEAVES_SQL}, r as (select k, path, row_number() over (partition by k order by path desc) as r, count(*) over (partition by k) as n from leaves) select k as o_orderkey, count(*) as n, min(path) as first from r where r <= greatest(n // 2, 1) group by k""")
 def json_targets(spark, sf_dir):
     """Half of each tree's leaves, the last by path."""
-    d = _leaves(spark, sf_dir, "path")
-    order = F.translate("path", "".join(map(chr, range(46, 123))), "".join(map(chr, range(122, 45, -1))))
-    return trees.chosen_leaves(d, "o_orderkey", order).groupBy("o_orderkey").agg(F.count("*").alias("n"), F.min("path").alias("first"))
+    order = lambda x: F.translate(x["path"], "".join(map(chr, range(46, 123))), "".join(map(chr, range(122, 45, -1))))
+    d = _trees(spark, sf_dir).select("o_orderkey", trees.chosen_leaves_of(F.col("l"), order).alias("p"))
+    return d.select("o_orderkey", F.size("p").cast("bigint").alias("n"), F.array_min("p").alias("first"))
 
 
 @query(f"""with {ITEMS}, f as (select k, p, row_number() over (partition by k order by q desc, 'items.' || p || '.l_quantity') as r from i) select k as o_orderkey, case when k % 2 = 0 then ['items.' || p || '.l_linenumber', 'items.' || p || '.l_partkey', 'items.' || p || '.l_quantity'] else ['o_orderkey', 'o_orderstatus'] end as paths, case when k % 2 = 0 then 3 * (select count(*) from i where i.k = f.k) - 1 else 3 * (select count(*) from i where i.k = f.k) end as locked from f where r = 1""")
 def json_cascades(spark, sf_dir):
     """Even orders free the item with the greatest quantity, odd ones the two leaves at the root; locked counts the leaves that stay fixed."""
-    d = orders_json(spark, sf_dir)
-    order = F.when(F.col("o_orderkey") % 2 == 0, F.when(F.col("path").endswith("l_quantity"), -F.col("value").cast("bigint")).otherwise(0)).otherwise(F.when(F.col("list_item").isNull(), -1).otherwise(0))
-    freed = trees.cascades(json_tree.leaves(d, "o_orderkey", "json"), "o_orderkey", order)
-    schema = d.join(freed.hint("merge"), "o_orderkey").select("o_orderkey", F.array_sort("paths").alias("paths"), json_tree.lock("json", "paths").alias("schema"))
+    greatest = lambda x: F.when(x["path"].endswith("l_quantity"), -x["value"].cast("bigint")).otherwise(0)
+    order = lambda x: F.when(F.col("o_orderkey") % 2 == 0, greatest(x)).otherwise(F.when(x["list_item"].isNull(), -1).otherwise(0))
+    freed = trees.cascades_of(_trees(spark, sf_dir, 2), "l", order, "paths")
+    schema = freed.select("o_orderkey", F.array_sort("paths").alias("paths"), json_tree.lock("json", "paths").alias("schema"))
     return schema.select("o_orderkey", "paths", F.regexp_count("schema", F.lit('"enum"')).cast("bigint").alias("locked"))
 
 
@@ -91,9 +95,8 @@ select k as o_orderkey, '{{"type": "object", "properties": {{"o_orderkey": {{"ty
 @query(f"""with {LEAVES_SQL}, d as (select k, path, item, row_number() over (partition by k order by {_DRAW.format("cascade", "(case when item is null then 1 else 3 end)")}) as r from leaves), {_schema_sql("select k, cast(substr(item, 7) as int) as item, item is null as root, item is null as listed from d where r = 1")}""")
 def random_cascade_schemas(spark, sf_dir):
     """A leaf drawn by its depth, and the schema in which its item, or all that stands beside it, is free."""
-    d = orders_json(spark, sf_dir)
-    freed = trees.random_cascades(json_tree.leaves(d, "o_orderkey", "json"), "o_orderkey", "cascade")
-    return d.join(freed.hint("merge"), "o_orderkey").select("o_orderkey", json_tree.lock("json", "paths").alias("schema"))
+    freed = trees.random_cascades_of(_trees(spark, sf_dir), "l", "o_orderkey", "cascade", "paths", "leaf")
+    return freed.select("o_orderkey", json_tree.lock("json", "paths").alias("schema"))
 
 
 @query(f"""with {ITEMS}, n as (select k, 'items' as path, 1 as w, null as p from i group by k union all select k, 'items.' || p, 2, p from i), d as (select *, row_number() over (partition by k order by {_DRAW.format("focus", "w")}) as r from n), {_schema_sql("select k, p as item, false as root, p is null as listed from d where r = 1")}""")

@@ -1,11 +1,14 @@
 """Operators on leaf tables of JSON trees (key, pos, path, list_item, kind, value): paths, neighbours, occurrences, choices for edits.
 
 The trees are decoded once, by json_tree.leaves; all here is joins and aggregates on paths, and chosen paths go back to json_tree.edited
-or json_tree.unlock. Leaf tables outgrow what Spark knows of their size, so they are joined by merge: a broadcast would go through the driver.
+or json_tree.unlock. What is decided tree by tree has a second form, `..._of`, over the arrays of json_tree.leaf_arrays: rows stay where
+they are, with their texts, so that leaves are neither shuffled nor joined back. Leaf tables outgrow what Spark knows of their size, so they are joined by merge: a broadcast would go through the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,6 +37,13 @@ def shapes(leaves: DataFrame, key: str) -> DataFrame:
     return leaves.groupBy(key).agg(F.max(F.size(F.split("path", r"\."))).alias("depth"), F.count("*").alias("leaves"), F.count_distinct("list_item").alias("list_items"))
 
 
+def shape_of(leaves: Column) -> Column:
+    """struct(depth, leaves, list_items) of a tree's leaves, as shapes() has them; null without leaves."""
+    items = F.array_distinct(F.filter(F.transform(leaves, lambda x: x["list_item"]), lambda p: p.isNotNull()))
+    depth = F.array_max(F.transform(leaves, lambda x: _depth(x["path"])))
+    return F.when(F.size(leaves) > 0, F.struct(depth.alias("depth"), F.size(leaves).cast("bigint").alias("leaves"), F.size(items).cast("bigint").alias("list_items")))
+
+
 def value_at(leaves: DataFrame, key: str, path: str) -> DataFrame:
     """key, kind, value of the leaf at a path."""
     return leaves.where(F.col("path") == path).select(key, "kind", "value")
@@ -81,12 +91,25 @@ def chosen_leaves(leaves: DataFrame, key: str, order: Column, share: float = 0.5
     return d.where(F.col("place") <= (bound if most is None else F.least(bound, F.lit(most)))).select(key, "path")
 
 
+def chosen_leaves_of(leaves: Column, order: Callable[[Column], Column], share: float = 0.5, most: int | None = None) -> Column:
+    """The paths that chosen_leaves() takes of a tree, in order; order takes a leaf."""
+    bound = F.greatest(F.floor(F.size(leaves) * share), F.lit(1))
+    ranked = F.array_sort(F.transform(leaves, lambda x: F.struct(order(x).alias("o"), x["path"].alias("path"))))
+    return F.transform(F.slice(ranked, F.lit(1), (bound if most is None else F.least(bound, F.lit(most))).cast("int")), lambda x: x["path"])
+
+
 def chosen_parts(leaves: DataFrame, key: str, order: Column) -> DataFrame:
     """key, path: what to delete of each tree: the whole list item around the first leaf in an order, or the leaf itself in a tree without lists. Trees with one leaf are left out."""
     first = leaves.groupBy(key).agg(F.min_by(F.coalesce("list_item", "path"), F.struct(order, "path")).alias("path"), F.count("*").alias("n"))
     return first.where("n > 1").select(key, "path")
 
 
+def chosen_part_of(leaves: Column, order: Callable[[Column], Column]) -> Column:
+    """The path that chosen_parts() takes of a tree, or null; order takes a leaf."""
+    first = F.array_min(F.transform(leaves, lambda x: F.struct(order(x).alias("o"), x["path"].alias("path"), F.coalesce(x["list_item"], x["path"]).alias("part"))))
+    return F.when(F.size(leaves) > 1, first["part"])
+
+
 def cascades(leaves: DataFrame, key: str, order: Column) -> DataFrame:
     """key, paths: what to free together of each tree: all leaves of the list item around the first leaf in an order, or, outside lists, the first half (rounded up, two at least) of the leaves beside it. Trees with one leaf are left out."""
     w = W.partitionBy(key)
@@ -98,6 +121,19 @@ def cascades(leaves: DataFrame, key: str, order: Column) -> DataFrame:
     return held.select(key, F.transform(F.slice("l", F.lit(1), taken), lambda x: x["path"]).alias("paths"))
 
 
+def cascades_of(rows: DataFrame, leaves: str, order: Callable[[Column], Column], into: str) -> DataFrame:
+    """rows with into: the paths that cascades() frees in each tree, or null; order takes a leaf."""
+    first = F.array_min(F.transform(leaves, lambda x: F.struct(order(x).alias("o"), x["path"].alias("path"), x["list_item"].alias("item"))))
+    d = rows.withColumn("_first", first).withColumn("_up", parent(F.col("_first.path")))
+    item = F.col("_first.item")
+    beside = lambda x: x["list_item"].isNull() & (parent(x["path"]) == F.col("_up"))
+    held = F.filter(leaves, lambda x: F.when(item.isNotNull(), F.coalesce(x["list_item"] == item, F.lit(False))).otherwise(beside(x)))
+    d = d.withColumn("_held", F.array_sort(F.transform(held, lambda x: F.struct(order(x).alias("o"), x["path"].alias("path")))))
+    taken = F.when(item.isNotNull(), F.size("_held")).otherwise(F.greatest(F.ceil(F.size("_held") / 2).cast("int"), F.lit(2)))
+    paths = F.transform(F.slice("_held", F.lit(1), taken), lambda x: x["path"])
+    return d.withColumn(into, F.when(F.size(leaves) > 1, paths)).drop("_first", "_up", "_held")
+
+
 def chance(*parts: Column | str) -> Column:
     """A number between 0 and 1, without both, that depends on nothing but the parts."""
     bits = F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 13), 16, 10).cast("double")
@@ -120,6 +156,12 @@ def random_cascades(leaves: DataFrame, key: str, seed: str) -> DataFrame:
     and others by chance, two to half of them together. The root's `name` is neither drawn nor freed unless it is the only leaf.
     """
     d = leaves.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "path", "list_item"))).alias("_l"))
+    return random_cascades_of(d, "_l", key, seed, "paths", "leaf").select(key, "leaf", "paths")
+
+
+def random_cascades_of(rows: DataFrame, leaves: str, key: str, seed: str, into: str, drawn: str) -> DataFrame:
+    """rows with into and drawn: the paths and the leaf that random_cascades() takes of each tree; null without leaves."""
+    d = rows.withColumn("_l", F.col(leaves))
     own = lambda x: F.struct(weighted_order(_depth(x["path"]), F.lit(seed), F.col(key), x["path"]).alias("o"), x["path"].alias("path"), x["list_item"].alias("item"))
     named = F.filter("_l", lambda x: x["path"] != "name")
     d = d.withColumn("_leaf", F.array_min(F.transform(F.when(F.size(named) > 0, named).otherwise(F.col("_l")), own)))
@@ -132,7 +174,8 @@ def random_cascades(leaves: DataFrame, key: str, seed: str) -> DataFrame:
     more = 2 + F.floor(chance(F.lit(f"{seed} n"), F.col(key)) * (F.greatest(F.lit(2), F.ceil(n / 2)) - 1))
     others = F.transform(F.array_sort(F.transform(F.filter("_parts", lambda p: p != leaf), lambda p: F.struct(chance(F.lit(f"{seed} others"), F.col(key), p).alias("o"), p.alias("p")))), lambda x: x["p"])
     beside = F.when(n <= 3, F.col("_parts")).otherwise(F.concat(F.array(leaf), F.slice(others, F.lit(1), (more - 1).cast("int"))))
-    return d.select(key, leaf.alias("leaf"), F.when(F.col("_leaf.item").isNotNull(), held).otherwise(F.when(n > 0, beside).otherwise(F.array(leaf))).alias("paths"))
+    paths = F.when(F.col("_leaf.item").isNotNull(), held).otherwise(F.when(n > 0, beside).otherwise(F.array(leaf)))
+    return d.withColumns({drawn: leaf, into: F.when(leaf.isNotNull(), paths)}).drop("_l", "_leaf", "_parts")
 
 
 def random_focus(leaves: DataFrame, key: str, seed: str) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from spanloom import catalog, catalog_editing, catalog_labels, catalog_tools, catalog_trees  # noqa: F401
 from spanloom.functions import json_tree
-from spanloom.operators import editing
+from spanloom.operators import editing, trees
 
 SF = "/root/testdata/sf0.001"
 
@@ -88,3 +89,24 @@ def test_quoted_paths_leave_python_as_paths(spark):
     d = editing.quoted_paths(d, "r", "a", "p")
     assert [r["p"] for r in d.orderBy("k").collect()] == [["results.a", "results.d", "results.e", "results.f"], [], [], []]
     assert "_spots" not in _plan(spark, "quoted_paths")
+
+
+@pytest.mark.parametrize("name", ["json_shapes", "json_targets", "json_cascades", "json_deletions", "random_cascade_schemas"])
+def test_what_is_decided_tree_by_tree_shuffles_no_leaves(spark, name):
+    """Two shuffles make the orders; leaves are neither shuffled nor joined back, and no condition computes a choice again."""
+    plan = _plan(spark, name)
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("SortMergeJoin") == 1
+
+
+def test_choices_of_arrays_are_those_of_leaf_tables(spark):
+    trees_ = ['{"name": "n", "a": [{"x": 1, "y": 2}, {"x": 3}], "b": 4, "c": 5, "d": {"e": 6}}', '{"name": "n"}', "7", "no", '{"a": 1, "b": 2, "c": 3, "d": 4, "e": 5}', "[[1, 2], [3]]"]
+    d = spark.createDataFrame(list(enumerate(trees_)), "k int, j string")
+    table, rows = json_tree.leaves(d, "k", "j"), json_tree.leaf_arrays(d, "j", "l")
+    last, last_of = -F.col("pos"), lambda x: -x["pos"]
+    read = lambda x: sorted(map(str, x.where("p is not null").collect()))
+    assert read(trees.chosen_parts(table, "k", last).select("k", F.col("path").alias("p"))) == read(rows.select("k", trees.chosen_part_of(F.col("l"), last_of).alias("p")))
+    assert read(trees.cascades(table, "k", last).select("k", F.col("paths").alias("p"))) == read(trees.cascades_of(rows, "l", last_of, "p").select("k", "p"))
+    assert read(trees.random_cascades(table, "k", "s").select("k", F.col("paths").alias("p"))) == read(trees.random_cascades_of(rows, "l", "k", "s", "p", "leaf").select("k", "p"))
+    assert read(trees.shapes(table, "k").select("k", F.struct("depth", "leaves", "list_items").alias("p"))) == read(rows.select("k", trees.shape_of(F.col("l")).alias("p")))
+    chosen = trees.chosen_leaves(table, "k", last).groupBy("k").agg(F.array_sort(F.collect_list("path")).alias("p"))
+    assert read(chosen) == read(rows.where(F.size("l") > 0).select("k", F.array_sort(trees.chosen_leaves_of(F.col("l"), last_of)).alias("p")))
