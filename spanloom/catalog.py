@@ -75,10 +75,15 @@ def orders_with_items(spark: SparkSession, sf_dir: str, orders: list[Column], pa
     return _table(spark, sf_dir, "orders").select("o_orderkey", *orders).join(items.hint("merge"), "o_orderkey")
 
 
+def dealt(spark: SparkSession) -> int:
+    """Over how many partitions rows go that are small but take long to work on: all cores have some, which adaptive execution wouldn't see to for so few bytes."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def orders_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with their items as JSON text."""
     body = F.to_json(F.struct("o_orderkey", "o_orderstatus", "items"))
-    return orders_with_items(spark, sf_dir, [F.col("o_orderstatus")]).select("o_orderkey", "o_orderstatus", body.alias("json"))
+    return orders_with_items(spark, sf_dir, [F.col("o_orderstatus")], dealt(spark)).select("o_orderkey", "o_orderstatus", body.alias("json"))
 
 
 @query(f"""with {LABELLED_SQL}, c as (select gold, count(*) filter (where flagged) as yes, count(*) filter (where not flagged) as no from labelled group by gold),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.catalog import _table, orders_with_items, query
+from spanloom.catalog import _table, dealt, orders_with_items, query
 from spanloom.functions import json_tree, text
 from spanloom.operators import editing, examples, spans
 from spanloom.operators.examples import CURRENCIES, key_spans
@@ -20,9 +20,7 @@ said as (select *, 'Order ' || k || ' is ' || status || ' and totals ' || case w
 
 def order_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k, total, status, items, response, answer."""
-    # Rows are small but take long to work on: they are dealt over all cores, which adaptive execution wouldn't do for so few bytes.
-    wide = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    d = orders_with_items(spark, sf_dir, [F.floor("o_totalprice").cast("bigint").alias("total"), F.col("o_orderstatus").alias("status")], wide).withColumnRenamed("o_orderkey", "k")
+    d = orders_with_items(spark, sf_dir, [F.floor("o_totalprice").cast("bigint").alias("total"), F.col("o_orderstatus").alias("status")], dealt(spark)).withColumnRenamed("o_orderkey", "k")
     inner = F.struct(F.col("k").alias("order"), "total", "status", F.transform("items", lambda x: F.struct(x["l_linenumber"].alias("line"), x["l_partkey"].alias("part"), x["l_quantity"].alias("pieces"))).alias("items"))
     d = d.withColumn("response", F.to_json(F.struct(F.lit("order").alias("name"), inner.alias("results"))))
     line = lambda x: F.concat(F.lit(" Part "), x["l_partkey"], F.lit(": "), x["l_quantity"], F.lit(" pieces."))

@@ -110,3 +110,17 @@ def test_choices_of_arrays_are_those_of_leaf_tables(spark):
     assert read(trees.shapes(table, "k").select("k", F.struct("depth", "leaves", "list_items").alias("p"))) == read(rows.select("k", trees.shape_of(F.col("l")).alias("p")))
     chosen = trees.chosen_leaves(table, "k", last).groupBy("k").agg(F.array_sort(F.collect_list("path")).alias("p"))
     assert read(chosen) == read(rows.where(F.size("l") > 0).select("k", F.array_sort(trees.chosen_leaves_of(F.col("l"), last_of)).alias("p")))
+
+
+ODD = ['{"name": "n", "a": [{"x": 1, "y": 2}, {"x": 3}], "b.c": 4, "": {"e": 6, "name": 7}, ".f": [[1], []]}', '{"name": {"name": 1}}', '{"name": 1}', "7", "no", "[[1, 2.50], [true, null]]", '{"items": [{"a.b": 1, "a": {"b": 2, "": 3}}]}']
+
+
+def test_leaves_without_list_items_are_walked_plainly(spark):
+    for text in [*ODD, "[" * 400 + "1" + "]" * 400]:
+        tree = json_tree.decode(text)
+        assert [(p, v) for p, _, v in json_tree.walk(tree)] == json_tree.walk_plain(tree)
+        assert json_tree.leaf_list(text) == (None if tree is None else [(p, n, json_tree.kind_of(v), json_tree.printed(v)) for p, _, n, v in json_tree.walk_named(tree)])
+
+
+def test_orders_as_json_are_dealt_over_all_cores(spark):
+    assert "REPARTITION_BY_NUM" in _plan(spark, "json_leaves")
