@@ -49,7 +49,7 @@ def json_occurrences(spark, sf_dir):
 @query(f"""with {LEAVES_SQL}, w as (select k, l_partkey as v from i where p = 0) select l.k as o_orderkey, path, cast(l.v as varchar) as before, '1234567' as after from leaves l join w on l.k = w.k and l.v = w.v""")
 def json_replacements(spark, sf_dir):
     d = orders_json(spark, sf_dir).withColumns({"gone": F.lit(None).cast("array<string>"), "old": F.concat(F.lit(" '"), F.get_json_object("json", "$.items[0].l_partkey"), F.lit(".00'")), "new": F.lit("1,234,567.0")})
-    return json_tree.edited(d, "o_orderkey", "json", "gone", "old", "new").select("o_orderkey", F.inline("changes")).drop("change")
+    return json_tree.edited(d, "o_orderkey", "json", "gone", "old", "new", "changes").select("o_orderkey", F.inline("changes")).drop("change")
 
 
 @query(f"with {ITEMS}, f as (select k, p, l_partkey, row_number() over (partition by k order by l_partkey desc, 'items.' || p || '.l_partkey') as r, count(*) over (partition by k) as n from i) select k as o_orderkey, 'items.' || p as path, (select count(*) * 3 from i where i.k = f.k) - 3 as left_leaves from f where r = 1")
@@ -59,7 +59,7 @@ def json_deletions(spark, sf_dir):
     d = _trees(spark, sf_dir, 2).withColumn("path", trees.chosen_part_of(F.col("l"), order))
     none = F.lit(None).cast("string")
     d = d.select(F.struct("o_orderkey", "path").alias("id"), "json", F.array("path").alias("gone"), none.alias("old"), none.alias("new"))
-    after = json_tree.leaf_arrays(json_tree.edited(d, "id", "json", "gone", "old", "new").select("id", "json"), "json", "l").where(F.size("l") > 0)
+    after = json_tree.leaf_arrays(json_tree.edited(d, "id", "json", "gone", "old", "new", "json"), "json", "l").where(F.size("l") > 0)
     return after.select("id.*", (trees.shape_of(F.col("l"))["leaves"] - 2).alias("left_leaves"))
 
 

@@ -124,3 +124,10 @@ def test_leaves_without_list_items_are_walked_plainly(spark):
 
 def test_orders_as_json_are_dealt_over_all_cores(spark):
     assert "REPARTITION_BY_NUM" in _plan(spark, "json_leaves")
+
+
+def test_a_pattern_is_made_only_for_texts_that_hold_the_value(monkeypatch):
+    made, bounded = [], json_tree.bounded
+    monkeypatch.setattr(json_tree, "bounded", lambda old: made.append(old) or bounded(old))
+    assert json_tree.replaced(json_tree.decode('{"a": [7, "x", 70], "b": "7.0"}'), "7", "8") == ({"a": ["8", "x", "70"], "b": "8"}, 2) and made == []
+    assert json_tree.replaced(["no 7", "7 of 7", "77"], "7", "8") == (["no 8", "8 of 8", "77"], 3) and made == ["7"]
