@@ -10,6 +10,7 @@ Case is folded place by place, so that offsets hold: characters whose lower case
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from decimal import Decimal
@@ -270,24 +271,32 @@ def tagged_deletions(rows: DataFrame, response: str, tagged: str, deleted: str,
     A path's tag is its last part that is no list place (and not `results`); a tag shows a value if one holds the other. Of a deleted list
     or object the value is its leaves' values, one blank between. Paths without anything at them have none.
     """
-    d = json_tree.printed_leaves(rows, response, "_leaves").withColumn("_t", key_spans(F.col(tagged))["spans"])
-    zero = F.struct(F.lit(0).alias("more"), F.array().cast("array<struct<start:int,end:int,key:string,value:string>>").alias("found"))
-
-    def placed(acc: Column, t: Column) -> Column:
-        own = 2 * F.length(t["key"]) + 5
-        one = F.struct((t["start"] + acc["more"]).alias("start"), (t["end"] + acc["more"] + own).alias("end"), t["key"].alias("key"), t["value"].alias("value"))
-        return F.struct((acc["more"] + own).alias("more"), F.array_append(acc["found"], one).alias("found"))
-
-    d = d.withColumn("_t", F.aggregate("_t", zero, placed, lambda acc: acc["found"]))
-    names = lambda p: F.filter(F.split(p, r"\."), lambda x: ~x.rlike(r"\A[0-9]+\z"))
-    last = lambda p: F.when(F.element_at(F.split(p, r"\."), -1).rlike(r"\A[0-9]+\z"), F.try_element_at(F.filter(names(p), lambda x: x != "results"), F.lit(-1))).otherwise(F.element_at(F.split(p, r"\."), -1))
-    held = lambda p: F.transform(F.filter("_leaves", lambda x: (x["path"] == p) | x["path"].startswith(F.concat(p, F.lit(".")))), lambda x: x["value"])
-    wanted = F.transform(F.coalesce(F.col(deleted), F.array().cast("array<string>")), lambda p: F.struct(p.alias("path"), last(p).alias("tag"), held(p).alias("values")))
-    wanted = F.transform(F.filter(wanted, lambda w: (F.size(w["values"]) > 0) & w["tag"].isNotNull()), lambda w: F.struct(w["path"].alias("path"), w["tag"].alias("tag"), F.array_join(w["values"], " ").alias("value")))
-    shows = lambda w, t: (t["key"] == w["tag"]) & (t["value"].contains(w["value"]) | w["value"].contains(t["value"]))
-    made = lambda w, t: F.struct(w["path"].alias("path"), w["tag"].alias("tag"), t["start"].alias("span_start"), t["end"].alias("span_end"), spans.cut(F.col(tagged), t["start"], t["end"]).alias("span_text"), w["value"].alias("original_value"))
-    found = F.flatten(F.transform(wanted, lambda w: F.transform(F.filter("_t", lambda t: shows(w, t)), lambda t: made(w, t))))
-    return d.withColumn(into, found).drop("_leaves", "_t")
+    kind = "array<struct<path:string,tag:string,span_start:int,span_end:int,span_text:string,original_value:string>>"
+    return with_columns(rows, {into: kind}, [response, tagged, deleted], lambda r, t, gone: (_shown(leaf_list(r), t, gone),))
+
+
+#: A tag in an answer, as examples.key_spans has it, and a list place.
+TAG, PLACE = re.compile(r"\[(\w+)\](.*?)\[/\1\]", re.ASCII | re.DOTALL), re.compile(r"[0-9]+")
+
+
+def _tag_of(path: str) -> str | None:
+    """The name under which a path's value is tagged."""
+    parts = path.split(".")
+    if not PLACE.fullmatch(parts[-1]):
+        return parts[-1]
+    return next((x for x in reversed(parts) if x != "results" and not PLACE.fullmatch(x)), None)
+
+
+def _shown(leaves: list[tuple[str, str, str, str]] | None, tagged: str | None, deleted: list[str | None] | None) -> list[tuple] | None:
+    wanted = []
+    for path in deleted or ():
+        values = () if path is None else [x[3] for x in leaves or () if x[0] == path or x[0].startswith(f"{path}.")]
+        if values and (tag := _tag_of(path)) is not None:
+            wanted.append((path, tag, " ".join(values)))
+    if tagged is None:
+        return None if wanted else []
+    found = [(m[1], m[2], m.start(), m.end(), m[0]) for m in TAG.finditer(tagged)] if wanted else []
+    return [(path, tag, start, end, whole, value) for path, tag, value in wanted for key, shown, start, end, whole in found if key == tag and (value in shown or shown in value)]
 
 
 # Deletions
@@ -384,6 +393,17 @@ def values_of(leaves: list[tuple[str, str, str, str]] | None, paths: list[str |
     return [(p, at[p]) for p in paths or () if len(at.get(p, "")) > 1]
 
 
+def values_in(text: str | None, paths: list[str | None] | None) -> list[tuple[str, str]]:
+    """values_of() of a JSON text's leaves, of which only those at the paths are printed."""
+    wanted = {p for p in paths or () if p is not None}
+    tree = json_tree.decode(text) if wanted else None
+    at: dict[str, str] = {}
+    for path, v in () if tree is None else json_tree.walk_plain(tree):
+        if path in wanted and path not in at:
+            at[path] = json_tree.printed(v)
+    return [(p, at[p]) for p in paths or () if len(at.get(p, "")) > 1]
+
+
 def free(taken: Column, start: Column, end: Column) -> Column:
     """Whether a stretch overlaps none of some spans."""
     return ~F.exists(taken, lambda t: (t["start"] < end) & (start < t["end"]))
@@ -443,13 +463,94 @@ def mismatch_spans(rows: DataFrame, response: str, changed: str, tagged: str, va
     return d.drop("_tags", "_paths", "_changes", "_long", "_kept", "_any", "_paired", "_spans", "_left", "_done")
 
 
-def written_forms(value: Column) -> Column:
+WHOLE, SPLIT = re.compile(r"[+-]?[0-9]{1,18}"), re.compile(r"[+-]?[0-9]{1,18}(?=\.)")
+
+
+def written_forms(value: str) -> list[str]:
     """A value and, of a number, its forms with commas and behind currency signs, in the order in which they are looked for."""
-    whole = grouped(value)
-    split = value.rlike(r"\A[+-]?[0-9]{1,18}\..*")
-    decimal = F.when(split, F.concat(grouped(F.substring_index(value, ".", 1)), F.substring(value, F.instr(value, "."), F.length(value))))
-    first = [value, whole, *[F.concat(F.lit(s), x) for s in CURRENCIES for x in (whole, F.when(whole.isNotNull(), value))]]
-    return F.array_distinct(F.array_compact(F.array(*first, decimal, *[F.concat(F.lit(s), decimal) for s in CURRENCIES])))
+    forms = [value]
+    if WHOLE.fullmatch(value):
+        whole = f"{int(value):,}"
+        forms += [whole, *[s + x for s in CURRENCIES for x in (whole, value)]]
+    elif head := SPLIT.match(value):
+        decimal = f"{int(head[0]):,}{value[head.end():]}"
+        forms += [decimal, *[s + decimal for s in CURRENCIES]]
+    return list(dict.fromkeys(forms))
+
+
+def untagged(text: str | None) -> tuple[str | None, list[tuple[int, int, str, str]] | None]:
+    """The text of an answer with tags, and (start, end, key, value) of these in it, as examples.key_spans has them."""
+    if text is None:
+        return None, None
+    parts, tags, last, at = [], [], 0, 0
+    for m in TAG.finditer(text):
+        parts += [text[last : m.start()], m[2]]
+        at += m.start() - last
+        tags.append((at, at + len(m[2]), m[1], m[2]))
+        last, at = m.end(), at + len(m[2])
+    return "".join([*parts, text[last:]]), tags
+
+
+class Taken:
+    """Stretches that don't overlap."""
+
+    def __init__(self) -> None:
+        self.ends: list[int] = []
+        self.starts: list[int] = []
+
+    def take(self, start: int, end: int) -> bool:
+        """Adds a stretch unless it overlaps one."""
+        i = bisect_right(self.ends, start)
+        if i < len(self.ends) and self.starts[i] < end:
+            return False
+        self.starts.insert(i, start)
+        self.ends.insert(i, end)
+        return True
+
+
+#: What of an answer is no white space.
+SEEN = re.compile(r"\S", re.ASCII)
+
+
+def _deletion_labels(plain: str | None, tags: list[tuple] | None, said: list[tuple] | None, lost: list[tuple[str, str]] | None, gone: list[str | None] | None) -> list[tuple]:
+    """The labels of deletion_spans: said as (tag, path, value), lost as (path, value)."""
+    if plain is None:
+        return []
+    said, lost = said or (), lost or ()
+    forms = {v: [(lowered(f), len(f)) for f in written_forms(v)] for v in (*(x[2] for x in said), *(x[1] for x in lost)) if v is not None and len(v) > 1}
+    at = places(lowered(plain), {f for each in forms.values() for f, _ in each})
+    taken, found, placed = Taken(), [], set()
+
+    def put(path: str | None, value: str | None, stretches: list[tuple[int, int]]) -> None:
+        meta = None if path is None or value is None else f"EVIDENT BASELESS INFO\nPath (deleted): {path}\nOriginal value: {value}"
+        found.extend((start, end, plain[start:end], meta, BASELESS, False, True) for start, end in stretches if taken.take(start, end))
+
+    everywhere = lambda v: [(s, s + n) for f, n in forms.get(v, ()) for s in at.get(f, ())]
+    for tag, path, value in said:
+        named = [t for t in tags or () if t[2] == tag]
+        hit = next((t for t in named if value is not None and (value in t[3] or t[3] in value)), named[0] if named else None)
+        stretches = ([] if hit is None else [hit[:2]]) + everywhere(value)
+        if stretches:
+            placed.add(path)
+        put(path, value, stretches)
+    for path, value in lost:
+        if path not in placed:
+            put(path, value, everywhere(value))
+    if not found and gone and SEEN.search(plain):
+        note = "IMPLICIT HALLUCINATION\nAnswer references data deleted from tool_response.\n\n" + "\n".join(f"Deleted: {p}" for p in gone if p is not None)
+        return [(0, len(plain), plain, note, BASELESS, True, True)]
+    return _joined(plain, sorted(found, key=lambda x: x[0]))
+
+
+def _joined(text: str, labels: list[tuple]) -> list[tuple]:
+    """Labels in order; one that only white space parts from the one before is joined to it, and keeps that one's note."""
+    out: list[tuple] = []
+    for s in labels:
+        if out and not SEEN.search(text[out[-1][1] : s[0]]):
+            start, _, _, meta, kind, _, null = out.pop()
+            s = (start, s[1], text[start : s[1]], meta, kind, False, null)
+        out.append(s)
+    return out
 
 
 def deletion_spans(rows: DataFrame, response: str, tagged: str, marked: str, deleted: str) -> DataFrame:
@@ -459,51 +560,12 @@ def deletion_spans(rows: DataFrame, response: str, tagged: str, marked: str, del
     its written forms, in any case; then the same for deleted paths that nothing has placed yet. Where there are none, the whole answer
     is one implicit label. Labels don't overlap, the first one counts; those with only white space between are joined.
     """
-    d = rows.withColumn("_t", key_spans(F.col(tagged)))
-    d = d.withColumn("plain", F.col("_t.text"))
-    gone = F.coalesce(F.col(deleted), F.array().cast("array<string>"))
+    read = {"plain": "string", "_tags": "array<struct<start:int,end:int,key:string,value:string>>", "_lost": "array<struct<path:string,value:string>>"}
+    d = with_columns(rows, read, [response, tagged, deleted], lambda r, t, g: (*untagged(t), values_in(r, g)))
     said = F.transform(marked, lambda x: F.struct(x["tag"].alias("tag"), x["path"].alias("path"), x["original_value"].cast("string").alias("value")))
-    d = with_columns(d, {"_lost": "array<struct<path:string,value:string>>"}, [response, deleted], lambda r, g: (values_of(leaf_list(r), g),))
-    d = d.withColumn("_said", F.coalesce(said, F.array().cast("array<struct<tag:string,path:string,value:string>>")))
-    d = d.withColumn("_wanted", F.array_distinct(F.flatten(F.concat(F.transform("_said", lambda x: written_forms(x["value"])), F.transform("_lost", lambda x: written_forms(x["value"]))))))
-    d = found_in(d, "plain", "_wanted", "_found")
-    meta = lambda x: F.concat(F.lit("EVIDENT BASELESS INFO\nPath (deleted): "), x["path"], F.lit("\nOriginal value: "), x["value"])
-    made = lambda x, start, end: label(start, end, spans.cut(F.col("plain"), start, end), meta(x), F.lit(BASELESS), null=True)
-
-    def everywhere(x: Column) -> Column:
-        at = F.transform(written_forms(x["value"]), lambda v: F.struct(F.length(v).alias("n"), F.try_element_at(F.col("_found"), lower_case(v)).alias("at")))
-        each = F.transform(F.filter(at, lambda y: y["at"].isNotNull()), lambda y: F.transform(y["at"], lambda a: made(x, a, a + y["n"])))
-        return F.when(F.length(x["value"]) > 1, F.flatten(each)).otherwise(F.array().cast(f"array<{LABEL}>"))
-
-    def hit(x: Column) -> Column:
-        named = F.filter("_t.spans", lambda t: t["key"] == x["tag"])
-        like = F.filter(named, lambda t: t["value"].contains(x["value"]) | x["value"].contains(t["value"]))
-        return F.coalesce(F.get(like, 0), F.get(named, 0))
-
-    def proposed(x: Column) -> Column:
-        own = bound(hit(x), lambda t: F.when(t.isNotNull(), F.array(made(x, t["start"], t["end"]))).otherwise(F.array().cast(f"array<{LABEL}>")))
-        return F.concat(own, everywhere(x))
-
-    d = d.withColumn("_first", F.transform("_said", lambda x: F.struct(x["path"].alias("path"), proposed(x).alias("s"))))
-    open_ = F.filter("_lost", lambda x: ~F.exists("_first", lambda y: (y["path"] == x["path"]) & (F.size(y["s"]) > 0)))
-    d = d.withColumn("_all", F.concat(F.flatten(F.transform("_first", lambda x: x["s"])), F.flatten(F.transform(open_, everywhere))))
-    d = d.withColumn("_spans", F.array_sort(apart(F.col("_all")), lambda a, b: a["start"] - b["start"]))
-    note = F.concat(F.lit("IMPLICIT HALLUCINATION\nAnswer references data deleted from tool_response.\n\n"), F.array_join(F.transform(gone, lambda p: F.concat(F.lit("Deleted: "), p)), "\n"))
-    whole = F.array(label(F.lit(0), F.length("plain"), F.col("plain"), note, F.lit(BASELESS), True, True))
-    d = d.withColumn("labels", F.when((F.size("_spans") == 0) & (F.size(gone) > 0) & F.col("plain").rlike(r"\S"), whole).otherwise(joined(F.col("plain"), F.col("_spans"))))
-    return d.drop("_t", "_lost", "_said", "_wanted", "_found", "_first", "_all", "_spans")
-
-
-def joined(text: Column, labels: Column) -> Column:
-    """Labels in order; one that only white space parts from the one before is joined to it, and keeps that one's note."""
-
-    def step(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        near = (F.size(acc) > 0) & ~spans.cut(text, last["end"], s["start"]).rlike(r"\S")
-        grown = label(last["start"], s["end"], spans.cut(text, last["start"], s["end"]), last["meta"], last["label_type"]).withField("due_to_null", last["due_to_null"])
-        return F.when(near, F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), grown)).otherwise(F.array_append(acc, s))
-
-    return F.aggregate(labels, F.slice(labels, 1, 0), lambda acc, s: F.when(F.size(acc) == 0, F.array(s)).otherwise(step(acc, s)))
+    d = d.withColumn("_said", said)
+    d = with_columns(d, {"labels": f"array<{LABEL}>"}, ["plain", "_tags", "_said", "_lost", deleted], lambda *x: (_deletion_labels(*x),))
+    return d.drop("_tags", "_lost", "_said")
 
 
 def comment_spans(answer: Column, comment: Column, tool: Column) -> Column:

@@ -131,3 +131,17 @@ def test_a_pattern_is_made_only_for_texts_that_hold_the_value(monkeypatch):
     monkeypatch.setattr(json_tree, "bounded", lambda old: made.append(old) or bounded(old))
     assert json_tree.replaced(json_tree.decode('{"a": [7, "x", 70], "b": "7.0"}'), "7", "8") == ({"a": ["8", "x", "70"], "b": "8"}, 2) and made == []
     assert json_tree.replaced(["no 7", "7 of 7", "77"], "7", "8") == (["no 8", "8 of 8", "77"], 3) and made == ["7"]
+
+
+def test_deletion_spans_are_placed_in_python(spark):
+    assert "regexp_extract_all" not in _plan(spark, "deletion_spans") and "aggregate(" not in _plan(spark, "deletion_spans")
+    assert editing.written_forms("-1234.5") == ["-1234.5", "-1,234.5", *[c + "-1,234.5" for c in editing.CURRENCIES]]
+    assert editing.written_forms("12") == ["12", *[c + "12" for c in editing.CURRENCIES]] and editing.written_forms("x1") == ["x1"]
+    taken = editing.Taken()
+    assert [taken.take(*x) for x in [(5, 8), (2, 5), (4, 6), (5, 5), (6, 6), (8, 8), (8, 9), (0, 20), (9, 12), (0, 2)]] == [True, True, False, True, False, True, True, False, True, True]
+
+
+@pytest.mark.parametrize("name", ["tagged_deletions", "dialogue_labels"])
+def test_rows_are_worked_on_once(spark, name):
+    plan = _plan(spark, name)
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange hashpartitioning") == 2 and (name != "tagged_deletions" or "aggregate(" not in plan)
