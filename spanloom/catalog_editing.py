@@ -41,7 +41,7 @@ t as (select *, list_reduce(byl, lambda acc, x: case when {_FREE} is not null th
 select k, list_reduce(list_reverse_sort(taken), lambda acc, x: substr(acc, 1, x.s) || '[' || x.k || ']' || substr(acc, x.s + 1, x.e - x.s) || '[/' || x.k || ']' || substr(acc, x.e + 1), answer) as tagged_answer, cast(len(taken) as int) as num_tags,
 cast(len(list_filter(byl, lambda x: len(list_filter(taken, lambda t: contains(substr(low, t.s + 1, t.e - t.s), lower(x.v)))) = 0)) as int) as num_unmatched from t""")
 def tagged_answers(spark, sf_dir):
-    return editing.tag_answers(order_responses(spark, sf_dir).select("k", "response", "answer"), "response", "answer").select("k", "tagged_answer", "num_tags", "num_unmatched")
+    return editing.tag_answers(order_responses(spark, sf_dir).select("k", "response", "answer"), "response", "answer", tags=False).select("k", "tagged_answer", "num_tags", "num_unmatched")
 
 
 @query("""with it as (select l_orderkey as k, list(cast(l_partkey as varchar) order by l_linenumber, l_partkey, l_quantity) as v from lineitem where l_orderkey in (select o_orderkey from orders) group by l_orderkey),

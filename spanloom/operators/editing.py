@@ -81,39 +81,48 @@ def _tagged(answer: str | None, leaves: list[tuple[str, str, str, str]] | None)
     """Longest values first, each at its first place that is still free. Values are handled in falling length, so a taken stretch that overlaps a place covers one of its ends."""
     text = answer or ""
     low = lowered(text)
-    values = [(i, names, value.lower() if kind == "boolean" else value) for i, (_, names, kind, value) in enumerate(leaves or ()) if kind != "null"]
-    values = sorted(((i, n, v) for i, n, v in values if v.strip()), key=lambda x: -len(x[2]))
-    at = places(low, {lowered(v) for _, _, v in values})
-    tried: dict[str, int] = defaultdict(int)
+    values = [(i, names, v, lowered(v)) for i, (_, names, kind, value) in enumerate(leaves or ()) if kind != "null" and (v := value.lower() if kind == "boolean" else value).strip()]
+    values.sort(key=lambda x: -len(x[2]))
+    keys = {x[3] for x in values}
+    at = places(low, keys) if len(keys) > FEW else None  # few values are looked for place by place, as far as it takes
+    reached: dict[str, int] = {}  # of each value, its last place looked at, -1 if there is none left, or, with at, that place's number
     until = [0] * (len(text) + 1)  # the end of the taken stretch over each place
-    taken = []
-    for i, names, value in values:
-        key, size = lowered(value), len(value)
-        starts = at.get(key, [])
-        while tried[key] < len(starts) and (until[starts[tried[key]]] or until[starts[tried[key]] + size - 1]):
-            tried[key] += 1
-        if tried[key] < len(starts):
-            start = starts[tried[key]]
+    taken, held = [], set()
+    for i, names, value, key in values:
+        size = len(value)
+        if at is None:
+            if (start := reached.get(key, 0)) >= 0:
+                start = low.find(key, start)
+                while start >= 0 and (until[start] or until[start + size - 1]):
+                    start = low.find(key, start + 1)
+                reached[key] = start
+        else:
+            starts, n = at.get(key, ()), reached.get(key, 0)
+            while n < len(starts) and (until[starts[n]] or until[starts[n] + size - 1]):
+                n += 1
+            reached[key], start = n, starts[n] if n < len(starts) else -1
+        if start >= 0:
             until[start : start + size] = [start + size] * size
             taken.append((start, start + size, names.rpartition(".")[2], i))
+            held.add(key)
     taken.sort()
     pieces, last = [], 0
     for start, end, name, _ in taken:
         pieces += [text[last:start], f"[{name}]{text[start:end]}[/{name}]"]
         last = end
-    held = {key for key, starts in at.items() if any(until[s] >= s + len(key) for s in starts)}
-    return "".join([*pieces, text[last:]]), len(taken), [n for _, n, v in values if lowered(v) not in held], taken
+    held |= {key for key in keys - held if any(until[s] >= s + len(key) for s in (places_of(low, key) if at is None else at.get(key, ())))}
+    return "".join([*pieces, text[last:]]), len(taken), [n for _, n, _, key in values if key not in held], taken
 
 
-def tag_answers(rows: DataFrame, response: str, answer: str) -> DataFrame:
+def tag_answers(rows: DataFrame, response: str, answer: str, tags: bool = True) -> DataFrame:
     """rows(response: JSON, answer, ...) -> with tagged_answer ([key]value[/key]), num_tags, num_unmatched, unmatched_keys and tags (start and end in the answer, key, leaf: its number).
 
     A leaf's key is its last object key; list places don't count. Nulls and blank values have no tag; true and false are looked for in
     any case. A leaf is unmatched if its value stands in no tag, not even as a part. A response that is no JSON has no leaves; a null
-    answer counts as empty.
+    answer counts as empty. Without tags, that column isn't made.
     """
-    new = {"tagged_answer": "string", "num_tags": "int", "unmatched_keys": "array<string>", "tags": "array<struct<start:int,end:int,key:string,leaf:int>>"}
-    d = with_columns(rows, new, [answer, response], lambda a, r: _tagged(a, leaf_list(r)))
+    new = {"tagged_answer": "string", "num_tags": "int", "unmatched_keys": "array<string>"} | ({"tags": "array<struct<start:int,end:int,key:string,leaf:int>>"} if tags else {})
+    d = with_columns(rows, new, [answer, response], lambda a, r: _tagged(a, leaf_list(r))[: len(new)])
     return d.withColumn("num_unmatched", F.size("unmatched_keys"))
 
 

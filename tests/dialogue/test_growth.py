@@ -141,6 +141,19 @@ def test_deletion_spans_are_placed_in_python(spark):
     assert [taken.take(*x) for x in [(5, 8), (2, 5), (4, 6), (5, 5), (6, 6), (8, 8), (8, 9), (0, 20), (9, 12), (0, 2)]] == [True, True, False, True, False, True, True, False, True, True]
 
 
+def test_few_values_are_tagged_like_many(monkeypatch):
+    leaves = [(f"a.{i}", "a", "string", v) for i, v in enumerate(["Rome", "rom", "me", "Romeo", "o", "Rome", "x y", "gone", "go", "ON"])]
+    answer = "romeo in Rome, x y and gone; rome"
+    few = editing._tagged(answer, leaves)
+    monkeypatch.setattr(editing, "FEW", 0)
+    assert editing._tagged(answer, leaves) == few and few[1] == 5 and few[0].startswith("[a]romeo[/a] in [a]Rome[/a]")
+
+
+def test_tags_are_not_made_where_nobody_reads_them(spark):
+    d = spark.createDataFrame([('{"a": 12}', "12")], "r string, a string")
+    assert "tags" not in editing.tag_answers(d, "r", "a", tags=False).columns and "leaf:int" not in _plan(spark, "tagged_answers")
+
+
 @pytest.mark.parametrize("name", ["tagged_deletions", "dialogue_labels"])
 def test_rows_are_worked_on_once(spark, name):
     plan = _plan(spark, name)
