@@ -289,7 +289,7 @@ def json_leaves(spark, sf_dir):
 def json_edits(spark, sf_dir):
     odd = F.col("o_orderkey") % 2 == 1
     d = orders_json(spark, sf_dir).withColumns({"gone": F.when(~odd, F.array(F.lit("o_orderstatus"))), "old": F.when(odd, F.col("o_orderstatus")), "new": F.lit("X")})
-    return json_tree.edited(d, "o_orderkey", "json", "gone", "old", "new").select("o_orderkey", F.inline("changes"))
+    return json_tree.edited(d, "o_orderkey", "json", "gone", "old", "new", "changes").select("o_orderkey", F.inline("changes"))
 
 
 @query("""with i as (select l_orderkey k, l_linenumber n, l_partkey a, cast(l_quantity as bigint) q, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_quantity) as p from lineitem), g as (select k, count(*) as c, string_agg('{"l_linenumber":' || n || ',"l_partkey":' || a || ',"l_quantity":' || q || '}', ',' order by p) as items, string_agg('  l_linenumber: ' || n || chr(10) || '  l_partkey: ' || a || chr(10) || '  l_quantity: ' || q, chr(10) order by p) as lines,

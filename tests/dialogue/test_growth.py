@@ -133,6 +133,15 @@ def test_a_pattern_is_made_only_for_texts_that_hold_the_value(monkeypatch):
     assert json_tree.replaced(["no 7", "7 of 7", "77"], "7", "8") == (["no 8", "8 of 8", "77"], 3) and made == ["7"]
 
 
+def test_edits_leave_python_with_the_columns_asked_for(spark):
+    rows = [(i, t, *x) for i, (t, x) in enumerate((t, x) for t in ODD for x in [(None, "2.5", "9"), (["a.0", "name"], "1", "5"), (["", "items.0.a"], None, None), (None, None, "1"), ([], "n", "m"), ([], "3", None)])]
+    d = spark.createDataFrame(rows, "k int, j string, g array<string>, o string, w string")
+    whole = json_tree.edited(d, "k", "j", "g", "o", "w")
+    changes = json_tree.edited(d, "k", "j", "g", "o", "w", "changes", "replaced")
+    assert changes.columns == ["k", "replaced", "changes"] and sorted(map(str, changes.collect())) == sorted(map(str, whole.drop("json").collect()))
+    assert json_tree.edited(d, "k", "j", "g", "o", "w", "json").columns == ["k", "json"] and sum(len(r["changes"]) > 0 for r in whole.collect()) > 5
+
+
 def test_deletion_spans_are_placed_in_python(spark):
     assert "regexp_extract_all" not in _plan(spark, "deletion_spans") and "aggregate(" not in _plan(spark, "deletion_spans")
     assert editing.written_forms("-1234.5") == ["-1234.5", "-1,234.5", *[c + "-1,234.5" for c in editing.CURRENCIES]]
