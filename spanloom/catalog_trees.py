@@ -24,7 +24,7 @@ def _trees(spark, sf_dir, least=1):
 
 @query(f"with {ITEMS} select k as o_orderkey, 'items' as path, 3 * count(*) as leaves from i group by k union all select k, 'items.' || p, 3 from i")
 def json_inner_paths(spark, sf_dir):
-    return trees.inner_paths(_leaves(spark, sf_dir, "path"), "o_orderkey")
+    return json_tree.inner_paths(orders_json(spark, sf_dir), "o_orderkey", "json")
 
 
 @query(f"with {ITEMS} select k as o_orderkey, cast(3 as int) as depth, 3 * count(*) + 2 as leaves, count(*) as list_items from i group by k")
