@@ -34,7 +34,7 @@ def json_shapes(spark, sf_dir):
 
 @query(f"with {LEAVES_SQL} select k as o_orderkey, path, coalesce(item, '') as parent, item as list_item, cast(3 as bigint) as n_siblings from leaves")
 def json_siblings(spark, sf_dir):
-    return trees.siblings(_leaves(spark, sf_dir, "path", "list_item"), "o_orderkey").select("o_orderkey", "path", "parent", "list_item", "n_siblings")
+    return _leaves(spark, sf_dir, "path", "parent", "list_item", "n_siblings").select("o_orderkey", "path", "parent", "list_item", "n_siblings")
 
 
 @query(f"""with {LEAVES_SQL}, w as (select k, case k % 4 when 0 then l_partkey when 1 then q when 2 then -7 end as v from i where p = 0) select w.k as o_orderkey, case w.k % 4 when 0 then '"' || w.v || '.0"' when 1 then cast(w.v as varchar) when 2 then '-7' else o_orderstatus end as raw,

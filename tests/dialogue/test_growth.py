@@ -115,12 +115,25 @@ def test_choices_of_arrays_are_those_of_leaf_tables(spark):
 ODD = ['{"name": "n", "a": [{"x": 1, "y": 2}, {"x": 3}], "b.c": 4, "": {"e": 6, "name": 7}, ".f": [[1], []]}', '{"name": {"name": 1}}', '{"name": 1}', "7", "no", "[[1, 2.50], [true, null]]", '{"items": [{"a.b": 1, "a": {"b": 2, "": 3}}]}']
 
 
+@pytest.mark.parametrize("name", ["json_inner_paths", "json_siblings"])
+def test_leaves_aren_t_shuffled_for_inner_paths_and_siblings(spark, name):
+    plan = _plan(spark, name)
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("SortMergeJoin") == 1 and plan.count("MapInArrow") == 1
+
+
 def test_inner_paths_are_those_of_leaf_tables(spark):
     d = spark.createDataFrame(list(enumerate(ODD)), "k int, j string")
     want = trees.inner_paths(json_tree.leaves(d, "k", "j"), "k")
     assert sorted(map(tuple, json_tree.inner_paths(d, "k", "j").collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_siblings_are_those_of_leaf_tables(spark):
+    d = spark.createDataFrame(list(enumerate(ODD)), "k int, j string")
+    names = ["path", "list_item", "parent", "n_siblings"]
+    want = trees.siblings(json_tree.leaves(d, "k", "j"), "k").select("k", *names)
+    assert sorted(map(str, json_tree.leaves(d, "k", "j", *names).select("k", *names).collect())) == sorted(map(str, want.collect()))
+
+
 def test_leaves_without_list_items_are_walked_plainly(spark):
     for text in [*ODD, "[" * 400 + "1" + "]" * 400]:
         tree = json_tree.decode(text)
