@@ -71,11 +71,11 @@ def dialogue_labels(spark, sf_dir):
     turn = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
     d = d.withColumn("messages", F.array(turn("user", F.lit("Order?")), turn("assistant", F.lit("find()")), turn("tool", F.concat(F.lit("n "), F.col("k"))), turn("assistant", answer)))
     kind = F.when(way == 3, "type3_tool").when(way.isin(1, 2), "type2").otherwise("type1")
-    d = d.withColumns({"kind": kind, "targets": F.when(way == 2, F.array(F.lit("results.splendidRating_x"))), "system": F.lit("find")}).drop("answer", "response")
+    d = d.withColumns({"kind": kind, "targets": F.when(way == 2, F.array(F.lit("results.splendidRating_x"))), "system": F.lit("find")}).select("k", "messages", "kind", "targets", "system")
     d = labels.dialogue_rows(d, "messages", "kind", "targets", "system")
-    e = labels.exported(d.withColumn("labels", F.col("labels")), "k", "query", "context", "output", F.concat(F.lit("multistep_"), "kind"), "labels", F.col("input_str"))
     places = F.array_join(F.transform("labels", lambda s: F.concat(s["start"], F.lit(":"), s["end"])), ",")
-    return d.select("k", "output", places.alias("places"), "refused").join(e.select(F.col("id").alias("k"), "task_type", "input_str"), "k")
+    e = labels.exported(d, "k", "query", "context", "output", F.concat(F.lit("multistep_"), "kind"), "labels", F.col("input_str"), places.alias("places"), F.col("refused"))
+    return e.select(F.col("id").alias("k"), "output", "places", "refused", "task_type", "input_str")
 
 
 @query(f"""with {ORDERS_SQL}, v as (select *, length(answer) as n from said) select k, case k % 3 when 0 then case when n >= 12 then '0:6:false:Evident Conflict' else '' end when 1 then '0:5:false:Baseless Info,6:8:false:Baseless Info' else n + 2 || ':' || (n + 2 + 25) || ':false:Overgeneration' end as labels,

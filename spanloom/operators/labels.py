@@ -285,7 +285,8 @@ def dialogue_rows(rows: DataFrame, messages: str, kind: str, targets: str, syste
     d = d.withColumn("_tool", tool).withColumn("_user", last_index(F.slice(c, F.lit(1), F.col("_tool")), lambda m: m["role"] == "user"))
     content = lambda i: F.coalesce(F.get(c, i)["content"], F.lit(""))
     d = d.withColumns({"query": content(F.col("_user")), "context": content(F.col("_tool")), "_r": tag_spans(content(F.col("_at")), "hall")})
-    d = d.withColumns({"output": F.col("_r.text"), "_spans": F.col("_r.spans"), "_kind": F.substring_index(F.coalesce(F.col(kind), F.lit("")), "_", 1)})
+    # What goes through found_in to Python and back is kept small.
+    d = d.withColumns({"output": F.col("_r.text"), "_spans": F.col("_r.spans"), "_kind": F.substring_index(F.coalesce(F.col(kind), F.lit("")), "_", 1)}).drop("_r", "_tool", "_user")
     text, ctx = F.col("output"), F.lower(F.col("context"))
     d = d.withColumn("_words", F.transform("_spans", lambda s: whole_words(text, s["start"], s["end"])))
     wanted = F.array_distinct(F.concat(F.transform("_spans", lambda s: s["text"]), F.transform("_words", lambda w: spans.cut(text, w["start"], w["end"]))))
@@ -331,10 +332,10 @@ def dialogue_rows(rows: DataFrame, messages: str, kind: str, targets: str, syste
     turns = F.transform(F.slice(c, F.lit(1), F.col("_at")), lambda m: F.concat(F.initcap(F.coalesce(m["role"], F.lit("?"))), F.lit(":\n"), F.coalesce(m["content"], F.lit(""))))
     head = F.when(F.coalesce(F.length(F.col(system)), F.lit(0)) > 0, F.array(F.concat(F.lit("System:\n"), F.col(system)))).otherwise(F.array().cast("array<string>"))
     d = d.withColumns({"labels": made, "refused": refused, "input_str": F.array_join(F.concat(head, turns), "\n\n")})
-    return d.drop("_at", "_tool", "_user", "_r", "_spans", "_kind", "_words", "_wanted", "_found", "_chosen", "_kept")
+    return d.drop("_at", "_spans", "_kind", "_words", "_wanted", "_found", "_chosen", "_kept")
 
 
-def exported(rows: DataFrame, number: str, query: str, context: str, output: str, kind: Column, labels: str, history: Column) -> DataFrame:
-    """The eleven columns of an exported row: id, query, context, output, task_type, quality, model, temperature, hallucination_labels and hallucination_labels_processed (JSON), input_str."""
+def exported(rows: DataFrame, number: str, query: str, context: str, output: str, kind: Column, labels: str, history: Column, *keep: Column) -> DataFrame:
+    """The eleven columns of an exported row: id, query, context, output, task_type, quality, model, temperature, hallucination_labels and hallucination_labels_processed (JSON), input_str; and behind them what of the row is to be kept."""
     counts = F.create_map(F.lit("evident_conflict"), counted(F.col(labels), CONFLICT), F.lit("baseless_info"), counted(F.col(labels), BASELESS) + counted(F.col(labels), "Baseless Info"), F.lit("overgeneration"), counted(F.col(labels), "Overgeneration"))
-    return rows.select(F.col(number).alias("id"), F.col(query).alias("query"), F.col(context).alias("context"), F.col(output).alias("output"), kind.alias("task_type"), F.lit("good").alias("quality"), F.lit("").alias("model"), F.lit("").alias("temperature"), F.to_json(labels).alias("hallucination_labels"), F.to_json(counts).alias("hallucination_labels_processed"), history.alias("input_str"))
+    return rows.select(F.col(number).alias("id"), F.col(query).alias("query"), F.col(context).alias("context"), F.col(output).alias("output"), kind.alias("task_type"), F.lit("good").alias("quality"), F.lit("").alias("model"), F.lit("").alias("temperature"), F.to_json(labels).alias("hallucination_labels"), F.to_json(counts).alias("hallucination_labels_processed"), history.alias("input_str"), *keep)
