random_focus_schemas: the draw takes paths alone and cuts them without arrays of parts

Symptom: most JVM time of random_focus_schemas went into the draw, in a stage that takes 14 s of the query's 21 s of task time at sf0.1.
Evidence: the plan brought all five leaf columns out of Python though the draw reads paths only, and for each leaf an interpreted transform split the path again for every part above it; on a table of the texts alone that draw took 20.2 CPU s in the JVM, with the parts cut natively 9.6 s.
Fix: the query asks json_tree.leaves for paths only; random_focus explodes how many parts to take and cuts them with substring_index in generated code, so the order of draws and what is drawn stay the same.
Effect, together with 3 more commits on this code: at 1 GB of input CPU 4069 -> 3098 s, shuffle 1.02 -> 1.02 GB, spill 0.00 -> 0.00 GB, read 0.47 -> 0.47 GB, longest task 27 -> 20 s, most memory of a task 206 -> 206 MB; at 6 GB of input CPU 22701 -> 16880 s, shuffle 6.26 -> 6.26 GB, spill 0.00 -> 0.00 GB, read 2.96 -> 2.96 GB, longest task 94 -> 68 s, most memory of a task 805 -> 805 MB; with hot keys, at 1 GB of input CPU 4220 -> 3176 s, shuffle 0.99 -> 0.99 GB, spill 0.00 -> 0.00 GB, read 0.45 -> 0.45 GB, longest task 111 -> 69 s, most memory of a task 1161 -> 1161 MB.

@@ -103,5 +103,5 @@ def random_cascade_schemas(spark, sf_dir):
 def random_focus_schemas(spark, sf_dir):
     """A list or an item drawn by its depth, and the schema in which it is free."""
     d = orders_json(spark, sf_dir)
-    freed = trees.random_focus(json_tree.leaves(d, "o_orderkey", "json"), "o_orderkey", "focus")
+    freed = trees.random_focus(json_tree.leaves(d, "o_orderkey", "json", "path"), "o_orderkey", "focus")
     return d.join(freed.hint("merge"), "o_orderkey").select("o_orderkey", json_tree.lock("json", F.array("path")).alias("schema"))

@@ -180,11 +180,9 @@ def random_cascades_of(rows: DataFrame, leaves: str, key: str, seed: str, into:
 
 def random_focus(leaves: DataFrame, key: str, seed: str) -> DataFrame:
     """key, path: of each tree an object or list inside it, drawn by its depth; of a tree without any, one of its fields, all alike. The root's `name` is not drawn if there is another."""
-    parts = F.split("path", r"\.")
-    ups = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.struct(F.lit(False).alias("flat"), F.array_join(F.slice(parts, F.lit(1), n), ".").alias("path"), n.alias("w")))
-    own = F.array(F.struct(F.lit(True).alias("flat"), F.col("path").alias("path"), F.lit(1).alias("w")))
+    flat, places = F.when(F.col("path").contains("."), False).otherwise(True), F.sequence(F.lit(1), F.greatest(_depth(F.col("path")) - 1, F.lit(1)))
     # A tree's own fields count only where it holds nothing inside, so they come last; parts that hold many leaves are met as often, and drawn once.
-    d = leaves.select(key, F.explode(F.when(F.col("path").contains("."), ups).otherwise(own)).alias("x")).select(key, "x.*")
+    d = leaves.select(key, "path", flat.alias("flat"), F.explode(places).alias("w")).withColumn("path", F.call_function("substring_index", "path", F.lit("."), "w"))
     order = F.struct("flat", (F.col("path") == "name").alias("last"), weighted_order(F.col("w"), F.lit(seed), F.col(key), F.col("path")).alias("o"))
     return d.groupBy(key).agg(F.min_by("path", order).alias("path"))
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections import defaultdict
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -186,3 +190,33 @@ def test_tags_are_not_made_where_nobody_reads_them(spark):
 def test_rows_are_worked_on_once(spark, name):
     plan = _plan(spark, name)
     assert plan.count("MapInArrow") == 1 and plan.count("Exchange hashpartitioning") == 2 and (name != "tagged_deletions" or "aggregate(" not in plan)
+
+
+def test_a_focus_is_drawn_from_paths_alone(spark):
+    """Of the leaves only paths leave Python, and the parts above a leaf are cut from its path without arrays of parts."""
+    plan = _plan(spark, "random_focus_schemas")
+    assert "list_item" not in plan and "transform(" not in plan and plan.count("Exchange hashpartitioning") == 5
+
+
+def _focus(key, paths):
+    """What random_focus draws for a key, one path after the other."""
+    found = {}
+    for path in paths:
+        parts = path.split(".")
+        for n in range(1, max(len(parts), 2)):
+            part = ".".join(parts[:n])
+            u = (int(hashlib.md5("|".join(["s", *([] if key is None else [str(key)]), part]).encode()).hexdigest()[:13], 16) + 0.5) / 2.0**52
+            found[part, len(parts) < 2] = (len(parts) < 2, part == "name", -math.log(u) / n)
+    return min(found, key=found.get)[0]
+
+
+def test_a_focus_is_drawn_once_a_key(spark):
+    """Rows with the same key are one tree, null keys too; texts without leaves have none."""
+    rows = [(k, t) for k in range(40) for t in (ODD[k % len(ODD)],)] + [(0, ODD[0]), (1, '{"z": {"y": {"x": 1}}}'), (None, ODD[0]), (None, ODD[1]), (50, None), (51, ""), (52, "{}"), (53, '{"a": {}}'), (54, '{"": {"": {"": 1}}}'), (55, '{"a.": [".", {"..": 1}]}')]
+    d = spark.createDataFrame(rows, "k int, j string")
+    held = defaultdict(list)
+    for k, t in rows:
+        held[k] += [] if (tree := json_tree.decode(t)) is None else [p for p, _ in json_tree.walk_plain(tree)]
+    for leaves in (json_tree.leaves(d, "k", "j", "path"), json_tree.leaves(d, "k", "j")):
+        got = [tuple(r) for r in trees.random_focus(leaves, "k", "s").collect()]
+        assert sorted(got, key=str) == sorted(((k, _focus(k, paths)) for k, paths in held.items() if paths), key=str)
