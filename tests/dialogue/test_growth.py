@@ -198,6 +198,10 @@ def test_a_focus_is_drawn_from_paths_alone(spark):
     assert "list_item" not in plan and "transform(" not in plan and plan.count("Exchange hashpartitioning") == 5
 
 
+def _chance(*parts):
+    return (int(hashlib.md5("|".join([str(p) for p in parts if p is not None]).encode()).hexdigest()[:13], 16) + 0.5) / 2.0**52
+
+
 def _focus(key, paths):
     """What random_focus draws for a key, one path after the other."""
     found = {}
@@ -205,8 +209,7 @@ def _focus(key, paths):
         parts = path.split(".")
         for n in range(1, max(len(parts), 2)):
             part = ".".join(parts[:n])
-            u = (int(hashlib.md5("|".join(["s", *([] if key is None else [str(key)]), part]).encode()).hexdigest()[:13], 16) + 0.5) / 2.0**52
-            found[part, len(parts) < 2] = (len(parts) < 2, part == "name", -math.log(u) / n)
+            found[part, len(parts) < 2] = (len(parts) < 2, part == "name", -math.log(_chance("s", key, part)) / n)
     return min(found, key=found.get)[0]
 
 
@@ -220,3 +223,37 @@ def test_a_focus_is_drawn_once_a_key(spark):
     for leaves in (json_tree.leaves(d, "k", "j", "path"), json_tree.leaves(d, "k", "j")):
         got = [tuple(r) for r in trees.random_focus(leaves, "k", "s").collect()]
         assert sorted(got, key=str) == sorted(((k, _focus(k, paths)) for k, paths in held.items() if paths), key=str)
+
+
+def _cascade(key, leaves):
+    """What random_cascades_of draws and frees of a tree, one leaf after the other."""
+    drawn = [x for x in leaves if x[0] != "name"] or leaves
+    leaf, item = min(drawn, key=lambda x: -math.log(_chance("s", key, x[0])) / len(x[0].split(".")))
+    if item is not None:
+        return leaf, [p for p, _ in leaves if p == item or p.startswith(f"{item}.")]
+    up = leaf.rpartition(".")[0]
+    start = f"{up}." if up else ""
+    parts = [p for p in dict.fromkeys(start + p[len(start) :].split(".")[0] for p, _ in leaves if p.startswith(start)) if up or p != "name"]
+    if len(parts) <= 3:
+        return leaf, parts or [leaf]
+    more = 2 + math.floor(_chance("s n", key) * (max(2, math.ceil(len(parts) / 2)) - 1))
+    return leaf, [leaf, *sorted([p for p in parts if p != leaf], key=lambda p: _chance("s others", key, p))[: more - 1]]
+
+
+def test_a_cascade_is_drawn_tree_by_tree(spark):
+    """Rows with the same key, without one or without leaves keep what they had."""
+    wide = '{"name": "n", "a": 1, "b": 2, "c": {"d": 3, "e": 4, "f": {"g": 5}, "h": 6, "i": 7}, "j": 8, "k": 9}'
+    rows = [(k, t) for k in range(60) for t in ([*ODD, wide][k % (len(ODD) + 1)],)] + [(0, wide), (0, ODD[0]), (None, wide), (None, ODD[0]), (70, None), (71, ""), (72, "{}"), (73, '{"": {"": 1}, "b": ".", "c": []}')]
+    d = spark.createDataFrame(rows, "k int, j string")
+    want = []
+    for k, t in rows:
+        tree = json_tree.decode(t)
+        leaves = [] if tree is None else [(p, g) for p, g, _ in json_tree.walk(tree)]
+        want.append((k, t, *(_cascade(k, leaves) if leaves else (None, None))))
+    made = trees.random_cascades_of(json_tree.leaf_arrays(d, "j", "l"), "l", "k", "s", "p", "leaf")
+    assert sorted(map(str, map(tuple, made.select("k", "j", "leaf", "p").collect()))) == sorted(map(str, want))
+
+
+def test_a_path_above_a_leaf_is_found_once_a_tree(spark):
+    """No pattern is matched for each leaf, and what stands beside a leaf is sought only where it isn't in a list."""
+    assert 0 < _plan(spark, "random_cascade_schemas").count("regexp_replace") <= 2
