@@ -578,31 +578,39 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, ROWS)
 
 
+#: The columns of leaves: their types, and how they are made of the leaves walked of many trees.
+LEAVES: dict[str, tuple[str, Callable[[list[Any]], list[Any]]]] = {
+    "pos": ("int", lambda found: [i for own in found for i in range(len(own))]),
+    "path": ("string", lambda found: [x[0] for own in found for x in own]),
+    "list_item": ("string", lambda found: [x[1] for own in found for x in own]),
+    "kind": ("string", lambda found: [kind_of(x[-1]) for own in found for x in own]),
+    "value": ("string", lambda found: [scalar_text(x[-1]) for own in found for x in own]),
+}
+
+
+def _walked(texts: pa.Array, names: list[str]) -> list[Any]:
+    """The leaves of each text, walked as those columns of LEAVES need them; none of a text that is no JSON."""
+    walked = walk_named if "list_item" in names else walk_plain
+    return [() if (tree := decode(t)) is None else walked(tree) for t in texts.to_pylist()]
+
+
 def leaves(rows: DataFrame, key: str, text: str, *only: str) -> DataFrame:
     """key, pos, path, list_item (path of the innermost list item around, or null), kind (string, number, boolean, null), value: a row for each leaf of each row's JSON text, decoded once. A text that is no JSON has none. With some of these named, those columns only: the others needn't leave Python; then also parent and n_siblings, as trees.siblings has them, which need no shuffle here."""
     kind = rows.schema[key].dataType.simpleString()
-    made = {
-        "pos": ("int", lambda found: [i for own in found for i in range(len(own))]),
-        "path": ("string", lambda found: [x[0] for own in found for x in own]),
-        "list_item": ("string", lambda found: [x[1] for own in found for x in own]),
-        "kind": ("string", lambda found: [kind_of(x[-1]) for own in found for x in own]),
-        "value": ("string", lambda found: [scalar_text(x[-1]) for own in found for x in own]),
-    }
     near = {"parent": "string", "n_siblings": "bigint"}
-    names = [n for n in (*made, *near) if n in (only or made)]
-    walked = walk_named if "list_item" in names else walk_plain
+    names = [n for n in (*LEAVES, *near) if n in (only or LEAVES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            found = [() if (tree := decode(t)) is None else walked(tree) for t in batch.column(text).to_pylist()]
+            found = _walked(batch.column(text), names)
             owner = [i for i, own in enumerate(found) for _ in own]
             if owner:
                 counts = [x for own in found for x in sibling_counts([leaf[0] for leaf in own])] if near.keys() & names else []
-                by_name = {n: made[n][1](found) for n in names if n in made} | dict(zip(near, zip(*counts, strict=True)))
+                by_name = {n: LEAVES[n][1](found) for n in names if n in LEAVES} | dict(zip(near, zip(*counts, strict=True)))
                 columns = [pa.array(by_name[n], ARROW[types[n]]) for n in names]
                 yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(owner, pa.int32())), *columns], [key, *names])
 
-    types = {n: k for n, (k, _) in made.items()} | near
+    types = {n: k for n, (k, _) in LEAVES.items()} | near
     return rows.select(key, text).mapInArrow(run, ", ".join([f"{key} {kind}", *(f"{n} {types[n]}" for n in names)]))
 
 
@@ -619,14 +627,21 @@ def inner_paths(rows: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, text).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, path string, leaves bigint")
 
 
-def leaf_arrays(rows: DataFrame, text: str, into: str) -> DataFrame:
-    """rows with into: array of struct(pos, path, list_item, kind, value), the leaves of a JSON text as leaves() has them, for what is decided tree by tree and needs no shuffle. Empty for a text that is no JSON."""
+def leaf_arrays(rows: DataFrame, text: str, into: str, *only: str) -> DataFrame:
+    """rows with into: array of struct(pos, path, list_item, kind, value), the leaves of a JSON text as leaves() has them, for what is decided tree by tree and needs no shuffle. Empty for a text that is no JSON. With some of the fields named, those only."""
+    names = [n for n in LEAVES if n in (only or LEAVES)]
+    listed = DataType.fromDDL(f"array<struct<{','.join(f'{n}:{LEAVES[n][0]}' for n in names)}>>")
+    columns = [*rows.columns, into]
 
-    def one(t: str | None) -> tuple:
-        tree = decode(t)
-        return ([] if tree is None else [(i, p, g, KINDS.get(type(v), "string"), scalar_text(v)) for i, (p, g, _, v) in enumerate(walk_named(tree))],)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = to_arrow_type(listed)
+        for batch in pieces(batches):
+            found = _walked(batch.column(text), names)
+            ends = pa.array(accumulate(map(len, found), initial=0), pa.int32())
+            items = pa.StructArray.from_arrays([pa.array(LEAVES[n][1](found), ARROW[LEAVES[n][0]]) for n in names], fields=list(kind.value_type))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, items, type=kind)], columns)
 
-    return with_columns(rows, {into: "array<struct<pos:int,path:string,list_item:string,kind:string,value:string>>"}, [text], one)
+    return rows.mapInArrow(run, StructType([*rows.schema, StructField(into, listed)]))
 
 
 def printed(value: Any) -> str:

@@ -250,10 +250,24 @@ def test_a_cascade_is_drawn_tree_by_tree(spark):
         tree = json_tree.decode(t)
         leaves = [] if tree is None else [(p, g) for p, g, _ in json_tree.walk(tree)]
         want.append((k, t, *(_cascade(k, leaves) if leaves else (None, None))))
-    made = trees.random_cascades_of(json_tree.leaf_arrays(d, "j", "l"), "l", "k", "s", "p", "leaf")
-    assert sorted(map(str, map(tuple, made.select("k", "j", "leaf", "p").collect()))) == sorted(map(str, want))
+    for fields in ((), ("path", "list_item")):
+        made = trees.random_cascades_of(json_tree.leaf_arrays(d, "j", "l", *fields), "l", "k", "s", "p", "leaf")
+        assert sorted(map(str, map(tuple, made.select("k", "j", "leaf", "p").collect()))) == sorted(map(str, want))
 
 
 def test_a_path_above_a_leaf_is_found_once_a_tree(spark):
     """No pattern is matched for each leaf, and what stands beside a leaf is sought only where it isn't in a list."""
     assert 0 < _plan(spark, "random_cascade_schemas").count("regexp_replace") <= 2
+
+
+def test_leaf_arrays_have_the_fields_asked_for(spark):
+    rows = [(i, t) for i, t in enumerate([*ODD, None, "", "{}", "[" * 400 + "1" + "]" * 400])]
+    d = spark.createDataFrame(rows, "k int, j string").repartition(1)
+    whole = json_tree.leaf_arrays(d, "j", "l")
+    few = json_tree.leaf_arrays(d, "j", "l", "list_item", "path")
+    assert few.schema["l"].dataType.simpleString() == "array<struct<path:string,list_item:string>>"
+    assert whole.schema["l"].dataType.simpleString() == "array<struct<pos:int,path:string,list_item:string,kind:string,value:string>>"
+    made = {r["k"]: [tuple(x) for x in r["l"]] for r in whole.collect()}
+    table = json_tree.leaves(d, "k", "j").orderBy("k", "pos").collect()
+    assert made == {k: [tuple(r)[1:] for r in table if r["k"] == k] for k, _ in rows}
+    assert {r["k"]: [tuple(x) for x in r["l"]] for r in few.collect()} == {k: [x[1:3] for x in own] for k, own in made.items()}
