@@ -271,3 +271,14 @@ def test_leaf_arrays_have_the_fields_asked_for(spark):
     table = json_tree.leaves(d, "k", "j").orderBy("k", "pos").collect()
     assert made == {k: [tuple(r)[1:] for r in table if r["k"] == k] for k, _ in rows}
     assert {r["k"]: [tuple(x) for x in r["l"]] for r in few.collect()} == {k: [x[1:3] for x in own] for k, own in made.items()}
+
+
+def test_a_schema_takes_each_freed_path_once(monkeypatch):
+    """Paths are dealt to the parts they name, not tried for each part: a wide tree of which much is freed takes time with its width alone."""
+    looked, place = [], json_tree._place
+    monkeypatch.setattr(json_tree, "_place", lambda key, n: looked.append(key) or place(key, n))
+    for text, paths in [(str([*range(60)]), [str(i) for i in range(-60, 70, 2)]), ("{" + ", ".join(f'"{i}": [{i}, {{"a": -{i}.50, "b": "x"}}]' for i in range(60)) + "}", [f"{i}.{j}" for i in range(50) for j in ("0", "1.a", "1.a.b", "2", "x")])]:
+        looked.clear()
+        old = json_tree.encode(json_tree.unlocked(json_tree.locked_schema(json_tree.decode(text)), paths))
+        assert json_tree.schema_text(json_tree.decode(text), [p.split(".") for p in paths]) == old
+        assert len(looked) == len(paths)
